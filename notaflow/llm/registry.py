@@ -1,9 +1,14 @@
 """Queries of the training-data operators and the SQL of those that SQL can express."""
 
-from . import mixing
+from . import ann, mixing, topk
 
 QUERIES = {
+    "op1_ann": ann.op1_ann,
+    "op6_topk": topk.op6_topk,
     "op8_mixing": mixing.op8_mixing,
 }
 
-SQL = {"op8_mixing": mixing.OP8_SQL}
+SQL = {
+    "op6_topk": topk.OP6_SQL,
+    "op8_mixing": mixing.OP8_SQL,
+}
