@@ -1,9 +1,10 @@
 """Queries of the training-data operators and the SQL of those that SQL can express."""
 
-from . import ann, mixing, topk
+from . import ann, jaccard, mixing, topk
 
 QUERIES = {
     "op1_ann": ann.op1_ann,
+    "op3_jaccard": jaccard.op3_jaccard,
     "op6_topk": topk.op6_topk,
     "op8_mixing": mixing.op8_mixing,
 }
