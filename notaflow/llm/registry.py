@@ -1,12 +1,15 @@
 """Queries of the training-data operators and the SQL of those that SQL can express."""
 
-from . import ann, jaccard, mixing, topk
+from . import ann, extraction, jaccard, mixing, pii, quality, topk
 
 QUERIES = {
     "op1_ann": ann.op1_ann,
     "op3_jaccard": jaccard.op3_jaccard,
+    "op4_quality": quality.op4_quality,
+    "op5_pii": pii.op5_pii,
     "op6_topk": topk.op6_topk,
     "op8_mixing": mixing.op8_mixing,
+    "op10_extraction": extraction.op10_extraction,
 }
 
 SQL = {
