@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -61,6 +62,9 @@ class Vocabulary:
         self.matcher.make_automaton()
         self.single = {self.pieces[i] for i in usable if len(self.pieces[i]) == 1}
         self.spelled = [bytes([byte[i]]) if i in byte else self.pieces[i].replace(SPACE, " ").encode() if self.length[i] else b"" for i in range(n)]
+        self.size = np.array([len(x) for x in self.spelled], np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+        self.bytes = np.frombuffer(b"".join(self.spelled), np.uint8)
 
 
 @lru_cache(2)
@@ -85,7 +89,7 @@ class Lattice:
         joined = BREAK.join(units) + BREAK
         lens = np.array([len(u) for u in units], np.int64)
         self.first = np.cumsum(lens + 1) - lens - 1
-        found = np.array([(e, i) for e, i in v.matcher.iter(joined)], np.int64).reshape(-1, 2)
+        found = np.fromiter(chain.from_iterable(v.matcher.iter(joined)), np.int64).reshape(-1, 2)
         end, piece = found[:, 0] + 1, found[:, 1]
         start, score = end - v.length[piece], v.logp[piece]
         # Characters without a piece: an edge of byte pieces, named by -1 - (index of its list).
@@ -100,29 +104,29 @@ class Lattice:
             cost = np.array([len(s) for s in self.spelt])[which] * v.logp[v.byte_id[0]]
             start, end = np.concatenate([start, at]), np.concatenate([end, at + 1])
             piece, score = np.concatenate([piece, -1 - which]), np.concatenate([score, cost])
-        to_end = np.repeat(self.first + lens, lens + 1) - np.arange(len(joined))
-        order = np.lexsort((piece, start, to_end[start]))
+        to_end = np.repeat(self.first + lens, lens + 1) - np.arange(len(joined)) if units else np.zeros(1, np.int64)
+        order = np.argsort(start, kind="stable")
         start, end, piece, score = start[order], end[order], piece[order], score[order]
-        beta = np.zeros(len(joined))
-        steps = to_end[start]
-        cuts = np.searchsorted(steps, np.arange(1, (int(lens.max()) if len(lens) else 0) + 2))
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        beta, steps, longest = np.zeros(len(joined)), to_end[start], int(lens.max(initial=0))
+        order = np.argsort(steps.astype(np.int16) if longest < 2**15 else steps, kind="stable")
+        cuts = np.searchsorted(steps[order], np.arange(1, longest + 2))
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):  # all places that are so far from their unit's end
             if a < b:
-                x = score[a:b] + beta[end[a:b]]
-                heads = np.flatnonzero(np.diff(start[a:b], prepend=-1))
-                beta[start[a:b][heads]] = np.logaddexp.reduceat(x, heads)
-        order = np.argsort(start, kind="stable")
-        self.start, self.end, self.piece = start[order], end[order], piece[order]
-        self.logp = np.minimum(0.0, score[order] + beta[self.end] - beta[self.start])
-        heads = np.flatnonzero(np.diff(self.start, prepend=-1))
+                own = order[a:b]
+                heads = np.flatnonzero(np.diff(start[own], prepend=-1))
+                beta[start[own][heads]] = np.logaddexp.reduceat(score[own] + beta[end[own]], heads)
+        self.start, self.end, self.piece = start, end, piece
+        self.logp = np.minimum(0.0, score + beta[end] - beta[start])
+        heads = np.flatnonzero(np.diff(start, prepend=-1))
         self.begin = np.zeros(len(joined) + 1, np.int64)
-        self.begin[1:] = np.cumsum(np.bincount(self.start, minlength=len(joined)))
+        self.begin[1:] = np.cumsum(np.bincount(start, minlength=len(joined)))
         p = np.exp(self.logp)
         cum = np.cumsum(p)
         base = np.repeat(cum[heads] - p[heads], np.diff(heads, append=len(p)))
         self.key = self.start + np.minimum(cum - base, 1.0)
         last = np.append(heads[1:], len(p)) - 1
-        self.key[last] = self.start[last] + 1.0
+        if len(p):
+            self.key[last] = self.start[last] + 1.0
         self.last = to_end <= 0
 
     def draw(self, nodes: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -131,28 +135,39 @@ class Lattice:
         return np.clip(e, self.begin[nodes], self.begin[nodes + 1] - 1)
 
 
-def uniform(seed: int, draw: int, unit: np.ndarray, step: int) -> np.ndarray:
+def uniform(seed: np.ndarray, draw: int, at: np.ndarray, step: int) -> np.ndarray:
     """Numbers in (0, 1), a hash of all arguments."""
     with np.errstate(over="ignore"):
-        x = mixed(np.uint64(seed) + unit.astype(np.uint64) * STEP[0] + np.uint64((draw * STEP[1].item() + step * STEP[2].item()) & (2**64 - 1)))
+        x = mixed(seed + at.astype(np.uint64) * STEP[0] + np.uint64((draw * STEP[1].item() + step * STEP[2].item()) & (2**64 - 1)))
     return ((x >> np.uint64(12)).astype(float) + 0.5) / 2.0**52
 
 
-def path_from(lat: Lattice, nodes: np.ndarray, at: np.ndarray, seed: int, draw: int) -> tuple[np.ndarray, np.ndarray]:
-    """Drawn edges from each node to the end of its unit, in text order, and the unit number of each."""
-    edges, units, step = [], [], 0
+def one(seed: np.uint64, draw: int, at: int) -> float:
+    return float(uniform(np.array([seed], np.uint64), draw, np.array([at]), 0)[0])
+
+
+def paths(lat: Lattice, seeds: list[np.uint64], starts: list[tuple[np.ndarray, np.ndarray]], draw: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each row's (nodes, numbers of their units): drawn edges from each node to the end of its unit, and their units."""
+    sizes = [len(n) for n, _ in starts]
+    row = np.repeat(np.arange(len(starts)), sizes)
+    seed = np.array(seeds, np.uint64)[row]
+    nodes, at = (np.concatenate([x[i] for x in starts]).astype(np.int64) if starts else np.zeros(0, np.int64) for i in (0, 1))
+    edges, units, place, step, where = [], [], [], 0, np.arange(len(row))
     while len(nodes):
         e = lat.draw(nodes, uniform(seed, draw, at, step))
         edges.append(e)
         units.append(at)
+        place.append(where)
         nodes = lat.end[e]
         go = ~lat.last[nodes]
-        nodes, at, step = nodes[go], at[go], step + 1
+        nodes, at, seed, where, step = nodes[go], at[go], seed[go], where[go], step + 1
     if not edges:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    e, u = np.concatenate(edges), np.concatenate(units)
-    order = np.argsort(u, kind="stable")
-    return e[order], u[order]
+        return [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in starts]
+    place = np.concatenate(place)
+    order = np.argsort(place, kind="stable")
+    e, u, r = np.concatenate(edges)[order], np.concatenate(units)[order], row[place[order]]
+    cuts = np.searchsorted(r, np.arange(1, len(starts)))
+    return list(zip(np.split(e, cuts), np.split(u, cuts), strict=True))
 
 
 def log1mexp(x: np.ndarray) -> np.ndarray:
@@ -168,66 +183,101 @@ def below(location: np.ndarray, top: float, u: np.ndarray) -> np.ndarray:
     return -np.logaddexp(-top, -g)
 
 
-def samples(lat: Lattice, unit_nodes: np.ndarray, seed: int, k: int) -> list[tuple[np.ndarray, float, float, float]]:
-    """(edges, log p, perturbed log p, inclusion probability) of k distinct segmentations, best first."""
-    every = np.arange(len(unit_nodes))
-    value = float(-np.log(-np.log(uniform(seed, 0, np.array([-1]), 0)[0])))
-    edges, units = path_from(lat, unit_nodes, every, seed, 1)
-    found: list[list] = []
-    sets: list[dict] = []  # of each found path: bounds of the sets that leave it at each step, and what they exclude
-    stem = 0  # steps it shares with the path it left
-    fresh, shut = 0.0, np.zeros(0, np.int64)
-    for draw in range(1, k + 1):
+class Search:
+    """The A-star search for one row: its found segmentations and its frontier of sets."""
+
+    def __init__(self, lat: Lattice, nodes: np.ndarray, seed: np.uint64, k: int):
+        self.lat, self.nodes, self.seed, self.k = lat, nodes, seed, k
+        self.value = -float(np.log(-np.log(one(seed, 0, -1))))
+        self.found: list[tuple[np.ndarray, float, float]] = []
+        self.sets: list[tuple[np.ndarray, np.ndarray, int, np.ndarray, np.ndarray]] = []
+        self.stem, self.shut, self.head, self.over = 0, np.zeros(0, np.int64), None, -np.inf
+
+    def begin(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.nodes, np.arange(len(self.nodes))
+
+    def take(self, edges: np.ndarray, units: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Takes the drawn rest of a path; gives where the next path has to be drawn from, or None at the end."""
+        lat, draw = self.lat, len(self.found) + 1
+        if self.head is not None:
+            edges, units = np.concatenate([self.head[0], edges]), np.concatenate([self.head[1], units])
         lp = lat.logp[edges]
         prefix = np.concatenate([[0.0], np.cumsum(lp)])
-        found.append([edges, float(prefix[-1]), value])
-        place = np.arange(stem, len(edges))
-        rest = log1mexp(lp[stem:])
-        if stem < len(edges) and len(shut):
-            gone = np.exp(lat.logp[np.append(shut, edges[stem])]).sum()
-            rest[0] = np.log(1 - gone) if gone < 1 - 1e-12 else -np.inf
-        bound = np.full(len(place), -np.inf)
-        some = np.isfinite(rest) & (np.diff(np.stack([lat.begin[lat.start[edges[stem:]]], lat.begin[lat.start[edges[stem:]] + 1]]), axis=0)[0] > 1)
-        if stem < len(edges) and len(shut) + 1 >= lat.begin[lat.start[edges[stem]] + 1] - lat.begin[lat.start[edges[stem]]]:
-            some[0] = False
-        bound[some] = below(prefix[:-1][stem:][some] + rest[some], value, uniform(seed, 1000 + draw, place[some], 0))
-        sets.append({"edges": edges, "units": units, "stem": stem, "bound": bound, "shut": {stem: shut}})
-        best = max(range(len(sets)), key=lambda i: sets[i]["bound"].max(initial=-np.inf))
-        of = sets[best]
-        fresh = float(of["bound"].max(initial=-np.inf))
-        if not np.isfinite(fresh):
-            break
-        if draw == k:
-            break
-        i = int(np.argmax(of["bound"]))
-        of["bound"][i] = -np.inf
-        step = of["stem"] + i
-        shut = np.append(of["shut"].get(step, np.zeros(0, np.int64)), of["edges"][step]).astype(np.int64)
-        node = lat.start[of["edges"][step]]
-        choice = np.arange(lat.begin[node], lat.begin[node + 1])
-        choice = choice[~np.isin(choice, shut)]
+        self.found.append((edges, float(prefix[-1]), self.value))
+        stem = self.stem
+        if stem < len(edges):
+            node = lat.start[edges[stem:]]
+            rest, some = log1mexp(lp[stem:]), lat.begin[node + 1] - lat.begin[node] > 1
+            if len(self.shut):  # alternatives that are other sets' are not this set's
+                gone = np.exp(lat.logp[np.append(self.shut, edges[stem])]).sum()
+                some[0] = len(self.shut) + 1 < lat.begin[node[0] + 1] - lat.begin[node[0]] and gone < 1 - 1e-12
+                rest[0] = np.log1p(-gone) if some[0] else -np.inf
+            some &= np.isfinite(rest)
+            bound = np.full(len(node), -np.inf)
+            at = stem + np.flatnonzero(some)
+            bound[some] = below(prefix[at] + rest[some], self.value, uniform(np.full(len(at), self.seed, np.uint64), 1000 + draw, at, 0))
+            self.sets.append((edges, units, stem, bound, self.shut))
+        tops = [float(x[3].max()) for x in self.sets]
+        if not tops or not np.isfinite(max(tops)):
+            self.over = -np.inf
+            return None
+        self.over = max(tops)
+        if draw == self.k:
+            return None
+        edges, units, stem, bound, shut = self.sets[int(np.argmax(tops))]
+        i = int(np.argmax(bound))
+        bound[i] = -np.inf
+        step = stem + i
+        shut = np.append(shut if i == 0 else np.zeros(0, np.int64), edges[step])
+        node, unit = lat.start[edges[step]], units[step]
+        choice = np.setdiff1d(np.arange(lat.begin[node], lat.begin[node + 1]), shut)
         p = np.cumsum(np.exp(lat.logp[choice] - lat.logp[choice].max()))
-        turn = choice[min(int(np.searchsorted(p, p[-1] * uniform(seed, 2000 + draw, np.array([step]), 0)[0], "right")), len(choice) - 1)]
-        unit = of["units"][step]
-        rest_nodes, rest_units = unit_nodes[unit + 1 :], every[unit + 1 :]
+        turn = choice[min(int(np.searchsorted(p, p[-1] * one(self.seed, 2000 + draw, step), "right")), len(choice) - 1)]
+        self.head = np.append(edges[:step], turn), np.append(units[:step], unit)
+        self.stem, self.shut, self.value = step, shut, self.over
+        nodes, numbers = self.nodes[unit + 1 :], np.arange(unit + 1, len(self.nodes))
         if not lat.last[lat.end[turn]]:
-            rest_nodes, rest_units = np.append(lat.end[turn], rest_nodes), np.append(unit, rest_units)
-        more, more_units = path_from(lat, rest_nodes, rest_units, seed, draw + 1)
-        edges = np.concatenate([of["edges"][:step], [turn], more])
-        units = np.concatenate([of["units"][:step], [unit], more_units])
-        stem, value = step, fresh
-    over = fresh if len(found) == k and np.isfinite(fresh) else -np.inf
-    return [(e, lp, g, float(-np.expm1(-np.exp(min(700.0, lp - over)))) if np.isfinite(over) else 1.0) for e, lp, g in found]
-
-
-def ids_of(lat: Lattice, edges: np.ndarray) -> list[int]:
-    ids = lat.piece[edges]
-    if (ids >= 0).all():
-        return ids.tolist()
-    return [j for i in ids.tolist() for j in (lat.spelt[-1 - i] if i < 0 else (i,))]
-
-
-SAMPLE = pa.list_(pa.struct([("ids", pa.list_(pa.int32())), ("logp", pa.float64()), ("gumbel", pa.float64()), ("inclusion", pa.float64())]))
+            nodes, numbers = np.append(lat.end[turn], nodes), np.append(unit, numbers)
+        return nodes, numbers
+
+    def result(self) -> list[tuple[np.ndarray, float, float, float]]:
+        return [(e, lp, g, float(-np.expm1(-np.exp(min(700.0, lp - self.over)))) if np.isfinite(self.over) else 1.0) for e, lp, g in self.found]
+
+
+def samples(lat: Lattice, rows: list[np.ndarray], seeds: list[np.uint64], k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
+    """For each row (first nodes of its units): (edges, log p, perturbed log p, inclusion probability) of k distinct
+    segmentations, best first. All rows advance together."""
+    every = [Search(lat, nodes, seed, k) for nodes, seed in zip(rows, seeds, strict=True)]
+    now, todo, draw = every, [s.begin() for s in every], 1
+    while now:
+        drawn = paths(lat, [s.seed for s in now], todo, draw)
+        more = [(s, s.take(*d)) for s, d in zip(now, drawn, strict=True)]
+        now, todo, draw = [s for s, t in more if t is not None], [t for _, t in more if t is not None], draw + 1
+    return [s.result() for s in every]
+
+
+def ids_of(lat: Lattice, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Piece ids of edges, bytes of characters without a piece spelled out; and the edge each comes from."""
+    ids, of = lat.piece[edges], np.arange(len(edges))
+    odd = ids < 0
+    if odd.any():
+        size = np.ones(len(ids), np.int64)
+        size[odd] = [len(lat.spelt[-1 - i]) for i in ids[odd]]
+        of, at = np.repeat(of, size), np.cumsum(size) - size
+        out = ids[of]
+        for i in np.flatnonzero(odd):
+            out[at[i] : at[i] + size[i]] = lat.spelt[-1 - ids[i]]
+        ids = out
+    return ids, of
+
+
+def spelled_alike(v: Vocabulary, ids: np.ndarray, text: bytes) -> bool:
+    """Whether decoding the ids gives these bytes."""
+    size = v.size[ids]
+    if size.sum() != len(text):
+        return False
+    at = np.repeat(v.begin[ids] - (np.cumsum(size) - size), size) + np.arange(len(text))
+    return bool((v.bytes[at] == np.frombuffer(text, np.uint8)).all())
 
 
 def _sampler(path: str, k: int, alpha: float):
@@ -238,20 +288,31 @@ def _sampler(path: str, k: int, alpha: float):
             number: dict[str, int] = {}
             named = [np.array([number.setdefault(u, len(number)) for u in units], np.int64) for units in units_of]
             lat = Lattice(v, list(number))
-            out, ok = [], []
-            for units, name, seed in zip(units_of, named, b.column(0).to_pylist(), strict=True):
-                got = samples(lat, lat.first[name], seed & (2**64 - 1), k) if units else [(np.zeros(0, np.int64), 0.0, 0.0, 1.0)]
-                out.append([{"ids": ids_of(lat, e), "logp": lp, "gumbel": g, "inclusion": p} for e, lp, g, p in got])
-                text = "".join(units).replace(SPACE, " ").encode("utf-8", "surrogatepass")
-                ok.append(all(b"".join([v.spelled[i] for i in s["ids"]]) == text for s in out[-1]))
-            yield pa.RecordBatch.from_arrays([*b.columns[1:-1], pa.array(out, SAMPLE), pa.array(ok, pa.bool_())], [*b.schema.names[1:-1], "samples", "round_trip"])
+            seeds = b.column(0).to_numpy().view(np.uint64)
+            results = samples(lat, [lat.first[n] for n in named], list(seeds), k)
+            texts = ["".join(u).replace(SPACE, " ").encode("utf-8", "surrogatepass") for u in units_of]
+            many = [len(r) for r in results]
+            flat = [x for r in results for x in r]
+            ids, of = ids_of(lat, np.concatenate([e for e, *_ in flat]) if flat else np.zeros(0, np.int64))
+            ends = np.searchsorted(of, np.cumsum([len(e) for e, *_ in flat]))
+            whole = "".join([t.decode("utf-8", "surrogatepass") * m for t, m in zip(texts, many, strict=True)]).encode("utf-8", "surrogatepass")
+            # One comparison for the batch; row by row only where it fails.
+            ok = [True] * len(many)
+            if not spelled_alike(v, ids, whole):
+                cuts = np.split(ids, ends[:-1]) if len(ends) else []
+                each = iter(cuts)
+                ok = [all([spelled_alike(v, next(each), t) for _ in range(m)]) for t, m in zip(texts, many, strict=True)]
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids, pa.int32()))
+            parts = pa.StructArray.from_arrays([lists, *[pa.array([x[i] for x in flat], pa.float64()) for i in (1, 2, 3)]], ["ids", "logp", "gumbel", "inclusion"])
+            out = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]), pa.int32()), parts)
+            yield pa.RecordBatch.from_arrays([*b.columns[1:-1], out, pa.array(ok, pa.bool_())], [*b.schema.names[1:-1], "samples", "round_trip"])
 
     return run
 
 
 def sample_segmentations(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), key: str = "doc_id", k: int = 2, alpha: float = 1.0, model: str = "") -> DataFrame:
     """The columns in `keep`, samples (best first) and round_trip (every sample decodes to the text) of each row."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 512)
     kinds = dict(docs.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", samples array<struct<ids:array<int>,logp:double,gumbel:double,inclusion:double>>, round_trip boolean"
     rows = docs.select(F.xxhash64(key).alias("seed of row"), *keep, F.col("text").alias("text to cut"))
