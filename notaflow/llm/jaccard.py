@@ -175,7 +175,7 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80, block: in
     member = near.join(sizes, "root").select(F.col("node").alias("cls"), F.col("root").alias("comp"), "blocks")
     member = stored(member.join(classes, "cls"), "jaccard-candidates")
     rows = member.agg(F.coalesce(F.sum("blocks"), F.lit(0))).first()[0]
-    sets = member.join(texts, F.col("rep") == F.col("doc_id")).select("cls", "comp", "blocks", "text")
+    sets = member.hint("shuffle_merge").join(texts, F.col("rep") == F.col("doc_id")).select("cls", "comp", "blocks", "text")
     sets = sets.mapInArrow(hashed(words), "cls bigint, comp bigint, blocks int, h array<bigint>")
     own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
     dealt = sets.withColumn("own", own).select("cls", "comp", "h", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
