@@ -64,39 +64,45 @@ def kd_leaves(points: np.ndarray, leaf: int) -> list[np.ndarray]:
 
 
 def search_block(rows: pd.DataFrame, asked: pd.DataFrame, k: int, dims: int, confidence: float, leaf: int, norm: float, seed: int) -> pd.DataFrame:
-    ids, of = rows.vec_id.to_numpy(), asked.vec_id.to_numpy()
-    none = pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-    if not len(ids) or not len(of):
-        return none
-    x, q = matrix(rows.v), matrix(asked.v)
+    """The k nearest rows of one block for each query. All queries take their next leaves in rounds, twice as many each
+    time, so that a leaf's rows are verified for all queries that want it by one product."""
+    if not len(rows) or not len(asked):
+        return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+    x, q, ids, of = matrix(rows.v), matrix(asked.v), rows.vec_id.to_numpy(), asked.vec_id.to_numpy()
     extra = np.sqrt(np.maximum(0.0, norm**2 - (x**2).sum(1)))
     a = np.random.default_rng(seed).standard_normal((x.shape[1] + 1, dims))
     px, pq = x @ a[:-1] + extra[:, None] * a[-1], q @ a[:-1]
     leaves = kd_leaves(px, leaf)
-    lo, hi = np.stack([px[m].min(0) for m in leaves]), np.stack([px[m].max(0) for m in leaves])
-    bar, q2, out = chi2_quantile(confidence, dims), (q**2).sum(1), []
-    for i in range(len(of)):
-        gap = np.maximum(0.0, np.maximum(lo - pq[i], pq[i] - hi))
-        box = (gap**2).sum(1)
-        found, kth = [], -np.inf
-        scores, seen = np.zeros(0), np.zeros(0, np.int64)
-        for j in np.argsort(box, kind="stable"):
-            if len(scores) >= k and box[j] > bar * max(0.0, norm**2 + q2[i] - 2 * kth):
-                break
-            m = leaves[j]
-            m = m[ids[m] != of[i]]
-            found = (x[m] * q[i]).sum(1)
-            scores, seen = np.concatenate([scores, found]), np.concatenate([seen, ids[m]])
-            if len(scores) > k:
-                keep = np.lexsort((seen, -scores))[:k]
-                scores, seen = scores[keep], seen[keep]
-            if len(scores) == k:
-                kth = scores.min()
-        out.append(pd.DataFrame({"query_id": of[i], "vec_id": seen, "score": scores}))
-    return pd.concat(out) if out else none
-
-
-def projected_search(vectors: DataFrame, k: int = 20, every: int = 20, dims: int = 8, confidence: float = 0.98, leaf: int = 64, block_rows: int = 4096, chunk_rows: int = 1024, seed: int = 20) -> DataFrame:
+    x, px, ids = (v[np.concatenate(leaves)] for v in (x, px, ids))  # a leaf's rows lie together
+    begin = np.concatenate([[0], np.cumsum([len(m) for m in leaves])])
+    box = np.zeros((len(q), len(leaves)))
+    for j in range(len(leaves)):
+        p = px[begin[j] : begin[j + 1]]
+        box[:, j] = (np.maximum(0.0, np.maximum(p.min(0) - pq, pq - p.max(0))) ** 2).sum(1)
+    place = np.argsort(np.argsort(box, 1, kind="stable"), 1)  # a leaf's place in a query's order
+    bar, q2 = chi2_quantile(confidence, dims), (q**2).sum(1)
+    own = of[:, None] == ids[None, :]
+    found, kth, at, more = np.full((len(q), len(x)), -np.inf), np.full(len(q), -np.inf), 0, 2
+    while at < len(leaves):
+        near = box <= np.where(np.isfinite(kth), bar * np.maximum(0.0, norm**2 + q2 - 2 * kth), np.inf)[:, None]
+        want = (place >= at) & (place < at + more) & near
+        if not want.any():
+            break
+        for j in np.flatnonzero(want.any(0)):
+            who, part = np.flatnonzero(want[:, j]), slice(begin[j], begin[j + 1])
+            found[who, part] = np.where(own[who, part], -np.inf, q[who] @ x[part].T)
+        at, more = at + more, more * 2
+        if len(x) > k:
+            kth = np.partition(found, len(x) - k, 1)[:, len(x) - k]
+    i, j = np.nonzero((found >= kth[:, None] - 1e-9) & np.isfinite(found))
+    exact = np.concatenate([(q[i[c : c + 65536]] * x[j[c : c + 65536]]).sum(1) for c in range(0, len(i), 65536)]) if len(i) else np.zeros(0)
+    order = np.lexsort((ids[j], -exact, i))
+    i, j, exact = i[order], j[order], exact[order]
+    keep = np.arange(len(i)) - np.searchsorted(i, i, "left") < k
+    return pd.DataFrame({"query_id": of[i[keep]], "vec_id": ids[j[keep]], "score": exact[keep]})
+
+
+def projected_search(vectors: DataFrame, k: int = 20, every: int = 20, dims: int = 8, confidence: float = 0.95, leaf: int = 64, block_rows: int = 4096, chunk_rows: int = 1024, seed: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score for each row whose id is divisible by `every`, against all rows."""
     x = usable(vectors).where(F.exists("v", lambda c: c != 0))
     x = stored(x, "ann-vectors")
