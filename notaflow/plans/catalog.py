@@ -1,5 +1,8 @@
 """Registered queries of the engine's own operators, each with the SQL that checks it."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import batch, reports, scalar
+
+_PARTS = (scalar, batch, reports)
+QUERIES = {k: f for p in _PARTS for k, f in p.QUERIES.items()}
+SQL = {k: s for p in _PARTS for k, s in p.SQL.items()}
 FLAGSHIP = "quality_by_type"
