@@ -15,12 +15,21 @@ def _parts(text: Column, pattern: str) -> tuple[Column, Column, Column]:
     return tuple(F.regexp_extract(text, pattern, i).try_cast("int") for i in (1, 2, 3))
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def parse_br(text: Column) -> Column:
     """d/m/yyyy or d/m/yy (00-68: 20yy, 69-99: 19yy), with / - or . between; null if it is none."""
-    clean = F.regexp_replace(F.regexp_replace(text, r"\s", ""), r"[-.]", "/")
-    d, m, y = _parts(clean, r"^(\d{1,2})/(\d{1,2})/(\d{4}|\d{2})$")
-    short = F.length(F.regexp_extract(clean, r"(\d+)$", 1)) == 2
-    return _made(F.when(short, y + F.when(y <= 68, 2000).otherwise(1900)).otherwise(y), m, d)
+
+    def made(p):
+        d, m, y = (F.get(p, F.lit(i)).try_cast("int") for i in (0, 1, 2))
+        short = (F.length(F.get(p, F.lit(2))) == 2).cast("int")
+        return _made(y + short * F.when(y <= 68, 2000).otherwise(1900), m, d)
+
+    clean = F.translate(F.regexp_replace(text, r"\s", ""), "-.", "//")
+    return F.when(text.rlike(r"^\s*(?:\d\s*){1,2}[/.\-]\s*(?:\d\s*){1,2}[/.\-]\s*(?:(?:\d\s*){4}|(?:\d\s*){2})$"), let(F.split(clean, "/"), made))
 
 
 def first_br(text: Column) -> Column:
