@@ -53,8 +53,8 @@ NAME_RULES = (
     (r"\d{2}\.?\d{3}\.?\d{3}/?\d{4}-?\d{2}", ""),
     (r"\d{3}\.\d{3}\.\d{3}-\d{2}", ""),
     (r"(?i)\s+(cep|rua|av\.|avenida|rodovia|fone|telefone|tel|e-?mail|endere[cç]o|bairro|munic[ií]pio|inscri[cç][aã]o)\b.*$", ""),
+    (r"\s+[A-Z]?([a-z])\1{2,}.*$", ""),
     (r"[\[\](){}|_]+", " "),
-    (r"\s+[A-Z][a-z]{2,3}\s*$", ""),
     (r"[\s\-–:;,./]+$", ""),
     (r"^[\s\-–:;,./]+", ""),
 )
