@@ -77,12 +77,12 @@ def emails(text: str) -> list[tuple[int, int]]:
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end), sorted."""
     out = [(s, 0, e) for s, e in emails(text)]
-    if CARD.search(text):
+    if "." in text:
         out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))]
-        for m in CARD.finditer(text):
-            digits = m[0].replace(" ", "").replace("-", "")
-            if 12 <= len(digits) <= 19 and luhn(digits):
-                out.append((m.start(), 2, m.end()))
+    for m in CARD.finditer(text):
+        digits = m[0].replace(" ", "").replace("-", "")
+        if 12 <= len(digits) <= 19 and luhn(digits):
+            out.append((m.start(), 2, m.end()))
     for m in PHONE.finditer(text) if "+" in text else ():
         if 9 <= sum(c.isdigit() for c in m[0]) <= 15:
             out.append((m.start(), 3, m.end()))
@@ -121,7 +121,9 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     return sorted(out)
 
 
-SPANS = "base array<struct<s:bigint,k:int,e:bigint>>, more array<struct<s:bigint,e:bigint,p:string>>"
+#: Names that no table has.
+FOUND = ("base spans found", "candidates found")
+SPANS = f"`{FOUND[0]}` array<struct<s:bigint,k:int,e:bigint>>, `{FOUND[1]}` array<struct<s:bigint,e:bigint,p:string>>"
 _T = pa.list_(pa.struct([("s", pa.int64()), ("k", pa.int32()), ("e", pa.int64())])), pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64()), ("p", pa.string())]))
 
 
@@ -130,7 +132,7 @@ def _find(batches):
         texts = [x or "" for x in b.column(b.num_columns - 1).to_pylist()]
         base = pa.array([[{"s": s, "k": k, "e": e} for s, k, e in base_spans(t)] for t in texts], _T[0])
         more = pa.array([[{"s": s, "e": e, "p": p} for s, e, p in candidates(t)] for t in texts], _T[1])
-        yield pa.RecordBatch.from_arrays([*b.columns[:-1], base, more], [*b.schema.names[:-1], "base", "more"])
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], base, more], [*b.schema.names[:-1], *FOUND])
 
 
 def estimate(counts: dict[str, int], rounds: int = 60) -> tuple[dict[str, float], dict]:
@@ -207,7 +209,7 @@ def labelled(docs: DataFrame, keep: tuple[str, ...]) -> tuple[DataFrame, set[str
     kinds = dict(docs.dtypes)
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + [SPANS])
     found = stored(docs.select(*keep, F.col("text").alias("text to search")).mapInArrow(_find, schema), "pii-spans")
-    counts = {r["p"]: r["n"] for r in found.select(F.explode("more.p").alias("p")).groupBy("p").agg(F.count("*").alias("n")).collect()}
+    counts = {r["p"]: r["n"] for r in found.select(F.explode(F.col(f"`{FOUND[1]}`")["p"]).alias("p")).groupBy("p").agg(F.count("*").alias("n")).collect()}
     return found, final_classifier(counts, estimate(counts)[0])
 
 
