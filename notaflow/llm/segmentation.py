@@ -10,7 +10,8 @@ Gumbel top-k: every segmentation has a perturbed log-probability, log p + Gumbel
 without replacement. A-star search finds them without listing segmentations: a set of segmentations with a common
 prefix has a known maximum law, so the frontier holds such sets, each with its perturbed maximum (an exact bound). The
 best set is opened: its best member is drawn piece by piece, and every piece's alternatives form new sets, whose maxima
-are drawn below the member's. The (k+1)th value is the threshold for the inclusion probabilities.
+are drawn below the member's. The (k+1)th value is the threshold for the inclusion probabilities, which are given as
+logarithms: a long text's are far below the smallest double.
 
 Noise is a hash of the row key, the draw and the place, so a row's result does not depend on its neighbours, partition
 or attempt.
@@ -23,9 +24,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
-from itertools import chain
 
-import ahocorasick
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -40,6 +39,8 @@ MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 UNIT = re.compile(f"{SPACE}+[^{SPACE}]*")
 BREAK = "\x00"
+TABLE_BITS = 22
+GROW, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 class Vocabulary:
@@ -55,11 +56,22 @@ class Vocabulary:
         assert not any(re.search(f"[^{SPACE}]{SPACE}", self.pieces[i]) for i in usable)
         self.length = np.zeros(n, np.int64)
         self.logp = np.full(n, -alpha * np.log(n + 10.0))
-        self.matcher = ahocorasick.Automaton()
         for rank, i in enumerate(usable):
             self.length[i], self.logp[i] = len(self.pieces[i]), -alpha * np.log(rank + 10.0)
-            self.matcher.add_word(self.pieces[i], i)
-        self.matcher.make_automaton()
+        self.longest = int(self.length.max())
+        self.hash = np.zeros(n, np.uint64)
+        for size in range(1, self.longest + 1):
+            own = np.flatnonzero(self.length == size)
+            chars = np.frombuffer("".join(self.pieces[i] for i in own).encode("utf-32-le"), np.uint32).reshape(len(own), size)
+            for column in chars.T:
+                self.hash[own] = self.hash[own] * GROW + column.astype(np.uint64) + np.uint64(1)
+        # Open addressing, a slot and the ones after it.
+        self.table, self.probes = np.full((1 << TABLE_BITS) + 64, -1, np.int32), 1
+        for i, slot in zip(usable, slots(self.hash[usable]).tolist(), strict=True):
+            at = slot
+            while self.table[at] >= 0:
+                at += 1
+            self.table[at], self.probes = i, max(self.probes, at - slot + 1)
         self.single = {self.pieces[i] for i in usable if len(self.pieces[i]) == 1}
         self.spelled = [bytes([byte[i]]) if i in byte else self.pieces[i].replace(SPACE, " ").encode() if self.length[i] else b"" for i in range(n)]
         self.size = np.array([len(x) for x in self.spelled], np.int64)
@@ -67,6 +79,33 @@ class Vocabulary:
         self.bytes = np.frombuffer(b"".join(self.spelled), np.uint8)
 
 
+def slots(h: np.ndarray) -> np.ndarray:
+    return ((h * SPREAD) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+
+
+def matches(v: Vocabulary, chars: np.ndarray, to_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and id of every piece in the units: a rolling hash of each length, looked up for all places at once."""
+    at = np.flatnonzero(to_end > 0)
+    h = np.zeros(len(at), np.uint64)
+    starts, pieces = [], []
+    for size in range(1, v.longest + 1):
+        go = to_end[at] >= size
+        at, h = at[go], h[go]
+        h = h * GROW + chars[at + size - 1] + np.uint64(1)
+        slot, here, want = slots(h), at, h
+        for probe in range(v.probes):
+            piece = v.table[slot + probe]
+            some = piece >= 0
+            slot, here, want, piece = slot[some], here[some], want[some], piece[some]
+            hit = (v.hash[piece] == want) & (v.length[piece] == size)
+            starts.append(here[hit])
+            pieces.append(piece[hit].astype(np.int64))
+            slot, here, want = slot[~hit], here[~hit], want[~hit]
+            if not len(slot):
+                break
+    return np.concatenate(starts), np.concatenate(pieces)
+
+
 @lru_cache(2)
 def vocabulary(path: str, alpha: float) -> Vocabulary:
     return Vocabulary(path, alpha)
@@ -89,9 +128,11 @@ class Lattice:
         joined = BREAK.join(units) + BREAK
         lens = np.array([len(u) for u in units], np.int64)
         self.first = np.cumsum(lens + 1) - lens - 1
-        found = np.fromiter(chain.from_iterable(v.matcher.iter(joined)), np.int64).reshape(-1, 2)
-        end, piece = found[:, 0] + 1, found[:, 1]
-        start, score = end - v.length[piece], v.logp[piece]
+        to_end = np.repeat(self.first + lens, lens + 1) - np.arange(len(joined)) if units else np.zeros(1, np.int64)
+        chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        with np.errstate(over="ignore"):
+            start, piece = matches(v, chars, to_end)
+        end, score = start + v.length[piece], v.logp[piece]
         # Characters without a piece: an edge of byte pieces, named by -1 - (index of its list).
         self.spelt: list[list[int]] = []
         names = {c: None for c in set(joined) - v.single - {BREAK}}
@@ -104,7 +145,6 @@ class Lattice:
             cost = np.array([len(s) for s in self.spelt])[which] * v.logp[v.byte_id[0]]
             start, end = np.concatenate([start, at]), np.concatenate([end, at + 1])
             piece, score = np.concatenate([piece, -1 - which]), np.concatenate([score, cost])
-        to_end = np.repeat(self.first + lens, lens + 1) - np.arange(len(joined)) if units else np.zeros(1, np.int64)
         order = np.argsort(start, kind="stable")
         start, end, piece, score = start[order], end[order], piece[order], score[order]
         beta, steps, longest = np.zeros(len(joined)), to_end[start], int(lens.max(initial=0))
@@ -177,12 +217,18 @@ def log1mexp(x: np.ndarray) -> np.ndarray:
         return np.where(x > -0.7, np.log(-np.expm1(x)), np.log1p(-np.exp(x)))
 
 
-def below(location: np.ndarray, top: float, u: np.ndarray) -> np.ndarray:
+def below(location: np.ndarray, top: np.ndarray, u: np.ndarray) -> np.ndarray:
     """Gumbel draws with these locations, given that they are below top."""
     g = location - np.log(-np.log(u))
     return -np.logaddexp(-top, -g)
 
 
+def log_inclusion(logp: float, threshold: float) -> float:
+    """Log of the probability that a segmentation's perturbed log p exceeds the threshold; 0 without one."""
+    x = logp - threshold
+    return x if x < -30 else float(np.log(-np.expm1(-np.exp(min(x, 700.0)))))
+
+
 class Search:
     """The A-star search for one row: its found segmentations and its frontier of sets."""
 
@@ -196,27 +242,18 @@ class Search:
     def begin(self) -> tuple[np.ndarray, np.ndarray]:
         return self.nodes, np.arange(len(self.nodes))
 
-    def take(self, edges: np.ndarray, units: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
-        """Takes the drawn rest of a path; gives where the next path has to be drawn from, or None at the end."""
-        lat, draw = self.lat, len(self.found) + 1
+    def path(self, edges: np.ndarray, units: np.ndarray) -> None:
+        """The drawn rest of a path, put behind what it has in common with the path it left."""
         if self.head is not None:
             edges, units = np.concatenate([self.head[0], edges]), np.concatenate([self.head[1], units])
-        lp = lat.logp[edges]
-        prefix = np.concatenate([[0.0], np.cumsum(lp)])
-        self.found.append((edges, float(prefix[-1]), self.value))
-        stem = self.stem
-        if stem < len(edges):
-            node = lat.start[edges[stem:]]
-            rest, some = log1mexp(lp[stem:]), lat.begin[node + 1] - lat.begin[node] > 1
-            if len(self.shut):  # alternatives that are other sets' are not this set's
-                gone = np.exp(lat.logp[np.append(self.shut, edges[stem])]).sum()
-                some[0] = len(self.shut) + 1 < lat.begin[node[0] + 1] - lat.begin[node[0]] and gone < 1 - 1e-12
-                rest[0] = np.log1p(-gone) if some[0] else -np.inf
-            some &= np.isfinite(rest)
-            bound = np.full(len(node), -np.inf)
-            at = stem + np.flatnonzero(some)
-            bound[some] = below(prefix[at] + rest[some], self.value, uniform(np.full(len(at), self.seed, np.uint64), 1000 + draw, at, 0))
-            self.sets.append((edges, units, stem, bound, self.shut))
+        self.edges, self.units = edges, units
+
+    def turn(self, prefix: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Takes the path with the bounds of the sets that leave it; gives where the next path has to be drawn from."""
+        lat, draw = self.lat, len(self.found) + 1
+        self.found.append((self.edges, float(prefix[-1]) if len(prefix) else 0.0, self.value))
+        if len(bound):
+            self.sets.append((self.edges, self.units, self.stem, bound, self.shut))
         tops = [float(x[3].max()) for x in self.sets]
         if not tops or not np.isfinite(max(tops)):
             self.over = -np.inf
@@ -241,17 +278,50 @@ class Search:
         return nodes, numbers
 
     def result(self) -> list[tuple[np.ndarray, float, float, float]]:
-        return [(e, lp, g, float(-np.expm1(-np.exp(min(700.0, lp - self.over)))) if np.isfinite(self.over) else 1.0) for e, lp, g in self.found]
+        return [(e, lp, g, log_inclusion(lp, self.over)) for e, lp, g in self.found]
+
+
+def leaving(lat: Lattice, rows: list[Search], draw: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each row's path: log p up to and with each step, and the perturbed maximum of the set that leaves it at each
+    step from the stem on. All rows in one go; a row's numbers hang on the row alone."""
+    sizes = np.array([len(s.edges) for s in rows])
+    every = np.concatenate([s.edges for s in rows]).astype(np.int64)
+    lp = lat.logp[every]
+    cuts = np.cumsum(sizes)[:-1]
+    prefix = [np.cumsum(x) for x in np.split(lp, cuts)]
+    row = np.repeat(np.arange(len(rows)), sizes)
+    place = np.arange(len(every)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    stem = np.array([s.stem for s in rows])
+    on = place >= stem[row]
+    row, place, lp, flat = row[on], place[on], lp[on], np.concatenate(prefix)[on] - lp[on] if len(rows) else lp
+    node = lat.start[every[on]]
+    out = lat.begin[node + 1] - lat.begin[node]
+    rest, some = log1mexp(lp), out > 1
+    counts = np.maximum(0, sizes - stem)
+    begin = np.cumsum(counts) - counts
+    for i, s in enumerate(rows):
+        if len(s.shut) and counts[i]:  # alternatives that are other sets' are not this set's
+            j = begin[i]
+            gone = np.exp(lat.logp[np.append(s.shut, s.edges[s.stem])]).sum()
+            some[j] = len(s.shut) + 1 < out[j] and gone < 1 - 1e-12
+            rest[j] = np.log1p(-gone) if some[j] else -np.inf
+    some &= np.isfinite(rest)
+    bound = np.full(len(row), -np.inf)
+    at = row[some]
+    u = uniform(np.array([s.seed for s in rows], np.uint64)[at], 1000 + draw, place[some], 0)
+    bound[some] = below(flat[some] + rest[some], np.array([s.value for s in rows])[at], u)
+    return prefix, np.split(bound, np.cumsum(counts)[:-1])
 
 
 def samples(lat: Lattice, rows: list[np.ndarray], seeds: list[np.uint64], k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
-    """For each row (first nodes of its units): (edges, log p, perturbed log p, inclusion probability) of k distinct
+    """For each row (first nodes of its units): (edges, log p, perturbed log p, log inclusion probability) of k distinct
     segmentations, best first. All rows advance together."""
     every = [Search(lat, nodes, seed, k) for nodes, seed in zip(rows, seeds, strict=True)]
     now, todo, draw = every, [s.begin() for s in every], 1
     while now:
-        drawn = paths(lat, [s.seed for s in now], todo, draw)
-        more = [(s, s.take(*d)) for s, d in zip(now, drawn, strict=True)]
+        for s, drawn in zip(now, paths(lat, [s.seed for s in now], todo, draw), strict=True):
+            s.path(*drawn)
+        more = [(s, s.turn(p, b)) for s, p, b in zip(now, *leaving(lat, now, draw), strict=True)]
         now, todo, draw = [s for s, t in more if t is not None], [t for _, t in more if t is not None], draw + 1
     return [s.result() for s in every]
 
@@ -303,7 +373,7 @@ def _sampler(path: str, k: int, alpha: float):
                 each = iter(cuts)
                 ok = [all([spelled_alike(v, next(each), t) for _ in range(m)]) for t, m in zip(texts, many, strict=True)]
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids, pa.int32()))
-            parts = pa.StructArray.from_arrays([lists, *[pa.array([x[i] for x in flat], pa.float64()) for i in (1, 2, 3)]], ["ids", "logp", "gumbel", "inclusion"])
+            parts = pa.StructArray.from_arrays([lists, *[pa.array([x[i] for x in flat], pa.float64()) for i in (1, 2, 3)]], ["ids", "logp", "gumbel", "log_inclusion"])
             out = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]), pa.int32()), parts)
             yield pa.RecordBatch.from_arrays([*b.columns[1:-1], out, pa.array(ok, pa.bool_())], [*b.schema.names[1:-1], "samples", "round_trip"])
 
@@ -314,7 +384,7 @@ def sample_segmentations(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), k
     """The columns in `keep`, samples (best first) and round_trip (every sample decodes to the text) of each row."""
     small_batches(docs.sparkSession, 512)
     kinds = dict(docs.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", samples array<struct<ids:array<int>,logp:double,gumbel:double,inclusion:double>>, round_trip boolean"
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", samples array<struct<ids:array<int>,logp:double,gumbel:double,log_inclusion:double>>, round_trip boolean"
     rows = docs.select(F.xxhash64(key).alias("seed of row"), *keep, F.col("text").alias("text to cut"))
     return rows.mapInArrow(_sampler(model or public_tokenizers.path(MODEL), k, alpha), schema)
 
