@@ -1,0 +1,412 @@
+"""The training-data operators against brute force, and on odd tables."""
+
+import collections
+import hashlib
+import itertools
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from notaflow.llm import ann, attribution, extraction, jaccard, mixing, pii, quality, segmentation, tokenfile, topk
+from notaflow.llm.components import components
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def prose(rng, n):
+    return " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(n))
+
+
+@pytest.fixture(scope="session")
+def odd(spark):
+    """Nulls, empty, blank and very long texts, repeated rows and ids, and columns that clash with the operators' own."""
+    rng = random.Random(5)
+    long = prose(rng, 30_000)
+    rows = [(1, None, None, None), (2, "", "en", "a"), (3, " \n\t ", "en", "a"), (4, "one", "en", None), (5, long, "en", "b"), (6, "x" * 50_000, "en", "b"), (7, "héllo wörld 日本 🎉 a@b.co", "en", "b"), (7, "héllo wörld 日本 🎉 a@b.co", "en", "b"), (8, long, "en", "c"), (None, "no id here at all", "en", "a")]
+    df = spark.createDataFrame([(*r[:2], *r[2:], 0, "k", 9, 1.5) for r in rows], DOC + ", size string, taken bigint, score double")
+    return df.withColumns({"cls": F.lit("c"), "base": F.lit(1), "shard": F.lit(None).cast("string"), "block": F.lit(2), "label": F.lit(0)})
+
+
+def empty(spark, schema=DOC):
+    return spark.createDataFrame([], schema)
+
+
+# ---- vectors
+
+
+def vectors(spark, rows):
+    return spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, block int, chunk string")
+
+
+def brute(rows, k, every, make):
+    good = [(i, make(np.array(v, np.float64))) for i, v in rows if i is not None and v is not None and len(v) == 8 and all(x is not None and np.isfinite(x) for x in v)]
+    out = {}
+    for q, x in good:
+        if q % every == 0:
+            scores = sorted(((-float(x @ y), i) for i, y in good if i != q))[:k]
+            out[q] = [(i, -s) for s, i in scores]
+    return out
+
+
+@pytest.fixture(scope="session")
+def points():
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(400)]
+    same = [0.25] * 8
+    rows += [(1000 + i, same) for i in range(90)]  # a hot vector: ties
+    rows += [(2000, None), (2001, []), (2002, [1.0] * 7 + [None]), (2003, [1.0] * 7 + [float("nan")]), (2004, [1.0] * 7 + [float("inf")]), (2005, [0.0] * 8), (None, same), (2006, [1.0] * 5)]
+    return rows
+
+
+def test_topk(spark, points):
+    rows = points
+    for blocks in (4096, 64):
+        got = collections.defaultdict(list)
+        for r in sorted(topk.histogram_topk(vectors(spark, [(*p, 7, "x") for p in rows]), 20, 20, 64.0, 16, blocks, 16).collect(), key=lambda r: (r.query_id, r.rank)):
+            got[r.query_id].append((r.vec_id, r.score))
+        assert got == brute(rows, 20, 20, lambda v: np.floor(64 * v))
+    few = [(0, [1.0] * 8), (1, [2.0] * 8), (2, [3.0] * 8)]
+    assert [(r.rank, r.vec_id) for r in sorted(topk.histogram_topk(vectors(spark, [(*p, 7, "x") for p in few])).collect(), key=lambda r: r.rank)] == [(1, 2), (2, 1)]
+    assert topk.histogram_topk(vectors(spark, [])).count() == 0
+
+
+def test_ann(spark, points):
+    rows = [p for p in points if p[1] is None or any(x != 0 for x in p[1] if x is not None)]
+    want = brute(rows, 20, 20, lambda v: v)
+    got = collections.defaultdict(list)
+    for r in sorted(ann.projected_search(vectors(spark, [(*p, 7, "x") for p in points]), block_rows=128, leaf=16).collect(), key=lambda r: (r.query_id, r.rank)):
+        got[r.query_id].append((r.vec_id, r.score))
+    assert set(got) == set(want)
+    assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / len(want[q]) for q in want]) >= 0.9
+    assert all(len(v) == 20 for v in got.values())
+    exact = {i: np.array(v, float) for i, v in points if i is not None and v and len(v) == 8 and None not in v}
+    assert all(s == pytest.approx(float(exact[q] @ exact[i]), abs=1e-12) for q, v in got.items() for i, s in v)
+    assert ann.projected_search(vectors(spark, [])).count() == 0
+
+
+def test_chi_square():
+    assert ann.chi2_quantile(0.95, 8) == pytest.approx(15.507, abs=1e-3)
+    assert sorted(np.concatenate(ann.kd_leaves(np.zeros((100, 3)), 16)).tolist()) == list(range(100))
+
+
+# ---- similarity join
+
+
+def naive_groups(rows, words, percent):
+    low = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
+    sets = {}
+    for i, t in rows:
+        w = WORD.findall((t or "").translate(low))
+        sets[i] = frozenset(zip(*[w[j:] for j in range(words)], strict=False)) if len(w) >= words else frozenset([tuple(w)] if w else [])
+    name = {i: i for i in sets}
+    changed = True
+    linked = [(a, b) for a, b in itertools.combinations(sets, 2) if sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    while changed:
+        changed = False
+        for a, b in linked:
+            m = min(name[a], name[b])
+            if name[a] != m or name[b] != m:
+                name[a] = name[b] = m
+                changed = True
+    return {i: (len(sets[i]), name[i]) for i in sets}
+
+
+@pytest.mark.parametrize("words,percent", [(3, 90), (5, 80)])
+def test_jaccard(spark, words, percent):
+    rng = random.Random(words)
+    rows = []
+    for size in (1, 2, 3, 5, 9, 12, 20, 60, 150, 400):
+        base = prose(rng, size).split()
+        for _ in range(12):  # near copies at all distances, and exact ones
+            t = list(base)
+            for _ in range(rng.randint(0, max(1, size // 25))):
+                t[rng.randrange(len(t))] = prose(rng, 1)
+            rows.append((len(rows), " ".join(t).upper() if rng.random() < 0.2 else "  ".join(t)))
+    rows += [(900, None), (901, ""), (902, "\n \t")]
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id bigint, text string, cls string, n int").repartition(5)
+    for block in (256, 4):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_groups(df, words, percent, block=block, task_rows=10).collect()}
+        assert got == naive_groups(rows, words, percent)
+
+
+def test_jaccard_odd(spark, odd):
+    got = jaccard.similar_groups(odd, 3, 90).collect()
+    assert len(got) == odd.count()
+    by = collections.defaultdict(set)
+    for r in got:
+        by[r.doc_id].add((r.n_shingles, r.component_id))
+    assert by[1] == {(0, 1)} and by[2] == {(0, 2)} and by[3] == {(0, 3)} and by[4] == {(1, 4)}
+    assert by[7] == {(3, 7)} and {c for _, c in by[5] | by[8]} == {5}
+    assert jaccard.similar_groups(empty(spark)).count() == 0
+
+
+def test_components(spark):
+    rng = random.Random(1)
+    edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 80)] + [(rng.randint(300, 400), rng.randint(300, 400)) for _ in range(60)]
+    name = {x: x for e in edges for x in e if e[0] != e[1]}
+    for _ in range(100):
+        for a, b in edges:
+            if a != b:
+                name[a] = name[b] = min(name[a], name[b])
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == name
+    assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+# ---- quality
+
+
+def test_crf_against_enumeration():
+    rng = np.random.default_rng(2)
+    s, t, n = rng.normal(size=9), rng.normal(size=(2, 2)), np.array([4, 1, 4])
+    m, pair = quality.marginals(s, t, n)
+    want, trans, at = np.zeros(9), np.zeros((2, 2)), 0
+    for k in n:
+        total = 0.0
+        part, part_t = np.zeros(k), np.zeros((2, 2))
+        for y in itertools.product((0, 1), repeat=int(k)):
+            w = np.exp(sum(s[at + i] * y[i] for i in range(k)) + sum(t[y[i], y[i + 1]] for i in range(k - 1)))
+            total += w
+            part += w * np.array(y)
+            for i in range(k - 1):
+                part_t[y[i], y[i + 1]] += w
+        want[at : at + k] = part / total
+        trans += part_t / total
+        at += k
+    assert np.allclose(m, want) and np.allclose(pair, trans)
+
+
+def test_quality(spark):
+    rng = random.Random(4)
+    rows, labels = [], []
+    for i in range(400):
+        bad = i % 4 == 0
+        lines = [prose(rng, 12).capitalize() + "." for _ in range(rng.randint(1, 6))]
+        rows.append((i, "\n".join(" ".join(w.upper() + "!!" for w in x.split()) for x in lines) if bad else "\n".join(lines), "en", "s", 0))
+        labels.append((i, 0 if bad else 1))
+    docs, lab = spark.createDataFrame(rows, DOC), spark.createDataFrame(labels, "doc_id bigint, quality int")
+    got = quality.classify(docs, lab).withColumn("held", quality.held_out()).collect()
+    assert all(r.held == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
+    held = [r for r in got if r.held]
+    assert np.mean([r.predicted == (r.doc_id % 4 != 0) for r in held]) > 0.97
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
+
+
+def test_quality_odd(spark, odd):
+    labels = spark.createDataFrame([(1, 1), (2, 0), (4, 1), (4, 1), (5, 1), (6, 0), (None, 1), (8, None)], "doc_id bigint, quality int")
+    got = quality.classify(odd, labels).collect()
+    assert len(got) == odd.count() and all(0 <= r.score <= 1 for r in got)
+    assert {r.score for r in quality.classify(odd, labels.limit(0)).collect()} == {0.5}
+    assert quality.classify(empty(spark), labels).count() == 0
+
+
+# ---- personal data
+
+BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def plain_spans(text):
+    out = []
+    for j, (kind, p) in enumerate(BASE.items()):
+        for m in re.finditer(p, text):
+            d = re.sub("[^0-9]", "", m[0])
+            total = sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d)))
+            if kind == "ip" and any(int(x) > 255 for x in m[0].split(".")) or kind == "card" and not (12 <= len(d) <= 19 and total % 10 == 0) or kind == "phone" and not 9 <= len(d) <= 15:
+                continue
+            out.append((m.start(), j, m.end()))
+    return sorted(out)
+
+
+def test_base_spans_against_patterns():
+    rng = random.Random(9)
+    alphabet = ["a", "@", ".", "1", "25", "256", "4", " ", "-", "+", "(", ")", "%", "é", "4111111111111111", "a@b.c", "1.2.3.4"]
+    for _ in range(4000):
+        t = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 25)))
+        assert pii.base_spans(t) == plain_spans(t), t
+    assert pii.base_spans("a" * 300_000 + "@" * 1000 + "1" * 300_000) == []
+
+
+def test_pii(spark, odd):
+    text = 'é Mr. John Smith, ssn 123-45-6789, token = "0123456789abcdef0123456789abcdef01234567" mail jo@ex.com 10.0.0.1, 4111 1111 1111 1111, +1 (555) 555-1234'
+    docs = spark.createDataFrame([(1, text), (2, text), (3, None)], "doc_id bigint, text string")
+    rows = {r.doc_id: r for r in pii.find_pii(docs).collect()}
+    r = rows[1]
+    assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == (1, 1, 1, 1)
+    base = ",".join(f"{list(BASE)[k]}:{s}:{e}" for s, k, e in plain_spans(text))
+    assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+    assert set(base.split(",")) <= set(r.spans.split(",")) and any(x.startswith("secret:") for x in r.spans.split(","))
+    assert rows[3].spans == "" and rows[3].base_sha256 == hashlib.sha256(b"").hexdigest()
+    assert pii.find_pii(odd).count() == odd.count()
+    red = {r.doc_id: r.text for r in pii.redact(odd).collect()}
+    assert red[7].endswith("a <EMAIL>") or red[7].endswith("<EMAIL>")
+    assert red[1] is None and pii.redact(odd).columns == odd.columns
+    assert pii.find_pii(empty(spark)).count() == 0
+
+
+def test_em_finds_the_reliable_labeler():
+    counts = {"secret|1,1,1|00000": 80, "secret|-1,-1,0|00000": 100, "secret|1,0,1|00000": 15, "secret|-1,0,0|00000": 30}
+    post, model = pii.estimate(counts)
+    assert post["secret|1,1,1|00000"] > 0.9 > 0.1 > post["secret|-1,-1,0|00000"]
+    assert pii.final_classifier(counts, post) == {"secret|1,1,1|00000", "secret|1,0,1|00000"}
+
+
+# ---- tokens
+
+
+def test_token_counts(spark, odd):
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    rows = [(1, "a", "en", "line one\n\n\nline  two\nß日本\n"), (2, None, "en", None), (3, "x\ny", "", "<|endoftext|> z")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, lang string, text string")
+    got = collections.defaultdict(dict)
+    for r in attribution.section_tokens(docs).collect():
+        got[r.doc_id][r.field, r.section] = r.n_tokens
+    for i, *f in rows:
+        whole, parts = attribution.sections_of(f)
+        edges = np.cumsum([p[2] for p in parts])
+        want = np.zeros(len(parts), int)
+        chars = np.cumsum([0] + [len(c.encode()) for c in whole])
+        for a, b in t.encode(whole, add_special_tokens=False).offsets if whole.isascii() else []:
+            over = [max(0, min(e, chars[b]) - max(s, chars[a])) for s, e in zip(np.concatenate([[0], edges[:-1]]), edges, strict=True)]
+            want[int(np.argmax(over))] += 1
+        n = list(got[i].values())
+        assert len(n) == len(parts) and sum(n) == len(t.encode(whole, add_special_tokens=False).ids)
+        if whole.isascii():
+            assert n == want.tolist()
+    assert attribution.section_tokens(odd).select("doc_id").distinct().count() == 9
+    assert attribution.section_tokens(empty(spark)).count() == 0
+
+
+def test_crossing_tokens_go_to_the_larger_part():
+    assert attribution.allocate(np.array([4, 4]), np.array([5, 8])).tolist() == [1, 1]
+    assert attribution.allocate(np.array([4, 4]), np.array([6, 8])).tolist() == [2, 0]
+    assert attribution.allocate(np.array([3, 9]), np.array([3, 3, 12])).tolist() == [1, 0, 1]
+
+
+def test_token_file(spark, odd, tmp_path):
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    tokenfile.write_tokens(odd.repartition(3), f"file://{tmp_path}/t", frame_ids=2000)
+    got = sorted(tokenfile.read_tokens(spark, f"file://{tmp_path}/t").collect(), key=lambda r: r.start)
+    docs = odd.select("doc_id", "text").collect()
+    ids = {r.doc_id: t.encode(r.text or "", add_special_tokens=False).ids + [1] for r in docs}
+    assert [r.doc_id if r.doc_id is not None else -1 for r in got] == sorted(r.doc_id if r.doc_id is not None else -1 for r in docs)
+    at = 0
+    for r in got:
+        raw = np.array(ids[r.doc_id], "<u4").tobytes()
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids[r.doc_id]), zlib.crc32(raw))
+        at += r.n_tokens
+    tokenfile.write_tokens(empty(spark), f"file://{tmp_path}/e")
+    assert tokenfile.read_tokens(spark, f"file://{tmp_path}/e").count() == 0
+
+
+def test_coder_round_trip_and_damage():
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 5, 700, 3000):
+        ids = np.minimum(rng.zipf(1.2, n), 49407)
+        data = tokenfile.write_frame(ids, 49407, block=300, lanes=4)
+        assert (tokenfile.read_frame(data, 49407, lanes=4) == ids).all()
+    again = np.tile(rng.integers(0, 49408, 50), 100)
+    assert len(tokenfile.write_frame(again, 49407)) < 2 * len(again) / 4
+    bad = bytearray(data)
+    bad[-5] ^= 255
+    with pytest.raises(ValueError):
+        tokenfile.read_frame(bytes(bad), 49407, lanes=4)
+
+
+def test_segmentations(spark, odd):
+    got = segmentation.sample_segmentations(odd, k=3).collect()
+    v = segmentation.vocabulary(public_tokenizers.path(segmentation.MODEL), 1.0)
+    texts = {r.doc_id: r.text or "" for r in odd.collect()}
+    for r in got:
+        assert r.round_trip and len({tuple(s.ids) for s in r.samples}) == len(r.samples) <= 3
+        assert all(segmentation.decode(v, s.ids) == texts[r.doc_id] for s in r.samples)
+        assert [s.gumbel for s in r.samples] == sorted([s.gumbel for s in r.samples], reverse=True)
+        assert all(-1e9 < s.log_inclusion <= 0 for s in r.samples)
+    again = {r.doc_id: r.samples for r in segmentation.sample_segmentations(odd.repartition(7), k=3).collect()}
+    assert again == {r.doc_id: r.samples for r in got}
+    assert segmentation.sample_segmentations(empty(spark)).count() == 0
+
+
+def test_segmentation_law():
+    """Frequencies of first and second draws against the exact law of drawing without replacement."""
+    v = segmentation.vocabulary(public_tokenizers.path(segmentation.MODEL), 0.3)
+    lat = segmentation.Lattice(v, segmentation.UNIT.findall(segmentation.prepared("the ab")))
+
+    def every(node):
+        return [((), 0.0)] if lat.last[node] else [((e, *t), lat.logp[e] + x) for e in range(lat.begin[node], lat.begin[node + 1]) for t, x in every(lat.end[e])]
+
+    p = {a + b: np.exp(x + y) for a, x in every(lat.first[0]) for b, y in every(lat.first[1])}
+    assert sum(p.values()) == pytest.approx(1)
+    n = 6000
+    got = segmentation.samples(lat, [lat.first] * n, list(segmentation.mixed(np.arange(n, dtype=np.uint64))), 2)
+    first, second = (collections.Counter(tuple(r[i][0].tolist()) for r in got) for i in (0, 1))
+    for key in sorted(p, key=p.get)[-6:]:
+        want = sum(p[j] * p[key] / (1 - p[j]) for j in p if j != key)
+        assert first[key] / n == pytest.approx(p[key], abs=0.03)
+        assert second[key] / n == pytest.approx(want, abs=0.03)
+    assert all(x[1] == pytest.approx(np.log(p[tuple(x[0].tolist())])) for r in got[:50] for x in r)
+    few = segmentation.Lattice(v, ["▁"])
+    assert len(segmentation.samples(few, [few.first], [np.uint64(1)], 5)[0]) == 1
+
+
+# ---- mixing
+
+
+def naive_targets(sizes):
+    cap, w = {s: 3 * x for s, x in sizes.items()}, {s: (5, 2, 1)[i % 3] for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s)))}
+    total, full = sum(sizes.values()), {}
+    while True:
+        free = [s for s in sizes if s not in full]
+        level = (total - sum(full.values())) / sum(w[s] for s in free) if free else 0
+        over = [s for s in free if w[s] * level >= cap[s]]
+        if not over:
+            return full | {s: w[s] * level for s in free}
+        full |= {s: cap[s] for s in over}
+
+
+def test_mixing(spark, odd):
+    rng = random.Random(8)
+    rows = [(i, prose(rng, rng.randint(0, 60)), "en", ["a", "b", "c", "d", None][min(4, rng.randrange(9))], 0) for i in range(600)]
+    df = spark.createDataFrame(rows, DOC)
+    for per in (20_000, 16):
+        got = mixing.weighted_mix(df.repartition(3), rows_per_bucket=per).collect()
+        sizes = collections.Counter()
+        for r in rows:
+            sizes[r[3]] += len(WORD.findall(r[1]))
+        want = naive_targets(sizes)
+        taken = collections.Counter()
+        for r in got:
+            assert r.size == len(WORD.findall(rows[r.doc_id][1])) and r.source_size == sizes[r.source]
+            assert r.target == pytest.approx(want[r.source]) and r.taken in (0, r.size, 2 * r.size, 3 * r.size)
+            taken[r.source] += r.taken
+        assert all(abs(taken[s] - want[s]) <= 60 for s in want) and sum(taken.values()) <= sum(sizes.values())
+        assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.weighted_mix(df, rows_per_bucket=64).collect()), key=str)
+    assert mixing.weighted_mix(odd).count() == odd.count()
+    assert mixing.weighted_mix(empty(spark)).count() == 0
+
+
+# ---- pages
+
+
+def test_extraction(spark):
+    page = '<html><head><title>t</title><style>p{}</style></head><body><nav><ul><li><a href=x>Menu</a></ul></nav><div class="ad">Buy.</div><article><h1>Head &amp; x</h1><p>One\n <b>bold</b>ly<p>Two<br>three</p><form>f</form></article><section id="comments"><p>Nice, really.</p></section><footer>&copy;</footer>'
+    assert extraction.main_text(page) == "Head & x One boldly Two three"
+    free = '<body><div id=menu><a href=a>a</a><a href=b>b</a></div><div class=post><h2>Title</h2><p>A long text, with marks; and more of it.</p><p>Another one, also long enough. Yes.</p></div><div class=comments><p>I liked it.</p></div><div role="contentinfo">imprint</div></body>'
+    assert extraction.main_text(free) == "Title A long text, with marks; and more of it. Another one, also long enough. Yes."
+    for x in (None, "", "   ", "<", "<p", "<!-- x", "<script>x", "</p></div>"):
+        assert extraction.main_text(x) in ("", "<")
+    assert extraction.main_text("plain words only") == "plain words only"
+    assert len(extraction.main_text("<p>" + "w " * 100_000)) == 199_999
+    assert extraction.main_text("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
+    rows = [(1, "u", page, "x"), (1, "u", page, "x"), (2, None, None, "y")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")
+    got = extraction.extract_main(df).collect()
+    assert [(r.page_id, r.n_chars) for r in got] == [(1, 29), (1, 29), (2, 0)]
+    assert extraction.extract_main(df.limit(0)).count() == 0
