@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -103,7 +104,8 @@ def matches(v: Vocabulary, chars: np.ndarray, to_end: np.ndarray) -> tuple[np.nd
             slot, here, want = slot[~hit], here[~hit], want[~hit]
             if not len(slot):
                 break
-    return np.concatenate(starts), np.concatenate(pieces)
+    # Longer pieces first: they are the likelier ones, so a draw looks at few.
+    return np.concatenate(starts[::-1]), np.concatenate(pieces[::-1])
 
 
 @lru_cache(2)
@@ -162,17 +164,18 @@ class Lattice:
         self.begin[1:] = np.cumsum(np.bincount(start, minlength=len(joined)))
         p = np.exp(self.logp)
         cum = np.cumsum(p)
-        base = np.repeat(cum[heads] - p[heads], np.diff(heads, append=len(p)))
-        self.key = self.start + np.minimum(cum - base, 1.0)
-        last = np.append(heads[1:], len(p)) - 1
-        if len(p):
-            self.key[last] = self.start[last] + 1.0
+        self.upto = cum - np.repeat(cum[heads] - p[heads], np.diff(heads, append=len(p)))
+        self.upto[np.append(heads[1:], len(p))[: len(heads)] - 1] = np.inf
         self.last = to_end <= 0
 
     def draw(self, nodes: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge out of each node, by probability."""
-        e = np.searchsorted(self.key, nodes + u, "right")
-        return np.clip(e, self.begin[nodes], self.begin[nodes + 1] - 1)
+        e = self.begin[nodes]
+        on = np.flatnonzero(u >= self.upto[e])
+        while len(on):
+            e[on] += 1
+            on = on[u[on] >= self.upto[e[on]]]
+        return e
 
 
 def uniform(seed: np.ndarray, draw: int, at: np.ndarray, step: int) -> np.ndarray:
@@ -354,12 +357,17 @@ def _sampler(path: str, k: int, alpha: float):
     def run(batches):
         v = vocabulary(path, alpha)
         for b in batches:
+            if not b.num_rows:
+                continue
             units_of = [UNIT.findall(prepared(t)) for t in b.column(b.num_columns - 1).to_pylist()]
-            number: dict[str, int] = {}
-            named = [np.array([number.setdefault(u, len(number)) for u in units], np.int64) for units in units_of]
-            lat = Lattice(v, list(number))
+            flat_units = list(chain.from_iterable(units_of))
+            distinct = list(dict.fromkeys(flat_units))
+            number = dict(zip(distinct, range(len(distinct)), strict=True))
+            lat = Lattice(v, distinct)
+            first = lat.first[np.fromiter(map(number.__getitem__, flat_units), np.int64, len(flat_units))]
+            nodes = np.split(first, np.cumsum([len(u) for u in units_of])[:-1])
             seeds = b.column(0).to_numpy().view(np.uint64)
-            results = samples(lat, [lat.first[n] for n in named], list(seeds), k)
+            results = samples(lat, nodes, list(seeds), k)
             texts = ["".join(u).replace(SPACE, " ").encode("utf-8", "surrogatepass") for u in units_of]
             many = [len(r) for r in results]
             flat = [x for r in results for x in r]
