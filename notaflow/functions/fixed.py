@@ -199,3 +199,79 @@ NATIONAL = ((1, 1), (4, 21), (5, 1), (9, 7), (10, 12), (11, 2), (11, 15), (12, 2
 CITY = ((1, 25), (11, 20))
 #: Days from Easter: carnival (two), Good Friday, Easter itself, Corpus Christi.
 FROM_EASTER = (-48, -47, -2, 0, 60)
+# Payment codes.
+PAYMENT = {
+    "01": "DINHEIRO",
+    "02": "CHEQUE",
+    "03": "CARTÃO DE CRÉDITO",
+    "04": "CARTÃO DE DÉBITO",
+    "05": "CRÉDITO LOJA",
+    "10": "VALE ALIMENTAÇÃO",
+    "11": "VALE REFEIÇÃO",
+    "12": "VALE PRESENTE",
+    "13": "VALE COMBUSTÍVEL",
+    "14": "DUPLICATA MERCANTIL",
+    "15": "BOLETO",
+    "16": "DEPÓSITO BANCÁRIO",
+    "17": "PIX",
+    "18": "TRANSFERÊNCIA BANCÁRIA",
+    "19": "PROGRAMA DE FIDELIDADE",
+    "90": "SEM PAGAMENTO",
+    "99": "OUTROS",
+}
+# Subjects of administrative mail.
+ADMIN_SUBJECTS = (
+    r"\b(sua\s+)?ordem\b.*\bagendad[ao]\b",
+    r"\bagendamento\s+de\s+serviço\b",
+    r"\bdistrato\b",
+    r"\brescis[ãa]o\s*(contratual)?\b",
+    r"\bencerramento\s+(de\s+)?contrato\b",
+    r"\bsolicitação\s+de\s+encerramento\b",
+    r"\bcancelamento\s+(de\s+)?contrato\b",
+    r"\brelat[oó]rio\s+de\s+faturamento\b",
+    r"\bplanilha\s+de\s+(confer[eê]ncia|faturamento)\b",
+    r"\bcomprovante\s+de\s+solicitação\b",
+    r"\bnotificação\s+automática\b",
+    r"\bguia\s*[\|\-]?\s*(processo|execu[çc][aã]o|fiscal|trabalhist|rr)\b",
+    r"\bguias\s*-?\s*(csc|processo)\b",
+    r"\bcontrato(_|\s+)(site|master|renova[çc][aã]o|aditivo)\b",
+    r"\bc[aâ]mbio\s+(hbo|globosat|band|sbt|record|programadora)\b",
+    r"\blembrete\s+gentil\b",
+    r"\b(december|january|february|march|april|may|june|july|august|september|october|november)\s*-?\s*\d{4}\s+invoice\s+for\b",
+    r"\b(processo|execu[çc][aã]o)\s+(fiscal|trabalhist[ao]|judicial)\b",
+    r"\banuidade\s+(crea|oab|crm|cfm|coren)\b",
+    r"\breembolso\s+de\s+tarifas\b",
+    r"\btarifas\s+csc\b",
+    r"\balvim\s+nogueira\b",
+    r"\bcobran[çc]a\s+indevida\b",
+)
+# What an administrative subject is called, first word found wins.
+ADMIN_NAMES = {
+    "ordem": "Ordem de serviço/agendamento",
+    "agendamento": "Ordem de serviço/agendamento",
+    "distrato": "Documento de distrato",
+    "rescis": "Documento de rescisão contratual",
+    "encerramento": "Documento de encerramento de contrato",
+    "cancelamento": "Documento de cancelamento",
+    "relatório": "Relatório/planilha de conferência",
+    "relatorio": "Relatório/planilha de conferência",
+    "planilha": "Relatório/planilha de conferência",
+    "comprovante": "Comprovante administrativo",
+    "notificação": "Notificação automática",
+    "guia": "Guia jurídica/fiscal",
+    "contrato_": "Documento de contrato",
+    "contrato ": "Documento de contrato",
+    "câmbio": "Documento de programação/câmbio",
+    "cambio": "Documento de programação/câmbio",
+    "lembrete": "Lembrete administrativo",
+    "invoice": "Invoice internacional",
+    "processo": "Processo jurídico",
+    "execução": "Execução fiscal/judicial",
+    "execucao": "Execução fiscal/judicial",
+    "anuidade": "Taxa/anuidade de órgão",
+    "reembolso": "Reembolso interno",
+    "tarifa": "Documento de tarifas internas",
+    "alvim": "Documento de condomínio",
+    "cobrança indevida": "Reclamação de cobrança",
+    "cobranca indevida": "Reclamação de cobrança",
+}
