@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import money, xml
-from ..operators import fields, router
+from ..operators import fields, router, vendors
 from ..sources.tables import table
 
 #: Layouts with the extractor and type they must reach. {k}: order key, {v}: amount, {d}: day.
@@ -110,6 +110,23 @@ XML_SQL = """SELECT o_orderkey, o_orderkey % 3 < 2 AS ok, ['NFE', 'ABRASF', NULL
   CASE WHEN o_orderkey % 3 < 2 THEN CAST(o_orderdate AS DATE) END AS data_emissao, CASE WHEN o_orderkey % 3 = 0 THEN DATE '2001-01-31' END AS vencimento, CASE WHEN o_orderkey % 3 = 0 THEN lpad(CAST(o_orderkey AS VARCHAR), 44, '3') END AS chave_acesso FROM orders"""
 
 
+#: Layouts of vendors: extractor, text, supplier, number ({k} or None).
+VENDOR_LAYOUTS = (
+    ("gox", "GOX goxinternet.com.br receber_{k}\nTotal a pagar: R$ {v}\n{d}", "GOX S.A.", "{k}"),
+    ("emc", "EMC TECNOLOGIA FATURA DE LOCAÇÃO Nº {k}\nTOTAL R$ {v}\nVencimento: {d}", "EMC TECNOLOGIA LTDA", "{k}"),
+    ("tunna", "TUNNA ENTRETENIMENTO FAT/{k}\nvalor {v}\nVencimento: {d}", "TUNNA ENTRETENIMENTO E AUDIOVISUAL LTDA", "{k}"),
+    ("ufinet", "UFINET BRASIL FATURA No. {k}\nTotal (BRL): {v}\nVencimento: {d}", "UFINET BRASIL S.A.", "{k}"),
+    ("telcables", "TELCABLES BRASIL LTDA\nNOTA FISCAL FATURA: {k}\nTOTAL A PAGAR: R$ {v}\nVencimento: {d}", "TELCABLES BRASIL LTDA FILIAL SAO PAULO", "{k}"),
+)
+
+
+def vendor_documents(spark, d):
+    o = table(spark, d, "orders").select((F.col("o_orderkey") + 100_000).alias("o_orderkey"), "o_totalprice", "o_orderdate")
+    text = F.element_at(F.array(*[_fill(x[1]) for x in VENDOR_LAYOUTS]), (F.col("o_orderkey") % len(VENDOR_LAYOUTS) + 1).cast("int"))
+    out = vendors.with_vendor_fields(router.routed(o.select("o_orderkey", text.alias("text"))))
+    return out.select("o_orderkey", "extractor", "fornecedor_nome", "numero", F.round("valor", 2).alias("valor"), "vencimento")
+
+
 def instalment_list(spark, d):
     o = table(spark, d, "orders")
     text = F.concat(F.lit("2/12 10/02/2001 "), money.render_br(F.round("o_totalprice", 2)), F.lit("\n10/12 05/10/2001 R$ 1,00"))
@@ -117,9 +134,10 @@ def instalment_list(spark, d):
     return x.select("o_orderkey", F.size("i").alias("n"), F.array_min("i")["parcela"].alias("first"), F.round(F.aggregate("i", F.lit(0.0), lambda a, r: a + r["valor"]), 2).alias("total"))
 
 
-QUERIES = {f.__name__: f for f in (router_rules, slip_document, note_document, xml_document, instalment_list)}
+QUERIES = {f.__name__: f for f in (router_rules, slip_document, note_document, vendor_documents, xml_document, instalment_list)}
 SQL = {
     "router_rules": f"SELECT o_orderkey, {_list(x[0] for x in LAYOUTS)}[o_orderkey % {len(LAYOUTS)} + 1] AS extractor, {_list(x[1] for x in LAYOUTS)}[o_orderkey % {len(LAYOUTS)} + 1] AS doc_type FROM orders",
+    "vendor_documents": f"SELECT o_orderkey + 100000 AS o_orderkey, {_list(x[0] for x in VENDOR_LAYOUTS)}[(o_orderkey + 100000) % 5 + 1] AS extractor, {_list(x[2] for x in VENDOR_LAYOUTS)}[(o_orderkey + 100000) % 5 + 1] AS fornecedor_nome, CAST(o_orderkey + 100000 AS VARCHAR) AS numero, round(o_totalprice, 2) AS valor, CAST(o_orderdate AS DATE) AS vencimento FROM orders",
     "slip_document": SLIP_SQL, "note_document": NOTE_SQL, "xml_document": XML_SQL,
     "instalment_list": "SELECT o_orderkey, 2 AS n, '10/12' AS first, round(round(o_totalprice, 2) + 1, 2) AS total FROM orders",
 }
