@@ -21,7 +21,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies (five words, Jaccard 0.8 and more)."""
+    """The document with the smallest id of each group of near copies (five words, Jaccard 0.8 and more); rows without an id go."""
     groups = jaccard.similar_groups(docs, words=5, percent=80)
     first = groups.where("doc_id = component_id").select("doc_id").distinct()
     # A repeated row has one id and stays once.
