@@ -17,7 +17,7 @@ def exploded(df: DataFrame, problems: list[Column]) -> DataFrame:
 
 
 def bucket(severity: Column) -> Column:
-    return F.when(severity >= 3, F.lit("CRITICA")).when(severity >= 2, F.lit("ALTA")).when(severity >= 1, F.lit("MEDIA")).when(severity >= 0.5, F.lit("BAIXA")).otherwise(F.lit("INFO"))
+    return F.when(severity >= 3, F.lit("CRITICA")).when(severity >= 2, F.lit("ALTA")).when(severity >= 1, F.lit("MEDIA")).otherwise(F.lit("BAIXA"))
 
 
 def by_kind(problems: DataFrame, value: str) -> DataFrame:

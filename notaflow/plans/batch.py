@@ -202,7 +202,7 @@ QUERIES = {f.__name__: f for f in (quality_by_type, quality_by_supplier, severit
 SQL = {
     "quality_by_type": PROBLEM_SQL + " SELECT p.kind AS kind, CAST(max(p.severity) AS DOUBLE) AS max_severity, count(*) AS n, CAST(sum(CAST(note AS DECIMAL(18, 2))) AS DOUBLE) AS total FROM p GROUP BY p.kind ORDER BY 2 DESC, 3 DESC, 1",
     "quality_by_supplier": PROBLEM_SQL + " SELECT o_custkey, count(*) AS n, CAST(sum(CAST(note AS DECIMAL(18, 2))) AS DOUBLE) AS total, array_to_string(list_sort(list_distinct(list(p.kind))), ',') AS kinds FROM p WHERE p.kind <> 'CONFERIDO' GROUP BY o_custkey ORDER BY total DESC, o_custkey LIMIT 10",
-    "severity": PROBLEM_SQL + " SELECT o_orderkey, CASE WHEN max(p.severity) >= 3 THEN 'CRITICA' WHEN max(p.severity) >= 2 THEN 'ALTA' WHEN max(p.severity) >= 1 THEN 'MEDIA' WHEN max(p.severity) >= 0.5 THEN 'BAIXA' ELSE 'INFO' END AS severity, count(*) AS n FROM p GROUP BY o_orderkey",
+    "severity": PROBLEM_SQL + " SELECT o_orderkey, CASE WHEN max(p.severity) >= 3 THEN 'CRITICA' WHEN max(p.severity) >= 2 THEN 'ALTA' WHEN max(p.severity) >= 1 THEN 'MEDIA' ELSE 'BAIXA' END AS severity, count(*) AS n FROM p GROUP BY o_orderkey",
     "top_severe": PROBLEM_SQL + " SELECT o_orderkey, p.kind AS kind, note FROM p WHERE p.severity >= 2 ORDER BY note DESC, o_orderkey, kind LIMIT 10",
     "executive_summary": f"WITH {NOTES_SQL} SELECT count(*) AS total, count(*) FILTER (note > 0) AS with_value, count(*) FILTER (o_custkey % 7 <> 0) AS with_name, count(*) FILTER (o_orderkey % 3 <> 0) AS with_due, round(100.0 * count(*) FILTER (note > 0) / count(*), 2) AS pct_with_value, round(100.0 * count(*) FILTER (o_custkey % 7 <> 0) / count(*), 2) AS pct_with_name, round(100.0 * count(*) FILTER (o_orderkey % 3 <> 0) / count(*), 2) AS pct_with_due FROM b",
     "reconcile_status": f"WITH {NOTES_SQL} SELECT o_orderkey, note, slip, {STATUS_SQL} AS batch_status, round(note - coalesce(slip, 0), 2) AS difference FROM b",
