@@ -40,7 +40,7 @@ MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 UNIT = re.compile(f"{SPACE}+[^{SPACE}]*")
 BREAK = "\x00"
-TABLE_BITS = 22
+TABLE_BITS = 19
 GROW, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -118,6 +118,16 @@ def prepared(text: str | None) -> str:
     return SPACE + text.replace(" ", SPACE).replace(BREAK, "�") if text else ""
 
 
+def units_in(text: str | None) -> list[str]:
+    """A text's units in order; a mark that is in the text already counts as a space, as in the library."""
+    if not text:
+        return []
+    words = text.split(" ")
+    if "" in words or SPACE in text or BREAK in text:
+        return UNIT.findall(prepared(text))
+    return [SPACE + w for w in words]
+
+
 def decode(v: Vocabulary, ids) -> str:
     """The text of pieces: the leading space that encoding adds is taken off."""
     return b"".join([v.spelled[i] for i in ids]).decode("utf-8", "replace")[1:]
@@ -240,7 +250,7 @@ class Search:
         self.value = -float(np.log(-np.log(one(seed, 0, -1))))
         self.found: list[tuple[np.ndarray, float, float]] = []
         self.sets: list[tuple[np.ndarray, np.ndarray, int, np.ndarray, np.ndarray]] = []
-        self.stem, self.shut, self.head, self.over = 0, np.zeros(0, np.int64), None, -np.inf
+        self.stem, self.shut, self.head, self.over, self.location = 0, np.zeros(0, np.int64), None, -np.inf, 0.0
 
     def begin(self) -> tuple[np.ndarray, np.ndarray]:
         return self.nodes, np.arange(len(self.nodes))
@@ -251,22 +261,30 @@ class Search:
             edges, units = np.concatenate([self.head[0], edges]), np.concatenate([self.head[1], units])
         self.edges, self.units = edges, units
 
-    def turn(self, prefix: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    def last_turn(self, logp: float) -> None:
+        """Takes the last path. Of the sets that leave it only the greatest maximum counts, and they are all of the set it was
+        drawn from but itself; so one draw does for them."""
+        self.found.append((self.edges, logp, self.value))
+        rest = self.location + float(log1mexp(np.array([logp - self.location]))[0])
+        tops = [float(x[3].max()) for x in self.sets]
+        if np.isfinite(rest):
+            tops.append(float(below(np.array(rest), np.array(self.value), np.array(one(self.seed, 3000, self.k)))))
+        self.over = max(tops, default=-np.inf)
+
+    def turn(self, prefix: np.ndarray, bound: np.ndarray, location: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
         """Takes the path with the bounds of the sets that leave it; gives where the next path has to be drawn from."""
         lat, draw = self.lat, len(self.found) + 1
         self.found.append((self.edges, float(prefix[-1]) if len(prefix) else 0.0, self.value))
         if len(bound):
-            self.sets.append((self.edges, self.units, self.stem, bound, self.shut))
+            self.sets.append((self.edges, self.units, self.stem, bound, self.shut, location))
         tops = [float(x[3].max()) for x in self.sets]
         if not tops or not np.isfinite(max(tops)):
             self.over = -np.inf
             return None
         self.over = max(tops)
-        if draw == self.k:
-            return None
-        edges, units, stem, bound, shut = self.sets[int(np.argmax(tops))]
+        edges, units, stem, bound, shut, location = self.sets[int(np.argmax(tops))]
         i = int(np.argmax(bound))
-        bound[i] = -np.inf
+        bound[i], self.location = -np.inf, float(location[i])
         step = stem + i
         shut = np.append(shut if i == 0 else np.zeros(0, np.int64), edges[step])
         node, unit = lat.start[edges[step]], units[step]
@@ -284,9 +302,9 @@ class Search:
         return [(e, lp, g, log_inclusion(lp, self.over)) for e, lp, g in self.found]
 
 
-def leaving(lat: Lattice, rows: list[Search], draw: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """For each row's path: log p up to and with each step, and the perturbed maximum of the set that leaves it at each
-    step from the stem on. All rows in one go; a row's numbers hang on the row alone."""
+def leaving(lat: Lattice, rows: list[Search], draw: int) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """For each row's path: log p up to and with each step, and from the stem on the perturbed maximum and the log p of the
+    set that leaves it at each step. All rows in one go; a row's numbers hang on the row alone."""
     sizes = np.array([len(s.edges) for s in rows])
     every = np.concatenate([s.edges for s in rows]).astype(np.int64)
     lp = lat.logp[every]
@@ -309,11 +327,12 @@ def leaving(lat: Lattice, rows: list[Search], draw: int) -> tuple[list[np.ndarra
             some[j] = len(s.shut) + 1 < out[j] and gone < 1 - 1e-12
             rest[j] = np.log1p(-gone) if some[j] else -np.inf
     some &= np.isfinite(rest)
-    bound = np.full(len(row), -np.inf)
+    location, bound = flat + rest, np.full(len(row), -np.inf)
     at = row[some]
     u = uniform(np.array([s.seed for s in rows], np.uint64)[at], 1000 + draw, place[some], 0)
-    bound[some] = below(flat[some] + rest[some], np.array([s.value for s in rows])[at], u)
-    return prefix, np.split(bound, np.cumsum(counts)[:-1])
+    bound[some] = below(location[some], np.array([s.value for s in rows])[at], u)
+    cuts = np.cumsum(counts)[:-1]
+    return prefix, np.split(bound, cuts), np.split(location, cuts)
 
 
 def samples(lat: Lattice, rows: list[np.ndarray], seeds: list[np.uint64], k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
@@ -324,7 +343,11 @@ def samples(lat: Lattice, rows: list[np.ndarray], seeds: list[np.uint64], k: int
     while now:
         for s, drawn in zip(now, paths(lat, [s.seed for s in now], todo, draw), strict=True):
             s.path(*drawn)
-        more = [(s, s.turn(p, b)) for s, p, b in zip(now, *leaving(lat, now, draw), strict=True)]
+        if draw == k:
+            for s in now:
+                s.last_turn(float(lat.logp[s.edges].sum()))
+            break
+        more = [(s, s.turn(*x)) for s, *x in zip(now, *leaving(lat, now, draw), strict=True)]
         now, todo, draw = [s for s, t in more if t is not None], [t for _, t in more if t is not None], draw + 1
     return [s.result() for s in every]
 
@@ -359,7 +382,7 @@ def _sampler(path: str, k: int, alpha: float):
         for b in batches:
             if not b.num_rows:
                 continue
-            units_of = [UNIT.findall(prepared(t)) for t in b.column(b.num_columns - 1).to_pylist()]
+            units_of = [units_in(t) for t in b.column(b.num_columns - 1).to_pylist()]
             flat_units = list(chain.from_iterable(units_of))
             distinct = list(dict.fromkeys(flat_units))
             number = dict(zip(distinct, range(len(distinct)), strict=True))
