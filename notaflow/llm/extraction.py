@@ -5,8 +5,12 @@ words on it. Over a page, each path gathers the length of its text, how many nod
 text ratio (length per node) and the punctuation ratio (marks per node) are smoothed over the page's nodes with a
 Gaussian window, fused (product of the two and of the share of text outside links), and compared with a threshold, a
 multiple of the page's mean. Paths under elements that never hold main text (navigation, header, footer, forms,
-scripts, notices, comments and so on: by element name, role, or class and id words) are dropped first; where the page
-marks its main part (article or main) only paths under it compete, and there a path needs no ratio to stay.
+scripts, notices, comments and so on: by element name, role, or class and id words) are dropped first. A path under
+article or main counts twice in the fusion, so that a path outside as dense as the marked text still passes.
+
+What the ratios keep brings back its neighbours: headings, paragraphs, list items, quotes, listings and cells in the
+same container; under article or main the container reaches up to that element, and lists, tables and quotes of it
+and text right in it come back unless most of their text is links. Nothing else passes without the ratios.
 
 Text is decoded, white space inside a block becomes one space, blocks are joined in page order by one space.
 
@@ -36,6 +40,16 @@ ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dial
 #: Words of class and id values.
 MARKS = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|promotion|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|sidebar|side|aside|footer|header|masthead|cookie|cookies|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|comment|comments|reply|replies|discussion|disqus|widget|pagination|pager|toolbar|search|skip|hidden)(?:$|[\s_-])", re.I)
 MAIN = {"article", "main"}
+#: On an article one of the words has to be a whole class or id, as its classes also tell what surrounds it.
+WHOLE = re.compile(MARKS.pattern.replace(r"[\s_-]", r"\s"), re.I)
+#: A path under article or main against others; below 1 / threshold, so that an equally dense path outside is kept.
+MAIN_WEIGHT = 2.0
+#: Least share outside links there: marked text that is all links is little, not nothing.
+MAIN_PLAIN = 0.1
+BESIDE = re.compile(r"/(?:h[1-6]|p|li|blockquote|pre|td)(?:\.[^/]*)?$")
+#: Steps from a marked container down to its text.
+PART = re.compile(r"/(?:h[1-6]|p|li|blockquote|pre|td|th|ul|ol|dl|dt|dd|table|thead|tbody|tfoot|tr|caption|figure|figcaption|hgroup|details|summary)(?:\.[^/]*)?$")
+HEADING = re.compile(r"/h[1-6](?:\.[^/]*)?$")
 #: Opening one of the first ends an open one of the second, up to the third.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 ENDS_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
@@ -47,14 +61,14 @@ def decoded(text: str) -> str:
     return entities.unescape(text) if "&" in text else text
 
 
-def nodes_of(page: str) -> list[tuple[str, str, bool, bool, bool, int]]:
-    """(text, path, dropped, in main part, in a link, block number) of every text node, in page order."""
-    stack: list[tuple[str, str, bool, bool, bool]] = []  # name, path, dropped, main, link
+def nodes_of(page: str) -> list[tuple[str, str, bool, str, bool, int]]:
+    """(text, path, dropped, path of its main part or "", in a link, block number) of every text node, in page order."""
+    stack: list[tuple[str, str, bool, str, bool]] = []  # name, path, dropped, main, link
     out, block, at, size = [], 0, 0, len(page)
 
     def add(raw: str) -> None:
         if raw:
-            name, path, dropped, main, link = stack[-1] if stack else ("", "", False, False, False)
+            name, path, dropped, main, link = stack[-1] if stack else ("", "", False, "", False)
             out.append((decoded(raw), path, dropped, main, link, block))
 
     while at < size:
@@ -103,11 +117,12 @@ def nodes_of(page: str) -> list[tuple[str, str, bool, bool, bool, int]]:
             continue
         attrs = {k.lower(): a or b or c for k, a, b, c in ATTR.findall(m[3])} if m[3] else {}
         words = f"{attrs.get('class', '')} {attrs.get('id', '')}".strip()
-        _, path, dropped, main, link = stack[-1] if stack else ("", "", False, False, False)
-        dropped = dropped or name in NEVER or attrs.get("role", "").lower() in ROLES or bool(words and name not in ("body", "html") and name not in MAIN and MARKS.search(words))
+        _, path, dropped, main, link = stack[-1] if stack else ("", "", False, "", False)
+        dropped = dropped or name in NEVER or attrs.get("role", "").lower() in ROLES or bool(words and name not in ("body", "html", "main") and (WHOLE if name == "article" else MARKS).search(words))
         dropped = dropped or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "")
-        step = f"/{name}.{words}" if words else f"/{name}"
-        stack.append((name, path if name in INLINE and name != "a" else path + step, dropped, main or name in MAIN or attrs.get("role") == "main", link or name == "a"))
+        words = words.replace("/", "|")
+        path = path if name in INLINE and (name != "a" or main) else path + (f"/{name}.{words}" if words else f"/{name}")
+        stack.append((name, path, dropped, main or (path if name in MAIN or attrs.get("role") == "main" else ""), link or name == "a"))
     return out
 
 
@@ -117,11 +132,6 @@ def main_text(page: str | None, threshold: float = 0.35, sigma: float = 1.0) ->
     solid = [x for x in nodes if x[0].strip()]
     if not solid:
         return ""
-    marked = any(x[3] for x in solid)
-    if marked:
-        kept = {x[1] for x in solid if x[3]}
-        nodes = [x for x in nodes if x[3]]
-        solid = [x for x in solid if x[3]]
     stats: dict[str, list[float]] = {}
     for text, path, _, _, link, _ in solid:
         s = stats.setdefault(path, [0.0, 0.0, 0.0, 0.0])
@@ -129,23 +139,37 @@ def main_text(page: str | None, threshold: float = 0.35, sigma: float = 1.0) ->
         s[1] += 1
         s[2] += len(PUNCT.findall(text))
         s[3] += len(text.strip()) * link
-    if not marked:
-        ratio = np.array([stats[x[1]][0] / stats[x[1]][1] for x in solid])
-        marks = np.array([stats[x[1]][2] / stats[x[1]][1] for x in solid])
-        plain = np.array([1 - stats[x[1]][3] / stats[x[1]][0] for x in solid])
-        reach = np.arange(-2, 3)
-        window = np.exp(-(reach**2) / (2 * sigma**2))
-        weight = np.convolve(np.ones(len(solid)), window, "full")[2:-2]
-        smooth = [np.convolve(v, window, "full")[2:-2] / weight for v in (ratio, marks)]
-        fused = smooth[0] * (smooth[1] + 0.1) * plain
-        by_path: dict[str, list[float]] = {}
-        for x, f in zip(solid, fused, strict=True):
-            by_path.setdefault(x[1], []).append(f)
-        mean = float(np.mean(fused))
-        kept = {p for p, f in by_path.items() if np.mean(f) > 0 and np.mean(f) >= threshold * mean}
-        # A heading or a short paragraph beside kept text belongs to it.
-        parents = {p.rpartition("/")[0] for p in kept}
-        kept |= {p for p in by_path if p.rpartition("/")[0] in parents and re.search(r"/(?:h[1-6]|p|li|blockquote|pre|td)(?:\.[^/]*)?$", p)}
+    ratio = np.array([stats[x[1]][0] / stats[x[1]][1] for x in solid])
+    marks = np.array([stats[x[1]][2] / stats[x[1]][1] for x in solid])
+    plain = np.array([max(1 - stats[x[1]][3] / stats[x[1]][0], MAIN_PLAIN if x[3] else 0.0) for x in solid])
+    main = np.array([MAIN_WEIGHT if x[3] else 1.0 for x in solid])
+    reach = np.arange(-2, 3)
+    window = np.exp(-(reach**2) / (2 * sigma**2))
+    weight = np.convolve(np.ones(len(solid)), window, "full")[2:-2]
+    smooth = [np.convolve(v, window, "full")[2:-2] / weight for v in (ratio, marks)]
+    fused = smooth[0] * (smooth[1] + 0.1) * plain * main
+    by_path: dict[str, list[float]] = {}
+    for x, f in zip(solid, fused, strict=True):
+        by_path.setdefault(x[1], []).append(f)
+    mean = float(np.mean(fused))
+    kept = {p for p, f in by_path.items() if np.mean(f) > 0 and np.mean(f) >= threshold * mean}
+    # A heading or a short paragraph beside kept text belongs to it.
+    parents = {p.rpartition("/")[0] for p in kept}
+    near = {p for p in by_path if p.rpartition("/")[0] in parents and BESIDE.search(p)}
+    roots = {x[1]: x[3] for x in solid if x[3]}
+    inside: set[str] = set()  # kept paths and what holds them, up to their article or main
+    for p in kept & roots.keys():
+        up, root = p, roots[p]
+        while len(up) >= len(root) and up not in inside:
+            inside.add(up)
+            up = up.rpartition("/")[0]
+    for p, root in roots.items():
+        up = p
+        while len(up) >= len(root) and up not in inside and PART.match(up, up.rfind("/")):
+            up = up.rpartition("/")[0]
+        if up in inside and (stats[p][3] <= stats[p][0] / 2 or HEADING.search(p)):
+            near.add(p)
+    kept |= near
     blocks: list[str] = []
     now, held = None, []
     for text, path, _, _, _, block in nodes:

@@ -410,3 +410,14 @@ def test_extraction(spark):
     got = extraction.extract_main(df).collect()
     assert [(r.page_id, r.n_chars) for r in got] == [(1, 29), (1, 29), (2, 0)]
     assert extraction.extract_main(df.limit(0)).count() == 0
+
+
+def test_extraction_ratios_on_marked_pages():
+    long = "A long text, with marks; and more of it, so that it is dense. " * 4
+    for teaser in ("<article><h3>Read too</h3></article>", '<article class="comment"><p>I liked it.</p></article>', "<main></main><div role=main><p>Brief</p></div>"):
+        got = extraction.main_text(f"<body><div class=text><h1>Title</h1><p>{long}</p><p>{long}</p></div>{teaser}</body>")
+        assert got.startswith(f"Title {long.strip()} {long.strip()}")
+        assert "liked" not in got
+    marked = f'<body><div><p>Buy now</p></div><article class="post has-comments"><h1>Head</h1><section><p>{long}</p></section><ul><li>one<li>two</ul><table><tr><td>3</table><p>With <a href=x>a link</a>.</p></article></body>'
+    assert extraction.main_text(marked) == f"Head {long.strip()} one two 3 With a link."
+    assert extraction.main_text("<article><h1><a href=x>All</a></h1><p><a href=y>links</a></p></article>") == "All links"
