@@ -1,16 +1,19 @@
 """Main text of HTML pages by tag-path ratios.
 
 A page is cut into tags and text. Every text belongs to a tag path, root to leaf, with the element names and class
-words on it. Over a page, each path gathers the length of its text, how many nodes it has, and its punctuation; the
-text ratio (length per node) and the punctuation ratio (marks per node) are smoothed over the page's nodes with a
-Gaussian window, fused (product of the two and of the share of text outside links), and compared with a threshold, a
+words on it; links and other inline elements belong to the path of their block. Over a page, each path gathers the
+length of its text, how many lines it has, and its punctuation; the text ratio (length per line) and the punctuation
+ratio (marks per line) are smoothed over the page's lines with a Gaussian window, fused (product of the two and of the
+share of text outside links in the line's block element; items share that of their list), and compared with a threshold, a
 multiple of the page's mean. Paths under elements that never hold main text (navigation, header, footer, forms,
 scripts, notices, comments and so on: by element name, role, or class and id words) are dropped first. A path under
 article or main counts twice in the fusion, so that a path outside as dense as the marked text still passes.
 
 What the ratios keep brings back its neighbours: headings, paragraphs, list items, quotes, listings and cells in the
 same container; under article or main the container reaches up to that element, and lists, tables and quotes of it
-and text right in it come back unless most of their text is links. Nothing else passes without the ratios.
+and text right in it come back unless most of their text is links. Nothing else passes without the ratios. A block
+stays or goes as a whole: outside article and main one that is nearly all links goes, unless it is a heading,
+paragraph, quote or listing.
 
 Text is decoded, white space inside a block becomes one space, blocks are joined in page order by one space.
 
@@ -46,6 +49,9 @@ WHOLE = re.compile(MARKS.pattern.replace(r"[\s_-]", r"\s"), re.I)
 MAIN_WEIGHT = 2.0
 #: Least share outside links there: marked text that is all links is little, not nothing.
 MAIN_PLAIN = 0.1
+#: Share of link text beyond which a block outside them goes.
+LINKED = 0.8
+WORDY = re.compile(r"/(?:h[1-6]|p|blockquote|pre)(?:\.[^/]*)?$")
 BESIDE = re.compile(r"/(?:h[1-6]|p|li|blockquote|pre|td)(?:\.[^/]*)?$")
 #: Steps from a marked container down to its text.
 PART = re.compile(r"/(?:h[1-6]|p|li|blockquote|pre|td|th|ul|ol|dl|dt|dd|table|thead|tbody|tfoot|tr|caption|figure|figcaption|hgroup|details|summary)(?:\.[^/]*)?$")
@@ -61,15 +67,15 @@ def decoded(text: str) -> str:
     return entities.unescape(text) if "&" in text else text
 
 
-def nodes_of(page: str) -> list[tuple[str, str, bool, str, bool, int]]:
-    """(text, path, dropped, path of its main part or "", in a link, block number) of every text node, in page order."""
-    stack: list[tuple[str, str, bool, str, bool]] = []  # name, path, dropped, main, link
-    out, block, at, size = [], 0, 0, len(page)
+def nodes_of(page: str) -> list[tuple[str, str, bool, str, bool, int, int]]:
+    """(text, path, dropped, path of its main part or "", in a link, line number, block element) of every text node, in page order."""
+    stack: list[tuple[str, str, bool, str, bool, int]] = []  # name, path, dropped, main, link, block element
+    out, block, elements, at, size = [], 0, 0, 0, len(page)
 
     def add(raw: str) -> None:
         if raw:
-            name, path, dropped, main, link = stack[-1] if stack else ("", "", False, "", False)
-            out.append((decoded(raw), path, dropped, main, link, block))
+            name, path, dropped, main, link, element = stack[-1] if stack else ("", "", False, "", False, 0)
+            out.append((decoded(raw), path, dropped, main, link, block, element))
 
     while at < size:
         m = TOKEN.search(page, at)
@@ -117,12 +123,15 @@ def nodes_of(page: str) -> list[tuple[str, str, bool, str, bool, int]]:
             continue
         attrs = {k.lower(): a or b or c for k, a, b, c in ATTR.findall(m[3])} if m[3] else {}
         words = f"{attrs.get('class', '')} {attrs.get('id', '')}".strip()
-        _, path, dropped, main, link = stack[-1] if stack else ("", "", False, "", False)
+        _, path, dropped, main, link, element = stack[-1] if stack else ("", "", False, "", False, 0)
         dropped = dropped or name in NEVER or attrs.get("role", "").lower() in ROLES or bool(words and name not in ("body", "html", "main") and (WHOLE if name == "article" else MARKS).search(words))
         dropped = dropped or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "")
         words = words.replace("/", "|")
-        path = path if name in INLINE and (name != "a" or main) else path + (f"/{name}.{words}" if words else f"/{name}")
-        stack.append((name, path, dropped, main or (path if name in MAIN or attrs.get("role") == "main" else ""), link or name == "a"))
+        if name not in INLINE:
+            path += f"/{name}.{words}" if words else f"/{name}"
+            elements += 1
+            element = element if name in ("li", "dt", "dd") else elements
+        stack.append((name, path, dropped, main or (path if name in MAIN or attrs.get("role") == "main" else ""), link or name == "a", element))
     return out
 
 
@@ -133,21 +142,29 @@ def main_text(page: str | None, threshold: float = 0.35, sigma: float = 1.0) ->
     if not solid:
         return ""
     stats: dict[str, list[float]] = {}
-    for text, path, _, _, link, _ in solid:
-        s = stats.setdefault(path, [0.0, 0.0, 0.0, 0.0])
-        s[0] += len(text.strip())
-        s[1] += 1
+    shares: dict[int, list[float]] = {}
+    lines: dict[tuple[str, int], tuple] = {}
+    for x in solid:
+        text, path, _, _, link, block, element = x
+        s, of, long = stats.setdefault(path, [0.0, 0.0, 0.0, 0.0]), shares.setdefault(element, [0.0, 0.0]), len(text.strip())
+        s[0] += long
         s[2] += len(PUNCT.findall(text))
-        s[3] += len(text.strip()) * link
+        s[3] += long * link
+        of[0] += long
+        of[1] += long * link
+        if (path, block) not in lines:
+            s[1] += 1
+            lines[path, block] = x
+    solid = list(lines.values())
     ratio = np.array([stats[x[1]][0] / stats[x[1]][1] for x in solid])
     marks = np.array([stats[x[1]][2] / stats[x[1]][1] for x in solid])
-    plain = np.array([max(1 - stats[x[1]][3] / stats[x[1]][0], MAIN_PLAIN if x[3] else 0.0) for x in solid])
-    main = np.array([MAIN_WEIGHT if x[3] else 1.0 for x in solid])
+    plain = np.array([max(1 - shares[x[6]][1] / shares[x[6]][0], MAIN_PLAIN if x[3] else 0.0) for x in solid])
+    mains = np.array([MAIN_WEIGHT if x[3] else 1.0 for x in solid])
     reach = np.arange(-2, 3)
     window = np.exp(-(reach**2) / (2 * sigma**2))
     weight = np.convolve(np.ones(len(solid)), window, "full")[2:-2]
     smooth = [np.convolve(v, window, "full")[2:-2] / weight for v in (ratio, marks)]
-    fused = smooth[0] * (smooth[1] + 0.1) * plain * main
+    fused = smooth[0] * (smooth[1] + 0.1) * plain * mains
     by_path: dict[str, list[float]] = {}
     for x, f in zip(solid, fused, strict=True):
         by_path.setdefault(x[1], []).append(f)
@@ -172,10 +189,9 @@ def main_text(page: str | None, threshold: float = 0.35, sigma: float = 1.0) ->
     kept |= near
     blocks: list[str] = []
     now, held = None, []
-    for text, path, _, _, _, block in nodes:
-        if path not in kept:
-            if text.strip():
-                continue
+    for text, path, _, main, _, block, element in nodes:
+        if text.strip() and (path not in kept or not main and not WORDY.search(path) and shares[element][1] > LINKED * shares[element][0]):
+            continue
         if block != now:
             blocks.append("".join(held))
             now, held = block, []

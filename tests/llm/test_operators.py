@@ -421,3 +421,14 @@ def test_extraction_ratios_on_marked_pages():
     marked = f'<body><div><p>Buy now</p></div><article class="post has-comments"><h1>Head</h1><section><p>{long}</p></section><ul><li>one<li>two</ul><table><tr><td>3</table><p>With <a href=x>a link</a>.</p></article></body>'
     assert extraction.main_text(marked) == f"Head {long.strip()} one two 3 With a link."
     assert extraction.main_text("<article><h1><a href=x>All</a></h1><p><a href=y>links</a></p></article>") == "All links"
+
+
+def test_extraction_inline_links():
+    long = "A long text, with marks; and more of it, so that it is dense. " * 2
+    menu = "<div><a href=a>Home page</a> | <a href=b>About us</a></div><ul><li><a href=c>Shop</a><li><a href=d>Help</a></ul>"
+    page = f"<body>{menu}<div><h2><a href=t>Title</a></h2><p>Long text with <a href=x>a <b>link</b></a> and more. {long}</p><p>{long}</p><p><a href=y>Next part</a></p></div></body>"
+    assert extraction.main_text(page) == f"Title Long text with a link and more. {long.strip()} {long.strip()} Next part"
+    assert extraction.main_text("<p>Long text with <a href=x>a link</a> and more.</p>") == "Long text with a link and more."
+    assert extraction.main_text(f"<body>{menu}<div>{long}<br><a href=x>see there</a><br>{long}</div>") == f"{long.strip()} see there {long.strip()}"
+    items = "".join(f"<li>{long}" for _ in range(3))
+    assert extraction.main_text(f"<body>{menu}<ul>{items}<li><a href=z>a source</a></ul></body>").endswith("a source")
