@@ -6,7 +6,8 @@ length of its text, how many lines it has, and its punctuation; the text ratio (
 ratio (marks per line) are smoothed over the page's lines with a Gaussian window, fused (product of the two and of the
 share of text outside links in the line's block element; items share that of their list), and compared with a threshold, a
 multiple of the page's mean. Paths under elements that never hold main text (navigation, header, footer, forms,
-scripts, notices, comments and so on: by element name, role, or class and id words) are dropped first. A path under
+scripts, notices, comments and so on: by element name, role, or a whole class or id) are dropped first; one of their
+class words in a compound (cookie-bar, but not no-sidebar) halves the score of the paths below. A path under
 article or main counts twice in the fusion, so that a path outside as dense as the marked text still passes.
 
 What the ratios keep brings back its neighbours: headings, paragraphs, list items, quotes, listings and cells in the
@@ -18,7 +19,8 @@ paragraph, quote or listing.
 Text is decoded, white space inside a block becomes one space, blocks are joined in page order by one space.
 
 Defined cases: null or empty html, or a page without main text, gives an empty text and n_chars 0; markup that ends
-early is read as far as it goes; repeated rows each give a row; other columns are ignored.
+early is read as far as it goes; a script or the like that never ends goes up to the next block or to the page's end;
+formulas are read, without their annotations; repeated rows each give a row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,17 +36,25 @@ from .common import small_batches, table
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTR = re.compile(r"([A-Za-z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "math", "xmp", "noembed", "noframes", "object", "select", "canvas", "audio", "video"}
+RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "annotation", "annotation-xml", "xmp", "noembed", "noframes", "object", "select", "canvas", "audio", "video"}
+#: Of these, elements whose content is text alone: the first end tag ends them, whatever stands before it.
+RAW_TEXT = {"script", "style", "iframe", "textarea", "title", "xmp", "noembed", "noframes"}
+#: A formula is read as part of its line.
+MATH = {"math", "semantics", "mi", "mn", "mo", "ms", "mtext", "mspace", "mrow", "mfrac", "msqrt", "mroot", "mstyle", "merror", "mpadded", "mphantom", "msub", "msup", "msubsup", "munder", "mover", "munderover", "mmultiscripts", "mprescripts", "mtable", "mtr", "mtd", "menclose", "mfenced"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Elements inside a line of text; all others begin and end a block.
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"} | MATH
 NEVER = {"nav", "header", "footer", "aside", "form", "button", "dialog", "menu", "head", "fieldset", "input"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form", "toolbar", "tablist"}
 #: Words of class and id values.
 MARKS = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|promotion|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|sidebar|side|aside|footer|header|masthead|cookie|cookies|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|comment|comments|reply|replies|discussion|disqus|widget|pagination|pager|toolbar|search|skip|hidden)(?:$|[\s_-])", re.I)
 MAIN = {"article", "main"}
-#: On an article one of the words has to be a whole class or id, as its classes also tell what surrounds it.
+#: A whole class or id that is one of them drops an element; as part of a compound it only lowers the path's score.
 WHOLE = re.compile(MARKS.pattern.replace(r"[\s_-]", r"\s"), re.I)
+#: Compounds that tell what is around or missing.
+ABOUT = re.compile(r"(?:^|(?<=\s))(?:no|not|non|without|has|have|with|show|hide)[_-]\S*", re.I)
+#: A path with such a compound against others; above the threshold, so that it is kept where it is the usual text.
+PART_WEIGHT = 0.5
 #: A path under article or main against others; below 1 / threshold, so that an equally dense path outside is kept.
 MAIN_WEIGHT = 2.0
 #: Least share outside links there: marked text that is all links is little, not nothing.
@@ -59,6 +69,9 @@ HEADING = re.compile(r"/h[1-6](?:\.[^/]*)?$")
 #: Opening one of the first ends an open one of the second, up to the third.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 ENDS_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
+#: A raw element without an end goes at most to here.
+BREAK = re.compile(rf"</?(?:{'|'.join(sorted(ENDS_P | {'body', 'head', 'html', 'li', 'td', 'th', 'tr'}))})(?=[\s/>])", re.I)
+TOP = ("", "", False, "", False, 0, False)
 PUNCT = re.compile(r"[.,;:!?…。，、؟¿¡«»\"“”()-]")
 SPACES = re.compile(r"\s+")
 
@@ -67,15 +80,29 @@ def decoded(text: str) -> str:
     return entities.unescape(text) if "&" in text else text
 
 
-def nodes_of(page: str) -> list[tuple[str, str, bool, str, bool, int, int]]:
-    """(text, path, dropped, path of its main part or "", in a link, line number, block element) of every text node, in page order."""
-    stack: list[tuple[str, str, bool, str, bool, int]] = []  # name, path, dropped, main, link, block element
+def raw_ends(page: str, name: str) -> dict[int, int]:
+    """Where the content of each element of this name begins and where its end tag ends, nested ones matched."""
+    opened, ends = [], {}
+    for m in re.compile(rf"<(/?){re.escape(name)}(?:\s(?:[^>\"']|\"[^\"]*\"|'[^']*')*|/)?>", re.I).finditer(page):
+        if not m[1]:
+            if not (name == "svg" and m[0].endswith("/>")):
+                opened.append(m.end())
+        elif opened:
+            ends[opened.pop()] = m.end()
+    return ends
+
+
+def nodes_of(page: str) -> list[tuple[str, str, bool, str, bool, int, int, bool]]:
+    """(text, path, dropped, path of its main part or "", in a link, line number, block element, part of a class listed) of every text node, in page order."""
+    stack: list[tuple[str, str, bool, str, bool, int, bool]] = []  # name, path, dropped, main, link, block element, part of a class listed
     out, block, elements, at, size = [], 0, 0, 0, len(page)
+    endless: set[str] = set()
+    matched: dict[str, dict[int, int]] = {}
 
     def add(raw: str) -> None:
         if raw:
-            name, path, dropped, main, link, element = stack[-1] if stack else ("", "", False, "", False, 0)
-            out.append((decoded(raw), path, dropped, main, link, block, element))
+            name, path, dropped, main, link, element, partly = stack[-1] if stack else TOP
+            out.append((decoded(raw), path, dropped, main, link, block, element, partly))
 
     while at < size:
         m = TOKEN.search(page, at)
@@ -100,9 +127,22 @@ def nodes_of(page: str) -> list[tuple[str, str, bool, str, bool, int, int]]:
             block += 1
         if name in VOID:
             continue
+        if name in ("svg", "math") and m[3].rstrip().endswith("/"):
+            continue
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = end.end() if end else size
+            if name in RAW_TEXT:
+                end = None if name in endless else re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+                stop = end.end() if end else 0
+                if not end:
+                    endless.add(name)
+            else:
+                if name not in matched:
+                    matched[name] = raw_ends(page, name)
+                stop = matched[name].get(at, 0)
+            if not stop:
+                end = BREAK.search(page, at)
+                stop = end.start() if end else size
+            at = stop
             continue
         if name in ENDS_P:
             for i in range(len(stack) - 1, -1, -1):
@@ -123,15 +163,16 @@ def nodes_of(page: str) -> list[tuple[str, str, bool, str, bool, int, int]]:
             continue
         attrs = {k.lower(): a or b or c for k, a, b, c in ATTR.findall(m[3])} if m[3] else {}
         words = f"{attrs.get('class', '')} {attrs.get('id', '')}".strip()
-        _, path, dropped, main, link, element = stack[-1] if stack else ("", "", False, "", False, 0)
-        dropped = dropped or name in NEVER or attrs.get("role", "").lower() in ROLES or bool(words and name not in ("body", "html", "main") and (WHOLE if name == "article" else MARKS).search(words))
+        _, path, dropped, main, link, element, partly = stack[-1] if stack else TOP
+        dropped = dropped or name in NEVER or attrs.get("role", "").lower() in ROLES or bool(words and name not in ("body", "html", "main") and WHOLE.search(words))
         dropped = dropped or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "")
+        partly = partly or bool(words and name not in ("body", "html", "main") and MARKS.search(ABOUT.sub("", words)))
         words = words.replace("/", "|")
         if name not in INLINE:
             path += f"/{name}.{words}" if words else f"/{name}"
             elements += 1
             element = element if name in ("li", "dt", "dd") else elements
-        stack.append((name, path, dropped, main or (path if name in MAIN or attrs.get("role") == "main" else ""), link or name == "a", element))
+        stack.append((name, path, dropped, main or (path if name in MAIN or attrs.get("role") == "main" else ""), link or name == "a", element, partly))
     return out
 
 
@@ -145,7 +186,7 @@ def main_text(page: str | None, threshold: float = 0.35, sigma: float = 1.0) ->
     shares: dict[int, list[float]] = {}
     lines: dict[tuple[str, int], tuple] = {}
     for x in solid:
-        text, path, _, _, link, block, element = x
+        text, path, _, _, link, block, element, _ = x
         s, of, long = stats.setdefault(path, [0.0, 0.0, 0.0, 0.0]), shares.setdefault(element, [0.0, 0.0]), len(text.strip())
         s[0] += long
         s[2] += len(PUNCT.findall(text))
@@ -159,7 +200,7 @@ def main_text(page: str | None, threshold: float = 0.35, sigma: float = 1.0) ->
     ratio = np.array([stats[x[1]][0] / stats[x[1]][1] for x in solid])
     marks = np.array([stats[x[1]][2] / stats[x[1]][1] for x in solid])
     plain = np.array([max(1 - shares[x[6]][1] / shares[x[6]][0], MAIN_PLAIN if x[3] else 0.0) for x in solid])
-    mains = np.array([MAIN_WEIGHT if x[3] else 1.0 for x in solid])
+    mains = np.array([(MAIN_WEIGHT if x[3] else 1.0) * (PART_WEIGHT if x[7] else 1.0) for x in solid])
     reach = np.arange(-2, 3)
     window = np.exp(-(reach**2) / (2 * sigma**2))
     weight = np.convolve(np.ones(len(solid)), window, "full")[2:-2]
@@ -189,7 +230,7 @@ def main_text(page: str | None, threshold: float = 0.35, sigma: float = 1.0) ->
     kept |= near
     blocks: list[str] = []
     now, held = None, []
-    for text, path, _, main, _, block, element in nodes:
+    for text, path, _, main, _, block, element, _ in nodes:
         if text.strip() and (path not in kept or not main and not WORDY.search(path) and shares[element][1] > LINKED * shares[element][0]):
             continue
         if block != now:

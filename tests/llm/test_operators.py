@@ -432,3 +432,16 @@ def test_extraction_inline_links():
     assert extraction.main_text(f"<body>{menu}<div>{long}<br><a href=x>see there</a><br>{long}</div>") == f"{long.strip()} see there {long.strip()}"
     items = "".join(f"<li>{long}" for _ in range(3))
     assert extraction.main_text(f"<body>{menu}<ul>{items}<li><a href=z>a source</a></ul></body>").endswith("a source")
+
+
+def test_extraction_raw_elements_and_class_words():
+    long = "A long text, with marks; and more of it, so that it is dense."
+    for raw in ("<svg class=i width=1 />", "<svg><path d=1>", "<svg><title>i</title><svg/></svg>", "<canvas>", "<math/>", "<video src=v>", "<style>p{}"):
+        for after in ("", "<svg><path/></svg>"):
+            assert extraction.main_text(f"<article><p>{long}</p>{raw}<p>{long}</p>{after}</article>") == f"{long} {long}", raw
+    assert extraction.main_text("<svg><svg></svg>in</svg><p>out</p><script>'<p>'</script>") == "out"
+    assert extraction.main_text("<svg>" * 3000 + "<p>out</p>" + "</svg>") == "out"
+    assert extraction.main_text(f"<article><p>{long} <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math></p></article>") == f"{long} x=2"
+    for words in ("content no-sidebar", "post has-comments", "main-content-side", "layout header-fixed"):
+        assert extraction.main_text(f'<body><div class="{words}"><h1>Head</h1><p>{long}</p></div></body>') == f"Head {long}"
+    assert extraction.main_text(f'<body><div class="post">{f"<p>{long}" * 6}</div><div class="cookie-bar"><p>We use them, accept.</p></div><div class="related"><p>{long}</p></div></body>') == " ".join([long] * 6)
