@@ -96,3 +96,19 @@ def test_records_and_cells(spark):
     assert [(r.level, r.message) for r in logs.records(lines, "f", "n").orderBy("rec").collect()] == [("ERROR", "boom\n  at x"), ("INFO", "ok")]
     one = spark.range(1).select(export.decimal_comma(F.lit(1234.5)).alias("a"), export.clean_cell(F.lit("x;\ny")).alias("b")).first()
     assert (one.a, one.b) == ("1234,50", "x y")
+
+
+def test_ingestion_of_old_and_late_messages(spark, tmp_path):
+    from notaflow.streaming.ingest import run_once
+
+    schema = "id bigint, ts timestamp, body string"
+
+    def deliver(name, rows):
+        spark.createDataFrame(rows, "id bigint, ts string, body string").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{tmp_path}/in/{name}")
+        run_once(spark, f"{tmp_path}/in/*", schema, f"{tmp_path}/out", f"{tmp_path}/state", "id", "ts")
+        return sorted((r.id is None, r.id or 0, r.body) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+
+    deliver("a", [(1, "2024-01-01", "a"), (2, "2024-06-01", "b"), (2, "2024-06-02", "again"), (None, "2024-06-01", "n")])
+    deliver("b", [(3, "2023-01-01", "old"), (4, "2025-06-01", "c")])
+    got = deliver("c", [(1, "2025-07-01", "newer"), (5, "2022-01-01", "older"), (None, "2024-06-01", "n"), (None, "2024-06-01", "m")])
+    assert got == [(False, 1, "a"), (False, 2, "b"), (False, 3, "old"), (False, 4, "c"), (False, 5, "older"), (True, 0, "m"), (True, 0, "n")]
