@@ -112,3 +112,17 @@ def test_ingestion_of_old_and_late_messages(spark, tmp_path):
     deliver("b", [(3, "2023-01-01", "old"), (4, "2025-06-01", "c")])
     got = deliver("c", [(1, "2025-07-01", "newer"), (5, "2022-01-01", "older"), (None, "2024-06-01", "n"), (None, "2024-06-01", "m")])
     assert got == [(False, 1, "a"), (False, 2, "b"), (False, 3, "old"), (False, 4, "c"), (False, 5, "older"), (True, 0, "m"), (True, 0, "n")]
+
+
+def test_nearest_of_all_queries(spark):
+    from notaflow.operators import vectors
+
+    rows = [(i, [float(i % 7), float(i * i % 11)]) for i in range(60)] + [(60, None), (61, [1.0]), (62, [float("nan"), 1.0]), (20, [9.0, 9.0]), (0, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    for blocks, chunks in ((4096, 1024), (16, 2)):
+        got = sorted((r.query_id, r.rank, r.vec_id, r.distance) for r in vectors.nearest_all(df, df.where("vec_id % 20 = 0"), 5, block_rows=blocks, chunk_rows=chunks).collect())
+        good, want = [(i, v) for i, v in rows if v and len(v) == 2 and v[0] == v[0]], []
+        for q, x in {(i, tuple(v)) for i, v in good if i % 20 == 0}:
+            near = sorted((sum((a - b) ** 2 for a, b in zip(v, x)), i) for i, v in good)[:5]
+            want += [(q, n, i, d) for n, (d, i) in enumerate(near, 1)]
+        assert got == sorted(want)
