@@ -67,7 +67,7 @@ def search_block(rows: pd.DataFrame, asked: pd.DataFrame, k: int, dims: int, con
     """The k nearest rows of one block for each query. All queries take their next leaves in rounds, twice as many each
     time, so that a leaf's rows are verified for all queries that want it by one product."""
     if not len(rows) or not len(asked):
-        return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        return pd.DataFrame({"query_id": [], "nth": [], "vec_id": [], "score": []})
     x, q, ids, of = matrix(rows.v), matrix(asked.v), rows.vec_id.to_numpy(), asked.vec_id.to_numpy()
     extra = np.sqrt(np.maximum(0.0, norm**2 - (x**2).sum(1)))
     a = np.random.default_rng(seed).standard_normal((x.shape[1] + 1, dims))
@@ -99,7 +99,7 @@ def search_block(rows: pd.DataFrame, asked: pd.DataFrame, k: int, dims: int, con
     order = np.lexsort((ids[j], -exact, i))
     i, j, exact = i[order], j[order], exact[order]
     keep = np.arange(len(i)) - np.searchsorted(i, i, "left") < k
-    return pd.DataFrame({"query_id": of[i[keep]], "vec_id": ids[j[keep]], "score": exact[keep]})
+    return pd.DataFrame({"query_id": of[i[keep]], "nth": asked.nth.to_numpy()[i[keep]], "vec_id": ids[j[keep]], "score": exact[keep]})
 
 
 def projected_search(vectors: DataFrame, k: int = 20, every: int = 20, dims: int = 8, confidence: float = 0.95, leaf: int = 64, block_rows: int = 4096, chunk_rows: int = 1024, seed: int = 20) -> DataFrame:
@@ -115,7 +115,7 @@ def projected_search(vectors: DataFrame, k: int = 20, every: int = 20, dims: int
     def run(key, r, a):
         return search_block(r, a, k, dims, confidence, leaf, norm, seed)
 
-    hits = rows.groupBy("block", "chunk").cogroup(asked.groupBy("block", "chunk")).applyInPandas(run, "query_id bigint, vec_id bigint, score double")
+    hits = rows.groupBy("block", "chunk").cogroup(asked.groupBy("block", "chunk")).applyInPandas(run, "query_id bigint, nth int, vec_id bigint, score double")
     return ranked(hits, k)
 
 

@@ -12,7 +12,8 @@ at most k numbers a query.
 
 Defined cases: vectors that are null or empty or hold null or non-finite components, and null ids, take no part;
 vectors of another length than the most frequent one (ties: the shorter) take no part; repeated rows are separate
-candidates, but every row with the query's id is its own row; with fewer than k candidates all are returned; an empty
+candidates, but every row with the query's id is its own row; a repeated query row (same id and vector) asks once, and
+rows of one id with different vectors ask each on their own, so that such an id has every rank once for each vector; with fewer than k candidates all are returned; an empty
 table gives no rows. Other columns are ignored.
 """
 
@@ -51,8 +52,10 @@ def laid_out(x: DataFrame, every: int, block_rows: int, chunk_rows: int) -> tupl
     block = F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int").alias("block")
     every_chunk, every_block = F.sequence(F.lit(0), F.lit(chunks - 1)), F.sequence(F.lit(0), F.lit(blocks - 1))
     rows = x.select(block, F.explode(every_chunk).alias("chunk"), "vec_id", "v")
-    chunk = F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int").alias("chunk")
-    asked = x.where(is_query(every)).select(F.explode(every_block).alias("block"), chunk, "vec_id", "v")
+    chunk = F.pmod(F.xxhash64("vec_id", "v"), F.lit(chunks)).cast("int").alias("chunk")
+    nth = F.row_number().over(W.partitionBy("vec_id").orderBy("v")).alias("nth")  # of the vectors of one id
+    asked = x.where(is_query(every)).select("vec_id", "v").distinct().select("vec_id", "v", nth)
+    asked = asked.select(F.explode(every_block).alias("block"), chunk, "vec_id", "v", "nth")
     return rows, asked, q
 
 
@@ -74,7 +77,7 @@ def interval_counter(k: int, low: int, width: int, step: int):
         s, lo, above = cell_scores(r, a) if len(r) and len(a) else np.zeros((len(a), 0)), np.full(len(a), float(low)), np.zeros(len(a))
         if "lo" in a:
             lo, above = a.lo.to_numpy(float), a.above.to_numpy(float)
-        ids, out = a.vec_id.to_numpy(), [pd.DataFrame({"query_id": [], "bin": [], "n": [], "lo": [], "above": []})]
+        ids, nth, out = a.vec_id.to_numpy(), a.nth.to_numpy(), [pd.DataFrame({"query_id": [], "nth": [], "bin": [], "n": [], "lo": [], "above": []})]
         for i in range(len(a)):
             inside = s[i][(s[i] >= lo[i]) & (s[i] < lo[i] + width)]
             if not len(inside):
@@ -82,7 +85,7 @@ def interval_counter(k: int, low: int, width: int, step: int):
             got = np.bincount(((inside - lo[i]) // step).astype(np.int64))[::-1]
             at = np.nonzero(got)[0]
             at = at[: int(np.searchsorted(np.cumsum(got[at]), k - above[i])) + 1]
-            out.append(pd.DataFrame({"query_id": ids[i], "bin": len(got) - 1 - at, "n": got[at], "lo": int(lo[i]), "above": int(above[i])}))
+            out.append(pd.DataFrame({"query_id": ids[i], "nth": nth[i], "bin": len(got) - 1 - at, "n": got[at], "lo": int(lo[i]), "above": int(above[i])}))
         return pd.concat(out)
 
     return count
@@ -93,13 +96,14 @@ def picker(k: int):
 
     def pick(key, r, a):
         s = cell_scores(r, a) if len(r) and len(a) else np.zeros((len(a), 0))
-        out, ids, of = [pd.DataFrame({"query_id": [], "vec_id": [], "score": []})], r.vec_id.to_numpy(), a.vec_id.to_numpy()
+        nth = a.nth.to_numpy()
+        out, ids, of = [pd.DataFrame({"query_id": [], "nth": [], "vec_id": [], "score": []})], r.vec_id.to_numpy(), a.vec_id.to_numpy()
         for i, (kth, above) in enumerate(zip(a.lo.to_numpy(), a.above.to_numpy(), strict=True)):
             over, at = np.nonzero(s[i] > kth)[0], np.nonzero(s[i] == kth)[0]
             at = at[np.argsort(ids[at], kind="stable")[: max(0, k - int(above))]]
             hit = np.concatenate([over, at])
             if len(hit):
-                out.append(pd.DataFrame({"query_id": of[i], "vec_id": ids[hit], "score": s[i][hit].astype(np.int64)}))
+                out.append(pd.DataFrame({"query_id": of[i], "nth": nth[i], "vec_id": ids[hit], "score": s[i][hit].astype(np.int64)}))
         return pd.concat(out)
 
     return pick
@@ -107,8 +111,8 @@ def picker(k: int):
 
 def with_interval(asked: DataFrame, state: DataFrame) -> DataFrame:
     """The queries, each with the interval that holds its kth value."""
-    both = asked.join(state.withColumnRenamed("query_id", "of"), F.col("vec_id") == F.col("of"))
-    return both.select(*[F.col(c).alias(c) for c in ("block", "chunk", "vec_id", "v", "lo", "above")])
+    both = asked.join(state.withColumnsRenamed({"query_id": "of", "nth": "of_nth"}), (F.col("vec_id") == F.col("of")) & (F.col("nth") == F.col("of_nth")))
+    return both.select(*[F.col(c).alias(c) for c in ("block", "chunk", "vec_id", "v", "nth", "lo", "above")])
 
 
 def histogram_topk(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0, bins: int = 128, block_rows: int = 4096, chunk_rows: int = 1024) -> DataFrame:
@@ -121,27 +125,27 @@ def histogram_topk(vectors: DataFrame, k: int = 20, every: int = 20, scale: floa
         return empty
     largest = x.select(F.max(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c))).first()[0]
     low, width = -int(largest) - 1, 2 * int(largest) + 3  # by Cauchy-Schwarz; the same interval for every query at first
-    state = None  # query_id, lo: lowest score of the interval; above: how many scores are above it
+    state = None  # query_id, nth, lo: lowest score of the interval; above: how many scores are above it
     while width > 1:
         step = -(-width // bins)
 
         now = asked if state is None else with_interval(asked, state)
-        got = rows.groupBy("block", "chunk").cogroup(now.groupBy("block", "chunk")).applyInPandas(interval_counter(k, low, width, step), "query_id bigint, bin bigint, n bigint, lo bigint, above bigint")
-        got = got.groupBy("query_id", "bin").agg(F.sum("n").alias("n"), F.max("lo").alias("lo"), F.max("above").alias("above"))
-        upto = F.sum("n").over(W.partitionBy("query_id").orderBy(F.desc("bin")))
+        got = rows.groupBy("block", "chunk").cogroup(now.groupBy("block", "chunk")).applyInPandas(interval_counter(k, low, width, step), "query_id bigint, nth int, bin bigint, n bigint, lo bigint, above bigint")
+        got = got.groupBy("query_id", "nth", "bin").agg(F.sum("n").alias("n"), F.max("lo").alias("lo"), F.max("above").alias("above"))
+        upto = F.sum("n").over(W.partitionBy("query_id", "nth").orderBy(F.desc("bin")))
         got = got.withColumn("upto", F.col("above") + upto)
-        last = F.row_number().over(W.partitionBy("query_id").orderBy((F.col("upto") < k).cast("int"), F.when(F.col("upto") < k, F.col("bin")).otherwise(-F.col("bin"))))
+        last = F.row_number().over(W.partitionBy("query_id", "nth").orderBy((F.col("upto") < k).cast("int"), F.when(F.col("upto") < k, F.col("bin")).otherwise(-F.col("bin"))))
         # The first bin with k scores at or above it; the lowest bin, if there are fewer than k candidates.
-        state = stored(got.withColumn("i", last).where("i = 1").select("query_id", (F.col("lo") + F.col("bin") * step).alias("lo"), (F.col("upto") - F.col("n")).alias("above")), "topk-kth")
+        state = stored(got.withColumn("i", last).where("i = 1").select("query_id", "nth", (F.col("lo") + F.col("bin") * step).alias("lo"), (F.col("upto") - F.col("n")).alias("above")), "topk-kth")
         width = step
 
     now = with_interval(asked, state)
-    hits = rows.groupBy("block", "chunk").cogroup(now.groupBy("block", "chunk")).applyInPandas(picker(k), "query_id bigint, vec_id bigint, score bigint")
+    hits = rows.groupBy("block", "chunk").cogroup(now.groupBy("block", "chunk")).applyInPandas(picker(k), "query_id bigint, nth int, vec_id bigint, score bigint")
     return ranked(hits, k)
 
 
 def ranked(hits: DataFrame, k: int) -> DataFrame:
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(W.partitionBy("query_id", "nth").orderBy(F.desc("score"), "vec_id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

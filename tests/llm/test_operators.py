@@ -65,6 +65,23 @@ def points():
     return rows
 
 
+def test_repeated_query_rows(spark, points):
+    few = [p for p in points if p[0] is not None and p[0] < 200]
+    other = [-x for x in few[40][1]]
+    rows = [(*p, 7, "x") for p in [*few, few[0], few[0], (40, other)]]
+    exact = topk.histogram_topk(vectors(spark, rows), 20, 20, 64.0, 16, 64, 4)
+    for df in (exact, ann.projected_search(vectors(spark, rows), 20, 20, confidence=1 - 1e-12)):
+        got = collections.defaultdict(list)
+        for r in sorted(df.collect(), key=lambda r: (r.query_id, r.rank)):
+            got[r.query_id].append((r.rank, r.vec_id))
+        assert [n for n, _ in got[0]] == list(range(1, 21))
+        assert len({i for _, i in got[0]}) == 20
+        assert [n for n, _ in got[40]] == [n for n in range(1, 21) for _ in range(2)]
+        assert len({i for _, i in got[40]}) > 20
+    want = brute(few, 20, 20, lambda v: np.floor(64 * v))
+    assert [r.vec_id for r in sorted(exact.where("query_id = 0").collect(), key=lambda r: r.rank)] == [i for i, _ in want[0]]
+
+
 def test_topk(spark, points):
     rows = points
     for blocks in (4096, 64):
