@@ -20,12 +20,21 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.classify(docs, table(spark, sf_dir, "labels"), keep=DOCUMENT).where("predicted = 1").select(*DOCUMENT)
 
 
+def row_key():
+    """A row's own key, whatever its id: rows that share it have one id and one text, so they are copies."""
+    return F.xxhash64("doc_id", "text")
+
+
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies (five words, Jaccard 0.8 and more); rows without an id go."""
-    groups = jaccard.similar_groups(docs, words=5, percent=80)
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    # A repeated row has one id and stays once.
-    return docs.join(first, "doc_id", "left_semi").select(*DOCUMENT).dropDuplicates(["doc_id"])
+    """The document with the smallest id of each group of near copies (five words, Jaccard 0.8 and more); one without an
+    id stays where its group has no other, and texts that share an id are told apart."""
+    keyed = docs.select(*DOCUMENT, row_key().alias("key"))
+    groups = jaccard.similar_groups(keyed.select(F.col("key").alias("doc_id"), "text"), words=5, percent=80)
+    groups = groups.select(F.col("doc_id").alias("key"), "component_id").distinct()
+    ids = keyed.select("key", "doc_id").distinct().join(groups, "key")
+    first = ids.groupBy("component_id").agg(F.min_by("key", F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("key"))
+    # A repeated row has one key and stays once.
+    return keyed.join(first.select("key"), "key", "left_semi").dropDuplicates(["key"]).select(*DOCUMENT)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +45,12 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once, or up to three times."""
-    taken = mixing.weighted_mix(docs).where("taken > 0").select("doc_id", (F.col("taken") / F.col("size")).cast("int").alias("copies"))
-    return docs.join(taken, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*DOCUMENT)
+    keyed = docs.select(*DOCUMENT, row_key().alias("key"))
+    taken = mixing.weighted_mix(keyed.select(F.col("key").alias("doc_id"), "text", "source")).where("taken > 0")
+    # Masking may have made rows of one id alike: their copies add up on one of them.
+    taken = taken.groupBy(F.col("doc_id").alias("key")).agg(F.sum(F.col("taken") / F.col("size")).cast("int").alias("copies"))
+    keyed = keyed.dropDuplicates(["key"])
+    return keyed.join(taken, "key").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*DOCUMENT)
 
 
 def segmentation_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -47,3 +47,17 @@ def test_pipeline_on_no_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, FOLDER)
     assert docs.count() == 0
+
+
+def test_pipeline_keeps_repeated_and_missing_ids(spark):
+    def text(seed):
+        return " ".join(f"{seed}{i}" for i in range(40))
+
+    rows = [(1, text("a")), (2, text("a") + " more"), (2, text("b")), (3, text("c")), (3, text("d")), (3, text("d")), (None, text("e")), (None, text("f")), (None, text("c")), (None, text("g")), (None, text("g"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = corpus_pipeline.near_copies_stage(spark, docs, FOLDER).collect()
+    want = [(1, "a"), (2, "b"), (3, "c"), (3, "d"), (None, "e"), (None, "f"), (None, "g")]
+    assert sorted((str(r.doc_id), r.text) for r in got) == sorted((str(i), text(t)) for i, t in want)
+    kept = spark.createDataFrame(got, docs.schema)
+    mixed = corpus_pipeline.mixing_stage(spark, kept, FOLDER).collect()
+    assert {(r.doc_id, r.text) for r in mixed} == {(r.doc_id, r.text) for r in got} and len(mixed) <= len(got) * 3
