@@ -12,14 +12,16 @@ article or main counts twice in the fusion, so that a path outside as dense as t
 
 What the ratios keep brings back its neighbours: headings, paragraphs, list items, quotes, listings and cells in the
 same container; under article or main the container reaches up to that element, and lists, tables and quotes of it
-and text right in it come back unless most of their text is links. Nothing else passes without the ratios. A block
+and text right in it come back unless most of their text is links (paragraphs and headings in any case). A block
 stays or goes as a whole: outside article and main one that is nearly all links goes, unless it is a heading,
 paragraph, quote or listing.
 
 Text is decoded, white space inside a block becomes one space, blocks are joined in page order by one space.
 
-Defined cases: null or empty html, or a page without main text, gives an empty text and n_chars 0; markup that ends
-early is read as far as it goes; a script or the like that never ends goes up to the next block or to the page's end;
+A header element is dropped wherever it stands, so a headline must lie in the article itself, not in its header.
+
+Defined cases: null or empty html, or a page without main text, gives an empty text and n_chars 0; very long, very deep or
+broken pages take time and memory in proportion to their length; markup that ends early is read as far as it goes; a script or the like that never ends goes up to the next block or to the page's end;
 formulas are read, without their annotations; repeated rows each give a row; other columns are ignored.
 """
 
@@ -34,8 +36,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import small_batches, table
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTR = re.compile(r"([A-Za-z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+#: A tag up to its end; a quote counts only as a value's, and one without an end is a character like others.
+TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?|[\"'])*+)>")
+#: The same where a quoted value runs to the page's end.
+BARE = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>")
+ATTR = re.compile(r"(?<![-\w:.])([A-Za-z_:][-\w:.]*+)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))")
+CUT = re.compile(r"<[A-Za-z/!?]")
 RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "annotation", "annotation-xml", "xmp", "noembed", "noframes", "object", "select", "canvas", "audio", "video"}
 #: Of these, elements whose content is text alone: the first end tag ends them, whatever stands before it.
 RAW_TEXT = {"script", "style", "iframe", "textarea", "title", "xmp", "noembed", "noframes"}
@@ -56,22 +62,20 @@ ABOUT = re.compile(r"(?:^|(?<=\s))(?:no|not|non|without|has|have|with|show|hide)
 #: A path with such a compound against others; above the threshold, so that it is kept where it is the usual text.
 PART_WEIGHT = 0.5
 #: A path under article or main against others; below 1 / threshold, so that an equally dense path outside is kept.
-MAIN_WEIGHT = 2.0
+MAIN_WEIGHT = 1.5
 #: Least share outside links there: marked text that is all links is little, not nothing.
 MAIN_PLAIN = 0.1
 #: Share of link text beyond which a block outside them goes.
 LINKED = 0.8
-WORDY = re.compile(r"/(?:h[1-6]|p|blockquote|pre)(?:\.[^/]*)?$")
-BESIDE = re.compile(r"/(?:h[1-6]|p|li|blockquote|pre|td)(?:\.[^/]*)?$")
+WORDY = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "blockquote", "pre"}
+BESIDE = WORDY | {"li", "td"}
 #: Steps from a marked container down to its text.
-PART = re.compile(r"/(?:h[1-6]|p|li|blockquote|pre|td|th|ul|ol|dl|dt|dd|table|thead|tbody|tfoot|tr|caption|figure|figcaption|hgroup|details|summary)(?:\.[^/]*)?$")
-HEADING = re.compile(r"/h[1-6](?:\.[^/]*)?$")
+PART = BESIDE | {"th", "ul", "ol", "dl", "dt", "dd", "table", "thead", "tbody", "tfoot", "tr", "caption", "figure", "figcaption", "hgroup", "details", "summary"}
 #: Opening one of the first ends an open one of the second, up to the third.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 ENDS_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
 #: A raw element without an end goes at most to here.
 BREAK = re.compile(rf"</?(?:{'|'.join(sorted(ENDS_P | {'body', 'head', 'html', 'li', 'td', 'th', 'tr'}))})(?=[\s/>])", re.I)
-TOP = ("", "", False, "", False, 0, False)
 PUNCT = re.compile(r"[.,;:!?…。，、؟¿¡«»\"“”()-]")
 SPACES = re.compile(r"\s+")
 
@@ -80,158 +84,241 @@ def decoded(text: str) -> str:
     return entities.unescape(text) if "&" in text else text
 
 
-def raw_ends(page: str, name: str) -> dict[int, int]:
-    """Where the content of each element of this name begins and where its end tag ends, nested ones matched."""
+def raw_ends(page: str, name: str, end: int) -> dict[int, int]:
+    """Where each element of this name begins and where its end tag ends, nested ones matched; no tag ends after `end`."""
     opened, ends = [], {}
-    for m in re.compile(rf"<(/?){re.escape(name)}(?:\s(?:[^>\"']|\"[^\"]*\"|'[^']*')*|/)?>", re.I).finditer(page):
+    for m in re.compile(rf"<(/?){re.escape(name)}(?=[\s/>])[^>]*+>", re.I).finditer(page, 0, end):
         if not m[1]:
             if not (name == "svg" and m[0].endswith("/>")):
-                opened.append(m.end())
+                opened.append(m.start())
         elif opened:
             ends[opened.pop()] = m.end()
     return ends
 
 
-def nodes_of(page: str) -> list[tuple[str, str, bool, str, bool, int, int, bool]]:
-    """(text, path, dropped, path of its main part or "", in a link, line number, block element, part of a class listed) of every text node, in page order."""
-    stack: list[tuple[str, str, bool, str, bool, int, bool]] = []  # name, path, dropped, main, link, block element, part of a class listed
-    out, block, elements, at, size = [], 0, 0, 0, len(page)
+class Paths:
+    """The tag paths of a page as a tree: each knows its last element, the one above it and how deep it is."""
+
+    def __init__(self):
+        self.number: dict[tuple[int, str], int] = {}
+        self.above, self.name, self.depth, self.main = [-1], [""], [0], [-1]
+
+    def below(self, up: int, name: str, words: str, marked: bool) -> int:
+        got = self.number.get((up, step := f"{name}.{words}"))
+        if got is None:
+            got = self.number[up, step] = len(self.name)
+            self.above.append(up)
+            self.name.append(name)
+            self.depth.append(self.depth[up] + 1)
+            # The outermost article or main that it is in.
+            self.main.append(self.main[up] if self.main[up] >= 0 else got if marked else -1)
+        return got
+
+
+class Stack:
+    """Open elements, and where the last ones of a name are, so that no tag walks past elements that it leaves open."""
+
+    def __init__(self):
+        # name, path, dropped, in a link, block element, part of a class listed
+        self.open: list[tuple[str, int, bool, bool, int, bool]] = []
+        self.at: dict[str, list[int]] = {}
+        self.solid: list[int] = []  # elements other than inline ones and p
+
+    def push(self, entry: tuple[str, int, bool, bool, int, bool]) -> None:
+        self.at.setdefault(entry[0], []).append(len(self.open))
+        if entry[0] not in INLINE and entry[0] != "p":
+            self.solid.append(len(self.open))
+        self.open.append(entry)
+
+    def cut(self, i: int) -> None:
+        for name, *_ in reversed(self.open[i:]):
+            self.at[name].pop()
+        while self.solid and self.solid[-1] >= i:
+            self.solid.pop()
+        del self.open[i:]
+
+    def last(self, names) -> int:
+        return max((x[-1] for n in names if (x := self.at.get(n))), default=-1)
+
+    def close(self, name: str) -> None:
+        if (i := self.last((name,))) >= 0:
+            self.cut(i)
+
+    def make_room(self, name: str) -> None:
+        """Ends what an element of this name ends by beginning."""
+        if name in ENDS_P and (i := self.last(("p",))) > (self.solid[-1] if self.solid else -1):
+            self.cut(i)
+        if name in CLOSES:
+            ends, stop = CLOSES[name]
+            if (i := self.last(ends)) > self.last(stop):
+                self.cut(i)
+
+
+def nodes_of(page: str) -> tuple[list[tuple[str, int, bool, bool, int, int, bool]], Paths]:
+    """(text, path, dropped, in a link, line number, block element, part of a class listed) of every text node, in page
+    order, and the paths. Linear in the page's length, whatever is in it."""
+    paths, stack = Paths(), Stack()
+    out, block, elements, at, size, tag = [], 0, 0, 0, len(page), TAG
+    last = page.rfind(">")
     endless: set[str] = set()
     matched: dict[str, dict[int, int]] = {}
 
     def add(raw: str) -> None:
         if raw:
-            name, path, dropped, main, link, element, partly = stack[-1] if stack else TOP
-            out.append((decoded(raw), path, dropped, main, link, block, element, partly))
+            _, path, dropped, link, element, partly = stack.open[-1] if stack.open else ("", 0, False, False, 0, False)
+            out.append((decoded(raw), path, dropped, link, block, element, partly))
 
-    while at < size:
-        m = TOKEN.search(page, at)
-        if not m:
-            cut = re.search(r"<[A-Za-z/!?][^>]*\Z", page[at:])  # a tag that never ends
-            add(page[at : at + cut.start()] if cut else page[at:])
+    text = 0  # where the text that is read begins
+    while True:
+        begin = page.find("<", at)
+        if begin < 0 or begin > last:
+            cut = CUT.search(page, at)  # a tag that never ends
+            add(page[text : cut.start()] if cut and not page.startswith(("<!--", "<![CDATA["), cut.start()) else page[text : cut.start() if cut else size])
             break
-        add(page[at : m.start()])
-        at = m.end()
-        name = (m[2] or "").lower()
-        if not name:
+        mark = page[begin + 1 : begin + 2]
+        if mark in ("!", "?"):
+            long = next((x for x in (("<!--", "-->"), ("<![CDATA[", "]]>")) if page.startswith(x[0], begin)), ("<", ">"))
+            end = page.find(long[1], begin + len(long[0]))
+            add(page[text:begin])
+            at = text = end + len(long[1]) if end >= 0 else size
             continue
-        if m[1]:
-            if name not in INLINE:
-                block += 1
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
+        m = tag.match(page, begin)
+        if not m and tag is TAG and (mark.isalpha() and mark.isascii() or mark == "/"):
+            m = BARE.match(page, begin)
+            if m:
+                tag = BARE
+        if not m:
+            at = begin + 1
             continue
+        add(page[text:begin])
+        at = text = m.end()
+        name = m[2].lower()
         if name not in INLINE:
             block += 1
+        if m[1]:
+            stack.close(name)
+            continue
         if name in VOID:
             continue
         if name in ("svg", "math") and m[3].rstrip().endswith("/"):
             continue
         if name in RAW:
             if name in RAW_TEXT:
-                end = None if name in endless else re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+                end = None if name in endless else re.compile(rf"</{re.escape(name)}\s*+>", re.I).search(page, at)
                 stop = end.end() if end else 0
                 if not end:
                     endless.add(name)
             else:
                 if name not in matched:
-                    matched[name] = raw_ends(page, name)
-                stop = matched[name].get(at, 0)
+                    matched[name] = raw_ends(page, name, last + 1)
+                stop = matched[name].get(begin, 0)
             if not stop:
                 end = BREAK.search(page, at)
                 stop = end.start() if end else size
-            at = stop
+            at = text = stop
             continue
-        if name in ENDS_P:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    del stack[i:]
-                    break
-                if stack[i][0] not in INLINE:
-                    break
-        if name in CLOSES:
-            ends, stop = CLOSES[name]
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in stop:
-                    break
-                if stack[i][0] in ends:
-                    del stack[i:]
-                    break
+        stack.make_room(name)
         if m[3].rstrip().endswith("/") and name not in INLINE and name not in ENDS_P:
             continue
         attrs = {k.lower(): a or b or c for k, a, b, c in ATTR.findall(m[3])} if m[3] else {}
         words = f"{attrs.get('class', '')} {attrs.get('id', '')}".strip()
-        _, path, dropped, main, link, element, partly = stack[-1] if stack else TOP
-        dropped = dropped or name in NEVER or attrs.get("role", "").lower() in ROLES or bool(words and name not in ("body", "html", "main") and WHOLE.search(words))
-        dropped = dropped or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "")
-        partly = partly or bool(words and name not in ("body", "html", "main") and MARKS.search(ABOUT.sub("", words)))
-        words = words.replace("/", "|")
+        _, path, dropped, link, element, partly = stack.open[-1] if stack.open else ("", 0, False, False, 0, False)
+        told = words and name not in ("body", "html", "main")
+        marked = name in MAIN or attrs.get("role") == "main"
+        dropped = dropped or name in NEVER or attrs.get("role", "").lower() in ROLES or bool(told and WHOLE.search(words))
+        dropped = dropped or bool(m[3]) and ("hidden" in m[3].split() or "hidden" in attrs) or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "")
+        partly = partly or bool(told and MARKS.search(ABOUT.sub("", words)))
         if name not in INLINE:
-            path += f"/{name}.{words}" if words else f"/{name}"
+            path = paths.below(path, name, words, marked)
             elements += 1
             element = element if name in ("li", "dt", "dd") else elements
-        stack.append((name, path, dropped, main or (path if name in MAIN or attrs.get("role") == "main" else ""), link or name == "a", element, partly))
-    return out
+        stack.push((name, path, dropped, link or name == "a", element, partly))
+    return out, paths
+
+
+class Statistics:
+    """What a page's texts say of each tag path: lengths, lines and punctuation, and of each block: its text and link text."""
+
+    def __init__(self, nodes: list[tuple], paths: Paths):
+        self.length, self.lines, self.marks, self.linked = ({} for _ in range(4))
+        self.share: dict[int, list[float]] = {}
+        first: dict[tuple[int, int], tuple] = {}
+        for x in nodes:
+            text, path, _, link, block, element, _ = x
+            long, of = len(text.strip()), self.share.setdefault(element, [0.0, 0.0])
+            self.length[path] = self.length.get(path, 0) + long
+            self.marks[path] = self.marks.get(path, 0) + len(PUNCT.findall(text))
+            self.linked[path] = self.linked.get(path, 0) + long * link
+            of[0] += long
+            of[1] += long * link
+            if (path, block) not in first:
+                first[path, block] = x
+                self.lines[path] = self.lines.get(path, 0) + 1
+        #: The first node of every line.
+        self.first, self.paths = list(first.values()), paths
+
+    def plain(self, x: tuple) -> float:
+        """Share of text outside links in the block of a line."""
+        s = self.share[x[5]]
+        return max(1 - s[1] / s[0], MAIN_PLAIN if self.paths.main[x[1]] >= 0 else 0.0)
+
+
+def ratio_kept(s: Statistics, threshold: float, sigma: float) -> set[int]:
+    """The paths whose smoothed and fused ratios reach the threshold."""
+    of = np.array([x[1] for x in s.first])
+    text = np.array([s.length[p] / s.lines[p] for p in of.tolist()])
+    marks = np.array([s.marks[p] / s.lines[p] for p in of.tolist()])
+    weight = np.array([(MAIN_WEIGHT if s.paths.main[x[1]] >= 0 else 1.0) * (PART_WEIGHT if x[6] else 1.0) * s.plain(x) for x in s.first])
+    reach = np.arange(-2, 3)
+    window = np.exp(-(reach**2) / (2 * sigma**2))
+    norm = np.convolve(np.ones(len(of)), window, "full")[2:-2]
+    text, marks = (np.convolve(v, window, "full")[2:-2] / norm for v in (text, marks))
+    fused = text * (marks + 0.1) * weight
+    path, at = np.unique(of, return_inverse=True)
+    mean = np.bincount(at, fused) / np.bincount(at)
+    return set(path[(mean > 0) & (mean >= threshold * fused.mean())].tolist())
+
 
+def neighbours(s: Statistics, kept: set[int]) -> set[int]:
+    """Headings, paragraphs and the like in a container of kept text; under article or main, what hangs on its containers."""
+    above, name, main, depth = s.paths.above, s.paths.name, s.paths.main, s.paths.depth
+    parents = {above[p] for p in kept}
+    near = {p for p in s.length if above[p] in parents and name[p] in BESIDE}
+    inside: set[int] = set()  # kept paths and what holds them, up to their article or main
+    for p in kept:
+        if main[p] >= 0:
+            up = p
+            while depth[up] >= depth[main[p]] and up not in inside:
+                inside.add(up)
+                up = above[up]
+    reaches: dict[int, bool] = {}  # whether steps down from such a container lead here
+    for p in s.length:
+        if main[p] < 0:
+            continue
+        up, way = p, []
+        while up not in inside and up not in reaches and depth[up] >= depth[main[p]] and name[up] in PART:
+            way.append(up)
+            up = above[up]
+        good = up in inside or reaches.get(up, False)
+        reaches.update(dict.fromkeys(way, good))
+        if good and (s.linked[p] <= s.length[p] / 2 or name[p] in WORDY):
+            near.add(p)
+    return near
 
-def main_text(page: str | None, threshold: float = 0.35, sigma: float = 1.0) -> str:
-    every = nodes_of(page or "")
+
+def main_text(page: str | None, threshold: float = 0.6, sigma: float = 0.6) -> str:
+    every, paths = nodes_of(page or "")
     nodes = [x for x in every if not x[2]]
     solid = [x for x in nodes if x[0].strip()]
     if not solid:
         return ""
-    stats: dict[str, list[float]] = {}
-    shares: dict[int, list[float]] = {}
-    lines: dict[tuple[str, int], tuple] = {}
-    for x in solid:
-        text, path, _, _, link, block, element, _ = x
-        s, of, long = stats.setdefault(path, [0.0, 0.0, 0.0, 0.0]), shares.setdefault(element, [0.0, 0.0]), len(text.strip())
-        s[0] += long
-        s[2] += len(PUNCT.findall(text))
-        s[3] += long * link
-        of[0] += long
-        of[1] += long * link
-        if (path, block) not in lines:
-            s[1] += 1
-            lines[path, block] = x
-    solid = list(lines.values())
-    ratio = np.array([stats[x[1]][0] / stats[x[1]][1] for x in solid])
-    marks = np.array([stats[x[1]][2] / stats[x[1]][1] for x in solid])
-    plain = np.array([max(1 - shares[x[6]][1] / shares[x[6]][0], MAIN_PLAIN if x[3] else 0.0) for x in solid])
-    mains = np.array([(MAIN_WEIGHT if x[3] else 1.0) * (PART_WEIGHT if x[7] else 1.0) for x in solid])
-    reach = np.arange(-2, 3)
-    window = np.exp(-(reach**2) / (2 * sigma**2))
-    weight = np.convolve(np.ones(len(solid)), window, "full")[2:-2]
-    smooth = [np.convolve(v, window, "full")[2:-2] / weight for v in (ratio, marks)]
-    fused = smooth[0] * (smooth[1] + 0.1) * plain * mains
-    by_path: dict[str, list[float]] = {}
-    for x, f in zip(solid, fused, strict=True):
-        by_path.setdefault(x[1], []).append(f)
-    mean = float(np.mean(fused))
-    kept = {p for p, f in by_path.items() if np.mean(f) > 0 and np.mean(f) >= threshold * mean}
-    # A heading or a short paragraph beside kept text belongs to it.
-    parents = {p.rpartition("/")[0] for p in kept}
-    near = {p for p in by_path if p.rpartition("/")[0] in parents and BESIDE.search(p)}
-    roots = {x[1]: x[3] for x in solid if x[3]}
-    inside: set[str] = set()  # kept paths and what holds them, up to their article or main
-    for p in kept & roots.keys():
-        up, root = p, roots[p]
-        while len(up) >= len(root) and up not in inside:
-            inside.add(up)
-            up = up.rpartition("/")[0]
-    for p, root in roots.items():
-        up = p
-        while len(up) >= len(root) and up not in inside and PART.match(up, up.rfind("/")):
-            up = up.rpartition("/")[0]
-        if up in inside and (stats[p][3] <= stats[p][0] / 2 or HEADING.search(p)):
-            near.add(p)
-    kept |= near
+    s = Statistics(solid, paths)
+    kept = ratio_kept(s, threshold, sigma)
+    kept |= neighbours(s, kept)
     blocks: list[str] = []
     now, held = None, []
-    for text, path, _, main, _, block, element, _ in nodes:
-        if text.strip() and (path not in kept or not main and not WORDY.search(path) and shares[element][1] > LINKED * shares[element][0]):
+    for text, path, _, _, block, element, _ in nodes:
+        if text.strip() and (path not in kept or paths.main[path] < 0 and paths.name[path] not in WORDY and s.share[element][1] > LINKED * s.share[element][0]):
             continue
         if block != now:
             blocks.append("".join(held))
