@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import math
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,26 +12,31 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset (tests)."""
-    got = spark.conf.get("spark.checkpoint.dir", "")
-    if not got:
-        own = tempfile.mkdtemp(prefix="notaflow-")
-        atexit.register(shutil.rmtree, own, True)
-        got = f"file://{own}"
-        spark.conf.set("spark.checkpoint.dir", got)
+    """The folder that driver and executors share: spark.checkpoint.dir, or one in the warehouse where it is unset."""
+    got = spark.conf.get("spark.checkpoint.dir", "") or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/notaflow-shared"
     return got.rstrip("/")
 
 
+def on_exit_deleted(spark: SparkSession, path: str) -> None:
+    """Files at path go when the driver ends in order."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(where)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as a table in the shared folder and read back: lineage ends there, so a lost executor costs no rerun."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    on_exit_deleted(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bound the rows of an Arrow batch: texts may be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """At most so many rows in an Arrow batch from now on: texts may be very long. A lower setting of the session stays.
+    Spark reads it when a query is planned, after the operator has returned, so it can't be set back here."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
 
 
 def parts(rows: int, per_part: int) -> int:

@@ -1,262 +1,189 @@
 """Token-id files: adaptive context mixing and a range coder, in independent checksummed blocks.
 
-Format. A file row is a frame: frame number, number of documents, ids of each document, and a payload:
-  "TF1\\n", number of blocks (uint32), then for each block its ids, its bytes and the crc32 of its ids (three uint32),
-  then the blocks' bytes one after the other (16-bit words, little endian).
-A block holds up to BLOCK ids and starts from an empty model, so it can be read alone; its checksum is tested on reading.
+Format. A file row is a frame: frame number, ids of its documents, how many token ids each has, and a payload:
+  "TF2\\n", bits of the largest id, number of blocks (uint32), then for each block its ids, its bytes and the crc32 of its
+  ids (three uint32, little endian), then the blocks' bytes one after the other.
+A block holds up to 65536 ids and starts from an empty model, so it can be read alone; its checksum is tested on reading.
 Frames lie in Parquet files as rows (shard, frame, doc_ids, sizes, payload), a container that Spark can write and read
 in any store.
 
 Model, per block. Order 2 (a hash of the last two ids) and order 1 (of the last one) each remember the id that followed,
-with a confidence. An event says whether the next id is the order-2 prediction, the order-1 prediction, or neither; its
-probability mixes two adaptive estimates (by both confidences; by the last two events), each weighted by how well it
-did. Otherwise the id is coded by order 0: four adaptive choices of 4 bits each, each given the bits before it.
-All events go through one range coder. Blocks of a frame are coded side by side, one lane each, so that every step is an
-array operation.
-
-Defined cases: a null or empty text is the end id alone; repeated rows each keep their place (ties in doc_id are
-ordered by the text's hash; equal rows are alike); null ids come first; no rows give no frames; extra columns are
-ignored.
+with a confidence. One decision says whether the next id is the order-2 prediction, a second one (where it differs)
+whether it is the order-1 prediction. Their probabilities mix three adaptive estimates (by both confidences; by what held
+for the last four ids; by order 1's confidence and agreement), weighted in the logistic domain by how well each did.
+Otherwise the id is coded by order 0: its bits from the highest on, each with an adaptive probability given those before.
+All decisions go through one binary range coder. The arithmetic is on integers, so every machine reads what another wrote.
+The coder runs in the JVM (TokenCoder.java), the tokenizer in Python.
+
+Defined cases: a null or empty text is the end id alone; very long texts are cut by nothing but block ends; repeated rows
+each keep their place (ties in doc_id are ordered by the text's hash; equal rows are alike, and may lie in several
+shards); null ids come first; no rows give no frames; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import struct
-import zlib
+import json
+import re
 from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
 from .common import small_batches, stored, table
+from .jvm import java_functions
 
 VOCABULARY = "word_bpe_49k.json"
-MAGIC = b"TF1\n"
-BLOCK, LANES = 8192, 512
-#: Contexts of the four 4-bit choices of an id, and where each level's begin.
-LEVELS, NODES = (0, 1, 17, 273), 4369
-SLOTS1, SLOTS2 = 1024, 4096
-MASK, FLOOR, TOP = np.uint64(2**48 - 1), np.uint64(2**24), np.uint64(32)
-WORD, SMALL = np.uint64(16), np.uint64(2**32)
-U = np.uint64
-
-
-class Coder:
-    """A carry-free range coder with 48-bit registers and 16-bit words, for many lanes; source None: encoder."""
-
-    def __init__(self, lanes: int, words: int, source: np.ndarray | None = None):
-        self.low, self.range = np.zeros(lanes, U), np.full(lanes, MASK, U)
-        self.data, self.at = (np.zeros((lanes, words), np.uint16) if source is None else source), np.zeros(lanes, np.int64)
-        self.code = np.zeros(lanes, U)
-        self.reading = source is not None
-        if self.reading:
-            for _ in range(3):
-                self._next(np.arange(lanes))
-
-    def _next(self, lanes: np.ndarray) -> None:
-        word = self.data[lanes, np.minimum(self.at[lanes], self.data.shape[1] - 1)]
-        self.code[lanes] = ((self.code[lanes] << WORD) | word.astype(U)) & MASK
-        self.at[lanes] += 1
-
-    def target(self, lanes: np.ndarray, total: np.ndarray) -> np.ndarray:
-        """Where in its total a lane's next event lies."""
-        step = self.range[lanes] // total.astype(U)
-        return np.minimum(((self.code[lanes] - self.low[lanes]) & MASK) // step, total.astype(U) - U(1)).astype(np.int64)
-
-    def step(self, lanes: np.ndarray, start: np.ndarray, size: np.ndarray, total: np.ndarray) -> None:
-        unit = self.range[lanes] // total.astype(U)
-        self.low[lanes] += unit * start.astype(U)
-        wide = unit * size.astype(U)
-        self.range[lanes] = wide
-        lanes = lanes[wide <= SMALL]  # a wider one can have no settled word
-        while len(lanes):
-            low, wide = self.low[lanes], self.range[lanes]
-            same = ((low ^ (low + wide - U(1))) >> TOP) == 0
-            tiny = ~same & (wide < FLOOR)
-            go = same | tiny
-            if not go.any():
-                break
-            wide = np.where(tiny, (U(0) - low) & (FLOOR - U(1)), wide)
-            lanes, low, wide = lanes[go], low[go], wide[go]
-            if self.reading:
-                self._next(lanes)
-            else:
-                self.data[lanes, self.at[lanes]] = (low >> TOP).astype(np.uint16)
-                self.at[lanes] += 1
-            self.low[lanes], self.range[lanes] = (low << WORD) & MASK, wide << WORD
-
-    def finish(self) -> None:
-        for i in (32, 16, 0):
-            self.data[np.arange(len(self.low)), self.at] = (self.low >> U(i)).astype(np.uint16)
-            self.at += 1
-
-
-class Model:
-    """The state of all lanes; run() codes one id a lane and step, from `ids` or from the coder."""
-
-    def __init__(self, lanes: int, largest: int):
-        if largest >= 1 << 16:
-            raise ValueError("ids have 16 bits at most")
-        self.seen1, self.sure1 = np.zeros((lanes, SLOTS1), np.int32), np.zeros((lanes, SLOTS1), np.int8)
-        self.seen2, self.sure2 = np.zeros((lanes, SLOTS2), np.int32), np.zeros((lanes, SLOTS2), np.int8)
-        self.by_sure = np.tile(np.array([8, 8, 16], np.int32), (lanes, 16, 1))
-        self.by_past = np.tile(np.array([8, 8, 16], np.int32), (lanes, 9, 1))
-        self.trust = np.full((lanes, 2), 0.5)
-        self.tree = np.ones((lanes * NODES, 16), np.uint16)
-        self.last, self.before, self.past = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-
-    def run(self, coder: Coder, n: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
-        """n: ids of each lane, not rising. Returns the ids (lanes, steps)."""
-        steps = int(n[0]) if len(n) else 0
-        out = np.zeros((len(n), steps), np.int64) if ids is None else ids
-        for t in range(steps):
-            lanes = np.arange(int(np.searchsorted(-n, -t, "left")))
-            self._one(coder, lanes, out, t, ids is not None)
-        return out
-
-    def _one(self, coder: Coder, a: np.ndarray, out: np.ndarray, t: int, writing: bool) -> None:
-        h1 = (self.last[a] * 40503 >> 4) % SLOTS1
-        h2 = ((self.last[a] * 40503 + self.before[a] * 60493) >> 4) % SLOTS2
-        p1, p2 = self.seen1[a, h1].astype(np.int64), self.seen2[a, h2].astype(np.int64)
-        s1, s2 = self.sure1[a, h1], self.sure2[a, h2]
-        know1, know2 = s1 > 0, s2 > 0
-        context, past = s2.astype(np.int64) * 4 + s1, self.past[a]
-        e1, e2 = self.by_sure[a, context], self.by_past[a, past]
-        q1, q2 = e1 / e1.sum(1, keepdims=True), e2 / e2.sum(1, keepdims=True)
-        w = self.trust[a]
-        share = (w[:, :1] * q1 + w[:, 1:] * q2) / w.sum(1, keepdims=True)
-        possible = np.stack([know2, know1 & ~(know2 & (p1 == p2)), np.ones(len(a), bool)], 1)
-        freq = np.where(possible, np.maximum(1, (share * 4000).astype(np.int64)), 0)
-        cum = np.cumsum(freq, 1)
-        total = cum[:, 2]
-        if writing:
-            x = out[a, t]
-            event = np.where(possible[:, 0] & (x == p2), 0, np.where(possible[:, 1] & (x == p1), 1, 2))
-        else:
-            event = (coder.target(a, total)[:, None] >= cum).sum(1)
-            x = np.where(event == 0, p2, p1)
-        r = np.arange(len(a))
-        coder.step(a, cum[r, event] - freq[r, event], freq[r, event], total)
-        # Estimates learn, and so does the trust in each.
-        hit1, hit2 = q1[r, event], q2[r, event]
-        w = w * np.stack([hit1, hit2], 1) ** 0.2
-        self.trust[a] = np.maximum(w / w.sum(1, keepdims=True), 0.02)
-        e1[r, event] += 8
-        e2[r, event] += 8
-        self.by_sure[a, context] = np.where(e1.sum(1, keepdims=True) > 1000, (e1 + 1) >> 1, e1)
-        self.by_past[a, past] = np.where(e2.sum(1, keepdims=True) > 1000, (e2 + 1) >> 1, e2)
-        new = np.flatnonzero(event == 2)
-        if len(new):
-            x[new] = self._order0(coder, a[new], x[new], writing)
-        ok1, ok2 = know1 & (x == p1), know2 & (x == p2)
-        # A wrong prediction loses confidence first, and is replaced when none is left.
-        self.sure1[a, h1], self.sure2[a, h2] = np.where(ok1, np.minimum(3, s1 + 1), np.where(s1 > 1, s1 - 1, 1)), np.where(ok2, np.minimum(3, s2 + 1), np.where(s2 > 1, s2 - 1, 1))
-        self.seen1[a, h1], self.seen2[a, h2] = np.where(ok1 | (s1 > 1), p1, x), np.where(ok2 | (s2 > 1), p2, x)
-        self.before[a], self.last[a], self.past[a] = self.last[a], x, (past % 3) * 3 + event
-        if not writing:
-            out[a, t] = x
-
-    def _order0(self, coder: Coder, a: np.ndarray, x: np.ndarray, writing: bool) -> np.ndarray:
-        r, made = np.arange(len(a)), np.zeros(len(a), np.int64)
-        for level, base in enumerate(LEVELS):
-            at = a * NODES + base + made
-            row = self.tree[at]
-            cum = np.cumsum(row, 1, dtype=np.int32)
-            total = cum[:, 15]
-            part = (x >> (12 - 4 * level)) & 15 if writing else (coder.target(a, total)[:, None] >= cum).sum(1)
-            size = row[r, part]
-            coder.step(a, cum[r, part] - size, size, total)
-            self.tree[at, part] = size + np.uint16(24)
-            full = total > 30000
-            if full.any():
-                self.tree[at[full]] = (self.tree[at[full]] + np.uint16(1)) >> np.uint16(1)
-            made = (made << 4) | part
-        return made
-
-
-def laid_in_lanes(n: np.ndarray) -> np.ndarray:
-    return np.argsort(-n, kind="stable")
-
-
-def write_frame(ids: np.ndarray, largest: int, block: int = BLOCK, lanes: int = LANES) -> bytes:
-    blocks = [ids[i : i + block] for i in range(0, len(ids), block)]
-    heads, bodies = [], []
-    for i in range(0, len(blocks), lanes):
-        part = blocks[i : i + lanes]
-        n = np.array([len(b) for b in part])
-        order = laid_in_lanes(n)
-        grid = np.zeros((len(part), int(n.max())), np.int64)
-        for lane, j in enumerate(order):
-            grid[lane, : n[j]] = part[j]
-        coder = Coder(len(part), 2 * int(n.max()) + 64)
-        Model(len(part), largest).run(coder, n[order], grid)
-        coder.finish()
-        body: list[bytes] = [b""] * len(part)
-        for lane, j in enumerate(order):
-            body[j] = coder.data[lane, : coder.at[lane]].astype("<u2").tobytes()
-        heads += [struct.pack("<III", len(b), len(d), zlib.crc32(b.astype("<u4").tobytes())) for b, d in zip(part, body, strict=True)]
-        bodies += body
-    return MAGIC + struct.pack("<I", len(blocks)) + b"".join(heads) + b"".join(bodies)
-
-
-def read_frame(payload: bytes, largest: int, lanes: int = LANES) -> np.ndarray:
-    if payload[:4] != MAGIC:
-        raise ValueError("not a token frame")
-    (count,) = struct.unpack_from("<I", payload, 4)
-    heads = np.frombuffer(payload, "<u4", 3 * count, 8).reshape(count, 3).astype(np.int64)
-    at = 8 + 12 * count + np.cumsum(heads[:, 1]) - heads[:, 1]
-    out: list[np.ndarray] = []
-    for i in range(0, count, lanes):
-        head = heads[i : i + lanes]
-        n, order = head[:, 0], laid_in_lanes(head[:, 0])
-        words = np.zeros((len(head), int(head[:, 1].max()) // 2 + 1), np.uint16)
-        for lane, j in enumerate(order):
-            words[lane, : head[j, 1] // 2] = np.frombuffer(payload, "<u2", head[j, 1] // 2, at[i + j])
-        grid = Model(len(head), largest).run(Coder(len(head), 0, words), n[order], None)
-        place = np.argsort(order)
-        for j in range(len(head)):
-            ids = grid[place[j], : n[j]]
-            if zlib.crc32(ids.astype("<u4").tobytes()) != head[j, 2]:
-                raise ValueError(f"block {i + j}: checksum differs")
-            out.append(ids)
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
+#: What a tokenizer file has to say for chunks between blanks to be encoded on their own.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: Letters that are composed, have one lower-case letter, and so pass the normalizer one by one.
+LETTERS = "A-Za-zÀ-ÖØ-öø-įĲ-ňŊ-ž"
+MARKS = '.,;:!?$&*%#"()+=/@_|~-'
+PLAIN = rf"^[{LETTERS}]+[{re.escape(MARKS)}]*$"
 
 
 @lru_cache(2)
-def tokenizer(path: str) -> tuple[Tokenizer, int]:
+def tokenizer(path: str) -> tuple[Tokenizer, Tokenizer | None, np.ndarray]:
+    """The tokenizer; its model alone for words that need no normalizer, where its rules allow that; which ids end a word."""
     t = Tokenizer.from_file(path)
     t.no_truncation()
     t.no_padding()
-    return t, max(t.get_vocab(with_added_tokens=True).values())
+    rules = json.loads(t.to_str())
+    pre, end = rules["pre_tokenizer"] or {}, rules["model"].get("end_of_word_suffix")
+    first = (pre.get("pretokenizers") or [{}])[0]
+    known = rules["normalizer"] == NORMALIZER and first.get("pattern") == {"Regex": SPLIT} and len(pre["pretokenizers"]) == 2 and not pre["pretokenizers"][1]["add_prefix_space"]
+    known = known and bool(end) and not rules["model"].get("continuing_subword_prefix") and all(re.search(rf"[^{LETTERS}{re.escape(MARKS)}]", x["content"]) for x in rules["added_tokens"])
+    words = None
+    vocab = t.get_vocab(with_added_tokens=True)
+    ends = np.zeros(max(vocab.values()) + 1, bool)
+    if known:
+        t.model._resize_cache(0)  # words come once, so its cache would only cost
+        words = Tokenizer(t.model)
+        words.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        ends[[i for x, i in vocab.items() if x.endswith(end)]] = True
+    return t, words, ends
 
 
 class Encoder:
-    """Whole texts to ids. Chunks between spaces and line ends are encoded once each: this tokenizer drops white space
-    before it looks at anything, so a text's ids are its chunks' ids one after the other."""
+    """Whole texts to ids. This tokenizer drops white space before it looks at anything, so a text's ids are the ids of its
+    chunks between blanks and line ends, one after the other, and equal chunks are encoded once. A chunk of letters and
+    closing marks is two words to the tokenizer, the letters in lower case and the marks, whose spelling its model takes
+    as it is; all others go through the whole tokenizer. With another tokenizer, whole texts do."""
+
+    def __init__(self, path: str, end: int, keep: int = 2_000_000):
+        self.whole, self.words, self.ends = tokenizer(path)
+        self.end, self.keep = end, keep
+        self.clear()
+
+    def clear(self) -> None:
+        """Chunk 0 is the end of a text."""
+        self.known = pa.array([], pa.large_string())
+        self.ids, self.begin, self.size = np.array([self.end], np.int32), np.zeros(1, np.int64), np.ones(1, np.int64)
+
+    def encoded(self, chunks: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.whole.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def spelled(self, words: list[str], many: int = 256) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words one after the other, and how many each has: the last id of a word says that it ends one."""
+        joined = [" ".join(words[i : i + many]) for i in range(0, len(words), many)]
+        got = self.words.encode_batch_fast(joined, add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, np.int32) for e in got]) if got else np.zeros(0, np.int32)
+        last = np.flatnonzero(self.ends[ids])
+        assert len(last) == len(words)
+        return ids, np.diff(last, prepend=-1)
+
+    def learn(self, new: pa.Array) -> None:
+        plain = pc.match_substring_regex(new, PLAIN)
+        easy, rest = new.filter(plain), new.filter(pc.invert(plain))
+        hard = rest.to_pylist()
+        stem = pc.utf8_rtrim(easy, MARKS)
+        mark = pc.replace_substring_regex(easy, f"^[{LETTERS}]+", "")
+        words = pc.utf8_lower(stem).dictionary_encode()
+        marks = mark.dictionary_encode()
+        w_ids, w_n = self.spelled(words.dictionary.to_pylist())
+        m_list = [x for x in marks.dictionary.to_pylist() if x]
+        m_ids, m_n = self.spelled(m_list)
+        empty = np.array([not x for x in marks.dictionary.to_pylist()], bool)
+        m_size = np.zeros(len(empty), np.int64)
+        m_size[~empty] = m_n
+        h = self.encoded(hard)
+        h_n = np.array([len(x) for x in h], np.int64)
+        # A pool of words, marks and hard chunks; a chunk takes a piece or two of it.
+        pool = np.concatenate([w_ids, m_ids, np.fromiter((i for x in h for i in x), np.int32, int(h_n.sum()))])
+        a, b = words.indices.to_numpy(), marks.indices.to_numpy()
+        w_at, m_at = np.cumsum(w_n) - w_n, len(w_ids) + np.cumsum(m_size) - m_size
+        h_at = len(w_ids) + len(m_ids) + np.cumsum(h_n) - h_n
+        at = np.concatenate([np.stack([w_at[a], m_at[b]], 1).ravel() if len(a) else np.zeros(0, np.int64), h_at])
+        n = np.concatenate([np.stack([w_n[a], m_size[b]], 1).ravel() if len(a) else np.zeros(0, np.int64), h_n])
+        got = pool[taken(at, n)]
+        size = np.concatenate([w_n[a] + m_size[b], h_n])
+        self.known = pa.concat_arrays([self.known, easy, rest])
+        self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.ids = np.concatenate([self.ids, got])
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, each with its end id, and how many each has."""
+        if self.words is None:
+            rows = [[*x, self.end] for x in self.encoded(texts.to_pylist())]
+            n = np.array([len(x) for x in rows], np.int64)
+            return np.fromiter((i for x in rows for i in x), np.int32, int(n.sum())), n
+        lists = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()), "\n", " "), " ")
+        chunks = lists.flatten().dictionary_encode()
+        names = chunks.dictionary
+        if len(self.known) + len(names) > self.keep:
+            self.clear()
+        number = pc.index_in(names, value_set=self.known)
+        new = names.filter(number.is_null())
+        if len(new):
+            self.learn(new)
+            number = pc.index_in(names, value_set=self.known)
+        found = 1 + number.to_numpy().astype(np.int64)[chunks.indices.to_numpy()]
+        of = pc.list_value_length(lists).to_numpy().astype(np.int64)
+        found = np.insert(found, np.cumsum(of), 0)
+        n = self.size[found]
+        ids = self.ids[taken(self.begin[found], n)]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        ends = np.cumsum(of + 1)
+        return ids, np.diff(upto[ends], prepend=0)
+
+
+def taken(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Places begin[i] to begin[i] + n[i] of all i, one after the other."""
+    total = int(n.sum())
+    out = np.ones(total, np.int64)
+    some = np.flatnonzero(n)
+    if not len(some):
+        return out
+    b, m = begin[some], n[some]
+    head = np.cumsum(m) - m
+    out[head] = np.diff(b, prepend=0) - np.concatenate([[0], m[:-1] - 1])
+    return np.cumsum(out)
 
-    def __init__(self, path: str, keep: int = 200_000):
-        self.tokenizer, self.largest = tokenizer(path)
-        self.known: dict[str, list[int]] = {}
-        self.keep = keep
 
-    def ids(self, texts: list[str]) -> list[list[int]]:
-        chunks = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(dict.fromkeys(c for cs in chunks for c in cs if c not in self.known))
-        if len(self.known) + len(new) > self.keep:
-            self.known.clear()
-            new = list(dict.fromkeys(c for cs in chunks for c in cs))
-        for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[c] = e.ids
-        known = self.known
-        return [[i for c in cs for i in known[c]] for cs in chunks]
+FRAME = "shard int, frame int, doc_ids array<bigint>, sizes array<int>"
+#: A worker keeps its encoder, and with it the chunks it knows, from task to task.
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-FRAME = "shard int, frame int, doc_ids array<bigint>, sizes array<int>, payload binary"
+def gathered(batches, least: int = 1 << 23):
+    """Batches put together until they have so many bytes: equal chunks of one are looked up once."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= least:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
 
 
 def _writer(path: str, end: int, frame_ids: int):
@@ -264,73 +191,67 @@ def _writer(path: str, end: int, frame_ids: int):
         from pyspark import TaskContext
 
         shard, frame = TaskContext.get().partitionId(), 0
-        enc = Encoder(path)
+        enc = _ENCODERS.setdefault((path, end), Encoder(path, end))
         docs, sizes, parts, total = [], [], [], 0
 
         def flush():
             nonlocal docs, sizes, parts, total, frame
-            payload = write_frame(np.concatenate(parts), enc.largest)
-            b = pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([frame], pa.int32()), pa.array([docs], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())), pa.array([payload], pa.binary())], ["shard", "frame", "doc_ids", "sizes", "payload"])
+            raw = np.concatenate(parts).astype("<i4").tobytes()
+            b = pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([frame], pa.int32()), pa.array([np.concatenate(docs).tolist()], pa.list_(pa.int64())), pa.array([np.concatenate(sizes)], pa.list_(pa.int32())), pa.array([raw], pa.binary())], ["shard", "frame", "doc_ids", "sizes", "raw"])
             docs, sizes, parts, total, frame = [], [], [], 0, frame + 1
             return b
 
-        for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            for doc, ids in zip(b.column(0).to_pylist(), enc.ids(texts), strict=True):
-                ids.append(end)
-                docs.append(doc)
-                sizes.append(len(ids))
-                parts.append(np.array(ids, np.int64))
-                total += len(ids)
-                if total >= frame_ids:
-                    yield flush()
+        for b in gathered(batches):
+            ids, n = enc(pc.fill_null(b.column(1), ""))
+            docs.append(np.array(b.column(0).to_pylist(), object))
+            sizes.append(n)
+            parts.append(ids)
+            total += len(ids)
+            if total >= frame_ids:
+                yield flush()
         if docs:
             yield flush()
 
     return run
 
 
-def _reader(largest: int):
-    def run(batches):
-        for b in batches:
-            for shard, frame, docs, sizes, payload in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                ids = read_frame(payload, largest)
-                ends = np.cumsum(sizes)
-                if len(ids) != ends[-1]:
-                    raise ValueError(f"frame {shard}/{frame}: {len(ids)} ids, {ends[-1]} expected")
-                raw = ids.astype("<u4").tobytes()
-                crc = [zlib.crc32(raw[4 * (e - s) : 4 * e]) for e, s in zip(ends.tolist(), sizes, strict=True)]
-                n = len(docs)
-                yield pa.RecordBatch.from_arrays([pa.array([shard] * n, pa.int32()), pa.array([frame] * n, pa.int32()), pa.array(docs, pa.int64()), pa.array(ends - np.array(sizes), pa.int64()), pa.array(sizes, pa.int64()), pa.array(crc, pa.int64())], ["shard", "frame", "doc_id", "inside", "n_tokens", "ids_crc32"])
-
-    return run
+def coder(spark: SparkSession) -> None:
+    java_functions(spark, "TokenCoder.java", {"token_pack": ("Pack", "binary"), "token_unpack": ("Unpack", "binary"), "token_checksums": ("Checksums", "array<bigint>"), "token_starts": ("Starts", "array<bigint>")})
 
 
-def write_tokens(docs: DataFrame, path: str, end: int = 1, vocabulary: str = "", frame_ids: int = BLOCK * LANES) -> None:
-    """Writes the token files of docs (doc_id, text) to `path`, in ascending doc_id order over shards and frames."""
+def write_tokens(docs: DataFrame, path: str, end: int = 1, vocabulary: str = "", frame_ids: int = 1 << 20) -> None:
+    """Writes the token files of docs (doc_id, text) to `path`, in ascending doc_id order over shards and frames. A frame
+    ends with the lot of documents that reaches frame_ids."""
     small_batches(docs.sparkSession)
-    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
-    d = d.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    d.mapInArrow(_writer(vocabulary or public_tokenizers.path(VOCABULARY), end, frame_ids), FRAME).write.parquet(path)
-
-
-def read_tokens(spark: SparkSession, path: str, vocabulary: str = "") -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document in the files at `path`, decoded and checked."""
-    small_batches(spark, 1)
-    frames = spark.read.schema(FRAME).parquet(path)
-    rows = stored(frames.mapInArrow(_reader(tokenizer(vocabulary or public_tokenizers.path(VOCABULARY))[1]), "shard int, frame int, doc_id bigint, inside bigint, n_tokens bigint, ids_crc32 bigint"), "tokens-read")
+    coder(docs.sparkSession)
+    # A random number spreads equal rows over shards; whichever comes first, the files are the same.
+    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("tie"), F.rand(7).alias("spread"))
+    d = d.repartitionByRange("doc_id", "tie", "spread").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
+    frames = d.mapInArrow(_writer(vocabulary or public_tokenizers.path(VOCABULARY), end, frame_ids), f"{FRAME}, raw binary")
+    frames.select("shard", "frame", "doc_ids", "sizes", F.call_function("token_pack", "raw").alias("payload")).write.parquet(path)
+
+
+def read_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document in the files at `path`, decoded and checked. The ids themselves
+    are token_unpack(payload), a frame's documents one after the other, little-endian 32-bit integers."""
+    coder(spark)
+    frames = spark.read.schema(f"{FRAME}, payload binary").parquet(path)
+    crc = F.call_function("token_checksums", "payload", "sizes").alias("crc")
+    frames = stored(frames.select("shard", "frame", "doc_ids", "sizes", crc, F.call_function("token_starts", "sizes").alias("starts")), "tokens-read")
     # Ids before a frame: of earlier shards, and of earlier frames in its shard. One row a shard goes through one window.
-    sizes = rows.groupBy("shard", "frame").agg(F.sum("n_tokens").alias("n"))
+    sizes = frames.select("shard", "frame", F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n"))
     shards = sizes.groupBy("shard").agg(F.sum("n").alias("all")).withColumn("before", F.sum("all").over(W.orderBy("shard")) - F.col("all"))
     base = sizes.withColumn("inner", F.sum("n").over(W.partitionBy("shard").orderBy("frame")) - F.col("n")).join(shards, "shard").select("shard", "frame", (F.col("before") + F.col("inner")).alias("base"))
-    return rows.join(base, ["shard", "frame"]).select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
+    rows = frames.join(base, ["shard", "frame"]).select("base", F.inline(F.arrays_zip("doc_ids", "sizes", "crc", "starts")))
+    return rows.select(F.col("doc_ids").alias("doc_id"), (F.col("base") + F.col("starts")).alias("start"), F.col("sizes").cast("bigint").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
 
 
 def op7_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     from uuid import uuid4
 
-    from .common import shared_dir
+    from .common import on_exit_deleted, shared_dir
 
     path = f"{shared_dir(spark)}/token-files-{uuid4().hex}"
+    on_exit_deleted(spark, path)
     write_tokens(table(spark, sf_dir, "documents"), path)
     return read_tokens(spark, path)
