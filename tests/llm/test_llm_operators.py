@@ -323,18 +323,108 @@ def test_token_file(spark, odd, tmp_path):
     assert tokenfile.read_tokens(spark, f"file://{tmp_path}/e").count() == 0
 
 
-def test_coder_round_trip_and_damage():
+class PlainReader:
+    """One block of a token file, read by the format's description alone."""
+
+    def __init__(self, bits, data):
+        self.bits, self.data, self.at, self.range, self.code = bits, data, 5, 2**32 - 1, int.from_bytes(data[1:5], "big")
+        self.tree, self.one, self.two = {}, {}, {}
+        self.by = [collections.defaultdict(lambda: 32768) for _ in range(3)]
+        self.weights = [[24000] * 3 for _ in range(4)]
+        self.last = self.before = self.past = 0
+        self.squash = [max(1, min(4095, int(4096 / (1 + np.exp(-x / 256)) + 0.5))) for x in range(-2048, 2048)]
+        self.stretch = [next((x - 2048 for x in range(4096) if self.squash[x] >= p), 2047) for p in range(4096)]
+
+    def decide(self, p):
+        part = (self.range >> 16) * p
+        bit = int(self.code < part)
+        self.range, self.code = (part, self.code) if bit else (self.range - part, self.code - part)
+        while self.range < 2**24:
+            self.range, self.code = self.range << 8, (self.code << 8 | (self.data[self.at] if self.at < len(self.data) else 0))
+            self.at += 1
+        return bit
+
+    def flag(self, w, keys):
+        s = [self.stretch[b[k] >> 4] for b, k in zip(self.by, keys, strict=True)]
+        p = self.squash[max(-2048, min(2047, sum(x * y for x, y in zip(self.weights[w], s, strict=True)) >> 16)) + 2048]
+        bit = self.decide(max(64, min(65472, p << 4)))
+        off = ((bit << 12) - p) * 6
+        self.weights[w] = [max(0, min(200000, x + ((y * off + 8192) >> 14))) for x, y in zip(self.weights[w], s, strict=True)]
+        for b, k, speed in zip(self.by, keys, (6, 6, 5), strict=True):
+            b[k] = b[k] + ((65535 - b[k]) >> speed) if bit else b[k] - (b[k] >> speed)
+        return bit
+
+    def id(self):
+        i1, i2 = (self.last * 0x9E3779B1 & 0xFFFFFFFF) >> 17, (self.last * 0x9E3779B1 + self.before * 0x85EBCA6B & 0xFFFFFFFF) >> 15
+        (p1, c1), (p2, c2) = self.one.get(i1, (0, 0)), self.two.get(i2, (0, 0))
+        same, event = int(c1 > 0 and c2 > 0 and p1 == p2), 0
+        if c2 and self.flag(same, (c2 << 3 | c1, self.past & 255, c1 << 1 | same)):
+            event, x = 2, p2
+        elif c1 and not same and self.flag(2 + (c2 > 0), (256 | c2 << 3 | c1, 256 | self.past & 255, 32 | c1 << 1)):
+            event, x = 1, p1
+        else:
+            node = 1
+            for _ in range(self.bits):
+                p = self.tree.get(node, 32768)
+                bit = self.decide(max(64, min(65472, p)))
+                self.tree[node] = p + ((65535 - p) >> 5) if bit else p - (p >> 5)
+                node = node << 1 | bit
+            x = node - (1 << self.bits)
+        for table, i, (p, c) in ((self.one, i1, (p1, c1)), (self.two, i2, (p2, c2))):
+            table[i] = (p, min(7, c + 1)) if c and p == x else (p, c >> 1) if c > 1 else (x, 1)
+        self.before, self.last, self.past = self.last, x, self.past << 2 | event
+        return x
+
+
+def plainly_read(payload):
+    assert payload[:4] == b"TF2\n"
+    bits, count, *heads = np.frombuffer(payload, "<u4", 2 + 3 * int.from_bytes(payload[8:12], "little"), 4).tolist()
+    at, out = 12 + 12 * count, []
+    for n, size, crc in zip(heads[::3], heads[1::3], heads[2::3], strict=True):
+        r = PlainReader(bits, payload[at : at + size])
+        ids = [r.id() for _ in range(n)]
+        assert zlib.crc32(np.array(ids, "<u4").tobytes()) == crc
+        at, out = at + size, out + ids
+    assert at == len(payload)
+    return out
+
+
+def test_coder_round_trip_and_damage(spark):
+    tokenfile.coder(spark)
     rng = np.random.default_rng(0)
-    for n in (0, 1, 5, 700, 3000):
-        ids = np.minimum(rng.zipf(1.2, n), 49407)
-        data = tokenfile.write_frame(ids, 49407, block=300, lanes=4)
-        assert (tokenfile.read_frame(data, 49407, lanes=4) == ids).all()
     again = np.tile(rng.integers(0, 49408, 50), 100)
-    assert len(tokenfile.write_frame(again, 49407)) < 2 * len(again) / 4
-    bad = bytearray(data)
-    bad[-5] ^= 255
-    with pytest.raises(ValueError):
-        tokenfile.read_frame(bytes(bad), 49407, lanes=4)
+    rows = [np.minimum(rng.zipf(1.2, n), 49407) for n in (0, 1, 5, 700, 3000)] + [again, np.arange(70_000) * 200, np.zeros(10), np.repeat([7, 65535, 0], 400)]
+    raw = [np.asarray(x).astype("<u4").tobytes() for x in rows]
+    df = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(raw)], "i int, raw binary").repartition(3)
+    df = df.withColumn("payload", F.call_function("token_pack", "raw"))
+    got = {r.i: r for r in df.withColumn("back", F.call_function("token_unpack", "payload")).collect()}
+    for i, x in enumerate(raw):
+        assert bytes(got[i].back) == x
+        if len(x) <= 4 * 5000:
+            assert plainly_read(bytes(got[i].payload)) == np.frombuffer(x, "<u4").tolist()
+    assert len(got[5].payload) < 2 * len(again) / 4
+    for at, error in ((-5, "checksum differs"), (0, "not a token frame")):
+        bad = bytearray(got[4].payload)
+        bad[at] ^= 255
+        with pytest.raises(Exception, match=error):
+            spark.createDataFrame([(bad,)], "p binary").select(F.call_function("token_unpack", "p")).collect()
+    for raw in (np.array([-1], "<i4"), np.array([1 << 24], "<i4")):
+        with pytest.raises(Exception, match="ids"):
+            spark.createDataFrame([(bytearray(raw.tobytes()),)], "p binary").select(F.call_function("token_pack", "p")).collect()
+
+
+def test_chunks_are_encoded_as_whole_texts():
+    """Letters, marks, blanks and odd characters in any order: chunk by chunk as in one go, for this and for another tokenizer."""
+    rng = random.Random(6)
+    bits = ["a", "Ab", "é", "É", "ß", "İ", "ŉ", "Σας", "日本", "'s", "'", "'ll", " ", "  ", "\n", "\t", "\u00a0", "\u0301", ".", ",,", "…", "-", "1", "23", "<", "<|endoftext|>", "|>", "x" * 400, "🎉", "\u2028"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 30))) for _ in range(1500)] + ["", "word " * 3000]
+    for name, fast in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        enc = tokenfile.Encoder(public_tokenizers.path(name), 1, keep=900)
+        assert (enc.words is not None) == fast
+        for part in (texts[:700], texts[700:], texts[:50]):
+            ids, n = enc(tokenfile.pa.array(part))
+            whole = [[*x, 1] for x in enc.encoded(part)]
+            assert n.tolist() == [len(x) for x in whole] and ids.tolist() == [i for x in whole for i in x]
 
 
 def test_segmentations(spark, odd):
@@ -462,3 +552,77 @@ def test_extraction_raw_elements_and_class_words():
     for words in ("content no-sidebar", "post has-comments", "main-content-side", "layout header-fixed"):
         assert extraction.main_text(f'<body><div class="{words}"><h1>Head</h1><p>{long}</p></div></body>') == f"Head {long}"
     assert extraction.main_text(f'<body><div class="post">{f"<p>{long}" * 6}</div><div class="cookie-bar"><p>We use them, accept.</p></div><div class="related"><p>{long}</p></div></body>') == " ".join([long] * 6)
+
+
+def test_extraction_statistics_against_a_plain_parser():
+    """Lengths, lines and punctuation of every path of well-formed pages, by the standard library's parser."""
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.way, self.block, self.found = [], 0, collections.defaultdict(lambda: [0, set(), 0])
+
+        def handle_starttag(self, tag, attrs):
+            if tag not in extraction.INLINE:
+                self.way.append(f"{tag}.{dict(attrs).get('class', '')}")
+                self.block += 1
+
+        def handle_endtag(self, tag):
+            if tag not in extraction.INLINE:
+                self.way.pop()
+                self.block += 1
+
+        def handle_data(self, data):
+            if data.strip():
+                s = self.found["/".join(self.way)]
+                s[0] += len(data.strip())
+                s[1].add(self.block)
+                s[2] += len(extraction.PUNCT.findall(data))
+
+    rng = random.Random(12)
+
+    def element(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return rng.choice(["Some words, and more. ", "x", " ", "Why? <b>bold!</b> so", "a <a href='q'>link; here</a>"])
+        name, words = rng.choice(["div", "section", "ul", "blockquote"]), rng.choice(["", "", " class='one'", ' class="two three"'])
+        return f"<{name}{words}>" + "".join(element(depth - 1) for _ in range(rng.randint(1, 4))) + f"</{name}>"
+
+    for _ in range(150):
+        page = element(5) + element(4)
+        plain = Plain()
+        plain.feed(page)
+        plain.close()
+        nodes, paths = extraction.nodes_of(page)
+        s = extraction.Statistics([x for x in nodes if x[0].strip()], paths)
+        steps = {number: step for (_, step), number in paths.number.items()}
+
+        def way(path):
+            return f"{way(paths.above[path])}/{steps[path]}".lstrip("/") if path else ""
+
+        assert {way(q): (s.length[q], s.lines[q], s.marks[q]) for q in s.length} == {k: (v[0], len(v[1]), v[2]) for k, v in plain.found.items()}
+
+
+def test_extraction_decides_every_page_by_ratios(spark, monkeypatch):
+    seen = []
+    plain = extraction.ratio_kept
+    monkeypatch.setattr(extraction, "ratio_kept", lambda s, *a: seen.append((len(s.length), plain(s, *a))) or seen[-1][1])
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    texts = [extraction.main_text(x) for x in pages]
+    assert len(seen) == len(pages) and all(texts)
+    assert all(0 < len(kept) <= n for n, kept in seen)
+    # Without any name to go by, the ratios alone find the same text on most pages, and drop something on nearly all.
+    bare = [re.sub(r"<(/?)(?:nav|article|footer)\b", r"<\1div", x).replace('<div class="ad">', "<div>") for x in pages]
+    assert sum(extraction.main_text(x) == want for x, want in zip(bare, texts, strict=True)) > len(pages) / 2
+    whole = [" ".join(e[0] for e in extraction.nodes_of(x)[0]).split() for x in bare]
+    assert sum(len(extraction.main_text(x).split()) < len(all_words) for x, all_words in zip(bare, whole, strict=True)) > 0.9 * len(pages)
+
+
+def test_extraction_of_hostile_pages_is_linear():
+    import time
+
+    n = 100_000
+    for page in ("<p x " * n, '<a "' * n, '<a x="' * n, "<div></b></i></span>" * (n // 4), "<div>" * n + "x", f"<a {'b' * 5 * n}>x", "<svg x " * n, "<svg>" * n, "<!" * n, "<" * n, "<b>" * n + "<div></div>" * n, "<ul><li>" * n, "<li><ul>" + "<div>" * n + "<li></li>" * n, "<script>" * n, f"<a ={'= ' * n}>x", '<a x="' + "<b>" * n):
+        began = time.process_time()
+        extraction.main_text(page)
+        assert time.process_time() - began < 15, page[:20]
