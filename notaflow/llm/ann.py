@@ -1,19 +1,25 @@
 """Approximate nearest neighbours by inner product: stable projections, kd-tree, chi-square stopping.
 
-Largest inner product is turned into smallest distance: each row gets one more component, sqrt(M^2 - |x|^2) with M the
-largest norm, each query gets 0 there. Rows are projected by a fixed Gaussian (2-stable) matrix to `dims` dimensions,
-where |projected difference|^2 / |difference|^2 follows a chi-square law with `dims` degrees of freedom. Each block of
-rows has a kd-tree over the projections. For a query the tree's leaves come in order of the distance from the query's
-projection to their boxes; the rows of a leaf are verified with exact inner products. The search of a block stops when
-the next leaf lies so far that a row there as near as the kth found would have been projected nearer with probability
-`confidence` (chi-square test). The best k of all blocks are the answer.
+Largest inner product is turned into smallest distance: in each block of rows, a row gets one more component,
+sqrt(M^2 - |x|^2) with M the block's largest norm, a query gets 0 there. Rows are projected by a fixed Gaussian (2-stable)
+matrix to `dims` dimensions, where |projected difference|^2 / |difference|^2 follows a chi-square law with `dims` degrees
+of freedom. Each block has a kd-tree over the projections. For a query the tree's leaves come in order of the distance
+from the query's projection to their boxes, and the rows of a leaf are verified with exact inner products as far as the
+stopping test lets them: a row is left out where a row as near as the kth found would have been projected nearer with
+probability `confidence` (chi-square test), and the search of a block stops where that holds for all leaves to come. The
+best k of all blocks are the answer. Expected recall of a kth neighbour is at least `confidence`.
 
-Blocks are dealt by hash, so any number of equal vectors spreads; every row is in a tree. Queries meet the blocks in a
-grid. Expected recall of a kth neighbour is at least `confidence`.
+A leaf's rows are multiplied with all queries that want some of them at once, as one product costs less than picking
+pairs; a row that a query's test leaves out is not used for it, and `verified` counts those used. How many they are
+hangs on the vectors: of independent ones in 64 dimensions, whose distances differ little, more than half.
+
+Blocks are dealt at random, so any number of equal vectors or rows spreads; every row is in a tree.
 
 Defined cases: vectors that are null, zero, empty, or hold null or non-finite components, and null ids, take no part;
-vectors of another length than the most frequent one take no part; repeated rows are separate candidates; ties go to
-the smaller id; with fewer than k candidates all found are returned; an empty table gives no rows.
+vectors of another length than the most frequent one take no part; repeated rows are separate candidates; repeated
+query rows ask once, and rows of one id with different vectors ask each on their own; ties go to the smaller id; with
+fewer than k candidates all found are returned; huge finite components take part, and scores beyond the doubles are
+infinite; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,12 +27,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stored, table
-from .topk import laid_out, matrix, ranked, usable
+from .topk import as_table, in_cells, laid_out, ranked, read, tiles, usable
 
 
 def chi2_quantile(p: float, dof: int) -> float:
@@ -63,60 +69,96 @@ def kd_leaves(points: np.ndarray, leaf: int) -> list[np.ndarray]:
     return out
 
 
-def search_block(rows: pd.DataFrame, asked: pd.DataFrame, k: int, dims: int, confidence: float, leaf: int, norm: float, seed: int) -> pd.DataFrame:
-    """The k nearest rows of one block for each query. All queries take their next leaves in rounds, twice as many each
-    time, so that a leaf's rows are verified for all queries that want it by one product."""
-    if not len(rows) or not len(asked):
-        return pd.DataFrame({"query_id": [], "nth": [], "vec_id": [], "score": []})
-    x, q, ids, of = matrix(rows.v), matrix(asked.v), rows.vec_id.to_numpy(), asked.vec_id.to_numpy()
-    extra = np.sqrt(np.maximum(0.0, norm**2 - (x**2).sum(1)))
-    a = np.random.default_rng(seed).standard_normal((x.shape[1] + 1, dims))
-    px, pq = x @ a[:-1] + extra[:, None] * a[-1], q @ a[:-1]
-    leaves = kd_leaves(px, leaf)
-    x, px, ids = (v[np.concatenate(leaves)] for v in (x, px, ids))  # a leaf's rows lie together
-    begin = np.concatenate([[0], np.cumsum([len(m) for m in leaves])])
-    box = np.zeros((len(q), len(leaves)))
-    for j in range(len(leaves)):
-        p = px[begin[j] : begin[j + 1]]
-        box[:, j] = (np.maximum(0.0, np.maximum(p.min(0) - pq, pq - p.max(0))) ** 2).sum(1)
+class Block:
+    """The rows of a block in the order of its tree's leaves, with their projections."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, dims: int, leaf: int, seed: int):
+        # A power of two, so that scaling is exact; it keeps squares of huge components finite.
+        self.scale = 2.0 ** -max(0, math.frexp(np.abs(x).max())[1] - 100)
+        near = x * self.scale
+        self.norm = float(np.sqrt((near**2).sum(1).max()))
+        self.project = np.random.default_rng(seed).standard_normal((x.shape[1] + 1, dims))
+        extra = np.sqrt(np.maximum(0.0, self.norm**2 - (near**2).sum(1)))
+        p = near @ self.project[:-1] + extra[:, None] * self.project[-1]
+        leaves = kd_leaves(p, leaf)
+        order = np.concatenate(leaves)  # a leaf's rows lie together
+        self.ids, self.x, self.near, self.p = ids[order], x[order], near[order], p[order]
+        self.begin = np.concatenate([[0], np.cumsum([len(m) for m in leaves])])
+        self.low, self.high = (f.reduceat(self.p, self.begin[:-1], 0) for f in (np.minimum, np.maximum))
+        self.p2 = (self.p**2).sum(1)
+
+
+def search(block: Block, of: np.ndarray, q: np.ndarray, k: int, bar: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest found for each query: (query, row, score) and how many rows each query used. All queries take their next
+    leaves in rounds, twice as many each time."""
+    shrink = 2.0 ** -np.maximum(0, np.frexp(np.abs(q).max(1))[1] - 100)
+    qs = q * shrink[:, None]
+    pq, q2 = qs @ block.project[:-1], (qs**2).sum(1)
+    leaves = len(block.begin) - 1
+    box = np.zeros((len(q), leaves))
+    for d in range(pq.shape[1]):
+        box += np.maximum(0.0, np.maximum(block.low[None, :, d] - pq[:, d, None], pq[:, d, None] - block.high[None, :, d])) ** 2
     place = np.argsort(np.argsort(box, 1, kind="stable"), 1)  # a leaf's place in a query's order
-    bar, q2 = chi2_quantile(confidence, dims), (q**2).sum(1)
-    own = of[:, None] == ids[None, :]
-    found, kth, at, more = np.full((len(q), len(x)), -np.inf), np.full(len(q), -np.inf), 0, 2
-    while at < len(leaves):
-        near = box <= np.where(np.isfinite(kth), bar * np.maximum(0.0, norm**2 + q2 - 2 * kth), np.inf)[:, None]
-        want = (place >= at) & (place < at + more) & near
-        if not want.any():
-            break
+    far = (pq**2).sum(1)[:, None] + block.p2[None, :] - 2 * (pq @ block.p.T)  # distance in the projection
+    own = of[:, None] == block.ids[None, :]
+    found, used, kth, at, more = np.full(own.shape, -np.inf), np.zeros(len(q), np.int64), np.full(len(q), -np.inf), 0, 2
+    while at < leaves:
+        reach = np.where(np.isfinite(kth), bar * np.maximum(0.0, block.norm**2 + q2 - 2 * kth), np.inf)
+        want = (place >= at) & (place < at + more) & (box <= reach[:, None])
         for j in np.flatnonzero(want.any(0)):
-            who, part = np.flatnonzero(want[:, j]), slice(begin[j], begin[j + 1])
-            found[who, part] = np.where(own[who, part], -np.inf, q[who] @ x[part].T)
+            who, part = np.flatnonzero(want[:, j]), slice(block.begin[j], block.begin[j + 1])
+            near = (far[who, part] <= reach[who, None]) & ~own[who, part]
+            found[who, part] = np.where(near, qs[who] @ block.near[part].T, -np.inf)
+            used[who] += near.sum(1)
         at, more = at + more, more * 2
-        if len(x) > k:
-            kth = np.partition(found, len(x) - k, 1)[:, len(x) - k]
-    i, j = np.nonzero((found >= kth[:, None] - 1e-9) & np.isfinite(found))
-    exact = np.concatenate([(q[i[c : c + 65536]] * x[j[c : c + 65536]]).sum(1) for c in range(0, len(i), 65536)]) if len(i) else np.zeros(0)
-    order = np.lexsort((ids[j], -exact, i))
+        if own.shape[1] > k:
+            kth = np.partition(found, own.shape[1] - k, 1)[:, own.shape[1] - k]
+        if not ((place >= at) & (box <= np.where(np.isfinite(kth), bar * np.maximum(0.0, block.norm**2 + q2 - 2 * kth), np.inf)[:, None])).any():
+            break
+    slack = 1e-12 * block.norm * np.sqrt(q2)  # products of matrices and of pairs differ by less
+    i, j = np.nonzero((found >= (kth - slack)[:, None]) & np.isfinite(found))
+    exact = np.concatenate([scores(block, q, qs, shrink, i[c : c + 65536], j[c : c + 65536]) for c in range(0, len(i), 65536)]) if len(i) else np.zeros(0)
+    order = np.lexsort((block.ids[j], -exact, i))
     i, j, exact = i[order], j[order], exact[order]
     keep = np.arange(len(i)) - np.searchsorted(i, i, "left") < k
-    return pd.DataFrame({"query_id": of[i[keep]], "nth": asked.nth.to_numpy()[i[keep]], "vec_id": ids[j[keep]], "score": exact[keep]})
+    return i[keep], j[keep], exact[keep], used
+
+
+def scores(block: Block, q: np.ndarray, qs: np.ndarray, shrink: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Inner products of the original vectors; where partial sums leave the doubles, of the scaled ones, scaled back."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        out = (q[i] * block.x[j]).sum(1)
+        odd = ~np.isfinite(out)
+        out[odd] = (qs[i[odd]] * block.near[j[odd]]).sum(1) / shrink[i[odd]] / block.scale
+    return out
+
+
+FOUND = "query_id bigint, key bigint, vec_id bigint, score double, verified bigint, of_rows bigint"
+
 
+def _searcher(k: int, dims: int, bar: float, leaf: int, seed: int):
+    def run(block: pa.Table, chunk: pa.Table) -> pa.Table:
+        (ids, _, x), (of, keys, q) = read(block), read(chunk)
+        if not len(ids) or not len(of):
+            return as_table(FOUND, [])
+        rows, out = Block(ids, x, dims, leaf, seed), []
+        for t in tiles(len(of)):
+            i, j, score, used = search(rows, of[t], q[t], k, bar)
+            out.append([of[t][i], keys[t][i], rows.ids[j], score, used[i], np.full(len(i), len(ids))])
+        return as_table(FOUND, out)
 
-def projected_search(vectors: DataFrame, k: int = 20, every: int = 20, dims: int = 8, confidence: float = 0.95, leaf: int = 64, block_rows: int = 4096, chunk_rows: int = 1024, seed: int = 20) -> DataFrame:
-    """query_id, rank, vec_id, score for each row whose id is divisible by `every`, against all rows."""
-    x = usable(vectors).where(F.exists("v", lambda c: c != 0))
-    x = stored(x, "ann-vectors")
-    norm2 = x.select(F.max(F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c))).first()[0]
-    rows, asked, q = laid_out(x, every, block_rows, chunk_rows)
-    if not q:
-        return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    norm = math.sqrt(norm2)
+    return run
 
-    def run(key, r, a):
-        return search_block(r, a, k, dims, confidence, leaf, norm, seed)
 
-    hits = rows.groupBy("block", "chunk").cogroup(asked.groupBy("block", "chunk")).applyInPandas(run, "query_id bigint, nth int, vec_id bigint, score double")
-    return ranked(hits, k)
+def projected_search(vectors: DataFrame, k: int = 20, every: int = 20, dims: int = 24, confidence: float = 0.93, leaf: int = 64, block_rows: int = 8192, chunk_rows: int = 16384, seed: int = 20) -> DataFrame:
+    """query_id, rank, vec_id, score for each row whose id is divisible by `every`, against all rows; and of the block that
+    the neighbour was found in, how many rows the query verified, of how many."""
+    x = stored(usable(vectors).where(F.exists("v", lambda c: c != 0)), "ann-vectors")
+    laid = laid_out(x, every, block_rows, chunk_rows, "ann")
+    if not laid:
+        return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double, verified bigint, of_rows bigint")
+    hits = in_cells(*laid, _searcher(k, dims, chi2_quantile(confidence, dims), leaf, seed), FOUND)
+    return ranked(hits, k).select("query_id", "rank", "vec_id", "score", "verified", "of_rows")
 
 
 def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
