@@ -6,7 +6,8 @@ line) are byte intervals too; the two sorted lists of intervals are joined, and
 the section that holds most of its bytes, to the earlier of equals. So each token counts once, and a document's counts
 add up to the number of its tokens.
 
-Defined cases: a null field is empty; an empty section has 0 tokens; repeated rows each give their own sections (the
+Defined cases: a null field is empty; an empty section has 0 tokens; very long texts are encoded whole, in time that grows
+with their length, and texts of many short lines give a row for each; repeated rows each give their own sections (the
 query tells them apart by nothing but their content); extra columns are ignored; no rows give no rows.
 """
 
@@ -42,11 +43,18 @@ def allocate(lens: np.ndarray, edges: np.ndarray) -> np.ndarray:
     """Tokens per section; lens: bytes of each token in order, edges: byte ends of the sections in order."""
     ends = np.cumsum(lens)
     first, last = np.searchsorted(edges, ends - lens, "right"), np.searchsorted(edges, ends - 1, "right")
-    for i in np.flatnonzero(first != last):
-        sections = np.arange(first[i], last[i] + 1)
-        low = np.concatenate([[0], edges])[sections]
-        share = np.minimum(edges[sections], ends[i]) - np.maximum(low, ends[i] - lens[i])
-        first[i] = sections[np.argmax(share)]
+    cross = np.flatnonzero(first != last)
+    if len(cross):
+        # Every section that a crossing token touches, token by token: no more than sections and tokens together.
+        many = last[cross] - first[cross] + 1
+        head = np.cumsum(many) - many
+        token = np.repeat(cross, many)
+        section = np.repeat(first[cross] - head, many) + np.arange(len(token))
+        low = np.concatenate([[0], edges])[section]
+        share = np.minimum(edges[section], ends[token]) - np.maximum(low, ends[token] - lens[token])
+        best = np.flatnonzero(share == np.repeat(np.maximum.reduceat(share, head), many))
+        _, at = np.unique(token[best], return_index=True)  # the earliest of equals
+        first[cross] = section[best[at]]
     return np.bincount(first, minlength=len(edges))
 
 
