@@ -19,7 +19,9 @@ components of all links: no link is lost, and copies and near copies never becom
 Hashes have 64 bits: sets and shingles are told apart by them (for N classes, N^2 / 2^65 false merges are expected).
 
 Defined cases: a null, empty or blank text has an empty set, n_shingles 0, and is linked with nothing (its component_id
-is its own doc_id); repeated rows and repeated ids each give a row; extra columns are ignored; no rows give no rows.
+is its own doc_id); a row without doc_id is compared like any other, and its component_id is the smallest doc_id of its
+group, null where the group has none; repeated rows and repeated ids each give a row; very long texts are sets like any
+other; extra columns are ignored; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -94,19 +96,19 @@ def sketches(s: np.ndarray, n: np.ndarray) -> list[bytes]:
 
 
 def named(words: int):
-    """Arrow batches of (doc_id, text) to (doc_id, n, cls, sketch); a class's sketch comes once a task."""
+    """Arrow batches of (doc_id, key, text) to (doc_id, key, n, cls, sketch); a class's sketch comes once a task."""
 
     def run(batches):
         seen = set()
         for b in batches:
-            s, n = shingle_sets(b.column(1).to_pylist(), words)
+            s, n = shingle_sets(b.column(2).to_pylist(), words)
             cls = set_class(s, n).view(np.int64)
             sketch = sketches(s, n)
             for i, c in enumerate(cls.tolist()):
                 if not n[i] or c in seen:
                     sketch[i] = None
                 seen.add(c)
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(cls), pa.array(sketch, pa.binary())], ["doc_id", "n", "cls", "sketch"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(n, pa.int64()), pa.array(cls), pa.array(sketch, pa.binary())], ["doc_id", "key", "n", "cls", "sketch"])
 
     return run
 
@@ -218,13 +220,20 @@ def bucket_forest(percent: int, small: int = 6):
 
 
 def hashed(doc_words: int):
-    """Arrow batches of (cls, comp, blocks, text) to the same with the set, where the text is of that class."""
+    """Arrow batches of (cls, comp, blocks, text) to the same with the set, where the text is of that class; each class once
+    a task, as repeated rows have one key."""
 
     def run(batches):
+        seen: set[int] = set()
         for b in batches:
             s, n = shingle_sets(b.column(3).to_pylist(), doc_words)
             at = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-            same = pa.array(set_class(s, n).view(np.int64) == b.column(0).to_numpy())
+            same = set_class(s, n).view(np.int64) == b.column(0).to_numpy()
+            for i, c in enumerate(b.column(0).to_pylist()):
+                if same[i]:
+                    same[i] = c not in seen
+                    seen.add(c)
+            same = pa.array(same)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.ListArray.from_arrays(at, pa.array(s.view(np.int64)))], ["cls", "comp", "blocks", "h"]).filter(same)
 
     return run
@@ -277,9 +286,11 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80, block: in
     """doc_id, n_shingles, class_id, component_id for each row: component_id is the smallest doc_id reachable by links."""
     spark = docs.sparkSession
     small_batches(spark)
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    t = stored(texts.mapInArrow(named(words), "doc_id bigint, n bigint, cls bigint, sketch binary"), "jaccard-named")
-    classes = t.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"))
+    # A row without an id is found again by its text.
+    key = F.coalesce(F.col("doc_id").cast("bigint"), F.xxhash64("text"))
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), key.alias("key"), "text")
+    t = stored(texts.mapInArrow(named(words), "doc_id bigint, key bigint, n bigint, cls bigint, sketch binary"), "jaccard-named")
+    classes = t.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("key").alias("found by"))
     sigs = texts.select("text").mapInArrow(signed(words, percent), "sig bigint, cls bigint")
     same = W.partitionBy("sig")
     shared = sigs.withColumns({"m": F.count("*").over(same), "least": F.min("cls").over(same), "most": F.max("cls").over(same)}).where("least <> most")
@@ -294,7 +305,7 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80, block: in
     member = near.join(sizes, "root").select(F.col("node").alias("cls"), F.col("root").alias("comp"), "blocks")
     member = stored(member.join(classes, "cls"), "jaccard-candidates")
     rows = member.agg(F.coalesce(F.sum("blocks"), F.lit(0))).first()[0]
-    sets = member.hint("shuffle_merge").join(texts, F.col("rep") == F.col("doc_id")).select("cls", "comp", "blocks", "text")
+    sets = member.hint("shuffle_merge").join(texts, F.col("found by") == F.col("key")).select("cls", "comp", "blocks", "text")
     sets = sets.mapInArrow(hashed(words), "cls bigint, comp bigint, blocks int, h array<bigint>")
     dealt = grid(sets.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")), "blocks", "comp", "cls", "h")
     task = F.pmod(F.xxhash64("comp", "i", "j"), F.lit(parts(rows, task_rows) * 4)).alias("task")
