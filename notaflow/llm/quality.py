@@ -3,14 +3,16 @@
 Each line of a text is good or bad. A line's evidence is its own features and those of the line before and after
 (character classes, word lengths, repetition), each cut into bins with a weight per label; neighbouring labels have
 transition weights. The model is trained on lines that carry their document's label, on at most `sample_docs` labelled
-documents (the ones with the smallest hash of the id). A document's evidence is the length-weighted mean of the forward-
+documents (the ones with the smallest hash of the id) with at most `sample_lines` lines together. A document's evidence is the length-weighted mean of the forward-
 backward marginals of "good"; a logistic curve fitted on the same sample turns it into a score.
 
 Training rows have crc32(doc_id as text) mod 3 other than 1. Only the text is an input of a score.
 
 Defined cases: a null or empty text is one empty line; null labels, and labels other than 0 and 1, are no labels; of
-repeated labels of one doc_id the smallest counts; repeated rows each give a row; without labelled rows every score is
-0.5; extra columns are ignored.
+repeated labels of one doc_id the smallest counts, and of different texts of one labelled doc_id the one with the smallest
+hash is trained on; repeated rows each give a row; rows without doc_id are scored, have no label and are not held out;
+without labelled rows every score is 0.5; a very long text is scored whole, but trains only if its lines fit the sample;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import small_batches, table
@@ -177,15 +180,19 @@ def _features(batches):
 
 
 def held_out():
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 4000) -> dict | None:
-    """The model, from at most `sample_docs` labelled documents outside the held-out part."""
+def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 4000, sample_lines: int = 200_000) -> dict | None:
+    """The model, from at most `sample_docs` labelled documents outside the held-out part, of at most `sample_lines` lines."""
     small_batches(docs.sparkSession)
     known = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(F.min("quality").cast("double").alias("y"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    few = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"])
+    few = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    # The window sees the sample alone.
+    lines = F.coalesce(F.regexp_count("text", F.lit("\n")), F.lit(0)) + 1
+    upto = F.sum("lines").over(W.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(W.unboundedPreceding, 0))
+    few = few.withColumn("lines", lines).where(F.col("lines") <= sample_lines // 10).withColumn("upto", upto).where(F.col("upto") <= sample_lines)
     rows = few.select("y", "text").mapInArrow(_features, "y double, x array<double>").toArrow()
     if not rows.num_rows:
         return None
