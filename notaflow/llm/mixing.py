@@ -1,6 +1,6 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-Every source's documents are shuffled by a hash and laid end to end, up to `max_repeats` times. A copy's virtual
+Every source's documents are shuffled by a hash of id and text and laid end to end, up to `max_repeats` times. A copy's virtual
 finish time is the source's words up to and with it, divided by the source's target. All copies are range-sorted by
 that time and the sorted list is cut where its words would exceed the budget.
 
@@ -37,9 +37,11 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], max_repeats: int)
     return s.select("sid", "source", "source_size", target.alias("target"))
 
 
-def weighted_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeats: int = 3, seed: str = "mix", rows_per_bucket: int = 20_000) -> DataFrame:
+def weighted_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeats: int = 3, seed: str = "mix", rows_per_bucket: int = 2_000) -> DataFrame:
     """doc_id, source, size, source_size, target, taken. Two sorts on narrow rows; the text is read once."""
-    order = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, KEY_BITS // 4), 16, 10).cast("bigint")
+    # The text counts too, so that rows of one id, or without one, spread.
+    key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col("text"), F.lit("")))
+    order = F.conv(F.substring(F.md5(key.cast("binary")), 1, KEY_BITS // 4), 16, 10).cast("bigint")
     d = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"), order.alias("h"))
     d = stored(d, "mix-sizes")
     n, budget = d.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
@@ -83,7 +85,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP8_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h
+         CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 15) AS BIGINT) AS h
   FROM documents),
 s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS sid FROM d GROUP BY source),
 s1 AS (SELECT *, [5, 2, 1][1 + (sid - 1) % 3] AS w, source_size * 3 AS cap FROM s0),
