@@ -108,6 +108,48 @@ def test_ann(spark, points):
     assert ann.projected_search(vectors(spark, [])).count() == 0
 
 
+def test_huge_finite_components(spark, points):
+    """They take part: integer scores stop at 64 bits, doubles at infinity."""
+    rng = np.random.default_rng(9)
+    rows = [p for p in points if p[0] is not None and p[0] < 60] + [(3000 + i, (rng.normal(size=8) * 10.0 ** rng.integers(5, 38, 8)).astype(np.float32).tolist()) for i in range(60)] + [(3100, [3e38] * 8), (3101, [-3e38] * 8)]
+    schema = "vec_id bigint, embedding array<double>"
+    double = [(i, [float(np.float32(x)) for x in v]) for i, v in rows]
+    got = collections.defaultdict(list)
+    for r in sorted(topk.histogram_topk(spark.createDataFrame(double, schema), block_rows=50).collect(), key=lambda r: (r.query_id, r.rank)):
+        got[r.query_id].append((r.vec_id, r.score))
+    whole = {i: [int(np.floor(64 * x)) for x in v] for i, v in double}
+    most = topk.MOST
+    for q in whole:
+        if q % 20 == 0:
+            want = sorted((-max(-most, min(most, sum(a * b for a, b in zip(whole[q], v, strict=True)))), i) for i, v in whole.items() if i != q)[:20]
+            assert got[q] == [(i, -s) for s, i in want]
+    wild = double + [(4000, [1e200] * 8), (4020, [-1e200, 1e200] * 4), (4021, [1e300] + [0.0] * 7)]
+    found = collections.defaultdict(list)
+    for r in sorted(ann.projected_search(spark.createDataFrame(wild, schema), confidence=1 - 1e-12, block_rows=40).collect(), key=lambda r: (r.query_id, r.rank)):
+        found[r.query_id].append((r.vec_id, r.score))
+    assert all(len(v) == 20 and not np.isnan([s for _, s in v]).any() for v in found.values())
+    assert found[4000][0] == (4021, np.inf) and found[0][0][0] in (4000, 4020, 4021)
+    assert topk.histogram_topk(spark.createDataFrame(wild, schema)).count() == 20 * sum(i % 20 == 0 for i, _ in wild)
+
+
+def test_ann_recall_and_stop_on_the_table(spark):
+    """In 64 dimensions with production parameters: recall 0.9 and more, and the stopping test does stop."""
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r.vec_id, np.array(r.embedding, float)) for r in df.collect()]
+    x, ids = np.stack([v for _, v in rows]), np.array([i for i, _ in rows])
+    got = ann.projected_search(df).collect()
+    near = collections.defaultdict(set)
+    for r in got:
+        near[r.query_id].add(r.vec_id)
+    hits = []
+    for q, v in rows:
+        if q % 20 == 0:
+            s = np.where(ids == q, -np.inf, x @ v)
+            hits.append(len(near[q] & set(ids[np.argsort(-s, kind="stable")[:20]].tolist())) / 20)
+    assert np.mean(hits) >= 0.9
+    assert np.mean([r.verified / r.of_rows for r in got]) < 0.8
+
+
 def test_chi_square():
     assert ann.chi2_quantile(0.95, 8) == pytest.approx(15.507, abs=1e-3)
     assert sorted(np.concatenate(ann.kd_leaves(np.zeros((100, 3)), 16)).tolist()) == list(range(100))
@@ -161,6 +203,13 @@ def test_jaccard_odd(spark, odd):
         by[r.doc_id].add((r.n_shingles, r.component_id))
     assert by[1] == {(0, 1)} and by[2] == {(0, 2)} and by[3] == {(0, 3)} and by[4] == {(1, 4)}
     assert by[7] == {(3, 7)} and {c for _, c in by[5] | by[8]} == {5}
+    assert by[None] == {(3, None)}
+    rng = random.Random(3)
+    base = prose(rng, 60)
+    near = base.replace(base.split()[7], "zzz", 1)
+    rows = [(None, base), (None, base), (None, near), (9, near), (4, base + " end"), (None, "nothing like it at all"), (None, "nothing like it at all"), (11, base), (11, "some other text with this id")]
+    got = sorted(((r.n_shingles, r.component_id if r.component_id is not None else -1) for r in jaccard.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), 3, 90).collect()))
+    assert got == sorted([(58, 4)] * 4 + [(59, 4)] + [(3, -1)] * 2 + [(58, 4), (4, 11)])
     assert jaccard.similar_groups(empty(spark)).count() == 0
 
 
@@ -221,6 +270,11 @@ def test_quality_odd(spark, odd):
     got = quality.classify(odd, labels).collect()
     assert len(got) == odd.count() and all(0 <= r.score <= 1 for r in got)
     assert {r.score for r in quality.classify(odd, labels.limit(0)).collect()} == {0.5}
+    assert {r.held for r in odd.where("doc_id IS NULL").select(quality.held_out().alias("held")).collect()} == {False}
+    twice = odd.unionByName(odd.withColumn("text", F.lit("another text with this id")))
+    runs = [sorted((r.doc_id or -1, r.score) for r in quality.classify(twice.repartition(n), labels).collect()) for n in (1, 5)]
+    assert runs[0] == runs[1]
+    assert quality.fit(odd, labels, sample_lines=5) is None
     assert quality.classify(empty(spark), labels).count() == 0
 
 
@@ -267,11 +321,62 @@ def test_pii(spark, odd):
     assert pii.find_pii(empty(spark)).count() == 0
 
 
-def test_em_finds_the_reliable_labeler():
-    counts = {"secret|1,1,1|00000": 80, "secret|-1,-1,0|00000": 100, "secret|1,0,1|00000": 15, "secret|-1,0,0|00000": 30}
+def test_em_against_a_sampled_truth():
+    """Votes drawn with known reliabilities: EM finds each span's truth and tells good labelers from bad ones, by kind."""
+    rng = np.random.default_rng(1)
+    counts, truth = collections.Counter(), collections.defaultdict(lambda: [0, 0])
+    right = {"secret": (0.95, 0.9, 0.85, 0.6, 0.9), "local_phone": (0.6, 0.95, 0.9, 0.9, 0.6)}
+    for kind, of in right.items():
+        for _ in range(4000):
+            y = rng.random() < (0.3 if kind == "secret" else 0.7)
+            v = [0 if rng.random() < 0.3 else (1 if y else -1) * (1 if rng.random() < r else -1) for r in of]
+            k = f"{kind}|{','.join(map(str, v))}|000000008"
+            counts[k] += 1
+            truth[k][int(y)] += 1
     post, model = pii.estimate(counts)
-    assert post["secret|1,1,1|00000"] > 0.9 > 0.1 > post["secret|-1,-1,0|00000"]
-    assert pii.final_classifier(counts, post) == {"secret|1,1,1|00000", "secret|1,0,1|00000"}
+    assert sum(max(t) for t in truth.values()) * 0.985 <= sum(truth[k][int(post[k] >= 0.5)] for k in counts)
+    assert model["share"]["secret"] == pytest.approx(0.3, abs=0.05) and model["share"]["local_phone"] == pytest.approx(0.7, abs=0.05)
+    assert model["for"]["secret"][0] > model["for"]["secret"][3] and model["for"]["local_phone"][1] > model["for"]["local_phone"][0]
+    only = {"local_phone|1,1,0,0,0|000000008": 159, "secret|-1,0,0,0,-1|000000008": 30}
+    assert pii.final_classifier(only, pii.estimate(only)[0]) == {"local_phone|1,1,0,0,0|000000008"}
+    assert pii.estimate({})[0] == {} and pii.final_classifier({}, {}) == set()
+
+
+def test_added_spans_against_planted_ones(spark):
+    """Spans of every kind planted among look-alikes: what EM and classifier keep, by kind and place."""
+    rng = random.Random(11)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    iban = lambda ok: next(x for x in iter(lambda: f"DE{rng.randint(10, 99)} " + " ".join(f"{rng.randint(0, 9999):04d}" for _ in range(4)) + f" {rng.randint(10, 99)}", None) if pii.iban_ok(x) == ok)
+    good = {
+        "person": lambda: ("Contact name: ", rng.choice(["John Smith", "Maria Lopez", "Anna Berg", "Peter Braun"])),
+        "national_id": lambda: ("social security ssn ", f"{rng.randint(100, 600)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}"),
+        "iban": lambda: ("pay to account iban: ", iban(True)),
+        "local_phone": lambda: ("call this phone: ", f"({rng.randint(200, 900)}) 555-{rng.randint(1000, 9999)}"),
+        "secret": lambda: ("api token = ", hexes(40)),
+        "birth_date": lambda: ("Born on: ", f"{rng.randint(1, 28)}.{rng.randint(1, 12)}.{rng.randint(1930, 2005)}"),
+        "handle": lambda: ("follow on twitter: ", f"@{rng.choice(['jo', 'ann', 'kim'])}_{rng.randint(1, 99)}"),
+    }
+    bad = {
+        "national_id": lambda: ("order part ", f"{rng.randint(0, 9)}".join(["000-00-", "000"])[:11]),
+        "iban": lambda: ("product serial ", iban(False)),
+        "secret": lambda: ("commit md5 checksum ", "0" * 32),
+        "birth_date": lambda: ("Born release order ", f"{rng.randint(40, 90)}.{rng.randint(20, 90)}.{rng.randint(3000, 9000)}"),
+    }
+    rows, planted = [], {}
+    for i in range(600):
+        kind = rng.choice(sorted(good))
+        false = rng.random() < 0.4 and kind in bad
+        lead, span = (bad if false else good)[kind]()
+        text = f"{prose(rng, 5)}. {lead}"
+        planted[i] = (kind, len(text), len(text) + len(span), not false)
+        rows.append((i, text + span + ", " + prose(rng, 4)))
+    got = {r.doc_id: {tuple(x.split(":")) for x in r.spans.split(",") if x} for r in pii.find_pii(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    kept = {i: (k, str(s), str(e)) in got[i] for i, (k, s, e, _) in planted.items()}
+    for kind in good:
+        own = [i for i, p in planted.items() if p[0] == kind]
+        assert np.mean([kept[i] for i in own if planted[i][3]]) > 0.9, kind
+        false = [kept[i] for i in own if not planted[i][3]]
+        assert not false or np.mean(false) < 0.1, kind
 
 
 # ---- tokens
@@ -301,6 +406,29 @@ def test_token_counts(spark, odd):
     assert attribution.section_tokens(empty(spark)).count() == 0
 
 
+def test_token_counts_beyond_ascii():
+    """Characters of several bytes, and tokens over many short lines: against one token at a time."""
+    rng = random.Random(2)
+    enc, lens = attribution.encoding(public_tokenizers.path(attribution.VOCABULARY))
+    for _ in range(300):
+        fields = ["".join(rng.choice(["a", " b", "ß", "日", "🎉", "\n", "\n\n\n", "  "]) for _ in range(rng.randint(0, 20))) for _ in range(3)]
+        whole, parts = attribution.sections_of(fields)
+        edges = np.cumsum([p[2] for p in parts])
+        low = np.concatenate([[0], edges[:-1]])
+        ids = enc.encode_to_numpy(whole, disallowed_special=()).astype(np.int64)
+        want, at = np.zeros(len(parts), int), 0
+        for n in lens[ids].tolist():
+            want[int(np.argmax([max(0, min(e, at + n) - max(s, at)) for s, e in zip(low, edges, strict=True)]))] += 1
+            at += n
+        assert attribution.allocate(lens[ids], edges).tolist() == want.tolist()
+    import time
+
+    began = time.process_time()
+    n = 1_000_000
+    assert attribution.allocate(np.full(n // 2, 2), np.arange(1, n + 1)).sum() == n // 2
+    assert time.process_time() - began < 10
+
+
 def test_crossing_tokens_go_to_the_larger_part():
     assert attribution.allocate(np.array([4, 4]), np.array([5, 8])).tolist() == [1, 1]
     assert attribution.allocate(np.array([4, 4]), np.array([6, 8])).tolist() == [2, 0]
