@@ -22,6 +22,7 @@ all of them; repeated rows with one key give equal results; extra columns are ig
 
 from __future__ import annotations
 
+import math
 import re
 from functools import lru_cache
 from itertools import chain
@@ -41,6 +42,7 @@ SPACE = "▁"
 UNIT = re.compile(f"{SPACE}+[^{SPACE}]*")
 BREAK = "\x00"
 TABLE_BITS = 19
+ALL = 2**64 - 1
 GROW, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -60,19 +62,32 @@ class Vocabulary:
         for rank, i in enumerate(usable):
             self.length[i], self.logp[i] = len(self.pieces[i]), -alpha * np.log(rank + 10.0)
         self.longest = int(self.length.max())
-        self.hash = np.zeros(n, np.uint64)
-        for size in range(1, self.longest + 1):
-            own = np.flatnonzero(self.length == size)
-            chars = np.frombuffer("".join(self.pieces[i] for i in own).encode("utf-32-le"), np.uint32).reshape(len(own), size)
-            for column in chars.T:
-                self.hash[own] = self.hash[own] * GROW + column.astype(np.uint64) + np.uint64(1)
-        # Open addressing, a slot and the ones after it.
+        # Open addressing, a slot and the ones after it: all pieces and their beginnings, by number in `known`.
+        begins: dict[str, int] = {}
+        for i in usable:
+            for size in range(1, len(self.pieces[i])):
+                begins.setdefault(self.pieces[i][:size], -1)
+        for i in usable:
+            begins[self.pieces[i]] = i
+        self.known = np.array(list(begins.values()), np.int32)
+        known_length = np.array([len(x) for x in begins], np.int64)
+        self.known_hash = np.zeros(len(begins), np.uint64)
+        names = list(begins)
+        with np.errstate(over="ignore"):
+            for size in range(1, self.longest + 1):
+                own = np.flatnonzero(known_length == size)
+                chars = np.frombuffer("".join(names[i] for i in own).encode("utf-32-le"), np.uint32).reshape(len(own), size)
+                for column in chars.T:
+                    self.known_hash[own] = self.known_hash[own] * GROW + column.astype(np.uint64) + np.uint64(1)
         self.table, self.probes = np.full((1 << TABLE_BITS) + 64, -1, np.int32), 1
-        for i, slot in zip(usable, slots(self.hash[usable]).tolist(), strict=True):
+        table = self.table.tolist()
+        for i, slot in enumerate(slots(self.known_hash).tolist()):
             at = slot
-            while self.table[at] >= 0:
+            while table[at] >= 0:
                 at += 1
-            self.table[at], self.probes = i, max(self.probes, at - slot + 1)
+            table[at], self.probes = i, max(self.probes, at - slot + 1)
+        self.table[:] = table
+        self.known_length = known_length
         self.single = {self.pieces[i] for i in usable if len(self.pieces[i]) == 1}
         self.spelled = [bytes([byte[i]]) if i in byte else self.pieces[i].replace(SPACE, " ").encode() if self.length[i] else b"" for i in range(n)]
         self.size = np.array([len(x) for x in self.spelled], np.int64)
@@ -85,27 +100,34 @@ def slots(h: np.ndarray) -> np.ndarray:
 
 
 def matches(v: Vocabulary, chars: np.ndarray, to_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and id of every piece in the units: a rolling hash of each length, looked up for all places at once."""
+    """Start and id of every piece in the units: a rolling hash of each length, looked up for all places at once. A place is
+    left when no piece begins with what stands there."""
     at = np.flatnonzero(to_end > 0)
     h = np.zeros(len(at), np.uint64)
     starts, pieces = [], []
     for size in range(1, v.longest + 1):
         go = to_end[at] >= size
         at, h = at[go], h[go]
+        if not len(at):
+            break
         h = h * GROW + chars[at + size - 1] + np.uint64(1)
-        slot, here, want = slots(h), at, h
+        slot, todo, found = slots(h), np.arange(len(at)), np.full(len(at), -1, np.int32)
         for probe in range(v.probes):
-            piece = v.table[slot + probe]
-            some = piece >= 0
-            slot, here, want, piece = slot[some], here[some], want[some], piece[some]
-            hit = (v.hash[piece] == want) & (v.length[piece] == size)
-            starts.append(here[hit])
-            pieces.append(piece[hit].astype(np.int64))
-            slot, here, want = slot[~hit], here[~hit], want[~hit]
-            if not len(slot):
+            entry = v.table[slot + probe]
+            hit = (v.known_hash[entry] == h[todo]) & (entry >= 0)
+            found[todo[hit]] = entry[hit]
+            on = ~hit & (entry >= 0)
+            slot, todo = slot[on], todo[on]
+            if not len(todo):
                 break
+        some = found >= 0
+        at, h, found = at[some], h[some], found[some]
+        piece = v.known[found]
+        whole = (piece >= 0) & (v.known_length[found] == size)
+        starts.append(at[whole])
+        pieces.append(piece[whole].astype(np.int64))
     # Longer pieces first: they are the likelier ones, so a draw looks at few.
-    return np.concatenate(starts[::-1]), np.concatenate(pieces[::-1])
+    return (np.concatenate(starts[::-1]), np.concatenate(pieces[::-1])) if starts else (np.zeros(0, np.int64),) * 2
 
 
 @lru_cache(2)
@@ -162,11 +184,19 @@ class Lattice:
         beta, steps, longest = np.zeros(len(joined)), to_end[start], int(lens.max(initial=0))
         order = np.argsort(steps.astype(np.int16) if longest < 2**15 else steps, kind="stable")
         cuts = np.searchsorted(steps[order], np.arange(1, longest + 2))
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):  # all places that are so far from their unit's end
+        # All places that are so far from their unit's end. Plain sums as long as no double is too small for them, then logs.
+        worst = float((-score / (end - start)).max(initial=1e-9))
+        plain, weight, plenty = max(1, int(650 // worst)), np.exp(score), np.ones(len(joined))
+        for step, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True), 1):
             if a < b:
                 own = order[a:b]
-                heads = np.flatnonzero(np.diff(start[own], prepend=-1))
-                beta[start[own][heads]] = np.logaddexp.reduceat(score[own] + beta[end[own]], heads)
+                from_, to = start[own], end[own]
+                heads = np.flatnonzero(np.diff(from_, prepend=-1))
+                if step <= plain:
+                    plenty[from_[heads]] = sums = np.add.reduceat(weight[own] * plenty[to], heads)
+                    beta[from_[heads]] = np.log(sums)
+                else:
+                    beta[from_[heads]] = np.logaddexp.reduceat(score[own] + beta[to], heads)
         self.start, self.end, self.piece = start, end, piece
         self.logp = np.minimum(0.0, score + beta[end] - beta[start])
         heads = np.flatnonzero(np.diff(start, prepend=-1))
@@ -191,12 +221,17 @@ class Lattice:
 def uniform(seed: np.ndarray, draw: int, at: np.ndarray, step: int) -> np.ndarray:
     """Numbers in (0, 1), a hash of all arguments."""
     with np.errstate(over="ignore"):
-        x = mixed(seed + at.astype(np.uint64) * STEP[0] + np.uint64((draw * STEP[1].item() + step * STEP[2].item()) & (2**64 - 1)))
+        x = mixed(seed + at.astype(np.uint64) * STEP[0] + np.uint64((draw * STEP[1].item() + step * STEP[2].item()) & ALL))
     return ((x >> np.uint64(12)).astype(float) + 0.5) / 2.0**52
 
 
-def one(seed: np.uint64, draw: int, at: int) -> float:
-    return float(uniform(np.array([seed], np.uint64), draw, np.array([at]), 0)[0])
+def one(seed: int, draw: int, at: int) -> float:
+    """uniform() of one place."""
+    a, b, _, c = (int(s) for s in STEP)
+    x = (seed + at * a + draw * b) & ALL
+    x = (x ^ (x >> 32)) * c & ALL
+    x = (x ^ (x >> 29)) * b & ALL
+    return (((x ^ (x >> 32)) >> 12) + 0.5) / 2.0**52
 
 
 def paths(lat: Lattice, seeds: list[np.uint64], starts: list[tuple[np.ndarray, np.ndarray]], draw: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -236,18 +271,31 @@ def below(location: np.ndarray, top: np.ndarray, u: np.ndarray) -> np.ndarray:
     return -np.logaddexp(-top, -g)
 
 
+def log1mexp_one(x: float) -> float:
+    x = min(x, 0.0)
+    if x == 0.0:
+        return -math.inf
+    return math.log(-math.expm1(x)) if x > -0.7 else math.log1p(-math.exp(x))
+
+
+def below_one(location: float, top: float, u: float) -> float:
+    g = location - math.log(-math.log(u))
+    low, high = sorted((-top, -g))
+    return -(high + math.log1p(math.exp(low - high)))
+
+
 def log_inclusion(logp: float, threshold: float) -> float:
     """Log of the probability that a segmentation's perturbed log p exceeds the threshold; 0 without one."""
     x = logp - threshold
-    return x if x < -30 else float(np.log(-np.expm1(-np.exp(min(x, 700.0)))))
+    return x if x < -30 else math.log(-math.expm1(-math.exp(min(x, 700.0))))
 
 
 class Search:
     """The A-star search for one row: its found segmentations and its frontier of sets."""
 
     def __init__(self, lat: Lattice, nodes: np.ndarray, seed: np.uint64, k: int):
-        self.lat, self.nodes, self.seed, self.k = lat, nodes, seed, k
-        self.value = -float(np.log(-np.log(one(seed, 0, -1))))
+        self.lat, self.nodes, self.seed, self.k = lat, nodes, int(seed), k
+        self.value = -math.log(-math.log(one(self.seed, 0, -1)))
         self.found: list[tuple[np.ndarray, float, float]] = []
         self.sets: list[tuple[np.ndarray, np.ndarray, int, np.ndarray, np.ndarray]] = []
         self.stem, self.shut, self.head, self.over, self.location = 0, np.zeros(0, np.int64), None, -np.inf, 0.0
@@ -265,10 +313,10 @@ class Search:
         """Takes the last path. Of the sets that leave it only the greatest maximum counts, and they are all of the set it was
         drawn from but itself; so one draw does for them."""
         self.found.append((self.edges, logp, self.value))
-        rest = self.location + float(log1mexp(np.array([logp - self.location]))[0])
+        rest = self.location + log1mexp_one(logp - self.location)
         tops = [float(x[3].max()) for x in self.sets]
-        if np.isfinite(rest):
-            tops.append(float(below(np.array(rest), np.array(self.value), np.array(one(self.seed, 3000, self.k)))))
+        if math.isfinite(rest):
+            tops.append(below_one(rest, self.value, one(self.seed, 3000, self.k)))
         self.over = max(tops, default=-np.inf)
 
     def turn(self, prefix: np.ndarray, bound: np.ndarray, location: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
@@ -288,7 +336,8 @@ class Search:
         step = stem + i
         shut = np.append(shut if i == 0 else np.zeros(0, np.int64), edges[step])
         node, unit = lat.start[edges[step]], units[step]
-        choice = np.setdiff1d(np.arange(lat.begin[node], lat.begin[node + 1]), shut)
+        closed = set(shut.tolist())
+        choice = np.array([c for c in range(lat.begin[node], lat.begin[node + 1]) if c not in closed])
         p = np.cumsum(np.exp(lat.logp[choice] - lat.logp[choice].max()))
         turn = choice[min(int(np.searchsorted(p, p[-1] * one(self.seed, 2000 + draw, step), "right")), len(choice) - 1)]
         self.head = np.append(edges[:step], turn), np.append(units[:step], unit)
