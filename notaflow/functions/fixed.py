@@ -275,3 +275,161 @@ ADMIN_NAMES = {
     "cobrança indevida": "Reclamação de cobrança",
     "cobranca indevida": "Reclamação de cobrança",
 }
+# How a line with an address begins, and what is in one.
+ADDRESS_BEGINS = (
+    r"RUA\s+",
+    r"R\.\s+",
+    r"AVENIDA\s+",
+    r"AV\.?\s+",
+    r"ALAMEDA\s+",
+    r"AL\.?\s+",
+    r"TRAVESSA\s+",
+    r"TV\.?\s+",
+    r"PRAÇA\s+",
+    r"PÇA\.?\s+",
+    r"PRACA\s+",
+    r"RODOVIA\s+",
+    r"ROD\.?\s+",
+    r"ESTRADA\s+",
+    r"EST\.?\s+",
+    r"LARGO\s+",
+)
+ADDRESS_PARTS = (
+    r"\bCEP\s*:?\s*\d",
+    r"\b\d{5}-?\d{3}\b",
+    r"\bNº?\s*\d+",
+    r"\bN°?\s*\d+",
+    r"\s+-\s+CENTRO\b",
+    r"\s+-\s+BAIRRO\b",
+    r"\([\w\s]+/[A-Z]{2}\)",
+    r"/[A-Z]{2}\)$",
+)
+# How a text begins that is no supplier of goods.
+NO_GOODS_SUPPLIER = (
+    r"CHAVE\s*(DE)?\s*ACESSO",
+    r"CNPJ",
+    r"CPF",
+    r"IE\s*:",
+    r"INSCRI",
+    r"DOCUMENTO\s+AUXILIAR",
+    r"NOTA\s+FISCAL",
+    r"NF-?E?\b",
+    r"DANFE\b",
+    r"CONSULTE",
+    r"PROTOCOLO",
+    r"DATA\s+(DE\s+)?EMISS",
+    r"\d{44}$",
+    r"\d{2}\.\d{3}\.\d{3}/\d{4}-\d{2}$",
+    r"https?://",
+    r"NOME\s+CPF",
+    r"NOME\s+CNPJ",
+    r"RAZ.O\s+SOCIAL\s+CNPJ",
+    r"CPF/CNPJ\s+VENCIMENTO",
+    r"CPF/CNPJ\s+INSCRI",
+    r"VENCIMENTO\s+VALOR",
+    r"SEUS\s+DADOS",
+    r"TIM\s*S?\.{2,}",
+    r"BETIM\s*/\s*MG",
+    r"\w+\s*/\s*[A-Z]{2}\s*-?\s*CEP",
+    r"N[ºO]\s+DO\s+CLIENTE",
+    r"\(-?\)\s*DESCONTO",
+    r"ABATIMENTOS",
+    r"OUTRAS\s+DEDU",
+    r"-?\s*INSC\.?\s*EST\.?",
+    r"FATURA\s+DE\s+SERVI",
+)
+# Streets, and words of company names.
+STREETS = ("RUA ", "AV ", "AV.", "AVENIDA ", "RODOVIA ", "BR ", "ESTRADA ", "PRAÇA ", "PRACA ")
+COMPANY_WORDS = ("LTDA", "S.A", "S/A", "SA ", "ME ", "EPP", "EIRELI", "TELECOM", "COMUNICAC", "SERVICO", "TECNOLOGIA")
+# Labels on a slip's line.
+SLIP_LABELS = (
+    r"BENEFICI[ÁA]RIO",
+    r"VENCIMENTO",
+    r"VALOR\s+DO\s+DOCUMENTO",
+    r"VALOR\s+DOCUMENTO",
+    r"AG[EÊ]NCIA\s*/\s*C[ÓO]DIGO",
+    r"RECIBO\s+DE\s+ENTREGA",
+    r"COMPROVANTE\s+DE\s+ENTREGA",
+    r"PAGADOR",
+    r"NOSSO\s+N[ÚU]MERO",
+)
+# Words too common to be an own company's code in a name.
+COMMON_NAME_WORDS = (
+    "SERVICO",
+    "SERVICOS",
+    "CONSULTORIA",
+    "GESTAO",
+    "INTEGRADA",
+    "COMERCIO",
+    "INDUSTRIA",
+    "TECNOLOGIA",
+    "SOLUCOES",
+    "SISTEMA",
+    "SISTEMAS",
+    "EMPRESA",
+    "EMPRESAS",
+    "ADMINISTRACAO",
+    "ADMINISTRADORA",
+    "PARTICIPACOES",
+    "GRUPO",
+    "HOLDING",
+    "COMPANHIA",
+    "CIA",
+    "LTDA",
+    "SA",
+    "S/A",
+    "MINAS",
+    "GERAIS",
+    "PAULO",
+    "JANEIRO",
+    "BAHIA",
+    "GOIAS",
+    "BRASIL",
+    "NACIONAL",
+    "REGIONAL",
+    "FEDERAL",
+    "ESTADUAL",
+    "NORTE",
+    "SUL",
+    "LESTE",
+    "OESTE",
+    "CENTRO",
+    "CENTRAL",
+    "PORTAL",
+    "DIGITAL",
+    "TELECOM",
+)
+# Bank receipts, and what is none.
+RECEIPT_STRONG = (
+    r"COMPROVANTE\s+DE\s+TRANSFER[EÊ]NCIA",
+    r"COMPROVANTE\s+DE\s+PAGAMENTO",
+    r"COMPROVANTE\s+(?:TED|PIX|DOC)\b",
+    r"DADOS\s+DE\s+QUEM\s+EST[AÁ]\s+PAGANDO",
+    r"DADOS\s+DE\s+QUEM\s+EST[AÁ]\s+RECEBENDO",
+    r"TRANSFER[EÊ]NCIA\s+(?:ENTRE\s+CONTAS|REALIZADA)",
+    r"(?:TED|PIX|DOC)\s+(?:REALIZADO|EFETUADO|AGENDADO)",
+    r"TIPO\s+DE\s+CONTA\s+CONTA[_\s]?CORRENTE",
+)
+RECEIPT_WEAK = (
+    r"AG[EÊ]NCIA\s+E\s+CONTA",
+    r"IDENTIFICA[CÇ][AÃ]O\s+NO\s+EXTRATO",
+    r"CONTA[_\s]?CORRENTE",
+    r"CONTA[_\s]?POUPAN[CÇ]A",
+    r"FAVORECIDO",
+    r"ORDENANTE",
+    r"BENEFICI[AÁ]RIO",
+)
+RECEIPT_BANKS = ("ITA[UÚ]", "BRADESCO", "BANCO DO BRASIL", "SANTANDER", "CAIXA", "CEF", "SICOOB", "SICREDI", "INTER", "NUBANK", "C6", "BTG", "SAFRA", "ORIGINAL", "BANRISUL", "BRB", "UNICRED")
+NO_RECEIPT = (
+    r"NOTA\s+FISCAL",
+    r"NFS-?E",
+    r"DANFE",
+    r"BOLETO",
+    r"FATURA\s+DE\s+SERVI[CÇ]O",
+    r"PREFEITURA\s+MUNICIPAL",
+    r"SECRETARIA\s+(?:MUNICIPAL\s+)?(?:DA\s+)?FAZENDA",
+    r"NOTA\s+DE\s+D[EÉ]BITO",
+)
+# How a paid transfer's file is called, and its subtypes.
+PAID_FILES = ("COMP PGTO", "COMPROVANTE", "TED_", "PIX_")
+PAID_SUBTYPES = ("COMPROVANTE_BANCARIO", "TED", "DOC", "PIX")

@@ -115,13 +115,6 @@ def foreign_cnpj(docs: DataFrame, companies: DataFrame, key: str, text: str) ->
     return named.join(companies.select("cnpj"), "cnpj", "left_anti").groupBy(key).agg(F.min_by("cnpj", "at").alias("cnpj"))
 
 
-def swapped(docs: DataFrame) -> DataFrame:
-    """docs (empresa, ours, foreign, fornecedor_nome, cnpj): a supplier that is an own company is cleared, an own number
-    gives way to the first foreign one."""
-    own = F.coalesce("ours", F.lit(False))
-    return docs.withColumns({"fornecedor_nome": F.when(~own, F.col("fornecedor_nome")), "cnpj": F.when(own, F.col("foreign")).otherwise(F.coalesce("cnpj", "foreign"))})
-
-
 def split_name(name: Column, words: tuple[str, ...]) -> Column:
     """Words of a name that was run together, the longest known word first at each place."""
     known = "|".join(sorted(words, key=lambda w: (-len(w), w)))

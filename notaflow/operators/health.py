@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.fixed import PAID_FILES, PAID_SUBTYPES
 from ..functions.text import present
 from .quality import exploded, problem
 
@@ -32,16 +33,22 @@ def _in(c: Column, words) -> Column:
     return F.coalesce(c.rlike("|".join(w.replace("/", r"\/").replace(".", r"\.") for w in words)), F.lit(False))
 
 
-def kind(supplier: Column, subject: Column, notes: Column, slips: Column, others: Column) -> Column:
-    """Main kind of a batch."""
+def kind(supplier: Column, subject: Column, notes: Column, slips: Column, others: Column, files: Column | None = None, subtypes: Column | None = None) -> Column:
+    """Main kind of a batch. files and subtypes: names of its files and subtypes of its documents, as arrays."""
     who, what = F.upper(F.coalesce(supplier, F.lit(""))), F.upper(F.coalesce(subject, F.lit("")))
-    words = F.split(F.trim(who), r"\s+")
-    person = (F.size(words) >= 3) & ~_in(who, ("LTDA", "S.A.", "S/A", "EIRELI", "MEI")) & F.forall(words, lambda w: w.rlike(r"^\p{L}+$"))
-    return (
-        F.when(notes > 0, F.lit("NFSE")).when(slips > 0, F.lit("BOLETO"))
-        .when((others > 0) & (_in(what, PAID) | (person & _in(what, ("CONSUMO", "PAGAMENTO", "PGTO")))), F.lit("COMPROVANTE_PAGAMENTO"))
-        .when((others > 0) & _in(who, RENTAL), F.lit("OUTRO")).when((others > 0) & _in(who, POWER), F.lit("UTILITY_ENERGY")).when((others > 0) & _in(who, WATER), F.lit("UTILITY_WATER"))
-        .when(others > 0, F.lit("OUTRO")).otherwise(F.lit("EMAIL_BODY")))
+    words = F.filter(F.split(who, r"\s+"), lambda w: w != "")
+    company = _in(who, ("LTDA", "S.A.", "S/A", "EIRELI", "MEI"))
+    person = (F.size(words) >= 3) & ~company & F.forall(words, lambda w: w.rlike(r"^\p{L}+$"))
+    paid = _in(what, PAID) | (person & _in(what, ("CONSUMO", "PAGAMENTO", "PGTO")))
+    if files is not None:
+        paid = paid | F.coalesce(F.exists(files, lambda f: _in(F.upper(f), PAID_FILES)), F.lit(False))
+    if subtypes is not None:
+        paid = paid | F.coalesce(F.exists(subtypes, lambda s: F.upper(s).isin(*PAID_SUBTYPES)), F.lit(False))
+    by_subject = company | (F.size(words) > 3)  # a person's bill isn't told by its subject
+    other = (
+        F.when(paid, F.lit("COMPROVANTE_PAGAMENTO")).when(_in(who, RENTAL), F.lit("OUTRO")).when(_in(who, POWER), F.lit("UTILITY_ENERGY")).when(_in(who, WATER), F.lit("UTILITY_WATER"))
+        .when(by_subject & _in(what, ("ENERGIA", "LUZ", "ELETRIC")), F.lit("UTILITY_ENERGY")).when(by_subject & _in(what, ("AGUA", "ÁGUA", "SANEAMENTO")), F.lit("UTILITY_WATER")).otherwise(F.lit("OUTRO")))
+    return F.when(notes > 0, F.lit("NFSE")).when(slips > 0, F.lit("BOLETO")).when(others > 0, other).otherwise(F.lit("EMAIL_BODY"))
 
 
 def valid_supplier(name: Column) -> Column:

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions.text import compact, strip_accents
 
 UPPER, BARE, TIGHT, DIGITS = "_upper", "_bare", "_tight", "_digits"
@@ -73,13 +74,11 @@ COMM_HEAD = ("DOCAUXILIARDANOTAFISCALFATURA", "DOCUMENTOAUXILIARDANOTAFISCALFATU
 ENERGY = ("DISTRIB DE ENERGIA", "DISTRIBUIDORA DE ENERGIA", "ENERGIA ELETRICA", "CONSUMO", "KWH", "INSTALACAO", "BANDEIRA TARIFARIA", "FATURA DE ENERGIA", "CONTA DE LUZ")
 WATER = ("COMPANHIA DE SANEAMENTO", "COPASA", "SABESP", "SANEPAR", "FATURA DE SERVICOS", "CONTA DE AGUA", "ESGOTO", "MATRICULA", "CONTA-COPASA")
 UTILITIES = ("CEMIG", "EDP", "ENEL", "CPFL", "COPEL", "LIGHT", "NEOENERGIA", "EQUATORIAL")
-RECEIPT_STRONG = (r"COMPROVANTE\s+DE\s+(TRANSFERENCIA|PAGAMENTO|PIX|TED|DOC)", r"TRANSFERENCIA\s+REALIZADA", r"PIX\s+ENVIADO")
-RECEIPT_WEAK = (r"DADOS\s+DE\s+QUEM\s+(PAGOU|RECEBEU|FEZ)", r"AUTENTICACAO", r"CONTA\s+(DEBITADA|CREDITADA)", r"AGENCIA", r"TIPO\s+DE\s+TRANSFERENCIA")
-RECEIPT_BANKS = (r"ITAU", r"BRADESCO", r"SANTANDER", r"BANCO\s+DO\s+BRASIL", r"CAIXA", r"SICOOB", r"INTER", r"NUBANK")
 ADMIN = ("ORDEMDESERVICO", "DISTRATO", "RESCISAO", "ENCERRAMENTODECONTRATO", "CANCELAMENTO", "GUIAPROCESSO", "COMPROVANTEDESOLICITACAO", "RELATORIODEFATURAMENTO", "PLANILHADECONFERENCIA", "REEMBOLSO", "ANUIDADE", "LEMBRETEGENTIL", "NOTIFICACAOAUTOMATICA")
 FISCAL = ("NOTAFISCAL", "DANFE", "NFSE", "CHAVEDEACESSO")
 OCR_DAMAGE = (r"RECEHEMOS", r"NOTA\s+FI5CAL", r"ELETR0NICA", r"D0CUMENTO", r"CHAVE\s+DE\s+ACES5O", r"\bN0\b")
-TELECOM_MARKS = (r"FATURA DE PAGAMENTO", r"TIM\s+BLACK", r"TIM\s+EMPRESA", r"MEU\s+TIM", r"TIM\s+CONTROLE", r"DEBITO AUTOMATICO TIM", r"TIMS\.A\.", r"WWW\.TIM\.COM")
+TELECOM_BILL = ("FATURA DE PAGAMENTO", "FATURA:", "VENCIMENTO", "DÉBITO AUTOMÁTICO", "TIM BLACK")
+TELECOM_MARKS = (r"TIM\s*S\.?\s*A\.?", r"FATURA\s+DE\s+PAGAMENTO[:\s]*\d+", r"CNPJ\s+DA\s+MATRIZ[:\s]*02\.421\.421", r"CONTATIM@FATURADATIM\.COM\.BR", r"TIM\s+BLACK\s+EMPRESA", r"\*144\s+DO\s+SEU\s+TIM", r"WWW\.TIM\.COM\.BR", r"MEU\s+TIM")
 
 
 @dataclass(frozen=True)
@@ -87,6 +86,7 @@ class Rule:
     name: str
     doc_type: str
     accepts: "Column"
+    subtype: str = ""
 
 
 def rules() -> list[Rule]:
@@ -96,7 +96,8 @@ def rules() -> list[Rule]:
     comm = has("COMUNICACAO")
     not_slip_start = ~head_has(200, "RECIBODOPAGADOR", "RECIBODOSACADO", "BENEFICIARIO", "CEDENTE", "NFSE", "NOTAFISCALDESERVICO", "PREFEITURA", "CODIGODEVERIFICACAO", "LINHADIGITAVEL")
     key = F.length(DIGITS) >= 44
-    no_receipt = like(r"NOTA\s+FISCAL|NFS-?E|DANFE|BOLETO|FATURA\s+DE\s+SERVICO|PREFEITURA\s+MUNICIPAL|SECRETARIA\s+(MUNICIPAL\s+)?(DA\s+)?FAZENDA|NOTA\s+DE\s+DEBITO")
+    no_receipt = count_like(*fixed.NO_RECEIPT, form=UPPER) > 0
+    receipt = (count_like(*fixed.RECEIPT_STRONG, form=UPPER) >= 1) | ((count_like(*fixed.RECEIPT_WEAK, form=UPPER) >= 2) & (count_like(*fixed.RECEIPT_BANKS, form=UPPER) >= 1))
     danfse = has("DANFSE", "DOCUMENTOAUXILIARDANFS", "CHAVEDEACESSODANFS") | every("DOCUMENTOAUXILIAR", "NFS") | (has("CHAVEDEACESSO") & has("NFSE", "NOTAFISCALDESERVICO"))
     comm_head = head_has(500, *COMM_HEAD) | (head_has(500, "NOTAFISCAL") & head_has(500, "COMUNICACAO") & head_has(500, "RAZAOSOCIAL"))
     debit_note = like(r"NOTA\s*(DE\s+)?DEBITO\s*/?\s*RECIBO|RECIBO\s+FATURA")
@@ -108,36 +109,40 @@ def rules() -> list[Rule]:
     return [
         Rule("repromaq", "BOLETO", has("REPROMAQ", "REPROMAO") & has("BRADESCO")),
         Rule("gox", "BOLETO", has("GOX") & (has("07543400000192", form=DIGITS) | has("GOXINTERNETCOM"))),
-        Rule("emc", "OUTRO", has("EMCTECNOLOGIA") & (rental | (has("NOTEBOOK", "COMPUTADOR", "MONITOR", "SERVIDOR") & has("DELL", "LENOVO")))),
+        Rule("emc", "OUTRO", has("EMCTECNOLOGIA") & (rental | (has("NOTEBOOK", "COMPUTADOR", "MONITOR", "SERVIDOR") & has("DELL", "LENOVO"))), "FATURA_LOCACAO_EMC"),
         Rule("net_center", "BOLETO", (has("NETCENTER") | every("UNAI", "NET", "CENTER", form=BARE)) & ((count(*SLIP_WORDS) >= 1) | spaced_line)),
-        Rule("tim", "OUTRO", like(r"02\.?421\.?421[/\-]?\d{4}-?\d{2}") | (like(r"\bTIM\s*S\.?\s*A\b") & has("FATURADEPAGAMENTO", "FATURA", "VENCIMENTO", "DEBITOAUTOMATICO", "TIMBLACK")) | (count_like(*TELECOM_MARKS) >= 2)),
+        Rule("tim", "UTILITY_BILL", like(r"02\.?421\.?421[/\-]?\d{4}-?\d{2}", form=UPPER) | (like(TELECOM_MARKS[0], form=UPPER) & has(*TELECOM_BILL, form=UPPER)) | (count_like(*TELECOM_MARKS, form=UPPER) >= 2), "TELECOM"),
         Rule("montes_claros", "NFSE", has("MONTESCLAROS") & ~slip_line() & has("NFSE", "NOTAFISCALDESERVICO", "CODIGODEVERIFICACAO")),
         Rule("vila_velha", "NFSE", every("VILAVELHA", "PREFEITURA")),
-        Rule("comprovante", "OUTRO", ~no_receipt & ((count_like(*RECEIPT_STRONG) >= 1) | ((count_like(*RECEIPT_WEAK) >= 2) & (count_like(*RECEIPT_BANKS) >= 1)))),
-        Rule("utility", "UTILITY_BILL", (count(*ENERGY, form=UPPER) >= 2) | ((count(*WATER, form=UPPER) >= 1) & has("NOTAFISCAL", "FATURA")) | (has(*UTILITIES, form=UPPER) & (has("NOTAFISCAL", "FATURA") | (count(*ENERGY, form=UPPER) >= 1)))),
+        Rule("comprovante", "OUTRO", ~no_receipt & receipt, "COMPROVANTE_BANCARIO"),
+        Rule("utility", "UTILITY_BILL", (count(*ENERGY, form=UPPER) >= 2) | ((count(*WATER, form=UPPER) >= 1) & has("NOTAFISCAL", "FATURA")) | (has(*UTILITIES, form=UPPER) & (has("NOTAFISCAL", "FATURA") | (count(*ENERGY, form=UPPER) >= 1))), "WATER|ENERGY"),
         Rule("telcables", "NFSE", has("20609743000413", form=DIGITS) | (has("TELCABLESBRASIL") & has("DOCUMENTOAUXILIAR", "CHAVEDEACESSO", "NOTAFISCAL"))),
         Rule("nfcom", "DANFE", (head_has(500, *COMM_HEAD) & comm) | (not_slip_start & head_has(500, "RAZAOSOCIAL") & has("COMUNICACAOELETRONICA") & key)),
         Rule("acimoc", "BOLETO", has("ACIMOC", "RECIBODOSACADO", "ASSOCIACAOCOMERCIALINDUSTRIALEDESERVICOSDEMONTESCLAROS") & ~acimoc_no & (count("VALOR", "VENCIMENTO", "DOCUMENTO", "CEDENTE", "SACADO", "PAGADOR") >= 2)),
         Rule("mugo", "NFSE", has("MUGOTELECOM")),
         Rule("pro_painel", "BOLETO", has("PROPAINEL") & ~has("MUGOTELECOM", "ACIMOC", "REPROMAQ", "EMCTECNOLOGIA", "NETCENTER")),
-        Rule("tunna", "OUTRO", has("TUNNAENTRETENIMENTO", "FISHTV") & (has("FAT/", form=BARE) | has("FATURAN", "DEMONSTRATIVO", "FATURARUA") | like(r"N[º°]?\s*[:.]\s*\d{3}\.\d{3}\.\d{3}"))),
-        Rule("ufinet", "OUTRO", has("UFINET") & like(r"UFINET\s*BRASIL|FATURA\s*(NO\.?|N[º°]?|NUMERO)?\s*:?\s*\d+")),
-        Rule("csc", "OUTRO", debit_note & (has("CSCGESTAO") | has("38323227000140", form=DIGITS)) & ~not_debit),
-        Rule("admin", "OUTRO", has(*ADMIN) & ~has(*FISCAL) & ~key & (count(*SLIP_WORDS) < 3)),
+        Rule("tunna", "OUTRO", has("TUNNAENTRETENIMENTO", "FISHTV") & (has("FAT/", form=BARE) | has("FATURAN", "DEMONSTRATIVO", "FATURARUA") | like(r"N[º°]?\s*[:.]\s*\d{3}\.\d{3}\.\d{3}")), "FATURA"),
+        Rule("ufinet", "OUTRO", has("UFINET") & like(r"UFINET\s*BRASIL|FATURA\s*(NO\.?|N[º°]?|NUMERO)?\s*:?\s*\d+"), "FATURA_UFINET"),
+        Rule("csc", "OUTRO", debit_note & (has("CSCGESTAO") | has("38323227000140", form=DIGITS)) & ~not_debit, "NOTA_DEBITO"),
+        Rule("admin", "OUTRO", has(*ADMIN) & ~has(*FISCAL) & ~key & (count(*SLIP_WORDS) < 3), "ADMINISTRATIVO"),
         Rule("ocr_danfe", "DANFE", has("DANFE", "RECEBEMOS", "RECEHEMOS", "DOCUMENTOAUXILIAR") & (count_like(*OCR_DAMAGE) >= 2)),
         Rule("danfe", "DANFE", has("DANFE") & ~has("DANFSE") | every("DOCUMENTOAUXILIAR", "NOTAFISCAL", "ELETR") | F.col(DIGITS).rlike(r"^\d{44}$") | (has("CHAVEDEACESSO") & has("NFE"))),
         Rule("boleto", "BOLETO", ~danfse & ~comm_head & ((count(*SLIP_KEYS) >= 3) | slip_line()) & (count(*SERVICE_KEYS) < 3)),
         Rule("sicoob", "BOLETO", ~has("DANFSE", "NFCOM", "NOTAFISCALFATURA", "SERVICOSDECOMUNICACAO") & (has("SICOOB", "BANCOOB", "7560") | every("756", "LINHADIGITAVEL")) & (count(*SLIP_WORDS) >= 1)),
-        Rule("aditivo", "OUTRO", like(r"(TERMO\s+)?ADITIVO\s+(AO|DE|DO)?\s*(CONTRATO|CONTRATUAL)?") & (like(r"\d{2}\.\d{3}\.\d{3}/\d{4}-\d{2}") | like(r"CONTRATANTE|CONTRATADA|PARTES|CLAUSULA"))),
-        Rule("outros", "OUTRO", ~service & ~goods & ~key & ((taxes < 2) | rental) & (rental | has("LOCACAO", "FATURA", "LOCAWEB"))),
+        Rule("aditivo", "OUTRO", like(r"(TERMO\s+)?ADITIVO\s+(AO|DE|DO)?\s*(CONTRATO|CONTRATUAL)?") & (like(r"\d{2}\.\d{3}\.\d{3}/\d{4}-\d{2}") | like(r"CONTRATANTE|CONTRATADA|PARTES|CLAUSULA")), "ADITIVO_CONTRATO"),
+        Rule("outros", "OUTRO", ~service & ~goods & ~key & ((taxes < 2) | rental) & (rental | has("LOCACAO", "FATURA", "LOCAWEB")), "LOCACAO|FATURA"),
         Rule("nfse", "NFSE", (service & ~slip_line()) | (~has("DANFE", "DOCUMENTOAUXILIAR") & ~slip_line() & has("NOTAFISCAL", "SERVICO", "PRESTADOR", "TOMADOR"))),
     ]
 
 
-def routed(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with extractor and doc_type; null where no rule accepts."""
-    ordered = rules()
+def routed(df: DataFrame, text: str = "text", more: tuple[Rule, ...] = ()) -> DataFrame:
+    """df with extractor, doc_type and subtype; null where no rule accepts. `more` are rules of the user's own, tried first."""
+    ordered = [*more, *rules()]
     pick = F.coalesce(*[F.when(r.accepts, F.lit(r.name)) for r in ordered])
     kind = F.create_map(*[F.lit(x) for r in ordered for x in (r.name, r.doc_type)])
+    # Two kinds of bill have two subtypes: water or energy, rental or another.
+    either = {"utility": has(*WATER, form=UPPER), "outros": has("LOCACAO", "ALUGUEL")}
+    plain = F.create_map(*[F.lit(x) for r in ordered if r.subtype and r.name not in either for x in (r.name, r.subtype)])
+    subtype = F.coalesce(*[F.when((F.col("extractor") == r.name) & either[r.name], F.lit(r.subtype.split("|")[0])).when(F.col("extractor") == r.name, F.lit(r.subtype.split("|")[1])) for r in ordered if r.name in either], F.try_element_at(plain, "extractor"))
     out = forms(df, text).withColumn("extractor", pick)
-    return out.withColumn("doc_type", F.try_element_at(kind, "extractor")).drop(UPPER, BARE, TIGHT, DIGITS)
+    return out.withColumn("doc_type", F.try_element_at(kind, "extractor")).withColumn("subtype", subtype).drop(UPPER, BARE, TIGHT, DIGITS)

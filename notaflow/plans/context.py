@@ -90,13 +90,6 @@ def company_lookup(spark, d):
     return context.company_of(docs, companies, "l_orderkey", "text").join(context.foreign_cnpj(docs, companies, "l_orderkey", "text"), "l_orderkey", "left")
 
 
-def company_swap(spark, d):
-    o = table(spark, d, "orders")
-    k = F.col("o_orderkey")
-    docs = o.select("o_orderkey", (k % 2 == 0).alias("ours"), F.lit("F1").alias("foreign"), F.lit("NOME").alias("fornecedor_nome"), F.when(k % 3 != 0, F.lit("C1")).alias("cnpj"))
-    return context.swapped(docs).select("o_orderkey", "fornecedor_nome", "cnpj")
-
-
 def split_names(spark, d):
     words = ("BRASIL", "AUDITORIA", "E", "CONSULTORIA", "LTDA", "RSM")
     s = table(spark, d, "supplier")
@@ -129,7 +122,7 @@ def retention(spark, d):
     return o.where(F.col("o_orderdate") < F.expr("CAST('1998-01-03 00:00:00' AS TIMESTAMP_NTZ) - INTERVAL 48 HOURS")).select("o_orderkey")
 
 
-QUERIES = {f.__name__: f for f in (admin_subjects, auxiliary_documents, reader_choice, table_cells, password_candidates, payment_codes, success_codes, mail_body, company_lookup, company_swap, split_names, vector_upsert, report_split, prometheus_lines, sink_chunks, retention)}
+QUERIES = {f.__name__: f for f in (admin_subjects, auxiliary_documents, reader_choice, table_cells, password_candidates, payment_codes, success_codes, mail_body, company_lookup, split_names, vector_upsert, report_split, prometheus_lines, sink_chunks, retention)}
 _DAYS, _SUMS = r"len(regexp_extract_all({v}, '\b\d{{2}}\s*/\s*\d{{2}}\s*/\s*\d{{4}}\b'))", r"len(regexp_extract_all({v}, '\b\d{{1,3}}(?:\s*\.\s*\d{{3}})*\s*,\s*\d{{2}}\b'))"
 _MARK = r"(regexp_matches({v}, '\b\d{{2}}\s*\.\s*\d{{3}}\s*\.\s*\d{{3}}\s*/\s*\d{{4}}\s*-\s*\d{{2}}\b') OR regexp_matches({v}, '\d{{5}}[.\s]\d{{5}}\s+\d{{5}}[.\s]\d{{6}}\s+\d{{5}}[.\s]\d{{6}}'))"
 _INCOMPLETE = f"(length({{v}}) < 200 OR ({_MARK} AND ({_DAYS} < 1 OR {_SUMS} < 1)) OR (length({{v}}) < 600 AND ({_DAYS} < 2 OR {_SUMS} < 1)))"
@@ -148,7 +141,6 @@ SQL = {
     "success_codes": "WITH m AS (SELECT o_orderkey AS k, concat_ws(',', CASE WHEN o_orderkey % 7 = 0 THEN 'fornecedor_nome' END, CASE WHEN o_orderkey % 3 = 0 THEN 'vencimento' END, CASE WHEN o_orderkey % 4 = 0 THEN 'numero_nota' END, CASE WHEN o_orderkey % 5 = 0 OR o_totalprice <= 0 THEN 'valor_total' END) AS missing, o_totalprice FROM orders) SELECT k AS o_orderkey, missing, missing = '' AS complete, CASE WHEN k % 11 = 0 THEN 'BOLETO/RECIBO (Ignorar se não for NF).' WHEN k % 13 = 0 THEN 'LOCAÇÃO (Layout atípico).' WHEN k % 5 = 0 OR o_totalprice <= 0 THEN 'Regex de VALOR falhou.' WHEN k % 4 = 0 THEN 'Regex de NÚMERO DA NOTA falhou.' ELSE 'Falha genérica de extração.' END AS guess FROM m",
     "mail_body": "SELECT o_orderkey, round(o_totalprice, 2) AS valor, 0.8 AS confianca, DATE '1998-05-10' AS vencimento, CAST(o_orderkey + 10 AS VARCHAR) AS numero, 'AB-12345' AS codigo, CAST(o_orderkey AS VARCHAR) AS link_number FROM orders",
     "company_lookup": "WITH n AS (SELECT l_orderkey, l_suppkey, count(*) AS t FROM lineitem GROUP BY 1, 2), e AS (SELECT l_orderkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY t DESC, l_suppkey) AS i FROM n WHERE l_suppkey % 2 = 0), f AS (SELECT l_orderkey, min(l_suppkey) AS s FROM n WHERE l_suppkey % 2 = 1 GROUP BY 1) SELECT o.l_orderkey, CASE WHEN e.l_suppkey IS NOT NULL THEN 'E' || e.l_suppkey END AS empresa, CASE WHEN f.s IS NOT NULL THEN lpad(CAST(f.s + 1 AS VARCHAR), 14, '0') END AS cnpj FROM (SELECT DISTINCT l_orderkey FROM lineitem) o LEFT JOIN e ON e.l_orderkey = o.l_orderkey AND e.i = 1 LEFT JOIN f ON f.l_orderkey = o.l_orderkey",
-    "company_swap": "SELECT o_orderkey, CASE WHEN o_orderkey % 2 <> 0 THEN 'NOME' END AS fornecedor_nome, CASE WHEN o_orderkey % 2 = 0 OR o_orderkey % 3 = 0 THEN 'F1' ELSE 'C1' END AS cnpj FROM orders",
     "split_names": "SELECT s_suppkey, 'RSM BRASIL AUDITORIA E CONSULTORIA LTDA' AS name, s_name AS same FROM supplier",
     "vector_upsert": "SELECT md5('embeddings::' || vec_id) AS key, CASE WHEN vec_id % 2 = 0 THEN 2 ELSE 1 END AS version FROM embeddings",
     "report_split": "SELECT 'b' || o_orderkey AS batch, printf('%.2f', o_totalprice) AS valor, o_orderkey % 2 = 0 AS no_due FROM orders",

@@ -12,7 +12,7 @@ LAYOUTS = (
     ("gox", "BOLETO", "GOX INTERNET goxinternet.com.br boleto {v}"),
     ("emc", "OUTRO", "EMC TECNOLOGIA FATURA DE LOCAÇÃO {k} TOTAL R$ {v}"),
     ("net_center", "BOLETO", "NET CENTER UNAI vencimento {d} {v}"),
-    ("tim", "OUTRO", "TIM S.A. FATURA: {k} vencimento {d} total {v}"),
+    ("tim", "UTILITY_BILL", "TIM S.A. FATURA: {k} vencimento {d} total {v}"),
     ("montes_claros", "NFSE", "Prefeitura de MONTES CLAROS NFS-e {k} valor {v}"),
     ("vila_velha", "NFSE", "PREFEITURA DE VILA VELHA nota {k}"),
     ("comprovante", "OUTRO", "COMPROVANTE DE TRANSFERENCIA valor {v} data {d}"),
