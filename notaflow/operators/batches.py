@@ -47,11 +47,22 @@ def duplicates(docs: DataFrame, keys: list[Column], ids: str) -> DataFrame:
     return docs.groupBy(*keys).agg(F.count("*").alias("n"), F.min(ids).alias("first_id")).where("n > 1")
 
 
-def complement(main: DataFrame, extra: DataFrame, condition: Column, main_id: str, extra_id: str, order: list, fill: list[str]) -> DataFrame:
-    """main with its empty columns filled from the first matching row of extra (columns x_*); one row of main each."""
-    hit = main.join(extra, condition, "left")
-    first = F.row_number().over(W.partitionBy(main_id).orderBy(*order))
-    return hit.withColumn("_n", first).where("_n = 1").select(main_id, extra_id, *[F.coalesce(c, f"x_{c}").alias(c) for c in fill])
+def complement_near(main: DataFrame, extra: DataFrame, keys: list[str], number: str, width: int, main_id: str, extra_id: str, fill: list[str]) -> DataFrame:
+    """main_id, extra_id and the columns in `fill` for every row of main, those that are null taken from the row of extra
+    with the smallest id among those of equal keys, another id, and a whole number less than `width` away.
+
+    extra has the same names as main, but for its id. Its two smallest ids of each (keys, number) go through one window a
+    key, so that no pair is listed: the work grows with the different numbers, not with the rows that share them.
+    """
+    w = W.partitionBy(*keys, number).orderBy(extra_id)
+    e = extra.groupBy(*keys, number, extra_id).agg(F.min(F.struct(*fill)).alias("_f")).withColumn("_n", F.row_number().over(w)).where("_n <= 2")
+    e = e.groupBy(*keys, number).agg(F.collect_list(F.struct(F.col(extra_id).alias("id"), F.col("_f").alias("f"))).alias("_two"))
+    at = main.select(*keys, number).distinct().join(e, [*keys, number], "full")
+    near = F.flatten(F.collect_list(F.coalesce("_two", F.array().cast(e.schema["_two"].dataType))).over(W.partitionBy(*keys).orderBy(number).rangeBetween(1 - width, width - 1)))
+    at = at.select(*keys, number, F.slice(F.array_sort(near), F.lit(1), F.lit(2)).alias("_near"))
+    both = main.join(at, [*keys, number], "left")
+    pick = both.withColumn("_x", F.get(F.filter("_near", lambda x: x["id"] != F.col(main_id)), F.lit(0)))
+    return pick.select(main_id, F.col("_x.id").alias(extra_id), *[F.coalesce(c, F.col(f"_x.f.{c}")).alias(c) for c in fill])
 
 
 def group_attachments(parts: DataFrame, key: str, order: str, *columns: str) -> DataFrame:

@@ -43,7 +43,7 @@ def largest_of(text: Column, low: float = 0.0, high: float = 1e12) -> Column:
 def hits_with_context(text: Column, pattern: str, before: int, after: int) -> Column:
     """All hits with the text around each: array of (value, context). The text is cut at the hits, so no offsets are needed."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    rest = F.split(text, pattern.replace("(\\d{1,3}(?:\\.\\d{3})*,\\d{2})", "\\d{1,3}(?:\\.\\d{3})*,\\d{2}").replace("(\\d{2}/\\d{2}/\\d{2,4})", "\\d{2}/\\d{2}/\\d{2,4}"))
+    rest = F.split(text, pattern)
     return F.transform(found, lambda v, i: F.struct(v.alias("value"), F.concat(F.right(F.coalesce(F.get(rest, i), F.lit("")), F.lit(before)), F.lit(" "), F.left(F.coalesce(F.get(rest, i + 1), F.lit("")), F.lit(after))).alias("context")))
 
 
@@ -126,7 +126,7 @@ def note_fields(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def extracted(routed: DataFrame, text: str = "text") -> DataFrame:
-    """Fields of every routed document, by its doc_type; the text is read once for both kinds of rules."""
+    """Fields of every routed document: slips and all others are two branches, each with its own rules."""
     slip = slip_fields(routed.where("doc_type = 'BOLETO'"), text)
     note = note_fields(routed.where("doc_type IS NULL OR doc_type <> 'BOLETO'"), text)
     return slip.unionByName(note, allowMissingColumns=True)

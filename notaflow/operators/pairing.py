@@ -10,24 +10,14 @@ import re
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..functions import ids
 from ..functions.fixed import TOLERANCE
 
 PAIRS = "batch_id string, pair_id string, note_number string, note_value double, slip_value double, difference double, pair_status string, note_docs array<string>, slip_docs array<string>"
 
 
-def _key(number) -> str:
-    if not isinstance(number, str) or not number.strip():
-        return ""
-    bare = re.sub(r"^(NFSE|NFE|NOTA|NF)[\s._:\-]*", "", number.strip().upper())
-    if m := re.match(r"\d{4}[./\-](\d+)$", bare):
-        return m[1].lstrip("0") or "0"
-    digits = re.sub(r"\D", "", bare)
-    if len(digits) > 8:
-        digits = re.sub(r"^20(?:2\d|30)", "", digits.lstrip("0"))
-    return (digits.lstrip("0") or "0") if digits else ""
-
-
 def equivalent(a: str, b: str) -> bool:
     """Equal, or one ends with the other."""
     return bool(a and b) and (a == b or a.endswith(b) or b.endswith(a))
@@ -60,8 +50,8 @@ def _groups(rows: list[dict], slip: bool) -> list[dict]:
 
 
 def pair_batch(docs: list[dict], strict: bool = True) -> list[dict]:
-    """Pairs of one batch. strict keeps the own pairs of notes that an aggregate covers."""
-    rows = [d | {"valor": float(d["valor"] or 0), "key": _key(d["numero"])} for d in docs]
+    """Pairs of one batch; key is a document's normalised number. strict keeps the own pairs of notes that an aggregate covers."""
+    rows = [d | {"valor": float(d["valor"] or 0)} for d in docs]
     notes = [r for r in rows if r["doc_type"] in ("NFSE", "DANFE", "OUTRO") and not r.get("auxiliar")]
     slips = [r for r in rows if r["doc_type"] == "BOLETO" and r["valor"] > 0]
 
@@ -106,4 +96,5 @@ def pair_documents(docs: DataFrame, strict: bool = True) -> DataFrame:
         batch = pdf.batch_id.iloc[0]
         return pd.DataFrame([p | {"batch_id": batch, "pair_id": f"{batch}{p['pair_id']}"} for p in pairs])[["batch_id", "pair_id", "note_number", "note_value", "slip_value", "difference", "pair_status", "note_docs", "slip_docs"]]
 
-    return docs.groupBy("batch_id").applyInPandas(run, PAIRS)
+    keyed = docs.withColumn("key", F.coalesce(ids.invoice_number(F.col("numero")), F.lit("")))
+    return keyed.groupBy("batch_id").applyInPandas(run, PAIRS)

@@ -123,8 +123,8 @@ def duplicate_lines(spark, d):
 def complement_left(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "source", "lang", "n_chars")
     main = docs.where("doc_id % 2 = 0").select("doc_id", "source", F.when(F.col("doc_id") % 4 == 0, F.col("lang")).alias("lang"), "n_chars")
-    extra = docs.where("doc_id % 2 = 1").select(F.col("doc_id").alias("x_id"), F.col("source").alias("x_source"), F.col("lang").alias("x_lang"), F.col("n_chars").alias("x_n_chars"))
-    return batches.complement(main, extra, (F.col("source") == F.col("x_source")) & (F.abs(F.col("n_chars") - F.col("x_n_chars")) < 50), "doc_id", "x_id", [F.col("x_id").asc_nulls_last()], ["lang"])
+    extra = docs.where("doc_id % 2 = 1").withColumnRenamed("doc_id", "x_id")
+    return batches.complement_near(main, extra, ["source"], "n_chars", 50, "doc_id", "x_id", ["lang"])
 
 
 COMPLEMENT_SQL = """WITH m AS (SELECT doc_id, source, CASE WHEN doc_id % 4 = 0 THEN lang END AS lang, n_chars FROM documents WHERE doc_id % 2 = 0), x AS (SELECT * FROM documents WHERE doc_id % 2 = 1),

@@ -23,13 +23,10 @@ def consolidate_whole(spark, d):
 
 
 def complement_whole(spark, d):
-    """Every document against every other one; bands of length make the pairs an equi-join."""
+    """Every document against every other one of its source and about its length."""
     docs = table(spark, d, "documents").select("doc_id", "source", "lang", "n_chars")
-    band = F.floor(F.col("n_chars") / 50)
-    main = docs.withColumn("lang", F.when(F.col("n_chars") > 500, F.col("lang"))).withColumn("band", band)
-    extra = docs.select(F.col("doc_id").alias("x_id"), F.col("source").alias("x_source"), F.col("lang").alias("x_lang"), F.col("n_chars").alias("x_n_chars"), F.explode(F.array(band - 1, band, band + 1)).alias("x_band"))
-    near = (F.col("source") == F.col("x_source")) & (F.col("band") == F.col("x_band")) & (F.abs(F.col("n_chars") - F.col("x_n_chars")) < 50) & (F.col("doc_id") != F.col("x_id"))
-    return batches.complement(main, extra, near, "doc_id", "x_id", [F.col("x_id").asc_nulls_last()], ["lang"])
+    main = docs.withColumn("lang", F.when(F.col("n_chars") > 500, F.col("lang")))
+    return batches.complement_near(main, docs.withColumnRenamed("doc_id", "x_id"), ["source"], "n_chars", 50, "doc_id", "x_id", ["lang"])
 
 
 def merge_whole(spark, d):

@@ -10,7 +10,8 @@ from notaflow.plans.documents import LAYOUTS
 
 
 def doc(kind, number, value, name="", line=None):
-    return {"doc_type": kind, "numero": number, "valor": value, "arquivo_origem": name or f"{kind}-{number}", "linha_digitavel": line}
+    keys = {"2025/119": "119", "2025.119": "119", "2025/122": "122", "2025.122": "122", None: ""}
+    return {"doc_type": kind, "key": keys.get(number, number), "valor": value, "arquivo_origem": name or f"{kind}-{number}", "linha_digitavel": line}
 
 
 def statuses(*docs, **how):
@@ -69,6 +70,35 @@ def test_every_mail_has_one_decision(spark):
     assert all(r.want == r.d for r in got)
 
 
+def test_complement_against_all_pairs(spark):
+    import itertools
+    import random
+
+    rng = random.Random(7)
+    rows = [(i, rng.choice("ab"), rng.choice([None, "x", "y"]), rng.randint(0, 400) if rng.random() < 0.95 else None) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, lang string, n_chars bigint")
+    got = {r.doc_id: (r.x_id, r.lang) for r in batches.complement_near(df, df.withColumnRenamed("doc_id", "x_id"), ["source"], "n_chars", 20, "doc_id", "x_id", ["lang"]).collect()}
+    want = {i: (None, lang) for i, _, lang, _ in rows}
+    for (i, s, lang, n), (j, t, other, m) in itertools.product(rows, rows):
+        if i != j and s == t and n is not None and m is not None and abs(n - m) < 20 and (want[i][0] is None or j < want[i][0]):
+            want[i] = (j, lang if lang is not None else other)
+    assert got == want
+
+
+def test_router_subtypes_and_receipts(spark):
+    cases = [("TIM S.A. VENCIMENTO 01/02/2025", "tim", "UTILITY_BILL", "TELECOM"), ("CNPJ 02.421.421/0001-11", "tim", "UTILITY_BILL", "TELECOM"), ("Meu TIM www.tim.com.br", "tim", "UTILITY_BILL", "TELECOM"), ("Meu TIM", None, None, None),
+             ("DADOS DE QUEM ESTÁ PAGANDO", "comprovante", "OUTRO", "COMPROVANTE_BANCARIO"), ("TED REALIZADO", "comprovante", "OUTRO", "COMPROVANTE_BANCARIO"), ("TED REALIZADO BOLETO", None, None, None),
+             ("FAVORECIDO ORDENANTE ITAÚ", "comprovante", "OUTRO", "COMPROVANTE_BANCARIO"), ("FAVORECIDO ORDENANTE", None, None, None), ("AGENCIA ITAU AUTENTICACAO", None, None, None),
+             ("CONTA DE LUZ consumo 120 KWH", "utility", "UTILITY_BILL", "ENERGY"), ("LOCAWEB servicos mensais", "outros", "OUTRO", "FATURA")]
+    df = spark.createDataFrame([(c[0],) for c in cases], "text string")
+    got = {r.text: (r.extractor, r.doc_type, r.subtype) for r in router.routed(df).collect()}
+    for text, *want in cases:
+        assert got[text] == tuple(want), text
+    own = router.Rule("minha", "OUTRO", router.has("MINHAREGRA"), "MEU")
+    r = router.routed(spark.createDataFrame([("minha regra DANFE",)], "text string"), more=(own,)).first()
+    assert (r.extractor, r.doc_type, r.subtype) == ("minha", "OUTRO", "MEU")
+
+
 def test_router_order(spark):
     texts = [(x[0], x[1], x[2].replace("{k}", "7").replace("{v}", "1.234,56").replace("{d}", "01/02/2025")) for x in LAYOUTS]
     df = spark.createDataFrame(texts + [(None, None, ""), (None, None, None)], "want string, kind string, text string")
