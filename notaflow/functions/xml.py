@@ -8,7 +8,7 @@ passes a shape test first; what fails it gives nulls.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import dates, money
+from . import dates, ids, money
 
 
 def bare(xml: Column) -> Column:
@@ -43,26 +43,51 @@ def first_of(xml: Column, *paths: str) -> Column:
     return F.coalesce(*[text_at(xml, p) for p in paths])
 
 
+# Marks of the dialects, in the order in which they are asked for, and how many of them make one.
+MARKS = (
+    ("NFCOM", 1, ("<nfcomProc", "<NFCom>", "<infNFCom", r"portalfiscal\.inf\.br/nfcom", "<mod>62</mod>")),
+    ("SPED", 2, (r"sped\.fazenda\.gov\.br/nfse", r"<infNFSe\s", "<nNFSe>", "<nDFSe>", r"<DPS\s", r"<infDPS\s", "<toma>", "<prest>")),
+    ("SIGISS", 3, ("<NumeroNFe>", "<InscricaoPrestador>", "<CPFCNPJPrestador>", "<TributacaoNFe>", "<StatusNFe>", "<ChaveNFe>", "<RazaoSocialPrestador>")),
+    ("NFE", 1, ("<nfeProc", "<infNFe", r"portalfiscal\.inf\.br/nfe", "<mod>55</mod>")),
+    ("ABRASF", 1, ("<CompNfse", "<Nfse>", "<InfNfse", "<ListaNfse", "<ConsultarNfseResposta", r"abrasf\.org\.br", "<Rps>", "<InfRps", r"nfse\.xsd", "<NumeroNfse", "<PrestadorServico", "<TomadorServico")),
+)
+#: Where each dialect keeps what: the first path that has a text counts.
+PATHS = {
+    "numero": {"NFE": ("ide/nNF",), "NFCOM": ("ide/nNF",), "SPED": ("nNFSe", "nDFSe", "Numero"), "SIGISS": ("ChaveNFe/NumeroNFe",), "ABRASF": ("InfNfse/Numero", "Numero")},
+    "cnpj": {"NFE": ("emit/CNPJ",), "NFCOM": ("emit/CNPJ",), "SPED": ("emit/CNPJ",), "SIGISS": ("CPFCNPJPrestador/CNPJ", "CPFCNPJPrestador/CPF"), "ABRASF": ("PrestadorServico/Cnpj", "Prestador/Cnpj", "Cnpj")},
+    "fornecedor_nome": {"NFE": ("emit/xNome",), "NFCOM": ("emit/xNome", "emit/xFant"), "SPED": ("emit/xNome",), "SIGISS": ("RazaoSocialPrestador",), "ABRASF": ("PrestadorServico/RazaoSocial", "Prestador/RazaoSocial", "RazaoSocial")},
+    "data_emissao": {"NFE": ("dhEmi", "dEmi"), "NFCOM": ("ide/dhEmi",), "SPED": ("dhProc", "dhEmi", "infDPS/dhEmi", "infDPS/dCompet"), "SIGISS": ("ChaveNFe/DataEmissaoNFe",), "ABRASF": ("DataEmissao",)},
+    "vencimento": {"NFE": ("dup/dVenc",), "NFCOM": ("gFat/dVencFat",)},
+    "servico": {"SPED": ("cServ/xDescServ",), "SIGISS": ("Discriminacao",), "ABRASF": ("Discriminacao",)},
+}
+#: Amounts: the first that is more than nothing.
+AMOUNTS = {"NFE": ("ICMSTot/vNF",), "NFCOM": ("total/vNF", "total/vProd"), "SPED": ("valores/vLiq", "valores/vServ", "valores/vTotServ", "infDPS/vServPrest/vServ"), "SIGISS": ("ValorServicos",), "ABRASF": ("ValoresNfse/ValorLiquidoNfse", "ValorLiquidoNfse", "ValorServicos")}
+
+
 def dialect(xml: Column) -> Column:
-    low = F.lower(xml)
-    def score(*tags):
-        return sum((F.contains(low, F.lit(f"<{t}")).cast("int") for t in tags), F.lit(0))
-    return (
-        F.when(F.contains(low, F.lit("<nfcom")) | F.contains(low, F.lit("<infnfcom")), F.lit("NFCOM"))
-        .when(score("nfse", "infdps", "dps") >= 2, F.lit("SPED")).when(score("notafiscal", "numero_nota", "nota_numero", "prestador_cnpj") >= 3, F.lit("SIGISS"))
-        .when(F.contains(low, F.lit("<infnfe")), F.lit("NFE")).when(F.contains(low, F.lit("<compnfse")) | F.contains(low, F.lit("<infnfse")), F.lit("ABRASF")))
+    """Which fiscal format a document is in; null if none. Prefixes of element names don't matter."""
+    both = F.concat(xml, F.lit("\n"), bare(xml))
+
+    def score(marks):
+        return sum((both.rlike(f"(?is){m}").cast("int") for m in marks), F.lit(0))
+
+    return F.coalesce(*[F.when(score(marks) >= least, F.lit(name)) for name, least, marks in MARKS])
+
+
+def _by_dialect(options: dict, use) -> Column:
+    return F.coalesce(*[F.when(F.col("dialect") == name, use(paths)) for name, paths in options.items()])
 
 
 def fields(df: DataFrame, xml: str = "xml") -> DataFrame:
-    """df with ok, dialect, doc_type, numero, cnpj, fornecedor_nome, valor, data_emissao, vencimento, chave_acesso."""
+    """df with ok, dialect, doc_type, numero, cnpj, fornecedor_nome, valor, data_emissao, vencimento, chave_acesso, numero_pedido."""
     d = df.withColumn("_x", bare(F.col(xml))).withColumn("ok", sound(F.col("_x"))).withColumn("_x", F.when(F.col("ok"), F.col("_x")).otherwise(F.lit("<none></none>")))
     x = F.col("_x")
-    d = d.withColumn("dialect", dialect(x))
+    d = d.withColumn("dialect", F.when(F.col("ok"), dialect(F.col(xml))))
+    at = {name: _by_dialect(options, lambda paths: first_of(x, *paths)) for name, options in PATHS.items()}
+    amount = _by_dialect(AMOUNTS, lambda paths: F.coalesce(*[F.when(money.xml_number(text_at(x, p)) > 0, money.xml_number(text_at(x, p))) for p in paths]))
+    told = F.nullif(F.regexp_extract(at["servico"], r"(?i)vencimento[:\s]+(\d{2}[/\-]\d{2}[/\-]\d{4})", 1), F.lit(""))
+    key = F.when(F.col("dialect") == "NFE", F.regexp_extract(x, r"<infNFe[^>]*\sId=\"\D*(\d{44})\"", 1)).when(F.col("dialect") == "NFCOM", F.regexp_extract(x, r"<infNFCom[^>]*\sId=\"(?:NFCom)?([^\"]{39,})\"", 1))
     return d.withColumns({
         "doc_type": F.when(F.col("dialect").isin("NFE", "NFCOM"), F.lit("DANFE")).when(F.col("dialect").isNotNull(), F.lit("NFSE")),
-        "numero": first_of(x, "ide/nNF", "ide/nNFCom", "nNF", "InfNfse/Numero", "nNFSe", "numero_nota", "Numero"),
-        "cnpj": first_of(x, "emit/CNPJ", "prest/CNPJ", "PrestadorServico/Cnpj", "Prestador/Cnpj", "prestador_cnpj", "CNPJ", "Cnpj"),
-        "fornecedor_nome": first_of(x, "emit/xNome", "prest/xNome", "PrestadorServico/RazaoSocial", "prestador_razao", "RazaoSocial"),
-        "valor": F.coalesce(money.xml_number(first_of(x, "ICMSTot/vNF", "total/vNF", "ValoresNfse/ValorLiquidoNfse", "vLiq", "ValorLiquidoNfse", "ValorServicos", "valor_nota", "vNF")), F.lit(0.0)),
-        "data_emissao": dates.xml_date(first_of(x, "dhEmi", "DataEmissao", "dhProc", "data_emissao")), "vencimento": dates.xml_date(first_of(x, "dup/dVenc", "dVencFat", "dVenc")),
-        "chave_acesso": F.nullif(F.regexp_extract(x, r"<infNFe[^>]*\sId=\"\D*(\d{44})\"", 1), F.lit(""))}).drop("_x")
+        "numero": at["numero"], "cnpj": at["cnpj"], "fornecedor_nome": at["fornecedor_nome"], "valor": F.coalesce(amount, F.lit(0.0)), "data_emissao": dates.xml_date(at["data_emissao"]),
+        "vencimento": F.coalesce(dates.xml_date(at["vencimento"]), F.when(F.col("dialect") == "SPED", dates.parse_br(told))), "chave_acesso": F.nullif(key, F.lit("")), "numero_pedido": ids.order_number(at["servico"])}).drop("_x")

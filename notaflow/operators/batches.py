@@ -42,6 +42,50 @@ def inherit(docs: DataFrame, key: str = "batch_id") -> DataFrame:
         F.coalesce(F.when(present(F.col("numero_pedido")), F.col("numero_pedido")), order).alias("numero_pedido"))
 
 
+def inherit_all(docs: DataFrame, mails: DataFrame | None = None, key: str = "batch_id") -> DataFrame:
+    """docs with what a batch's documents take from each other. Slips without a reference take the first goods note's
+    number, else the first service note's, else the first other document's; notes without a due date take the first
+    slip's, and where no note and slip meet with one, every document without takes the mail's. All documents take the
+    first order number (an other document's own number counts as one), and where no document has a number, the mail's.
+
+    docs: doc_seq, doc_type, numero, numero_pedido, referencia_nfse, vencimento; mails: vencimento_email, numero_email.
+    """
+    w = W.partitionBy(key).orderBy("doc_seq").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    kind, slip, other = F.col("doc_type"), F.col("doc_type") == "BOLETO", F.col("doc_type") == "OUTRO"
+    note = kind.isin("DANFE", "NFSE")
+    own = {c: F.nullif(F.col(c), F.lit("")) for c in ("numero", "numero_pedido", "referencia_nfse")}
+
+    def first(value: Column, where: Column) -> Column:
+        return F.first(F.when(where, value), True).over(w)
+
+    d = docs if mails is None else docs.join(mails.select(key, "vencimento_email", "numero_email"), key, "left")
+    mail_due, mail_number = (F.lit(None), F.lit(None)) if mails is None else (F.col("vencimento_email"), F.nullif("numero_email", F.lit("")))
+    d = d.withColumns({
+        "_ref": F.coalesce(first(own["numero"], kind == "DANFE"), first(own["numero"], kind == "NFSE"), first(own["numero"], other)), "_due": first(F.col("vencimento"), slip),
+        "_notes": F.max(note).over(w), "_order": first(F.when(other, own["numero"]).otherwise(own["numero_pedido"]), F.lit(True)),
+        "_number": F.coalesce(first(own["numero"], note | slip | other), first(own["numero_pedido"], note))})
+    inherited = F.col("_due").isNotNull() & F.col("_notes")
+    due = F.coalesce("vencimento", F.when(note, F.col("_due")), F.when(~F.coalesce(inherited, F.lit(False)), mail_due.cast("date")))
+    number = F.coalesce(own["numero"], F.when(other, F.col("_order")), F.when(F.col("_number").isNull(), mail_number.cast("string")))
+    taken = {"referencia_nfse": F.when(slip, F.coalesce(own["referencia_nfse"], "_ref")).otherwise(F.col("referencia_nfse")), "vencimento": due, "numero_pedido": F.when(other, F.col("numero_pedido")).otherwise(F.coalesce(own["numero_pedido"], "_order")), "numero": number}
+    return d.select(*[taken[c].alias(c) if c in taken else F.col(c) for c in docs.columns])
+
+
+def status_text(purchase: Column, slip: Column, repeated: Column, same_values: Column, admin: Column, generic: Column) -> tuple[Column, Column]:
+    """Status of a batch and what there is to say of it; null for nothing. repeated: numbers that were forwarded twice;
+    same_values: whether supplier and amount were; admin: what an administrative subject announces; generic: whether the
+    amount comes from a document of no known kind."""
+    state, diff = status(purchase, slip)
+    c, b = (F.coalesce(x, F.lit(0.0)) for x in (purchase, slip))
+    twice = F.when(F.size(F.coalesce(repeated, F.array().cast("array<string>"))) > 0, F.concat(F.lit("[ENCAMINHAMENTO DUPLICADO - notas: "), F.array_join(repeated, ", "), F.lit("]"))).when(same_values, F.lit("[ENCAMINHAMENTO DUPLICADO - mesmos valores detectados]"))
+    text = (F.when(state == "CONCILIADO", F.regexp_replace(twice, r"^[\s\[\]]+|[\s\[\]]+$", ""))
+            .when(state == "DIVERGENTE", F.concat_ws(" ", F.format_string("Valor compra: R$ %.2f | Valor boleto: R$ %.2f | Diferença: R$ %.2f", c, b, diff), twice))
+            .when((b > 0) & ~(c > 0), F.concat_ws(" ", F.format_string("Conferir boleto (R$ %.2f) - NF sem valor encontrada", b), twice))
+            .otherwise(F.concat_ws(" ", F.format_string("Conferir valor (R$ %.2f) - sem boleto para comparação", c), twice)))
+    told = F.concat_ws(" ", text, F.concat(F.lit("[POSSÍVEL DOCUMENTO ADMINISTRATIVO - "), admin, F.lit("]")), F.when(generic, F.lit("[VALOR EXTRAÍDO DE DOCUMENTO GENÉRICO - conferir manualmente]")))
+    return state, F.nullif(told, F.lit(""))
+
+
 def duplicates(docs: DataFrame, keys: list[Column], ids: str) -> DataFrame:
     """Keys that occur more than once, with how often and the smallest id."""
     return docs.groupBy(*keys).agg(F.count("*").alias("n"), F.min(ids).alias("first_id")).where("n > 1")

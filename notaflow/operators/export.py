@@ -31,3 +31,28 @@ def in_chunks(df: DataFrame, order: list, size: int = 100) -> DataFrame:
     from pyspark.sql import Window as W
 
     return df.withColumn("chunk", F.floor((F.row_number().over(W.orderBy(*order)) - 1) / size))
+
+
+def send_in_chunks(df: DataFrame, order: list, send, size: int = 100, attempts: int = 5, wait_s: float = 2.0, most_s: float = 10.0) -> int:
+    """Rows in order to send(list of lists), `size` at a time; a call that fails is tried again after a pause that doubles.
+    The driver holds one partition at a time. Returns the number of rows sent."""
+    import time
+
+    def call(rows: list[list]) -> None:
+        for i in range(attempts):
+            try:
+                return send(rows)
+            except Exception:
+                if i + 1 == attempts:
+                    raise
+                time.sleep(min(most_s, wait_s * 2**i))
+
+    held, sent = [], 0
+    for r in df.orderBy(*order).toLocalIterator():
+        held.append(list(r))
+        if len(held) == size:
+            call(held)
+            held, sent = [], sent + size
+    if held:
+        call(held)
+    return sent + len(held)

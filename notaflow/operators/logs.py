@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.fixed import HISTOGRAM_BOUNDS, SLOW_S
+from ..functions.fixed import HISTOGRAM_BOUNDS, SLOW_S, SLOW_WARNING_S
 
 HEAD = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}) - (\S+) - (\w+) - (.*)$"
 
@@ -42,3 +42,8 @@ def histogram(df: DataFrame, key: str, value: str) -> DataFrame:
     """Cumulative buckets, count, sum and mean per key."""
     cells = [F.count_if(F.col(value) <= b).alias("le_" + str(b).replace(".", "_")) for b in HISTOGRAM_BOUNDS]
     return df.groupBy(key).agg(*cells, F.count(value).alias("n"), F.round(F.sum(value), 4).alias("total"), F.round(F.avg(value), 4).alias("mean"))
+
+
+def pace(duration: Column) -> Column:
+    """How slow a batch was while it ran: SLOW beyond the limit, WARNING beyond the lower one."""
+    return F.when(duration > SLOW_S, F.lit("SLOW")).when(duration > SLOW_WARNING_S, F.lit("WARNING")).otherwise(F.lit("OK"))

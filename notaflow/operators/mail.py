@@ -25,14 +25,14 @@ def ignored_attachment(name: Column) -> Column:
     return name.isNull() | (low == "") | low.rlike(ending) | low.rlike("|".join(fixed.IGNORED_NAMES))
 
 
-def decision(subject: Column, sender: Column, attachment: Column, link: Column, code: Column) -> Column:
-    """PROCESS, or why not."""
+def decision(subject: Column, sender: Column, attachment: Column, link: Column, code: Column, black: tuple[str, ...] = (), white: tuple[str, ...] = (), black_senders: tuple[str, ...] = (), white_senders: tuple[str, ...] = ()) -> Column:
+    """PROCESS, or why not. Patterns of the user's own are asked after the fixed ones."""
     return (
         F.when(attachment, F.lit("PROCESS"))
-        .when(matches_any(sender, fixed.SENDER_BLACK), F.lit("SKIP_SENDER_BLACKLIST"))
-        .when(matches_any(subject, fixed.SUBJECT_BLACK), F.lit("SKIP_BLACKLIST"))
+        .when(matches_any(sender, (*fixed.SENDER_BLACK, *black_senders)), F.lit("SKIP_SENDER_BLACKLIST"))
+        .when(matches_any(subject, (*fixed.SUBJECT_BLACK, *black)), F.lit("SKIP_BLACKLIST"))
         .when(~(link | code), F.lit("SKIP_NO_CONTENT"))
-        .when(matches_any(subject, fixed.SUBJECT_WHITE) | matches_any(sender, fixed.SENDER_WHITE), F.lit("PROCESS"))
+        .when(matches_any(subject, (*fixed.SUBJECT_WHITE, *white)) | matches_any(sender, (*fixed.SENDER_WHITE, *white_senders)), F.lit("PROCESS"))
         .otherwise(F.lit("SKIP_NO_SUBJECT_MATCH"))
     )
 

@@ -40,3 +40,12 @@ def summary(df: DataFrame, amount: str, name: str, due: str) -> DataFrame:
     have = {"with_value": positive(F.col(amount)), "with_name": F.coalesce(present(F.col(name)), F.lit(False)), "with_due": F.col(due).isNotNull()}
     out = df.agg(F.count("*").alias("total"), *[F.count_if(c).alias(k) for k, c in have.items()])
     return out.select("*", *[F.round(100.0 * F.col(k) / F.nullif("total", F.lit(0)), 2).alias(f"pct_{k}") for k in have])
+
+
+def with_samples(problems: DataFrame, value: Column, label: Column, order: Column, n: int = 3) -> DataFrame:
+    """by_kind without mere information, with the first `n` labels of each kind."""
+    from pyspark.sql import Window as W
+
+    d = problems.where(F.col("severity") >= SEVERITY["BAIXA"]).withColumn("_i", F.row_number().over(W.partitionBy("kind").orderBy(order)))
+    first = F.sort_array(F.collect_list(F.when(F.col("_i") <= n, F.struct("_i", label.alias("l")))))
+    return d.groupBy("kind").agg(F.max("severity").alias("max_severity"), F.count("*").alias("n"), F.sum(value).alias("total"), F.transform(first, lambda x: x["l"]).alias("samples"))

@@ -102,6 +102,21 @@ def xml_document(spark, d):
     broken = F.concat(F.lit("<nfeProc><NFe>"), k)
     m = F.col("o_orderkey") % 3
     out = xml.fields(o.select("o_orderkey", F.when(m == 0, nfe).when(m == 1, abrasf).otherwise(broken).alias("xml")))
+    return out.drop("xml", "numero_pedido")
+
+
+def xml_dialects(spark, d):
+    """Communication notes, national and municipal service notes."""
+    k, v, day = F.col("o_orderkey").cast("string"), F.format_string("%.2f", F.col("o_totalprice")), F.date_format("o_orderdate", "yyyy-MM-dd")
+    m = F.col("o_orderkey") % 4
+    first = F.when(F.col("o_orderkey") % 8 == 0, F.lit("0.00")).otherwise(v)
+    comm = F.concat(F.lit('<nfcomProc xmlns="http://www.portalfiscal.inf.br/nfcom"><NFCom><infNFCom Id="NFCom'), F.lpad(k, 44, "5"), F.lit('"><ide><mod>62</mod><nNF>'), k, F.lit("</nNF><dhEmi>"), day, F.lit("T10:00:00-03:00</dhEmi></ide><emit><CNPJ>11222333000144</CNPJ><xFant>FIBRA</xFant></emit><total><vProd>"), v,
+                    F.lit("</vProd><vNF>"), first, F.lit("</vNF></total><gFat><dVencFat>2001-03-05</dVencFat></gFat></infNFCom></NFCom></nfcomProc>"))
+    sped = F.concat(F.lit('<NFSe xmlns="http://www.sped.fazenda.gov.br/nfse"><infNFSe Id="x"><nNFSe>'), k, F.lit("</nNFSe><dhProc>"), day, F.lit("T09:00:00</dhProc><emit><CNPJ>55666777000188</CNPJ><xNome>GAMA</xNome></emit>"), F.when(F.col("o_orderkey") % 8 == 1, F.concat(F.lit("<valores><vLiq>"), v, F.lit("</vLiq></valores>"))).otherwise(F.lit("")),
+                    F.lit('<DPS v="1"><infDPS Id="y"><toma><CNPJ>1</CNPJ></toma><serv><cServ><xDescServ>Pedido '), k, F.lit(" vencimento: 05/04/2001</xDescServ></cServ></serv><valores><vServPrest><vServ>"), v, F.lit("</vServ></vServPrest></valores></infDPS></DPS></infNFSe></NFSe>"))
+    city = F.concat(F.lit("<NFe><Prefeitura>Marilia</Prefeitura><ChaveNFe><NumeroNFe>"), k, F.lit("</NumeroNFe><DataEmissaoNFe>"), F.date_format("o_orderdate", "dd/MM/yyyy"), F.lit("</DataEmissaoNFe></ChaveNFe><CPFCNPJPrestador><CPF>12345678909</CPF></CPFCNPJPrestador><RazaoSocialPrestador>DELTA &amp; CIA</RazaoSocialPrestador><StatusNFe>N</StatusNFe><ValorServicos>"), v, F.lit("</ValorServicos></NFe>"))
+    other = F.concat(F.lit("<nota><numero>"), k, F.lit("</numero></nota>"))
+    out = xml.fields(table(spark, d, "orders").select("o_orderkey", F.when(m == 0, comm).when(m == 1, sped).when(m == 2, city).otherwise(other).alias("xml")))
     return out.drop("xml")
 
 
@@ -110,6 +125,12 @@ XML_SQL = """SELECT o_orderkey, o_orderkey % 3 < 2 AS ok, ['NFE', 'ABRASF', NULL
   CASE WHEN o_orderkey % 3 < 2 THEN CAST(o_orderdate AS DATE) END AS data_emissao, CASE WHEN o_orderkey % 3 = 0 THEN DATE '2001-01-31' END AS vencimento, CASE WHEN o_orderkey % 3 = 0 THEN lpad(CAST(o_orderkey AS VARCHAR), 44, '3') END AS chave_acesso FROM orders"""
 
 
+_OF = "[{}][o_orderkey % 4 + 1]"
+DIALECTS_SQL = f"""SELECT o_orderkey, true AS ok, {_OF.format("'NFCOM', 'SPED', 'SIGISS', NULL")} AS dialect, {_OF.format("'DANFE', 'NFSE', 'NFSE', NULL")} AS doc_type, CASE WHEN o_orderkey % 4 < 3 THEN CAST(o_orderkey AS VARCHAR) END AS numero, {_OF.format("'11222333000144', '55666777000188', '12345678909', NULL")} AS cnpj,
+  {_OF.format("'FIBRA', 'GAMA', 'DELTA & CIA', NULL")} AS fornecedor_nome, CASE WHEN o_orderkey % 4 < 3 THEN CAST(printf('%.2f', o_totalprice) AS DOUBLE) ELSE 0 END AS valor, CASE WHEN o_orderkey % 4 < 3 THEN CAST(o_orderdate AS DATE) END AS data_emissao, {_OF.format("DATE '2001-03-05', DATE '2001-04-05', NULL, NULL")} AS vencimento,
+  CASE WHEN o_orderkey % 4 = 0 THEN lpad(CAST(o_orderkey AS VARCHAR), 44, '5') END AS chave_acesso, CASE WHEN o_orderkey % 4 = 1 THEN CAST(o_orderkey AS VARCHAR) END AS numero_pedido FROM orders"""
+
+
 #: Layouts of vendors: extractor, text, supplier, number ({k} or None).
 VENDOR_LAYOUTS = (
     ("gox", "GOX goxinternet.com.br receber_{k}\nTotal a pagar: R$ {v}\n{d}", "GOX S.A.", "{k}"),
@@ -134,10 +155,10 @@ def instalment_list(spark, d):
     return x.select("o_orderkey", F.size("i").alias("n"), F.array_min("i")["parcela"].alias("first"), F.round(F.aggregate("i", F.lit(0.0), lambda a, r: a + r["valor"]), 2).alias("total"))
 
 
-QUERIES = {f.__name__: f for f in (router_rules, slip_document, note_document, vendor_documents, xml_document, instalment_list)}
+QUERIES = {f.__name__: f for f in (router_rules, slip_document, note_document, vendor_documents, xml_document, xml_dialects, instalment_list)}
 SQL = {
     "router_rules": f"SELECT o_orderkey, {_list(x[0] for x in LAYOUTS)}[o_orderkey % {len(LAYOUTS)} + 1] AS extractor, {_list(x[1] for x in LAYOUTS)}[o_orderkey % {len(LAYOUTS)} + 1] AS doc_type FROM orders",
     "vendor_documents": f"SELECT o_orderkey + 100000 AS o_orderkey, {_list(x[0] for x in VENDOR_LAYOUTS)}[(o_orderkey + 100000) % 5 + 1] AS extractor, {_list(x[2] for x in VENDOR_LAYOUTS)}[(o_orderkey + 100000) % 5 + 1] AS fornecedor_nome, CAST(o_orderkey + 100000 AS VARCHAR) AS numero, round(o_totalprice, 2) AS valor, CAST(o_orderdate AS DATE) AS vencimento FROM orders",
-    "slip_document": SLIP_SQL, "note_document": NOTE_SQL, "xml_document": XML_SQL,
+    "slip_document": SLIP_SQL, "note_document": NOTE_SQL, "xml_document": XML_SQL, "xml_dialects": DIALECTS_SQL,
     "instalment_list": "SELECT o_orderkey, 2 AS n, '10/12' AS first, round(round(o_totalprice, 2) + 1, 2) AS total FROM orders",
 }

@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import layouts, runs
+from ..operators import batches, layouts, logs, quality, runs
 from ..sources import mail, tables
 from ..sources.tables import table
+from .batch import PROBLEM_SQL, with_problems
 
 KINDS = ("NFSE", "DANFE", "BOLETO", "OUTRO", "AVISO")
 STATES = ("", "CONCILIADO", "OK")
@@ -222,8 +223,33 @@ def path_order(spark, d):
     return tables.in_path_order(li, "l_orderkey")
 
 
+def inherit_all(spark, d):
+    """Lines of an order as documents; every third batch has a mail with a due date and a number."""
+    docs = order_docs(spark, d).where("doc_type <> 'AVISO'").withColumnRenamed("numero_nota", "numero").withColumn("referencia_nfse", F.when(F.col("valor") == 0, F.lit("R")))
+    m = table(spark, d, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("batch_id"), F.lit("2030-01-01").cast("date").alias("vencimento_email"), F.lit("E1").alias("numero_email"))
+    return batches.inherit_all(docs, m).select("batch_id", "doc_seq", "doc_type", "numero", "numero_pedido", "referencia_nfse", "vencimento")
+
+
+def status_texts(spark, d):
+    k = F.col("o_orderkey")
+    value = F.when(k % 5 == 0, 0.0).otherwise(F.round("o_totalprice", 2))
+    slip = F.when(k % 3 == 0, value).when(k % 3 == 1, F.round("o_totalprice", 2) + 5)
+    state, text = batches.status_text(value, slip, F.when(k % 7 == 0, F.array(F.lit("1"), F.lit("2"))), k % 7 == 1, F.when(k % 11 == 0, F.lit("Distrato")), k % 13 == 0)
+    return table(spark, d, "orders").select("o_orderkey", state.alias("status"), text.alias("text"))
+
+
+def problem_samples(spark, d):
+    p = with_problems(spark, d)
+    out = quality.with_samples(p, F.col("note").cast("decimal(18,2)"), F.col("o_orderkey").cast("string"), F.col("o_orderkey"))
+    return out.select("kind", "max_severity", "n", F.col("total").cast("double").alias("total"), F.array_join("samples", ",").alias("samples"))
+
+
+def batch_pace(spark, d):
+    return table(spark, d, "events").groupBy("user_id").agg(F.max("value").alias("duration")).select("user_id", logs.pace(F.col("duration") / 5).alias("pace"))
+
+
 QUERIES = {f.__name__: f for f in (paf_rows, paf_rows_without_number, anexos_rows, sem_anexos_rows, simple_notices, partial_export, partial_notices, batch_summary, multiple_invoices, due_flags, kind_shares, document_union, extractor_usage, extractors_of_batches, slowest_batches, validation_totals, session_totals, run_totals,
-                                   ingestion_totals, case_filter, csv_quality, unseen_files, common_files, merged_labels, mail_headers, mail_bodies, native_texts, exported_batches, diagnostics_by_file, report_totals, path_order)}
+                                   ingestion_totals, case_filter, csv_quality, unseen_files, common_files, merged_labels, mail_headers, mail_bodies, native_texts, exported_batches, diagnostics_by_file, report_totals, path_order, inherit_all, status_texts, problem_samples, batch_pace)}
 _SHEET = """s AS (SELECT o_orderkey AS k, o_orderkey % 5 AS t, CAST(o_orderdate AS DATE) AS day, round(o_totalprice, 2) AS v, CASE WHEN o_orderkey % 2 = 0 THEN 'https://x.example/' || repeat('y', CAST(o_orderkey % 90 AS INTEGER)) END AS link FROM orders)"""
 _BR = "strftime({}, '%d/%m/%Y')"
 _F = lambda name, every: f"CASE WHEN k % {every} <> 0 THEN '{name}' || k ELSE '' END"
@@ -287,4 +313,14 @@ SELECT k AS o_orderkey, CASE WHEN k % 5 = 0 THEN 'curto' ELSE '' END AS supplier
     "diagnostics_by_file": "SELECT CASE WHEN user_id % 5 <> 0 THEN 'f' || (user_id % 7) ELSE 'unknown' END AS file, CASE WHEN event_type <> 'view' THEN event_type ELSE 'information' END AS severity, count(*) AS n, min(CAST(event_id AS VARCHAR)) AS first FROM events WHERE event_id % 10 < 3 GROUP BY 1, 2",
     "report_totals": "WITH c AS (SELECT o_orderkey AS k FROM orders UNION ALL SELECT o_orderkey FROM orders) SELECT count(*) AS total_cases, count(*) FILTER (k % 2 = 0) AS issue_value, 0::BIGINT AS issue_vencimento, count(*) FILTER (k % 2 = 1) AS issue_fornecedor, 0::BIGINT AS issue_numero_nota, 0::BIGINT AS issue_extractor_identification, 0::BIGINT AS issue_data_validation, count(*) FILTER (k % 3 = 0) AS severity_alta, count(*) FILTER (k % 3 = 1) AS severity_media, 0::BIGINT AS severity_baixa, count(*) FILTER (k % 4 = 0) AS classification_unknown, count(*) FILTER (k % 4 = 1) AS classification_nfse, count(*) FILTER (k % 4 = 3) AS classification_administrativos, count(*) FILTER (k % 4 = 2) AS classification_boleto, 0::BIGINT AS action_investigar_manualmente, count(*) FILTER (k % 5 = 0) AS action_melhorar_extracao, 0::BIGINT AS action_corrigir_valores FROM c",
     "path_order": "WITH p AS (SELECT l_orderkey, 'p' || lpad(CAST(l_suppkey AS VARCHAR), 6, '0') || '_' || l_linenumber || '_' || l_partkey AS path FROM lineitem) SELECT l_orderkey, path, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY path) AS INTEGER) AS doc_seq FROM p",
+    "inherit_all": f"""WITH {_DOCS}, x AS (SELECT * FROM d WHERE doc_type <> 'AVISO'), g AS (SELECT batch_id, arg_min(numero_nota, (CASE doc_type WHEN 'DANFE' THEN 0 WHEN 'NFSE' THEN 1 ELSE 2 END, doc_seq)) FILTER (doc_type <> 'BOLETO' AND numero_nota IS NOT NULL) AS ref, arg_min(vencimento, doc_seq) FILTER (doc_type = 'BOLETO' AND vencimento IS NOT NULL) AS due,
+  count(*) FILTER (doc_type IN ('DANFE', 'NFSE')) > 0 AS notes, arg_min(CASE WHEN doc_type = 'OUTRO' THEN numero_nota ELSE numero_pedido END, doc_seq) FILTER (CASE WHEN doc_type = 'OUTRO' THEN numero_nota ELSE numero_pedido END IS NOT NULL) AS pedido, count(numero_nota) + count(numero_pedido) FILTER (doc_type IN ('DANFE', 'NFSE')) = 0 AS no_number FROM x GROUP BY batch_id)
+SELECT x.batch_id, doc_seq, doc_type, coalesce(numero_nota, CASE WHEN doc_type = 'OUTRO' THEN pedido END, CASE WHEN no_number AND x.batch_id % 3 = 0 THEN 'E1' END) AS numero, CASE WHEN doc_type = 'OUTRO' THEN numero_pedido ELSE coalesce(numero_pedido, pedido) END AS numero_pedido,
+  CASE WHEN valor = 0 THEN 'R' WHEN doc_type = 'BOLETO' THEN ref END AS referencia_nfse, coalesce(vencimento, CASE WHEN doc_type IN ('DANFE', 'NFSE') THEN due END, CASE WHEN NOT (due IS NOT NULL AND notes) AND x.batch_id % 3 = 0 THEN DATE '2030-01-01' END) AS vencimento FROM x JOIN g ON x.batch_id = g.batch_id""",
+    "status_texts": """WITH q AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN 0.0 ELSE round(o_totalprice, 2) END AS v, CASE o_orderkey % 3 WHEN 0 THEN CASE WHEN o_orderkey % 5 = 0 THEN 0.0 ELSE round(o_totalprice, 2) END WHEN 1 THEN round(o_totalprice, 2) + 5 ELSE 0.0 END AS s FROM orders),
+z AS (SELECT *, CASE WHEN v > 0 AND s > 0 THEN CASE WHEN k % 3 = 0 THEN 'CONCILIADO' ELSE 'DIVERGENTE' END ELSE 'CONFERIR' END AS status, CASE k % 7 WHEN 0 THEN 'ENCAMINHAMENTO DUPLICADO - notas: 1, 2' WHEN 1 THEN 'ENCAMINHAMENTO DUPLICADO - mesmos valores detectados' END AS twice FROM q)
+SELECT k AS o_orderkey, status, nullif(concat_ws(' ', CASE status WHEN 'CONCILIADO' THEN twice WHEN 'DIVERGENTE' THEN printf('Valor compra: R$ %.2f | Valor boleto: R$ %.2f | Diferença: R$ %.2f', v, s, v - s) ELSE CASE WHEN s > 0 THEN printf('Conferir boleto (R$ %.2f) - NF sem valor encontrada', s) ELSE printf('Conferir valor (R$ %.2f) - sem boleto para comparação', v) END END,
+  CASE WHEN status <> 'CONCILIADO' THEN '[' || twice || ']' END, CASE WHEN k % 11 = 0 THEN '[POSSÍVEL DOCUMENTO ADMINISTRATIVO - Distrato]' END, CASE WHEN k % 13 = 0 THEN '[VALOR EXTRAÍDO DE DOCUMENTO GENÉRICO - conferir manualmente]' END), '') AS text FROM z""",
+    "problem_samples": PROBLEM_SQL + ", r AS (SELECT *, row_number() OVER (PARTITION BY p.kind ORDER BY o_orderkey) AS i FROM p WHERE p.severity >= 0.5) SELECT p.kind AS kind, CAST(max(p.severity) AS DOUBLE) AS max_severity, count(*) AS n, CAST(sum(CAST(note AS DECIMAL(18, 2))) AS DOUBLE) AS total, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) FILTER (i <= 3) AS samples FROM r GROUP BY p.kind",
+    "batch_pace": "SELECT user_id, CASE WHEN max(value) / 5 > 20 THEN 'SLOW' WHEN max(value) / 5 > 5 THEN 'WARNING' ELSE 'OK' END AS pace FROM events GROUP BY user_id",
 }

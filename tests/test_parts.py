@@ -189,3 +189,25 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     spark.createDataFrame([(1, "2025-01-01")], "id bigint, ts string").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"file://{tmp_path}/in")
     assert cli.main(["ingest", f"file://{tmp_path}/in", f"file://{tmp_path}/sink", "--key", "id", "--ts", "ts", "--state", f"file://{tmp_path}/state"]) == 0
     assert spark.read.parquet(f"file://{tmp_path}/sink").count() == 1
+
+
+def test_sink_with_retries(spark):
+    calls, fail = [], [True, False, True, True, False]
+
+    def send(rows):
+        if fail and fail.pop(0):
+            raise ConnectionError
+        calls.append([r[0] for r in rows])
+
+    assert export.send_in_chunks(spark.range(25).repartition(3), ["id"], send, 10, wait_s=0.0) == 25
+    assert calls == [list(range(10)), list(range(10, 20)), list(range(20, 25))]
+    with pytest.raises(ConnectionError):
+        export.send_in_chunks(spark.range(1), ["id"], lambda rows: (_ for _ in ()).throw(ConnectionError()), attempts=2, wait_s=0.0)
+
+
+def test_own_mail_patterns(spark):
+    def decided(subject, sender, **more):
+        return one(spark, mail.decision(F.lit(subject), F.lit(sender), F.lit(False), F.lit(True), F.lit(False), **more))[0]
+
+    assert decided("Oi", "a@x.com") == "SKIP_NO_SUBJECT_MATCH" and decided("Oi", "a@x.com", white=(r"^oi$",)) == "PROCESS" and decided("Oi", "a@x.com", white_senders=("@x",)) == "PROCESS"
+    assert decided("Fatura", "a@x.com", black=("fatura",)) == "SKIP_BLACKLIST" and decided("Fatura", "a@x.com", black_senders=("@x",)) == "SKIP_SENDER_BLACKLIST"
