@@ -46,32 +46,6 @@ def unpair(word: Column) -> Column:
     return F.when(ok, F.array_join(F.transform(pairs, lambda p: F.left(p, F.lit(1))), "")).otherwise(word)
 
 
-#: (pattern, replacement) in the order they apply to a name.
-NAME_RULES = (
-    (r"(?i)^\s*(nome|raz[aã]o social|fornecedor|benefici[aá]rio|cedente|prestador|emitente)\s*[:\-]\s*", ""),
-    (r"(?i)\s*[-–]?\s*(cnpj|cpf)\s*[:/]?.*$", ""),
-    (r"\d{2}\.?\d{3}\.?\d{3}/?\d{4}-?\d{2}", ""),
-    (r"\d{3}\.\d{3}\.\d{3}-\d{2}", ""),
-    (r"(?i)\s+(cep|rua|av\.|avenida|rodovia|fone|telefone|tel|e-?mail|endere[cç]o|bairro|munic[ií]pio|inscri[cç][aã]o)\b.*$", ""),
-    (r"\s+[A-Z]?([a-z])\1{2,}.*$", ""),
-    (r"[\[\](){}|_]+", " "),
-    (r"[\s\-–:;,./]+$", ""),
-    (r"^[\s\-–:;,./]+", ""),
-)
-NO_NAMES = ("DOCUMENTO", "DOCUMENTOS", "DOCUMENTO S", "CNPJ", "CPF", "NOME", "VALOR", "DATA", "VENCIMENTO", "PAGADOR", "BENEFICIARIO", "CEDENTE", "SACADO", "RAZAO SOCIAL", "ENDERECO")
-
-
-def entity_name(name: Column) -> Column:
-    """A party's name without labels, identifiers, addresses and OCR artefacts; '' for what is no name."""
-    out = one_space(name)
-    for pattern, by in NAME_RULES:
-        out = F.regexp_replace(out, pattern, by)
-    out = F.array_join(F.transform(F.split(one_space(out), " "), unpair), " ")
-    label = F.regexp_replace(F.upper(strip_accents(out)), r"[^A-Z0-9]+", " ")
-    bad = (F.length(out) < 3) | F.trim(label).isin(*NO_NAMES) | out.rlike(r"\b\d{5}\s+USA$")
-    return F.when(bad, F.lit("")).otherwise(out)
-
-
 def party_key(name: Column) -> Column:
     """A name for comparison: one space, no label in front, upper case."""
     return F.upper(F.regexp_replace(F.trim(F.regexp_replace(name, r"\s+", " ")), r"(?i)^(nome|fornecedor|raz[aã]o social|benefici[aá]rio)\s*:\s*", ""))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..functions import dates, ids, money, text, workdays
+from ..functions import dates, ids, money, names, text, workdays
 from ..functions.fixed import BANKS
 from ..operators import export
 from ..sources.tables import table
@@ -157,11 +157,20 @@ TEXT_SQL = f"""SELECT doc_id, md5(translate(text, '{text.ACCENTED}', '{text.PLAI
 
 def entity_normalize(spark, d):
     s = table(spark, d, "supplier")
+    k = F.col("s_suppkey")
     dirty = F.concat(F.lit("Fornecedor:  "), F.translate("s_name", "#", " "), F.lit("   12.345.678/0001-90  "))
-    return s.select("s_suppkey", text.entity_name(dirty).alias("name"), text.entity_name(F.lit("DOCUMENTO(S)")).alias("label"), text.entity_name(F.lit("LLOOCCAALLIIZZAA RREENNTT AA CCAARR")).alias("pairs"), text.party_key(dirty).alias("key"), ids.company_code(F.col("s_name")).alias("code"))
-
-
-ENTITY_SQL = r"""SELECT s_suppkey, replace(s_name, '#', ' ') AS name, '' AS label, 'LOCALIZA RENT A CAR' AS pairs,
+    shown = F.element_at(F.array(*[F.replace(F.lit(x[0]), F.lit("{k}"), k.cast("string")) for x in NAMED]), (k % len(NAMED) + 1).cast("int"))
+    return s.select("s_suppkey", names.entity_name(shown).alias("name"), names.entity_name(F.lit("LLOOCCAALLIIZZAA RREENNTT AA CCAARR")).alias("pairs"), text.party_key(dirty).alias("key"), ids.company_code(F.col("s_name")).alias("code"))
+
+
+#: What stands on a document, and the name in it; {k} is the supplier's key.
+NAMED = (
+    ("EMPRESA XYZ LTDA   12.345.678/0001-90  ", "EMPRESA XYZ LTDA"), ("CORREIOS E TELEGRAFOS Aeee [dede", "CORREIOS E TELEGRAFOS"), ("DOCUMENTO(S)", ""), ("documento: {k}", ""), ("Florida 33134 USA", ""),
+    ("Rede Mulher de Televisao Ltda CNPJ: -8", "Rede Mulher de Televisao Ltda"), ("Razão Social ACME LTDA | CNPJ - CNPJ", "ACME LTDA"), ("BeneficiárioREPROMAQ LTDA", "REPROMAQ LTDA"), ("Skymail LTDA 393", "Skymail LTDA"),
+    ("EMPRESA A LTDA - CE - FORTALEZA", "EMPRESA A LTDA"), ("ALFA SA www.alfa.com.br", "ALFA SA"), ("( ) Mudou-se", ""), ("CEP: -325 - PRAIA", ""), ("dcadvogados.com.br x", ""), ("VERO S.A. CNL.", "VERO S.A."), ("Contas a Receber", ""),
+    ("EMPRESA {k}.{k} LTDA ******/********", "EMPRESA LTDA"), ("BETA LTDA F50C0E532 Inscrição Municipal 1", "BETA LTDA"), ("GAMA LTDA, inscrita no CNPJ/MF sob", "GAMA LTDA"), ("MG", ""), ("ab", ""), ("DELTA LTDA financeiro", "DELTA LTDA"), ("Nome Empresarial", ""),
+)
+ENTITY_SQL = f"""SELECT s_suppkey, [{', '.join("'" + x[1] + "'" for x in NAMED)}][s_suppkey % {len(NAMED)} + 1] AS name, 'LOCALIZA RENT A CAR' AS pairs,
   upper(replace(s_name, '#', ' ')) || ' 12.345.678/0001-90' AS key, 'SUPPLIER' AS code FROM supplier"""
 
 

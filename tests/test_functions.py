@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from notaflow.functions import dates, ids, money, text, workdays
+from notaflow.functions import dates, ids, money, names, text, workdays
 
 
 def evaluate(spark, values, f, kind="string"):
@@ -57,7 +57,7 @@ def test_identifiers(spark):
 def test_text(spark):
     assert evaluate(spark, ["Código Eletrônico"], text.strip_accents) == ["Codigo Eletronico"]
     assert evaluate(spark, ["Nome    da   Empresa"], text.one_space) == ["Nome da Empresa"]
-    assert evaluate(spark, ["EMPRESA XYZ LTDA   12.345.678/0001-90  ", "LLOOCCAALLIIZZAA RREENNTT AA CCAARR", "CORREIOS E TELEGRAFOS Aeee [dede", "DOCUMENTO(S)", "Florida 33134 USA", "Rede Mulher de Televisao Ltda CNPJ: -8"], text.entity_name) == ["EMPRESA XYZ LTDA", "LOCALIZA RENT A CAR", "CORREIOS E TELEGRAFOS", "", "", "Rede Mulher de Televisao Ltda"]
+    assert evaluate(spark, ["EMPRESA XYZ LTDA   12.345.678/0001-90  ", "LLOOCCAALLIIZZAA RREENNTT AA CCAARR", "CORREIOS E TELEGRAFOS Aeee [dede", "DOCUMENTO(S)", "Florida 33134 USA", "Rede Mulher de Televisao Ltda CNPJ: -8"], names.entity_name) == ["EMPRESA XYZ LTDA", "LOCALIZA RENT A CAR", "CORREIOS E TELEGRAFOS", "", "", "Rede Mulher de Televisao Ltda"]
     assert evaluate(spark, ["a b c d e f"], lambda c: text.chunks(c, 3, 1)) == [["a b c", "c d e", "e f"]]
     assert evaluate(spark, ["x\n# Um\n", "nada"], text.title) == ["Um", "Sem título"]
     assert evaluate(spark, ["<p>a &amp; b</p><script>x</script>"], text.html_text) == ["a & b"]
