@@ -7,6 +7,9 @@ constant. below_label: the first value in the lines under a label.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,6 +59,43 @@ def scored(text: Column, pattern: str, points: dict[str, int], parse, before: in
     return F.array_max(F.filter(rated, lambda r: (r["score"] >= least) & r["value"].isNotNull()))["value"]
 
 
+@dataclass(frozen=True)
+class Weights:
+    """How an amount's line speaks for it. contexts: words that give `at`; words: (word, weight, word that forbids it);
+    item: weight of amounts over 100 on lines that begin like an item; more: whether large amounts get one to three more."""
+
+    contexts: tuple[str, ...]
+    at: int
+    words: tuple[tuple[str, int, str], ...] = ()
+    item: int = 0
+    more: bool = True
+    pattern: str = r"R?\$?\s*(\d{1,3}(?:\.\d{3})*,\d{2}|\d+,\d{2})"
+
+
+def weighted_amount(text: Column, w: Weights) -> Column:
+    """The amount whose line speaks most for it, of equals the largest; null without any."""
+    def rated(line: Column) -> Column:
+        up = F.upper(line)
+        weight = F.when(reduce(lambda a, b: a | b, [F.contains(up, F.lit(c)) for c in w.contexts]), w.at).otherwise(1)
+        for word, points, unless in w.words:
+            ok = F.contains(up, F.lit(word))
+            weight = F.greatest(weight, F.when(ok & ~F.contains(up, F.lit(unless)) if unless else ok, points).otherwise(1))
+
+        def one(cell: Column) -> Column:
+            value = F.replace(F.replace(cell, F.lit("."), F.lit("")), F.lit(","), F.lit(".")).cast("double")
+            points = weight
+            if w.item:
+                points = F.greatest(points, F.when(line.rlike(r"^\s*\d+\s+[^\d]*\d+[.,]\d+") & (value > 100), w.item).otherwise(1))
+            if w.more:
+                points = points + F.when(value > 1000, 3).when(value > 100, 2).when(value > 10, 1).otherwise(0)
+            return F.struct(points.alias("points"), value.alias("value"))
+
+        return F.transform(F.regexp_extract_all(line, F.lit(w.pattern), F.lit(1)), one)
+
+    every = F.flatten(F.transform(F.split(text, "\n"), rated))
+    return F.array_max(F.filter(every, lambda r: r["value"] >= 0.01))["value"]
+
+
 def outside(text: Column, pattern: str, forbidden: str, parse, before: int = 80, after: int = 30) -> Column:
     good = F.filter(hits_with_context(text, pattern, before, after), lambda h: ~h["context"].rlike("(?iu)" + forbidden))
     return parse(F.get(good, F.lit(0))["value"])

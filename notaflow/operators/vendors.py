@@ -30,8 +30,13 @@ class Vendor:
     high: float = 1e12
     largest: bool = False
     latest: bool = False
+    weights: fields.Weights | None = None
 
 
+# What speaks for an amount on three vendors' papers.
+MUGO = fields.Weights(("TOTAL: R$", "VALOR TOTAL: R$", "TOTAL R$", "VALOR TOTAL R$", "VALOR A PAGAR", "VALOR DA FATURA", "DESCRIÇÃO VALOR TOTAL", "V. TOTAL", "V.TOTAL"), 10, (("TOTAL", 8, "V.UNIT"), ("VALOR TOTAL", 9, ""), ("V. TOTAL", 7, ""), ("V.TOTAL", 7, "")), 6)
+PRO_PAINEL = fields.Weights(("VALOR DO DOCUMENTO", "VALOR", "TOTAL", "VALOR TOTAL", "VALOR A PAGAR"), 10, (("VALOR DO DOCUMENTO", 12, ""), ("TOTAL", 8, "")))
+ACIMOC = fields.Weights(("VALOR DO DOCUMENTO", "VALOR", "VALOR A PAGAR", "VALOR DO BOLETO"), 2, more=False, pattern=r"R?\$?\s*(\d{1,3}(?:\.\d{3})*,\d{2})")
 # vendors' names, and the labels of their layouts.
 VENDORS = {
     "repromaq": Vendor("REPROMAQ COM. E IND. LTDA", (r"(?<![\d-])(\d{4}-\d)(?!\d)",), (r"valor\s+do\s+documento" + MONEY, r"valor\s+cobrado" + MONEY)),
@@ -44,9 +49,9 @@ VENDORS = {
     "comprovante": Vendor(None, (), (r"valor(?:\s+da\s+transfer[eê]ncia|\s+transferido)?" + MONEY, r"quantia" + MONEY, r"montante" + MONEY), (r"data(?:\s+da\s+transfer[eê]ncia)?\s*[:\-]?\s*" + DAY, r"(?:realizado|efetuado)\s+em\s*[:\-]?\s*" + DAY, DAY), largest=True),
     "utility": Vendor(None, (r"nota\s+fiscal\s*n[o°º]?\.?\s*[:\-]?\s*([0-9.\-]+)", r"fatura\s*n[°º]?\s*[:\-]?\s*([0-9.\-]+)"), (r"total\s+a\s+pagar" + MONEY,), (r"vencimento\s*[:\-]?\s*(\d{2}[/.]\d{2}[/.]\d{4})",), largest=True),
     "telcables": Vendor("TELCABLES BRASIL LTDA FILIAL SAO PAULO", (r"(?:nota\s+fiscal|nota|nf)\s+fatura\s*[:\-]?\s*0*(\d+)", r"fatura\s*[:\-]?\s*0*(\d+)"), (r"total\s+a\s+pagar" + MONEY, r"valor\s+total" + MONEY, r"total" + MONEY), largest=True),
-    "acimoc": Vendor("ASSOCIAÇÃO COML. INDL. E SERVIÇOS DE MONTES CLAROS", (r"(?:n[úu]mero|documento|boleto)[:\s]+(\d{3,4}-\d{3,4})", r"\b(\d{3,4}-\d{3,4})\b", r"(?:n[úu]mero|documento)[:\s]+(\d{6,10})")),
-    "mugo": Vendor("MUGO TELECOMUNICAÇÕES LTDA", (r"n[º°o]\s+(?:documento)?\s*[:]?\s*(\d{4,15})", r"fatura\s+n?[º°o]?\s*[:]?\s*(\d{4,15})", r"documento\s+n?[º°o]?\s*[:]?\s*(\d{4,15})")),
-    "pro_painel": Vendor("PRÓ - PAINEL LTDA", (r"n\.?o:?\s*(\d{4,6})", r"documento\s*:?\s*(\d{4,10})", r"fatura\s*:?\s*(\d{4,10})")),
+    "acimoc": Vendor("ASSOCIAÇÃO COML. INDL. E SERVIÇOS DE MONTES CLAROS", (r"(?:n[úu]mero|documento|boleto)[:\s]+(\d{3,4}-\d{3,4})", r"\b(\d{3,4}-\d{3,4})\b", r"(?:n[úu]mero|documento)[:\s]+(\d{6,10})"), weights=ACIMOC),
+    "mugo": Vendor("MUGO TELECOMUNICAÇÕES LTDA", (r"n[º°o]\s+(?:documento)?\s*[:]?\s*(\d{4,15})", r"fatura\s+n?[º°o]?\s*[:]?\s*(\d{4,15})", r"documento\s+n?[º°o]?\s*[:]?\s*(\d{4,15})"), weights=MUGO),
+    "pro_painel": Vendor("PRÓ - PAINEL LTDA", (r"n\.?o:?\s*(\d{4,6})", r"documento\s*:?\s*(\d{4,10})", r"fatura\s*:?\s*(\d{4,10})"), weights=PRO_PAINEL),
     "tunna": Vendor("TUNNA ENTRETENIMENTO E AUDIOVISUAL LTDA", (r"fat/(\d+)", r"n\s*[^\w\s]?\s*[:.]\s*(\d{3}\.\d{3}\.\d{3})", r"(\d{3}\.\d{3}\.\d{3})"), (), (), 10.0, largest=True),
     "ufinet": Vendor("UFINET BRASIL S.A.", (r"fatura\s*(?:no\.?|n[º°]?|numero)?\s*:?\s*(\d+)",), (r"total\s*\(brl\)\s*:?\s*" + AMOUNT, r"total" + MONEY), (r"venc(?:imento)?\.?\s*:?\s*" + DAY,)),
     "csc": Vendor("CSC GESTAO INTEGRADA S/A", (), (r"valor\s+total" + MONEY, r"total" + MONEY), (), largest=True),
@@ -70,7 +75,8 @@ def with_vendor_fields(routed: DataFrame, text: str = "text") -> DataFrame:
         return tuple("(?iu)" + p for p in patterns)
 
     def amount(v):
-        parts = [fields.first_amount(t, insensitive(v.amount), v.low, v.high)] if v.amount else []
+        parts = [fields.weighted_amount(t, v.weights)] if v.weights else []
+        parts += [fields.first_amount(t, insensitive(v.amount), v.low, v.high)] if v.amount else []
         parts += [fields.largest_of(t, v.low, v.high)] if v.largest else []
         return F.coalesce(*parts) if parts else None
 

@@ -3,8 +3,8 @@ orders; the SQL renders the same lines and applies the rules with its own regula
 
 from pyspark.sql import functions as F
 
-from ..functions import fixed, lines
-from ..operators import companies, health
+from ..functions import fixed, lines, money
+from ..operators import companies, fields, health, vendors, water
 from ..sources.tables import table
 from .documents import _fill
 
@@ -130,7 +130,26 @@ def batch_kinds(spark, d):
     return o.select("o_orderkey", health.kind(who, what, (k % 17 == 0).cast("int"), (k % 19 == 0).cast("int"), (k % 23 != 0).cast("int"), files, subtypes).alias("kind"))
 
 
-QUERIES = {f.__name__: f for f in (line_kinds, supplier_names, bank_fields, names_before_cnpj, notice_texts, cnpj_offsets, company_match, company_names, company_swap, supplier_guesses, batch_kinds)}
+def weighted_amounts(spark, d):
+    """Three vendors' papers: item lines, totals and small credits in different orders."""
+    k, v = F.col("o_orderkey"), F.col("o_totalprice")
+    br = lambda x: money.render_br(F.round(x, 2))
+    text = F.concat(F.lit("credito 5,00\n1 item "), br(F.round(v, 2) - 100.5), F.lit("\n"), F.when(k % 2 == 0, F.concat(F.lit("VALOR TOTAL R$ "), br(v))).otherwise(F.concat(F.lit("Valor do Documento "), br(F.round(v, 2) - 300.25))), F.lit("\nV.UNIT TOTAL "), br(F.round(v, 2) - 200.75), F.lit("\nR$ 0,00"))
+    o = table(spark, d, "orders").select("o_orderkey", text.alias("t"))
+    return o.select("o_orderkey", *[fields.weighted_amount(F.col("t"), w).alias(n) for n, w in (("mugo", vendors.MUGO), ("pro_painel", vendors.PRO_PAINEL), ("acimoc", vendors.ACIMOC))])
+
+
+def water_mails(spark, d):
+    k = F.col("o_orderkey")
+    day, amount = F.date_format("o_orderdate", "dd/MM/yyyy"), money.render_br(F.round("o_totalprice", 2))
+    bold = F.concat(F.lit("<b>Fornecimento:</b> "), F.lpad(k.cast("string"), 12, "8"), F.lit("<br><b>Unidade:</b> TAUBATE<br><b>Vencimento:</b> "), day, F.lit("<br><b>Valor:</b> R$ "), amount)
+    plain = F.concat(F.lit("Fornecimento: "), F.lpad(k.cast("string"), 12, "8"), F.lit("\nVencimento: "), day, F.lit("\nValor: R$ "), amount, F.lit("\nCódigo de barras: 82660000001 0  38560097091 2  10655945380 3  19573630603 4\n"))
+    body = F.when(k % 4 == 0, bold).when(k % 4 == 1, plain).otherwise(F.concat(F.lit("R$ "), amount))
+    o = table(spark, d, "orders").select("o_orderkey", water.is_water_mail(F.when(k % 8 == 2, F.lit("Sua fatura digital")), F.when(k % 8 == 3, F.lit("noreply@sabesp.com.br")), body).alias("water"), water.water_bill(body).alias("b"))
+    return o.select("o_orderkey", "water", "b.valor", "b.vencimento", "b.numero_documento", "b.linha_digitavel", "b.observacoes")
+
+
+QUERIES = {f.__name__: f for f in (line_kinds, supplier_names, bank_fields, names_before_cnpj, notice_texts, cnpj_offsets, company_match, company_names, company_swap, supplier_guesses, batch_kinds, weighted_amounts, water_mails)}
 
 
 def _one_of(value, patterns):
@@ -182,4 +201,10 @@ x AS (SELECT *, len(list_filter(string_split(who, ' '), lambda w: w <> '')) AS n
 y AS (SELECT *, {_HAS('what', health.PAID)} OR (n >= 3 AND NOT company AND NOT regexp_matches(who, '[0-9]') AND {_HAS('what', ('CONSUMO', 'PAGAMENTO', 'PGTO'))}) OR k % 11 = 0 OR k % 13 = 0 AS paid FROM x)
 SELECT k AS o_orderkey, CASE WHEN k % 17 = 0 THEN 'NFSE' WHEN k % 19 = 0 THEN 'BOLETO' WHEN k % 23 = 0 THEN 'EMAIL_BODY' WHEN paid THEN 'COMPROVANTE_PAGAMENTO' WHEN {_HAS('who', health.RENTAL)} THEN 'OUTRO' WHEN {_HAS('who', health.POWER)} THEN 'UTILITY_ENERGY' WHEN {_HAS('who', health.WATER)} THEN 'UTILITY_WATER'
   WHEN (company OR n > 3) AND {_HAS('what', ('ENERGIA', 'LUZ', 'ELETRIC'))} THEN 'UTILITY_ENERGY' WHEN (company OR n > 3) AND {_HAS('what', ('AGUA', 'ÁGUA', 'SANEAMENTO'))} THEN 'UTILITY_WATER' ELSE 'OUTRO' END AS kind FROM y""",
+    "weighted_amounts": """WITH o AS (SELECT o_orderkey AS k, round(round(o_totalprice, 2) - 100.5, 2) AS item, round(o_totalprice, 2) AS whole, round(round(o_totalprice, 2) - 300.25, 2) AS part, round(round(o_totalprice, 2) - 200.75, 2) AS unit FROM orders),
+a AS (SELECT k, unnest([{'l': 0, 'v': 5.0}, {'l': 1, 'v': item}, {'l': CASE WHEN k % 2 = 0 THEN 2 ELSE 3 END, 'v': CASE WHEN k % 2 = 0 THEN whole ELSE part END}, {'l': 4, 'v': unit}]) AS x FROM o),
+w AS (SELECT k, x.v AS v, CASE WHEN x.v > 1000 THEN 3 WHEN x.v > 100 THEN 2 WHEN x.v > 10 THEN 1 ELSE 0 END AS more, CASE x.l WHEN 2 THEN 10 WHEN 1 THEN CASE WHEN x.v > 100 THEN 6 ELSE 1 END ELSE 1 END AS mugo, CASE x.l WHEN 2 THEN 10 WHEN 3 THEN 12 WHEN 4 THEN 10 ELSE 1 END AS pro, CASE WHEN x.l IN (2, 3) THEN 2 ELSE 1 END AS acimoc FROM a)
+SELECT k AS o_orderkey, arg_max(v, (mugo + more, v)) AS mugo, arg_max(v, (pro + more, v)) AS pro_painel, arg_max(v, (acimoc, v)) AS acimoc FROM w GROUP BY k""",
+    "water_mails": """SELECT o_orderkey, o_orderkey % 4 < 2 OR o_orderkey % 8 IN (2, 3) AS water, round(o_totalprice, 2) AS valor, CASE WHEN o_orderkey % 4 < 2 THEN CAST(o_orderdate AS DATE) END AS vencimento, CASE WHEN o_orderkey % 4 < 2 THEN lpad(CAST(o_orderkey AS VARCHAR), 12, '8') END AS numero_documento,
+  CASE WHEN o_orderkey % 4 = 1 THEN '826600000010385600970912106559453803195736306034' END AS linha_digitavel, CASE WHEN o_orderkey % 4 = 0 THEN 'Unidade: TAUBATE' END AS observacoes FROM orders""",
 }
