@@ -128,3 +128,32 @@ def merged(current: DataFrame, stored: DataFrame, key: str) -> DataFrame:
 def retry(ledger: DataFrame, resolved: DataFrame, key: str) -> DataFrame:
     """Distinct open entries of the timeout ledger."""
     return ledger.select(key).distinct().join(resolved, key, "left_anti")
+
+
+def repeated_lines(docs: DataFrame, key: str, line: str, order: list) -> DataFrame:
+    """docs with `repeated`: the second and later occurrence of the same digits in a batch."""
+    return docs.withColumn("repeated", F.row_number().over(W.partitionBy(key, line).orderBy(*order)) > 1)
+
+
+def enriched(docs: DataFrame, mails: DataFrame, key: str = "batch_id") -> DataFrame:
+    """docs whose empty supplier, number and order number come from their batch's mail (mail_fornecedor, mail_cnpj,
+    mail_pedido). Spark broadcasts the mails only where their size allows."""
+    filled = {c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.col(f"mail_{m}")) for c, m in (("fornecedor_nome", "fornecedor"), ("cnpj", "cnpj"), ("numero_pedido", "pedido"))}
+    return docs.join(mails, key, "left").select(*[filled[c].alias(c) if c in filled else F.col(c) for c in docs.columns])
+
+
+def with_subjects(docs: DataFrame, subjects: DataFrame, key: str = "batch_id") -> DataFrame:
+    """docs whose mail subject is the one of the map (key, subject) where that has one."""
+    got = subjects.select(key, F.nullif("subject", F.lit("")).alias("_subject"))
+    return docs.join(got, key, "left").select(*[F.coalesce("_subject", c).alias(c) if c == "email_subject" else F.col(c) for c in docs.columns])
+
+
+def consolidated(mails: DataFrame, subject: Column, batch: str) -> DataFrame:
+    """Mails of one subject (blanks and case aside) become one batch: subject, how many, the first batch."""
+    name = F.lower(F.regexp_replace(subject, r"\s+", " "))
+    return mails.groupBy(name.alias("subject")).agg(F.count("*").alias("n"), F.min(batch).alias("batch")).where("n > 1")
+
+
+def retained(batches: DataFrame, made: str, now: Column, hours: int = 48) -> DataFrame:
+    """Batches older than that; they are listed, deleting is left to who owns them."""
+    return batches.where(F.col(made) < now - F.make_dt_interval(hours=F.lit(hours)))

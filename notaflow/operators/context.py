@@ -139,3 +139,11 @@ def prometheus(metrics: DataFrame) -> DataFrame:
     """metric lines of name, labels (map) and value."""
     labels = F.array_join(F.transform(F.array_sort(F.map_entries("labels")), lambda e: F.concat(e["key"], F.lit('="'), e["value"], F.lit('"'))), ",")
     return metrics.select(F.concat("name", F.lit("{"), labels, F.lit("} "), F.col("value").cast("string")).alias("line"))
+
+
+def content_scores(text: Column, kinds: dict[str, tuple[str, ...]]) -> tuple[dict[str, Column], Column]:
+    """How many of each kind's words a text has, and how clear the winner is: the most over all."""
+    low = F.lower(text)
+    found = {k: sum((F.contains(low, F.lit(w)).cast("int") for w in words), F.lit(0)) for k, words in kinds.items()}
+    most = F.greatest(*found.values()) if len(found) > 1 else next(iter(found.values()))
+    return found, F.round(most / F.nullif(sum(found.values(), F.lit(0)), F.lit(0)), 4)

@@ -47,3 +47,21 @@ def histogram(df: DataFrame, key: str, value: str) -> DataFrame:
 def pace(duration: Column) -> Column:
     """How slow a batch was while it ran: SLOW beyond the limit, WARNING beyond the lower one."""
     return F.when(duration > SLOW_S, F.lit("SLOW")).when(duration > SLOW_WARNING_S, F.lit("WARNING")).otherwise(F.lit("OK"))
+
+
+def levels(df: DataFrame, key: str, level: Column, ts: str, shape: str = "yyyy-MM-dd HH:mm:ss") -> DataFrame:
+    """Per key: errors (of any of the three grave levels), warnings, infos, first and last time."""
+    at = [F.date_format(f(ts), shape).alias(n) for f, n in ((F.min, "first"), (F.max, "last"))]
+    return df.groupBy(key).agg(F.count_if(level.isin("ERROR", "CRITICAL", "FATAL")).alias("errors"), F.count_if(level == "WARNING").alias("warnings"), F.count_if(level == "INFO").alias("infos"), *at)
+
+
+def counters_and_gauges(df: DataFrame, keys: list, value: str, order: Column) -> DataFrame:
+    """Per key: how many events, and the value of the last one."""
+    return df.groupBy(*keys).agg(F.count("*").alias("counter"), F.max_by(value, order).alias("gauge"))
+
+
+def progress(df: DataFrame, phase: str, order: list) -> DataFrame:
+    """i, n, percent: a row's place in its phase."""
+    w = W.partitionBy(phase)
+    d = df.withColumn("i", F.row_number().over(w.orderBy(*order))).withColumn("n", F.count("*").over(w))
+    return d.withColumn("percent", F.round(100.0 * F.col("i") / F.col("n"), 2))

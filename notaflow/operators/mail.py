@@ -1,6 +1,6 @@
 """Which mail is billing mail: one CASE over boolean columns, nothing evaluated twice."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -52,3 +52,17 @@ def split_batch(mails, decided: str = "decision"):
 def whitelist_matches(subject: Column) -> Column:
     """Every white pattern's hit, as text."""
     return F.array_compact(F.array(*[F.nullif(F.regexp_extract(subject, f"(?iu){p}", 0), F.lit("")) for p in fixed.SUBJECT_WHITE]))
+
+
+def keyword_counts(mails: DataFrame, text: str, sender: str, keywords: tuple[str, ...], n: int = 20) -> DataFrame:
+    """keyword, n, sources: in how many mails and from how many senders each keyword comes, the most frequent first."""
+    found = F.filter(F.array(*map(F.lit, keywords)), lambda k: F.contains(F.lower(F.col(text)), k))
+    words = mails.select(sender, F.explode(found).alias("keyword"))
+    return words.groupBy("keyword").agg(F.count("*").alias("n"), F.count_distinct(sender).alias("sources")).orderBy(F.desc("n"), "keyword").limit(n)
+
+
+def samples(mails: DataFrame, kind: str, order: str, n: int = 10) -> DataFrame:
+    """The first mails of each kind, numbered."""
+    from pyspark.sql import Window as W
+
+    return mails.withColumn("n", F.row_number().over(W.partitionBy(kind).orderBy(order))).where(F.col("n") <= n)

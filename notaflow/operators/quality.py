@@ -49,3 +49,9 @@ def with_samples(problems: DataFrame, value: Column, label: Column, order: Colum
     d = problems.where(F.col("severity") >= SEVERITY["BAIXA"]).withColumn("_i", F.row_number().over(W.partitionBy("kind").orderBy(order)))
     first = F.sort_array(F.collect_list(F.when(F.col("_i") <= n, F.struct("_i", label.alias("l")))))
     return d.groupBy("kind").agg(F.max("severity").alias("max_severity"), F.count("*").alias("n"), F.sum(value).alias("total"), F.transform(first, lambda x: x["l"]).alias("samples"))
+
+
+def by_supplier(problems: DataFrame, name: str, value: Column, n: int = 10) -> DataFrame:
+    """The suppliers with most value in problems: name, n, total, kinds."""
+    g = problems.groupBy(name).agg(F.count("*").alias("n"), F.sum(value).cast("double").alias("total"), F.array_join(F.sort_array(F.collect_set("kind")), ",").alias("kinds"))
+    return g.orderBy(F.desc("total"), name).limit(n)

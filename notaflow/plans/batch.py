@@ -50,8 +50,7 @@ def quality_by_type(spark, d):
 
 def quality_by_supplier(spark, d):
     p = with_problems(spark, d).where("kind <> 'CONFERIDO'")
-    g = p.groupBy("o_custkey").agg(F.count("*").alias("n"), F.sum(F.col("note").cast("decimal(18,2)")).cast("double").alias("total"), F.array_join(F.sort_array(F.collect_set("kind")), ",").alias("kinds"))
-    return g.orderBy(F.desc("total"), "o_custkey").limit(10)
+    return quality.by_supplier(p, "o_custkey", F.col("note").cast("decimal(18,2)"))
 
 
 def severity(spark, d):
@@ -191,14 +190,21 @@ def timeout_retry(spark, d):
 
 def repeated_slip_line(spark, d):
     """Second and later occurrence of the same digits in a batch."""
-    from pyspark.sql import Window as W
-
     li = table(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", F.substring(ids.digits(F.concat(F.lit("n."), F.col("l_partkey").cast("string"))), 1, 2).alias("line"))
-    n = F.row_number().over(W.partitionBy("l_suppkey", "line").orderBy("l_orderkey", "l_linenumber"))
-    return li.select("l_suppkey", "l_orderkey", "l_linenumber", (n > 1).alias("repeated"))
+    return batches.repeated_lines(li, "l_suppkey", "line", ["l_orderkey", "l_linenumber"]).drop("line")
+
+
+def mail_enrichment(spark, d):
+    """Orders as documents, customers as their mails; every second mail has a subject of its own."""
+    k = F.col("o_orderkey")
+    docs = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("batch_id"), F.when(k % 3 == 0, F.lit("X")).when(k % 3 == 1, F.lit("")).alias("fornecedor_nome"), F.when(k % 2 == 0, F.lit("1")).alias("cnpj"), F.when(k % 5 == 0, F.lit("P")).alias("numero_pedido"), F.lit("velho").alias("email_subject"))
+    m = table(spark, d, "customer")
+    mails = m.select(F.col("c_custkey").alias("batch_id"), F.col("c_name").alias("mail_fornecedor"), F.col("c_custkey").cast("string").alias("mail_cnpj"), F.when(F.col("c_custkey") % 2 == 0, F.lit("M")).alias("mail_pedido"))
+    subjects = m.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("batch_id"), F.when(F.col("c_custkey") % 4 == 0, F.lit("")).otherwise(F.lit("novo")).alias("subject"))
+    return batches.with_subjects(batches.enriched(docs, mails), subjects)
 
 
-QUERIES = {f.__name__: f for f in (quality_by_type, quality_by_supplier, severity, top_severe, executive_summary, reconcile_status, first_by_priority, batch_totals, inherit_first, duplicates, duplicate_lines, complement_left, enrich_metadata, pair_core, pair_exact, paf_projection, tab_split, merge_partial, timeout_retry, repeated_slip_line)}
+QUERIES = {f.__name__: f for f in (quality_by_type, quality_by_supplier, severity, top_severe, executive_summary, reconcile_status, first_by_priority, batch_totals, inherit_first, duplicates, duplicate_lines, complement_left, enrich_metadata, pair_core, pair_exact, paf_projection, tab_split, merge_partial, timeout_retry, repeated_slip_line, mail_enrichment)}
 SQL = {
     "quality_by_type": PROBLEM_SQL + " SELECT p.kind AS kind, CAST(max(p.severity) AS DOUBLE) AS max_severity, count(*) AS n, CAST(sum(CAST(note AS DECIMAL(18, 2))) AS DOUBLE) AS total FROM p GROUP BY p.kind ORDER BY 2 DESC, 3 DESC, 1",
     "quality_by_supplier": PROBLEM_SQL + " SELECT o_custkey, count(*) AS n, CAST(sum(CAST(note AS DECIMAL(18, 2))) AS DOUBLE) AS total, array_to_string(list_sort(list_distinct(list(p.kind))), ',') AS kinds FROM p WHERE p.kind <> 'CONFERIDO' GROUP BY o_custkey ORDER BY total DESC, o_custkey LIMIT 10",
@@ -216,4 +222,5 @@ SQL = {
     "merge_partial": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'current' ELSE 'stored' END AS origin FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 2 = 0",
     "timeout_retry": "SELECT DISTINCT o_custkey AS batch FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 2 = 0)",
     "repeated_slip_line": "SELECT l_suppkey, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_suppkey, substr(CAST(l_partkey AS VARCHAR), 1, 2) ORDER BY l_orderkey, l_linenumber) > 1 AS repeated FROM lineitem",
+    "mail_enrichment": "SELECT o_orderkey, o_custkey AS batch_id, CASE WHEN o_orderkey % 3 = 0 THEN 'X' ELSE c_name END AS fornecedor_nome, CASE WHEN o_orderkey % 2 = 0 THEN '1' ELSE CAST(c_custkey AS VARCHAR) END AS cnpj, CASE WHEN o_orderkey % 5 = 0 THEN 'P' WHEN c_custkey % 2 = 0 THEN 'M' END AS numero_pedido, CASE WHEN c_custkey % 4 = 2 THEN 'novo' ELSE 'velho' END AS email_subject FROM orders LEFT JOIN customer ON c_custkey = o_custkey",
 }

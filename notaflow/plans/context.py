@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, money
 from ..functions.fixed import PAYMENT
-from ..operators import context, export
+from ..operators import batches, context, export
 from ..sources.tables import table
 
 
@@ -119,7 +119,7 @@ def sink_chunks(spark, d):
 
 def retention(spark, d):
     o = table(spark, d, "orders")
-    return o.where(F.col("o_orderdate") < F.expr("CAST('1998-01-03 00:00:00' AS TIMESTAMP_NTZ) - INTERVAL 48 HOURS")).select("o_orderkey")
+    return batches.retained(o.select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("made")), "made", F.lit("1998-01-03 00:00:00").cast("timestamp")).select("o_orderkey")
 
 
 QUERIES = {f.__name__: f for f in (admin_subjects, auxiliary_documents, reader_choice, table_cells, password_candidates, payment_codes, success_codes, mail_body, company_lookup, split_names, vector_upsert, report_split, prometheus_lines, sink_chunks, retention)}

@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from ..functions import fixed, text
-from ..operators import batches, logs, mail, vectors
+from ..functions import fixed
+from ..operators import batches, context, logs, mail, vectors
+from ..session import shared_dir
+from ..sources import mail as inbox
 from ..sources.tables import processable, table
 
 
@@ -27,7 +29,7 @@ def slow_flag(spark, d):
 
 def log_levels(spark, d):
     level = F.when(F.col("event_type") == "error", "ERROR").when(F.col("event_type") == "view", "WARNING").otherwise("INFO")
-    return events(spark, d).groupBy("event_type").agg(F.count_if(level == "ERROR").alias("errors"), F.count_if(level == "WARNING").alias("warnings"), F.count_if(level == "INFO").alias("infos"), F.date_format(F.min("ts"), "yyyy-MM-dd HH:mm:ss").alias("first"), F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss").alias("last"))
+    return logs.levels(events(spark, d), "event_type", level, "ts")
 
 
 def multi_line_records(spark, d):
@@ -44,15 +46,11 @@ def histogram_cumulative(spark, d):
 
 def counter_gauge(spark, d):
     e = events(spark, d)
-    return e.groupBy("event_type", (F.col("user_id") % 3).alias("label")).agg(F.count("*").alias("counter"), F.max_by("value", F.struct("ts", "event_id")).alias("gauge"))
+    return logs.counters_and_gauges(e, ["event_type", (F.col("user_id") % 3).alias("label")], "value", F.struct("ts", "event_id"))
 
 
 def running_progress(spark, d):
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("user_id")
-    e = events(spark, d).withColumn("i", F.row_number().over(w.orderBy("ts", "event_id"))).withColumn("n", F.count("*").over(w))
-    return e.select("event_id", "i", "n", F.round(100.0 * F.col("i") / F.col("n"), 2).alias("percent"))
+    return logs.progress(events(spark, d), "user_id", ["ts", "event_id"]).select("event_id", "i", "n", "percent")
 
 
 def mails(spark, d):
@@ -101,21 +99,19 @@ def numbered_attachments(spark, d):
 
 
 def anti_scan(spark, d):
-    c = table(spark, d, "conversations")
-    long = c.where(F.length("text") > 400).select("conv_id").distinct()
-    return c.join(long, "conv_id", "left_anti").groupBy("conv_id").agg(F.count("*").alias("n"))
+    c = table(spark, d, "conversations").withColumnRenamed("conv_id", "email_id")
+    return inbox.without_attachments(c, c.where(F.length("text") > 400)).groupBy(F.col("email_id").alias("conv_id")).agg(F.count("*").alias("n"))
 
 
 def consolidate(spark, d):
     """Mails with the same subject become one batch."""
     c = table(spark, d, "conversations").where("turn = 0")
-    subject = F.lower(F.regexp_replace(F.left(F.trim("text"), F.lit(3)), r"\s+", " "))
-    return c.groupBy(subject.alias("subject")).agg(F.count("*").alias("n"), F.min("conv_id").alias("batch")).where("n > 1")
+    return batches.consolidated(c, F.left(F.trim("text"), F.lit(3)), "conv_id")
 
 
 def sender_and_body(spark, d):
     c = table(spark, d, "conversations").select("conv_id", "turn", F.concat("role", F.lit(" <"), "role", F.lit("@x.com>")).alias("sender"), F.concat_ws(f"\n{fixed.HTML_MARK}\n", "text", F.lit("<p>x</p>")).alias("body"))
-    return c.select("conv_id", "turn", F.regexp_extract("sender", r"<([^<>]*)>$", 1).alias("address"), F.trim(F.regexp_extract("sender", r"^(.*)<", 1)).alias("name"), F.btrim(F.split_part("body", F.lit(fixed.HTML_MARK), F.lit(2)), F.lit(" \n\r\t")).alias("html"))
+    return c.select("conv_id", "turn", inbox.sender(F.col("sender")).alias("s"), inbox.html_part(F.col("body")).alias("html")).select("conv_id", "turn", "s.address", "s.name", "html")
 
 
 def router(spark, d):
@@ -127,22 +123,16 @@ def router(spark, d):
 
 
 def content_score(spark, d):
-    t = F.lower("text")
-    a, b = text.hits(t, ("the ", "of ", "and "), ""), text.hits(t, ("der ", "die ", "und "), "")
-    return table(spark, d, "documents").select("doc_id", a.alias("english"), b.alias("german"), F.round(F.greatest(a, b) / F.nullif(a + b, F.lit(0)), 4).alias("confidence"))
+    found, confidence = context.content_scores(F.col("text"), {"english": ("the ", "of ", "and "), "german": ("der ", "die ", "und ")})
+    return table(spark, d, "documents").select("doc_id", *[c.alias(k) for k, c in found.items()], confidence.alias("confidence"))
 
 
 def inbox_stats(spark, d):
-    docs = table(spark, d, "documents")
-    words = docs.select("source", F.explode(F.filter(F.array(*map(F.lit, ("license", "token", "@"))), lambda k: F.contains(F.lower("text"), k))).alias("keyword"))
-    return words.groupBy("keyword").agg(F.count("*").alias("n"), F.count_distinct("source").alias("sources")).orderBy(F.desc("n"), "keyword").limit(20)
+    return mail.keyword_counts(table(spark, d, "documents"), "text", "source", ("license", "token", "@"))
 
 
 def sample_ids(spark, d):
-    from pyspark.sql import Window as W
-
-    n = F.row_number().over(W.partitionBy("lang").orderBy("doc_id"))
-    return table(spark, d, "documents").select("lang", "doc_id", n.alias("n")).where("n <= 10")
+    return mail.samples(table(spark, d, "documents").select("lang", "doc_id"), "lang", "doc_id")
 
 
 def vector_topk(spark, d):
@@ -157,7 +147,7 @@ def incremental_dedupe(spark, d):
 
     from ..streaming.ingest import run_once
 
-    base = f"{shared(spark)}/ingest-{uuid4().hex}"
+    base = f"{shared_dir(spark)}/ingest-{uuid4().hex}"
     e = events(spark, d)
     e.where("event_id % 3 <> 0").write.parquet(f"{base}/in/a")
     schema = e.schema
@@ -167,17 +157,6 @@ def incremental_dedupe(spark, d):
     return spark.read.schema(schema).parquet(f"{base}/out").groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"))
 
 
-def shared(spark) -> str:
-    """The folder that driver and executors share; a new local one where none is named."""
-    got = spark.conf.get("spark.checkpoint.dir", "")
-    if not got:
-        import tempfile
-
-        got = f"file://{tempfile.mkdtemp(prefix='notaflow-')}"
-        spark.conf.set("spark.checkpoint.dir", got)
-    return got.rstrip("/")
-
-
 QUERIES = {f.__name__: f for f in (log_carry_forward, sessions, slow_flag, log_levels, multi_line_records, histogram_cumulative, counter_gauge, running_progress, email_filter, filter_counts, link_code_detect, group_attachments, numbered_attachments, anti_scan, consolidate, sender_and_body, router, content_score, inbox_stats, sample_ids, vector_topk, incremental_dedupe)}
 _W = "OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)"
 _CELLS = ", ".join(f"count(*) FILTER (value <= {b}) AS le_{str(b).replace('.', '_')}" for b in fixed.HISTOGRAM_BOUNDS)

@@ -9,7 +9,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """value, line_no: the lines of text files, numbered within each file's order of partitions."""
+    """value, line_no: the lines of text files; numbers rise within a split, not over splits (ordered_lines numbers files)."""
     return spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id())
 
 
