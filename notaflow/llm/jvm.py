@@ -12,7 +12,8 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-from .common import on_exit_deleted, shared_dir
+from ..session import shared_dir
+from .common import on_exit_deleted
 
 #: By application and session: what is registered there.
 _KNOWN: set[tuple[str, int, str]] = set()

@@ -25,6 +25,7 @@ from __future__ import annotations
 import json
 import re
 from functools import lru_cache
+from uuid import uuid4
 
 import numpy as np
 import public_tokenizers
@@ -36,7 +37,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
-from .common import small_batches, stored, table
+from ..session import shared_dir
+from .common import on_exit_deleted, small_batches, stored, table
 from .jvm import java_functions
 
 VOCABULARY = "word_bpe_49k.json"
@@ -247,10 +249,6 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op7_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from uuid import uuid4
-
-    from .common import on_exit_deleted, shared_dir
-
     path = f"{shared_dir(spark)}/token-files-{uuid4().hex}"
     on_exit_deleted(spark, path)
     write_tokens(table(spark, sf_dir, "documents"), path)
