@@ -1,6 +1,6 @@
 """Queries of the training-data operators and the SQL of those that SQL can express."""
 
-from . import ann, attribution, extraction, jaccard, mixing, pii, quality, segmentation, tokenfile, topk
+from . import ann, attribution, extraction, jaccard, mining, mixing, pii, quality, segmentation, tokenfile, topk
 
 QUERIES = {
     "op1_ann": ann.op1_ann,
@@ -13,9 +13,11 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_segmentation": segmentation.op9_segmentation,
     "op10_extraction": extraction.op10_extraction,
+    "op11_hard_negatives": mining.op11_hard_negatives,
 }
 
 SQL = {
     "op6_topk": topk.OP6_SQL,
     "op8_mixing": mixing.OP8_SQL,
+    "op11_hard_negatives": mining.OP11_SQL,
 }

@@ -34,11 +34,11 @@ MOST = 2**63 - 2**10
 TILE = 256
 
 
-def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, v array<double>: rows whose vector is complete, finite and of the usual length."""
+def usable(vectors: DataFrame, *more: str) -> DataFrame:
+    """vec_id, v array<double> and the columns `more`: rows whose vector is complete, finite and of the usual length."""
     v = F.col("embedding").cast("array<double>")
     good = F.size("v") > 0
-    x = vectors.where("vec_id IS NOT NULL AND embedding IS NOT NULL").select(F.col("vec_id").cast("bigint").alias("vec_id"), v.alias("v"))
+    x = vectors.where("vec_id IS NOT NULL AND embedding IS NOT NULL").select(F.col("vec_id").cast("bigint").alias("vec_id"), v.alias("v"), *more)
     x = x.where(good & F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))))
     usual = x.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
     return x.where(F.size("v") == usual["dim"]) if usual else x
