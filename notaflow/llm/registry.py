@@ -1,6 +1,6 @@
 """Queries of the training-data operators and the SQL of those that SQL can express."""
 
-from . import ann, attribution, extraction, jaccard, langid, mining, mixing, pii, quality, segmentation, tokenfile, topk
+from . import alignment, ann, attribution, extraction, jaccard, langid, mining, mixing, pii, quality, segmentation, tokenfile, topk
 
 QUERIES = {
     "op1_ann": ann.op1_ann,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_extraction": extraction.op10_extraction,
     "op11_hard_negatives": mining.op11_hard_negatives,
     "op12_language": langid.op12_language,
+    "op13_alignment": alignment.op13_alignment,
 }
 
 SQL = {
