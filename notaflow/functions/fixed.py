@@ -433,3 +433,109 @@ NO_RECEIPT = (
 # How a paid transfer's file is called, and its subtypes.
 PAID_FILES = ("COMP PGTO", "COMPROVANTE", "TED_", "PIX_")
 PAID_SUBTYPES = ("COMPROVANTE_BANCARIO", "TED", "DOC", "PIX")
+
+# What makes a text a heading or label and no name. Those of the first list count with and without accents. An
+# entry that holds another one is not repeated.
+LABEL_WORDS_BOTH = (
+    "CÓD.", "ESPÉCIE", "NOSSO NÚMERO", "AGÊNCIA", "NÚMERO DO DOCUMENTO", "INSCRIÇÃO MUNICIPAL", "PRESTADOR DE SERVIÇOS", "PRESTADOR DO SERVIÇO", "TOMADOR DO SERVIÇO",
+    "ÓRGÃOS DE PROTEÇÃO", "BENEFICIÁRIO", "FICHA DE COMPENSAÇÃO", "AUTENTICAÇÃO MECÂNICA", "PRAÇA ", "NOTA DE DÉBITO", "( ) NÃO EXISTE", "( ) NÃO PROCURADO",
+)
+LABEL_WORDS = (
+    "VENCIMENTO", "VALOR DO DOCUMENTO", "COOPERATIVA", "CÓDIGO", "CARTEIRA", "ACEITE", "PROCESSAMENTO", "CONTA", "DOCUMENTO(S)", "DOCUMENTOS",
+    "QUANTIDADE (=) VALOR", "QUANTIDADE VALOR", "DESCONTO", "ABATIMENTO", "OUTRAS DEDUÇÕES", "MORA / MULTA", "OUTROS ACRÉSCIMOS", "VALOR COBRADO",
+    "(=)", "(-)", "(+)", "PAGAMENTO", "SEGURO", "ASSEGURA", "FORMA,", "DESSA FORMA", "CPF OU CNPJ", "CPF/CNPJ", "E-MAIL", "ENDEREÇO", "MUNICÍPIO", "CEP ",
+    "DOCUMENTO AUXILIAR", "NOTA FISCAL FATURA", "FATURA DE SERVIÇOS DE COMUNICAÇÃO", "DADOS DA CONTRATANTE", "DADOS DA CONTRATADA", "QUALIFICAÇÃO DA CONTRATADA",
+    "RAZÃO SOCIAL", "ESTE DOCUMENTO NÃO", "NÃO QUITA", "DÉBITOS ANTERIORES", "SERVIÇO ALÉM DA GARANTIA", "CRECI:", "INSCRITA NO CNPJ", "INSCRITO NO CNPJ", "UTILIDADE",
+    "NOME EMPRESARIAL", "MUNICIPIO CEP", "- ENDERECO", "TAXID", "TAX ID", "USA ", "FLORIDA", "MUDOU-SE", "MUDOU SE", "/ -1 1 (", ") MUDOU", "EMITENTE DA NFS-E", "EMITENTE DA NFSE",
+    "RECEBEDOR", ".COM.BR ", ".NET.BR ", "DIAS VENCIDO", "SERÁ SUSPENSO", "SERVIÇO SERÁ", "INCLUSÃO NOS", "SERASA", "PROTESTO", "COBRANÇA JUDICIAL", "MULTA DE", "JUROS DE",
+    "CEDENTE", "SACADO", "PAGADOR", "RECIBO DO", "RUA ", "AVENIDA ", "AV. ", "AV ", "TRAVESSA ", "ALAMEDA ", "RODOVIA ", "ESTRADA ", "Nº ", "N° ", " - CENTRO", " - BAIRRO",
+    "CEP -", "CEP:", "COMPLEMENTO BAIRRO", "PRAIA DO FUTURO", "17 ANDAR", "EDIF ", "EDIFICIO ", "COD. DE AUTENTICIDADE", "CODIGO DE AUTENTICIDADE", "VALOR DA CAUSA", "NO INTERNET BANKING",
+    "DDA O SACADO", "SERA PJBANK", "FAVORECIDO:", "NOME FANTASIA", "SISTEMAS LTDA", "@GMAIL", "@HOTMAIL", "@OUTLOOK", "@YAHOO", "WWW.", "CNPJ/MF SOB", "CONTAS A RECEBER", "CONTAS A PAGAR",
+    "CENTRO NOVO HAMBURGO", "PC PRESIDENTE", "= CNPJ", "| CNPJ", "- CNPJ", "CONTATO CNPJ", "AO ASSINAR", "ASSINATURA", "DECLARO QUE", "CONCORDO COM", "( ) AUSENTE", "( ) RECUSADO", "( ) ENDERECO INSUFICIENTE",
+    "( ) DESCONHECIDO", "( ) FALECIDO", "( ) OUTROS", "COMPROVANTE DE ENTREGA",
+)
+#: States whose mark ends an address, as "/MG)" or "/ MG".
+LABEL_STATES = ("MG", "SP", "RJ", "PR", "SC", "RS", "BA", "GO", "DF")
+
+# Administrative documents, in upper case without accents and with single blanks: what they are called, and the phrases of each.
+ADMIN_KINDS = {
+    "Lembrete administrativo": ("LEMBRETE GENTIL", "LEMBRE GENTIL"),
+    "Ordem de serviço/agendamento": ("ORDEM DE SERVICO",),
+    "Documento de rescisão contratual": ("RESCISAO CONTRATUAL", "RESCISORIO"),
+    "Documento de encerramento de contrato": ("ENCERRAMENTO DE CONTRATO", "SOLICITACAO DE ENCERRAMENTO"),
+    "Documento de cancelamento": ("CANCELAMENTO DE CONTRATO",),
+    "Notificação automática": ("NOTIFICACAO AUTOMATICA",),
+    "GRU - Guia de Recolhimento da União": ("GUIA DE RECOLHIMENTO DA UNIAO", "PAGTESOURO"),
+    "Guia de custas judiciais": ("GUIA CUSTAS", "CUSTAS JUDICIAIS", "CUSTAS PROCESSUAIS"),
+    "Documento de contrato": ("CONTRATO SITE", "CONTRATO MASTER", "CONTRATO RENOVACAO", "CONTRATO ADITIVO", "CONTRATO_SITE", "CONTRATO_MASTER", "CONTRATO_RENOVACAO", "CONTRATO_ADITIVO", "MINUTA DE CONTRATO", "CONTRATO DE ALUGUEL", "CONTRATO DE LOCACAO", "CONTRATO DE PRESTACAO", "CONTRATO DE SERVICO"),
+    "Demonstrativo": ("DEMONSTRATIVO DE PAGAMENTO", "DEMONSTRATIVO DE FATURAMENTO", "DEMONSTRATIVO FINANCEIRO", "DEMONSTRATIVO MENSAL", "DEMONSTRATIVO DETALHADO"),
+    "Proposta comercial": ("PROPOSTA COMERCIAL", "PROPOSTA DE SERVICO"),
+    "Proposta técnica": ("PROPOSTA TECNICA",),
+    "Orçamento/proposta": ("ORCAMENTO",),
+    "Termo/acordo": ("TERMO DE ACEITE", "TERMO DE ADESAO", "TERMO DE COMPROMISSO", "TERMO DE RESPONSABILIDADE"),
+    "SLA/Acordo": ("ACORDO DE NIVEL DE SERVICO",),
+    "Relatório/planilha de conferência": ("RELATORIO DE FATURAMENTO", "PLANILHA DE CONFERENCIA", "PLANILHA DE FATURAMENTO"),
+    "Documento de programação/câmbio": ("CAMBIO HBO", "CAMBIO GLOBOSAT", "CAMBIO BAND", "CAMBIO SBT", "CAMBIO RECORD", "CAMBIO PROGRAMADORA", "CAMBIO MTV", "PROGRAMADORA BRASILEIRA", "BOX BRAZIL"),
+    "Processo jurídico": ("PROCESSO FISCAL", "PROCESSO TRABALHISTA", "PROCESSO TRABALHISTO", "PROCESSO JUDICIAL"),
+    "Execução fiscal/judicial": ("EXECUCAO FISCAL", "EXECUCAO TRABALHISTA", "EXECUCAO TRABALHISTO", "EXECUCAO JUDICIAL"),
+    "Taxa/anuidade de órgão": ("ANUIDADE CREA", "ANUIDADE OAB", "ANUIDADE CRM", "ANUIDADE CFM", "ANUIDADE COREN"),
+    "Reembolso interno": ("REEMBOLSO DE TARIFAS", "REEMBOLSO DAS TARIFAS"),
+    "Documento de tarifas internas": ("TARIFAS CSC", "TARIFAS APURADAS", "BOLETOS RECEBIDOS NO CSC"),
+    "Documento de condomínio": ("ALVIM NOGUEIRA",),
+    "Reclamação de cobrança": ("COBRANCA INDEVIDA",),
+    "Comprovante administrativo": ("COMPROVANTE DE SOLICITACAO",),
+    "Atestado/declaração": ("ATESTADO DE CAPACIDADE", "ATESTADO TECNICO", "DECLARACAO DE SERVICOS"),
+    "Relatório": ("RELATORIO DE ATIVIDADES", "RELATORIO MENSAL"),
+    "Relatório técnico": ("RELATORIO TECNICO",),
+    "Documento informativo de serviço público": ("INFORMATIVO IMPORTANTE",),
+    "Documento de serviço público": ("SERVICO PUBLICO", "CONTA AGUA", "CONTA LUZ", "CONTA ENERGIA", "CONTA TELEFONE", "CONTA DE AGUA", "CONTA DE LUZ", "CONTA DE ENERGIA", "CONTA DE TELEFONE"),
+}
+#: The same where a phrase is no plain text.
+ADMIN_SHAPES = {
+    "Ordem de serviço/agendamento": (r"SUA ORDEM .*AGENDAD[OA]", r"N[º°.]? ?\d+[- ]AGENDAMENTO"),
+    "Documento de distrato": (r"\bDISTRATO\b",),
+    "Notificação automática": (r"DOCUMENTO \d{6,9} [-–] NOTIFICACAO", r"DOCUMENTO ?: ?\d{6,9}"),
+    "Guia jurídica/fiscal": (r"GUIA ?[|–-] ?(?:PROCESSO|EXECUCAO)", r"GUIAS? ?[–-]? ?(?:CSC|PROCESSO|EXECUCAO)"),
+    "GRU - Guia de Recolhimento da União": (r"\bGRU\b.*TESOURO", r"CODIGO DE RECOLHIMENTO \d+"),
+    "Demonstrativo": (r"DEMONSTRATIVO DE SERVICOS(?! DE LOCA)",),
+    "SLA/Acordo": (r"\bSLA\b",),
+    "Invoice internacional": (r"(?:DECEMBER|JANUARY|FEBRUARY|MARCH|APRIL|MAY|JUNE|JULY|AUGUST|SEPTEMBER|OCTOBER|NOVEMBER) ?[–-]? ?\d{4} INVOICE FOR",),
+    "Recibo de pagamento": (r"RECIBO NUMERO ?[:-]? ?\d+", r"RECEBI ?\(?EMOS\)? DE ?:", r"A IMPORTANCIA DE ?:", r"REFERENTE A ?: ?CREDITO"),
+}
+# Subtypes, the first whose phrase occurs; a name of a phrase list, or phrases of its own.
+ADMIN_SUBTYPES = (
+    ("LEMBRETE", "Lembrete administrativo", r"LEMBR(?:ETE|E) GENTIL"),
+    ("ORDEM_SERVICO", "Ordem de serviço/agendamento", r"SUA ORDEM .*AGENDAD[OA]|ORDEM DE SERVICO"),
+    ("DISTRATO", "Documento de distrato", r"\bDISTRATO\b"),
+    ("RESCISAO", "Documento de rescisão contratual", r"RESCISAO CONTRATUAL"),
+    ("ENCERRAMENTO", "Documento de encerramento de contrato", r"ENCERRAMENTO DE CONTRATO|SOLICITACAO DE ENCERRAMENTO"),
+    ("NOTIFICACAO", "Notificação automática", r"NOTIFICACAO AUTOMATICA"),
+    ("GUIA_JURIDICA", "Guia jurídica/fiscal", r"GUIA ?[|–-] ?(?:PROCESSO|EXECUCAO)"),
+    ("CONTRATO", "Documento de contrato", r"CONTRATO[_ ](?:SITE|MASTER|RENOVACAO|ADITIVO)"),
+    ("INVOICE_INTERNACIONAL", "Invoice internacional", ADMIN_SHAPES["Invoice internacional"][0]),
+    ("RELATORIO", "Relatório/planilha de conferência", r"RELATORIO DE FATURAMENTO|PLANILHA DE (?:CONFERENCIA|FATURAMENTO)"),
+    ("CAMBIO", "Documento de programação/câmbio", r"CAMBIO (?:HBO|GLOBOSAT|BAND|SBT|RECORD|PROGRAMADORA)"),
+    ("CONDOMINIO", "Documento de condomínio", r"ALVIM NOGUEIRA"),
+    ("RECLAMACAO", "Reclamação de cobrança", r"COBRANCA INDEVIDA"),
+    ("REEMBOLSO", "Reembolso interno", r"REEMBOLSO DE TARIFAS"),
+    ("TARIFAS_INTERNAS", "Documento de tarifas internas", r"TARIFAS CSC"),
+)
+# Marks of fiscal documents and slips; two of them, or the access key alone, and a document is not administrative.
+ADMIN_NOT = (
+    "CHAVE DE ACESSO", "PROTOCOLO DE AUTORIZACAO", "CONSULTE PELA CHAVE DE ACESSO", "PIS/COFINS", "BOX BRAZIL", "ITENS DA FATURA", "UN QUANT PRECO UNIT", "PREFEITURA MUNICIPAL DE",
+    "SECRETARIA MUNICIPAL FAZENDA", "SECRETARIA MUNICIPAL DA FAZENDA", "TOMADOR DE SERVICOS", "PRESTADOR DE SERVICOS", "NOTA FISCAL ELETRONICA DE SERVICOS", "RECIBO DO SACADO", "VALOR DO DOCUMENTO",
+    "BOLETO", "LINHA DIGITAVEL", "BENEFICIARIO", "SACADO", "CEDENTE", "NOSSO NUMERO", "AGENCIA", "CONTA CORRENTE", "ACIMOC", "ASSOCIACAO COMERCIAL INDUSTRIAL", "MUGO TELECOM",
+    "DOCUMENTO AUXILIAR DA NOTA FISCAL", "DOCUMENTO AUXILIAR DA NFS",
+)
+ADMIN_NOT_SHAPES = (
+    r"\b\d{44}\b", r"QR ?CODE P(?:ARA)? ?PAGAMENTO PIX", r"^NOTA FISCAL FATURA:? ?\d+", r"^FATURA (?:DE )?SERVICOS? ?\d+", r"^NFS[E-]? ?\d+", r"^NF COM ?\d+", r"VALOR (?:DO )?SERVICO\b", r"BASE DE CALCULO\b",
+    r"IMPOSTO (?:SOBRE )?SERVICOS?\b", r"ISS\b.*\bR\$ ?[\d.]+,\d{2}", r"ICMS\b", r"TELCABLES BRASIL.*NOTA FISCAL", r"TCF TELECOM.*NOTA FISCAL", r"BOX BRAZIL.*FATURAMENTO", r"FATURAMENTO.*BOX BRAZIL", r"BOX BRAZIL.*FATURA:",
+    r"BOX BRAZIL.*- ?[A-Z]{3} ?- ?[A-Z]+", r"CNTINT\d+ ?- ?IP TRANSIT", r"AUTENTICIDADE [A-Z0-9-]+", r"IM:\d+", r"IE:\d+", r"PRO ?-? ?PAINEL",
+)
+ADMIN_SLIP = ("RECIBO DO SACADO", "VALOR DO DOCUMENTO", "BOLETO", "LINHA DIGITAVEL", "BENEFICIARIO", "SACADO", "CEDENTE", "NOSSO NUMERO", "AGENCIA", "CONTA CORRENTE", "PAGADOR", "VENCIMENTO", "VALOR A PAGAR")
+ADMIN_WORDS = ("SOLICITAÇÃO", "AVISO", "NOTIFICAÇÃO", "INFORMAÇÃO", "COMUNICADO", "ORIENTAÇÃO", "LEMBRETE", "AGENDAMENTO", "CONFIRMAÇÃO", "STATUS", "ANDAMENTO")
+# Suppliers known from service orders, first match wins.
+ORDER_SUPPLIERS = (
+    (r"GLOBENET\s+CABOS\s+SUBMARINOS\s+S\.?A\.?|\bGLOBENET\b", "GlobeNet Cabos Submarinos S.A."), (r"\bVTAL\b", "VTAL"), (r"\bEQUINIX\b", "EQUINIX"),
+    (r"LUMEN\s+TECHNOLOGIES", "LUMEN TECHNOLOGIES"), (r"AMERICAN\s+TOWER", "AMERICAN TOWER DO BRASIL"),
+)

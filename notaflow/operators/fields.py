@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, ids, money
 from ..functions.text import label_then_lines
+from . import cascades
 
 AMOUNT = r"(\d{1,3}(?:\.\d{3})*,\d{2})"
 DAY = r"(\d{2}/\d{2}/\d{2,4})"
@@ -141,7 +142,7 @@ def slip_fields(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumns({
         "linha_digitavel": line, "valor": F.coalesce(labelled, cents, near, largest_of(t), F.lit(0.0)), "vencimento": due,
         "numero": first_match(t, (r"(?iu)n[uú]mero\s+do\s+documento\s*:?\s*([\w./-]+)", r"(?iu)nosso\s+n[uú]mero\s*:?\s*([\d/-]+)", r"(?iu)\bdoc(?:umento)?\s*n[ºo°]?\s*:?\s*(\d[\w./-]*)")),
-        "cnpj": F.coalesce(ids.cnpj(t), ids.flexible_cnpj(t)), "fornecedor_nome": first_match(t, (r"(?iu)benefici[aá]rio\s*:?\s*([^\n]+?)(?:\s+-\s*CNPJ|\s+CNPJ|\n|$)", r"(?iu)cedente\s*:?\s*([^\n]+)")),
+        "cnpj": F.coalesce(ids.cnpj(t), ids.flexible_cnpj(t)), "fornecedor_nome": cascades.slip_supplier(t)["name"],
         "data_emissao": F.coalesce(first_day(t, (r"(?iu)data\s+(?:do\s+documento|de\s+emiss[aã]o|do\s+processamento)\s*:?\s*" + DAY,)), smallest_day(t))})
 
 
@@ -165,8 +166,11 @@ def note_fields(df: DataFrame, text: str = "text") -> DataFrame:
         "valor_iss": tax("ISS(?:QN)?"), "valor_ir": tax("IRR?F?"), "valor_inss": tax("INSS"), "valor_csll": tax("CSLL"), "numero_pedido": ids.order_number(t)})
 
 
-def extracted(routed: DataFrame, text: str = "text") -> DataFrame:
-    """Fields of every routed document: slips and all others are two branches, each with its own rules."""
+def extracted(routed: DataFrame, text: str = "text", own: Column | None = None) -> DataFrame:
+    """Fields of every routed document: slips and all others are two branches, each with its own rules; service notes take
+    their provider from the cascade first. own: names of the user's companies."""
     slip = slip_fields(routed.where("doc_type = 'BOLETO'"), text)
     note = note_fields(routed.where("doc_type IS NULL OR doc_type <> 'BOLETO'"), text)
+    own = F.array().cast("array<string>") if own is None else own
+    note = note.withColumn("fornecedor_nome", F.coalesce(F.when(F.col("doc_type") == "NFSE", cascades.note_supplier(F.col(text), own)["name"]), "fornecedor_nome"))
     return slip.unionByName(note, allowMissingColumns=True)

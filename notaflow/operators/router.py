@@ -1,6 +1,6 @@
 """The document router: ordered acceptance rules over a few forms of the text, first match wins.
 
-A rule is data: a name, the document type it leads to, and an expression over the text's forms. The forms are computed
+A rule is data: a name, the document type it leads to, and an expression over the text's forms ("*": the subtype is found). The forms are computed
 once a row (upper case, upper case without accents, letters and digits only, digits only, and the heads of these); the
 router is one CASE over them, evaluated lazily in order.
 """
@@ -14,14 +14,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions.phrases import folded
 from ..functions.text import compact, strip_accents
+from . import admin
 
-UPPER, BARE, TIGHT, DIGITS = "_upper", "_bare", "_tight", "_digits"
+TEXT, UPPER, BARE, FOLDED, TIGHT, DIGITS = "_text", "_upper", "_bare", "_folded", "_tight", "_digits"
 
 
 def forms(df: DataFrame, text: str = "text") -> DataFrame:
     t = F.coalesce(text, F.lit(""))
-    return df.withColumns({UPPER: F.upper(t), BARE: strip_accents(F.upper(t)), TIGHT: compact(t), DIGITS: F.regexp_replace(t, r"\D", "")})
+    return df.withColumns({TEXT: t, UPPER: F.upper(t), BARE: strip_accents(F.upper(t)), FOLDED: folded(t), TIGHT: compact(t), DIGITS: F.regexp_replace(t, r"\D", "")})
 
 
 def _or(parts):
@@ -74,8 +76,6 @@ COMM_HEAD = ("DOCAUXILIARDANOTAFISCALFATURA", "DOCUMENTOAUXILIARDANOTAFISCALFATU
 ENERGY = ("DISTRIB DE ENERGIA", "DISTRIBUIDORA DE ENERGIA", "ENERGIA ELETRICA", "CONSUMO", "KWH", "INSTALACAO", "BANDEIRA TARIFARIA", "FATURA DE ENERGIA", "CONTA DE LUZ")
 WATER = ("COMPANHIA DE SANEAMENTO", "COPASA", "SABESP", "SANEPAR", "FATURA DE SERVICOS", "CONTA DE AGUA", "ESGOTO", "MATRICULA", "CONTA-COPASA")
 UTILITIES = ("CEMIG", "EDP", "ENEL", "CPFL", "COPEL", "LIGHT", "NEOENERGIA", "EQUATORIAL")
-ADMIN = ("ORDEMDESERVICO", "DISTRATO", "RESCISAO", "ENCERRAMENTODECONTRATO", "CANCELAMENTO", "GUIAPROCESSO", "COMPROVANTEDESOLICITACAO", "RELATORIODEFATURAMENTO", "PLANILHADECONFERENCIA", "REEMBOLSO", "ANUIDADE", "LEMBRETEGENTIL", "NOTIFICACAOAUTOMATICA")
-FISCAL = ("NOTAFISCAL", "DANFE", "NFSE", "CHAVEDEACESSO")
 OCR_DAMAGE = (r"RECEHEMOS", r"NOTA\s+FI5CAL", r"ELETR0NICA", r"D0CUMENTO", r"CHAVE\s+DE\s+ACES5O", r"\bN0\b")
 TELECOM_BILL = ("FATURA DE PAGAMENTO", "FATURA:", "VENCIMENTO", "DÉBITO AUTOMÁTICO", "TIM BLACK")
 TELECOM_MARKS = (r"TIM\s*S\.?\s*A\.?", r"FATURA\s+DE\s+PAGAMENTO[:\s]*\d+", r"CNPJ\s+DA\s+MATRIZ[:\s]*02\.421\.421", r"CONTATIM@FATURADATIM\.COM\.BR", r"TIM\s+BLACK\s+EMPRESA", r"\*144\s+DO\s+SEU\s+TIM", r"WWW\.TIM\.COM\.BR", r"MEU\s+TIM")
@@ -124,7 +124,7 @@ def rules() -> list[Rule]:
         Rule("tunna", "OUTRO", has("TUNNAENTRETENIMENTO", "FISHTV") & (has("FAT/", form=BARE) | has("FATURAN", "DEMONSTRATIVO", "FATURARUA") | like(r"N[º°]?\s*[:.]\s*\d{3}\.\d{3}\.\d{3}")), "FATURA"),
         Rule("ufinet", "OUTRO", has("UFINET") & like(r"UFINET\s*BRASIL|FATURA\s*(NO\.?|N[º°]?|NUMERO)?\s*:?\s*\d+"), "FATURA_UFINET"),
         Rule("csc", "OUTRO", debit_note & (has("CSCGESTAO") | has("38323227000140", form=DIGITS)) & ~not_debit, "NOTA_DEBITO"),
-        Rule("admin", "OUTRO", has(*ADMIN) & ~has(*FISCAL) & ~key & (count(*SLIP_WORDS) < 3), "ADMINISTRATIVO"),
+        Rule("admin", "OUTRO", admin.accepts(F.col(TEXT), F.col(BARE), F.col(FOLDED)), "*"),
         Rule("ocr_danfe", "DANFE", has("DANFE", "RECEBEMOS", "RECEHEMOS", "DOCUMENTOAUXILIAR") & (count_like(*OCR_DAMAGE) >= 2)),
         Rule("danfe", "DANFE", has("DANFE") & ~has("DANFSE") | every("DOCUMENTOAUXILIAR", "NOTAFISCAL", "ELETR") | F.col(DIGITS).rlike(r"^\d{44}$") | (has("CHAVEDEACESSO") & has("NFE"))),
         Rule("boleto", "BOLETO", ~danfse & ~comm_head & ((count(*SLIP_KEYS) >= 3) | slip_line()) & (count(*SERVICE_KEYS) < 3)),
@@ -142,7 +142,9 @@ def routed(df: DataFrame, text: str = "text", more: tuple[Rule, ...] = ()) -> Da
     kind = F.create_map(*[F.lit(x) for r in ordered for x in (r.name, r.doc_type)])
     # Two kinds of bill have two subtypes: water or energy, rental or another.
     either = {"utility": has(*WATER, form=UPPER), "outros": has("LOCACAO", "ALUGUEL")}
-    plain = F.create_map(*[F.lit(x) for r in ordered if r.subtype and r.name not in either for x in (r.name, r.subtype)])
-    subtype = F.coalesce(*[F.when((F.col("extractor") == r.name) & either[r.name], F.lit(r.subtype.split("|")[0])).when(F.col("extractor") == r.name, F.lit(r.subtype.split("|")[1])) for r in ordered if r.name in either], F.try_element_at(plain, "extractor"))
-    out = forms(df, text).withColumn("extractor", pick)
-    return out.withColumn("doc_type", F.try_element_at(kind, "extractor")).withColumn("subtype", subtype).drop(UPPER, BARE, TIGHT, DIGITS)
+    plain = F.create_map(*[F.lit(x) for r in ordered if r.subtype and r.subtype != "*" and r.name not in either for x in (r.name, r.subtype)])
+    of_admin = F.when(F.col("extractor") == "admin", admin.subtype(F.col(BARE)))
+    subtype = F.coalesce(of_admin, *[F.when((F.col("extractor") == r.name) & either[r.name], F.lit(r.subtype.split("|")[0])).when(F.col("extractor") == r.name, F.lit(r.subtype.split("|")[1])) for r in ordered if r.name in either], F.try_element_at(plain, "extractor"))
+    # A generator of one row: what follows can't be merged into it, so each form and the pick are computed once.
+    out = forms(df, text).select("*", F.inline(F.array(F.struct(pick.alias("extractor")))))
+    return out.withColumn("doc_type", F.try_element_at(kind, "extractor")).withColumn("subtype", subtype).drop(TEXT, UPPER, BARE, FOLDED, TIGHT, DIGITS)
