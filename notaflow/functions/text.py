@@ -15,6 +15,11 @@ def positive(c: Column) -> Column:
     return F.coalesce(c, F.lit(0.0)) > 0
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often it is used: as the only element of an array."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip_accents(text: Column) -> Column:
     """Latin-1 letters without their marks."""
     return F.translate(text, ACCENTED, PLAIN)

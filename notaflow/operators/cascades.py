@@ -2,8 +2,8 @@
 
 A rule yields candidates, an array in page order, out of the text or its lines: the lines under a start line as far as a
 reach and up to a stop line, the best-ranked lines of a shape, or the hits of a pattern in the text. A candidate carries
-what it must pass. All rules' candidates stand in one array in the order of the cascade, and one fold walks it until a
-candidate passes: names are cleaned and tested once, not once a rule, and nothing after the first success is evaluated.
+what it must pass. One fold walks the rules in order and in it one walks a rule's candidates until one passes, so that the
+cleaning and the tests stand in the plan once, not once a rule, and nothing after the first success is evaluated.
 Rules are data; the two cascades of the business follow.
 """
 
@@ -15,8 +15,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import fixed, ids, lines, names
-from ..functions.text import for_extraction
 from ..functions.phrases import bare, has_any
+from ..functions.text import for_extraction, let
 
 CNPJ, CPF = ids.CNPJ, ids.CPF
 LOOSE_CNPJ = r"\d{2}\D?\d{3}\D?\d{3}\D?\d{4}\D?\d{2}"
@@ -64,8 +64,11 @@ def under(rows: Column, at: Column, reach: int, stop: str = "") -> Column:
     window = F.slice(rows, at + 2, F.lit(reach))
     if not stop:
         return window
-    ends = F.get(places(window, stop), F.lit(0))
-    return F.when(ends.isNotNull(), F.slice(window, F.lit(1), ends)).otherwise(window)
+
+    def cut(w: Column) -> Column:
+        return let(F.get(places(w, stop), F.lit(0)), lambda ends: F.when(ends.isNotNull(), F.slice(w, F.lit(1), ends)).otherwise(w))
+
+    return let(window, cut)
 
 
 def lines_of(text: Column) -> Column:
@@ -92,13 +95,6 @@ class Rule:
 
 def first_passing(text: Column, rules: tuple[Rule, ...], own: Column | None = None, cleaned=names.entity_name) -> Column:
     """(step, name) of the first candidate that passes; null if none does. own: names of the user's companies, upper case."""
-    rows, solid = lines_of(text), solid_lines(text)
-
-    def named(step: str):
-        return lambda c: F.struct(F.lit(step).alias("step"), c["raw"].alias("raw"), c["shown"].alias("shown"), c["tests"].alias("tests"), c["least"].alias("least"))
-
-    tagged = [F.transform(r.candidates(text, rows, solid), named(r.name)) for r in rules]
-
     def asks(c: Column, bit: int) -> Column:
         return c["tests"].bitwiseAND(bit) > 0
 
@@ -112,13 +108,22 @@ def first_passing(text: Column, rules: tuple[Rule, ...], own: Column | None = No
             ok = ok & (~asks(c, COMPANY) | (c["raw"].rlike("(?i)LTDA|S\\.?A\\.?|S/A|EIRELI|ME|EPP")) | (c["raw"].rlike("^[A-ZÀ-ÿ]") & ~lines.address_line(c["raw"])))
             if own is not None:
                 ok = ok & ~(asks(c, NOT_OWN) & is_own(n, own))
-            return F.when(ok, F.struct(c["step"].alias("step"), F.coalesce(c["shown"], n).alias("name")))
+            return F.when(ok, F.coalesce(c["shown"], n))
 
-        # The cleaned name is bound once, as an element, and used by every test.
-        return F.get(F.transform(F.array(F.struct(name.alias("name"))), judged), F.lit(0))
+        return let(F.struct(name.alias("name")), judged)
 
-    nothing = F.lit(None).cast("struct<step:string,name:string>")
-    return F.aggregate(F.concat(*tagged), nothing, lambda found, c: F.coalesce(found, passed(c)))
+    steps = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (i, r.name)])
+
+    def walked(at: Column) -> Column:
+        def of(k: Column) -> Column:
+            every = F.coalesce(*[F.when(k == i, r.candidates(at["text"], at["rows"], at["solid"])) for i, r in enumerate(rules)])
+            name = F.aggregate(every, F.lit(None).cast("string"), lambda found, c: F.coalesce(found, passed(c)))
+            return let(name, lambda n: F.when(n.isNotNull(), F.struct(F.try_element_at(steps, k).alias("step"), n.alias("name"))))
+
+        nothing = F.lit(None).cast("struct<step:string,name:string>")
+        return F.aggregate(F.sequence(F.lit(0), F.lit(len(rules) - 1)), nothing, lambda found, k: F.coalesce(found, of(k)))
+
+    return let(F.struct(text.alias("text"), lines_of(text).alias("rows"), solid_lines(text).alias("solid")), walked)
 
 
 FORM = r"\s*(?:LTDA|S/?A|EIRELI|ME|EPP|S\.A\.?|-\s*ME|-\s*EPP)\s*$"
@@ -175,14 +180,16 @@ def _named_with_number(text, rows, solid):
 
 
 def _before_number(text, rows, solid):
-    number = payee_number(text)
-    return candidates(F.filter(F.transform(F.split(text, r"\r\n|\n|\r"), lambda x: lines.name_before_cnpj(x, number)), lambda n: n.isNotNull()), PLAIN_NAME)
+    found = let(payee_number(text), lambda n: F.transform(F.filter(rows, lambda x: F.contains(x, n)), lambda x: lines.name_before_cnpj(x, n)))
+    return candidates(F.filter(found, lambda n: n.isNotNull()), PLAIN_NAME)
 
 
 def _under_payee(text, rows, solid):
     """Each line with the label: a name before a number on it, then the next four lines up to the payer's."""
     def of(i):
-        row = F.get(solid, i)
+        return let(F.get(solid, i), lambda row: at(i, row))
+
+    def at(i, row):
         inline = one(lines.name_before_cnpj(row, ids.cnpj(row)))
         same = F.slice(hits(row, rf"({NAME})\s+{CNPJ}\b"), 1, 1)
         below = F.transform(under(solid, i, 4, r"(?i)\bPagador\b"), lambda x: F.concat(
@@ -204,12 +211,12 @@ def _after_number(text, rows, solid):
 
 def _person(text, rows, solid):
     """A person's name before its number, or after a label and before the number."""
-    number = payee_person(text)
-    cut = F.transform(F.filter(F.split(text, r"\r\n|\n|\r"), lambda x: F.contains(x, F.coalesce(number, F.lit("\u0000")))), lambda x: F.trim(F.substring(x, F.lit(1), F.instr(x, number) - 1)))
+    cut = let(payee_person(text), lambda n: F.transform(F.filter(rows, lambda x: F.contains(x, n)), lambda x: F.trim(F.substring(x, F.lit(1), F.instr(x, n) - 1))))
+    cut = F.coalesce(cut, F.array().cast("array<string>"))
     bare_name = F.transform(cut, lambda x: F.regexp_replace(F.regexp_replace(x, r"(?i)^.*?(?:Benefici[aá]rio|Cedente|CPF|Nome)[:\s]*", ""), r"^[ \-:|]+|[ \-:|]+$", ""))
     labelled = [F.slice(hits(text, p), 1, 1) for p in (rf"(?i)Benefici[aá]rio\s+({PERSON})\s+(?:CPF|CPF/CNPJ)[:\s]*{CPF}", rf"(?i)Cedente\s+({PERSON})\s+{CPF}")]
     every = candidates(F.concat(F.filter(bare_name, lambda n: F.length(n) >= 5), *labelled), PLAIN_NAME)
-    return F.when(number.isNotNull(), every).otherwise(F.array().cast(CANDIDATE))
+    return F.when(payee_person(text).isNotNull(), every).otherwise(F.array().cast(CANDIDATE))
 
 
 SLIP = (
@@ -248,8 +255,8 @@ def _first_hit(pattern: str, least: int = 5, refuse: str = "", clean=None):
 def _provider_section(text, rows, solid):
     """The section's heading, the name's label within nine lines, and a company or capitals within nine more."""
     def of(i):
-        label = F.get(places(under(rows, i, 9), r"(?iU)^Nome/Raz[ãa]o\s+Social\s*:\s*$"), F.lit(0))
-        seen = F.filter(under(rows, i + 1 + label, 9), lambda x: (x != "") & ~x.rlike(FIELD_LABEL) & ~x.rlike(r"^\d{2}\.\d{3}\.\d{3}[/-]|^\d[\d.\-]+$"))
+        below = let(F.get(places(under(rows, i, 9), r"(?iU)^Nome/Raz[ãa]o\s+Social\s*:\s*$"), F.lit(0)), lambda label: under(rows, i + 1 + label, 9))
+        seen = F.filter(below, lambda x: (x != "") & ~x.rlike(FIELD_LABEL) & ~x.rlike(r"^\d{2}\.\d{3}\.\d{3}[/-]|^\d[\d.\-]+$"))
         good = F.filter(seen, lambda x: x.rlike(r"(?i)(?:LTDA|S\.?A\.?|S/A|EIRELI|ME|EPP)$") | (x.rlike(r"^[A-ZÀ-ÿ][A-ZÀ-ÿ\s&.\-]+$") & (F.length(x) >= 10) & ~x.rlike(r"(?iU)^(?:RUA|AV|AVENIDA|PRA[ÇC]A|RODOVIA|ESTRADA)\s")))
         return F.coalesce(good, F.array().cast("array<string>"))
 

@@ -6,7 +6,7 @@ SQL can tell what a document of several blocks must give: the earliest rule's bl
 from pyspark.sql import functions as F
 
 from ..operators import admin, cascades, router
-from ..sources.tables import table
+from ..sources.tables import spread, table
 
 #: Blocks of a slip: the rule's place in the cascade, its name, the text and the name found. {n}: a company, {m}: a person, {c}: digits.
 SLIP_BLOCKS = (
@@ -96,7 +96,7 @@ def _documents(spark, d, blocks, end):
     """Two blocks of each order's document; the company's name is words of a part."""
     o, p = table(spark, d, "orders").select("o_orderkey", "o_custkey"), table(spark, d, "part").select("p_partkey", "p_name")
     n = len(blocks)
-    x = o.join(p, F.col("o_custkey") % 200 == F.col("p_partkey"))
+    x = spread(o).join(p, F.col("o_custkey") % 200 == F.col("p_partkey"))
     values = {"{n}": F.upper("p_name"), "{m}": F.concat(F.lit("Maria "), F.lower("p_name")), "{c}": F.lpad(F.col("o_orderkey").cast("string"), 6, "0")}
     places = [(F.col("o_orderkey") % n + 1).cast("int"), ((F.col("o_orderkey") * 7 + F.floor(F.col("o_orderkey") / n)) % n + 1).cast("int")]
     return x.select("o_orderkey", F.concat(*[y for at in places for y in (_chosen([b[2] for b in blocks], at, values), F.lit(end))]).alias("text"))
@@ -126,7 +126,7 @@ def admin_documents(spark, d):
     values = {"{c}": F.lpad(k.cast("string"), 6, "0")}
     places = [(k % n + 1), ((k * 5 + F.floor(k / n)) % n + 1), ((k * 11 + F.floor(k / 7)) % n + 1)]
     text = F.concat_ws("\n", *[_chosen([b[0] for b in ADMIN_BLOCKS], at.cast("int"), values) for at in places])
-    x = admin.admin_fields(table(spark, d, "orders").select("o_orderkey", text.alias("text")))
+    x = admin.admin_fields(spread(table(spark, d, "orders")).select("o_orderkey", text.alias("text")))
     x = router.forms(x)
     return x.select("o_orderkey", admin.accepts(*[F.col(c) for c in (router.TEXT, router.BARE, router.FOLDED)]).alias("accepted"), "subtype")
 

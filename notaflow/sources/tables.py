@@ -8,6 +8,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where it has fewer partitions than there are cores, as a table of one small file has: for work that costs
+    much more than reading. Larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
     """value, line_no: the lines of text files; numbers rise within a split, not over splits (ordered_lines numbers files)."""
     return spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id())
