@@ -539,3 +539,11 @@ ORDER_SUPPLIERS = (
     (r"GLOBENET\s+CABOS\s+SUBMARINOS\s+S\.?A\.?|\bGLOBENET\b", "GlobeNet Cabos Submarinos S.A."), (r"\bVTAL\b", "VTAL"), (r"\bEQUINIX\b", "EQUINIX"),
     (r"LUMEN\s+TECHNOLOGIES", "LUMEN TECHNOLOGIES"), (r"AMERICAN\s+TOWER", "AMERICAN TOWER DO BRASIL"),
 )
+
+# Words of companies' names that readers run together; each counts with and without accents.
+NAME_WORDS = (
+    "TELECOMUNICAÇÕES", "TELECOMUNICAÇÃO", "DESENVOLVIMENTO", "COMPARTILHADOS", "COMPARTILHADO", "INTERMEDIAÇÃO", "ADMINISTRAÇÃO", "ADMINISTRADORA", "INVESTIMENTOS", "INVESTIMENTO", "PARTICIPAÇÕES", "PARTICIPAÇÃO",
+    "INTELIGÊNCIA", "COMUNICAÇÕES", "COMUNICAÇÃO", "ESTRATÉGICA", "ESTRATÉGICO", "ESCRITÓRIOS", "ESCRITÓRIO", "CONSULTORIA", "PERFORMANCE", "PERFOMANCE", "INFORMÁTICA", "AUDIOVISUAL", "TECNOLOGIA", "TECHNOLOGY", "ARTIFICIAL",
+    "ASSESSORIA", "AUDITORIA", "ASSOCIADOS", "ASSOCIADO", "ADVOGADOS", "ADVOGADO", "CONCEITOS", "CONCEITO", "SOFTWARE", "SERVIÇOS", "SERVIÇO", "SOLUÇÕES", "SOLUÇÃO", "SISTEMAS", "SISTEMA", "PROJETOS", "PROJETO", "INTERNET",
+    "PARTNERS", "SUPORTE", "DIGITAL", "CONEXÃO", "SERVICE", "GESTÃO", "BRASIL", "FOCUS", "APOIO", "IDEAL", "BENS",
+)

@@ -1,10 +1,23 @@
 """Text normalisation, lines, chunks and markup."""
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
+
+def _folds() -> dict[str, str]:
+    """Letters of the Latin blocks that are a plain letter with marks, with that letter; marks of their own with none."""
+    found = {}
+    for i in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00), *range(0x300, 0x370)]:
+        rest = "".join(c for c in unicodedata.normalize("NFD", chr(i)) if not unicodedata.combining(c))
+        if rest != chr(i) and (rest == "" or rest.isascii() and rest.isalpha()):
+            found[chr(i)] = rest
+    return found
+
+
+#: Characters and what they become; the marks at the end become nothing.
+ACCENTED, PLAIN = ("".join(x) for x in zip(*sorted(_folds().items(), key=lambda x: (x[1] == "", x[0])), strict=True))
 
 
 def present(c: Column) -> Column:
@@ -21,7 +34,7 @@ def let(value: Column, use) -> Column:
 
 
 def strip_accents(text: Column) -> Column:
-    """Latin-1 letters without their marks."""
+    """Latin letters without their marks, composed ones and those with marks of their own."""
     return F.translate(text, ACCENTED, PLAIN)
 
 

@@ -115,13 +115,6 @@ def foreign_cnpj(docs: DataFrame, companies: DataFrame, key: str, text: str) ->
     return named.join(companies.select("cnpj"), "cnpj", "left_anti").groupBy(key).agg(F.min_by("cnpj", "at").alias("cnpj"))
 
 
-def split_name(name: Column, words: tuple[str, ...]) -> Column:
-    """Words of a name that was run together, the longest known word first at each place."""
-    known = "|".join(sorted(words, key=lambda w: (-len(w), w)))
-    spaced = F.trim(F.regexp_replace(F.regexp_replace(name, f"({known})", " $1 "), r"\s+", " "))
-    return F.when((F.length(name) >= 15) & ~F.contains(name, F.lit(" ")), spaced).otherwise(name)
-
-
 def latest(rows: DataFrame, key: str, order: Column) -> DataFrame:
     """Insert or replace: of rows with one key the last wins."""
     n = F.row_number().over(W.partitionBy(key).orderBy(order.desc()))

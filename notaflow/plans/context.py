@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..functions import ids, money
+from ..functions import ids, money, names
 from ..functions.fixed import PAYMENT
 from ..operators import batches, context, export
 from ..sources.tables import table
@@ -93,7 +93,7 @@ def company_lookup(spark, d):
 def split_names(spark, d):
     words = ("BRASIL", "AUDITORIA", "E", "CONSULTORIA", "LTDA", "RSM")
     s = table(spark, d, "supplier")
-    return s.select("s_suppkey", context.split_name(F.lit("RSMBRASILAUDITORIAECONSULTORIALTDA"), words[:2] + words[3:]).alias("name"), context.split_name(F.col("s_name"), words).alias("same"))
+    return s.select("s_suppkey", names.split_name(F.lit("RSMBRASILAUDITORIAECONSULTORIALTDA"), words[:2] + words[3:]).alias("name"), names.split_name(F.col("s_name"), words).alias("same"))
 
 
 def vector_upsert(spark, d):

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from notaflow.functions import fixed, phrases, xml
+from notaflow.functions import fixed, names, phrases, text, xml
 from notaflow.operators import admin, cascades, router
 
 
@@ -117,3 +117,26 @@ def test_xml_variants(spark):
     assert (b.numero, b.cnpj, b.valor, b.data_emissao) == ("9", "2", 8.5, dt.date(2024, 3, 2))
     assert (c.dialect, c.numero, c.valor) == ("NFCOM", "3", 7.25)
     assert (d.dialect, d.numero, d.valor, d.chave_acesso, d.itens, d.parcelas) == ("NFE", "4", 0.0, None, None, None)
+
+
+def test_split_names_longest_first(spark):
+    texts = ["ZZABCDEFGHIJKLMNO", "RSMBRASILAUDITORIAECONSULTORIALTDA", "CURTALTDA", "COM ESPACO TECNOLOGIALTDA", "tecnologiadigitalxyz", "QWERTYUIOPASDFGH", "GESTÃOESERVIÇOSS/A", None]
+    got = values(spark, texts[:1], lambda t: names.split_name(t, ("ABCD", "CDEFGH")))
+    assert got == ["ZZAB CDEFGH IJKLMNO"]
+    want = ["RSM BRASIL AUDITORIA E CONSULTORIA LTDA", "CURTALTDA", "COM ESPACO TECNOLOGIALTDA", "TECNOLOGIA DIGITAL XYZ", "QWERTYUIOPASDFGH", "GESTÃO E SERVIÇOS S/A", None]
+    assert values(spark, texts[1:], names.split_name) == want
+
+
+def test_entity_names_by_kind_of_tail(spark):
+    cases = {
+        "ALFA LTDA | CNPJ - CNPJ": "ALFA LTDA", "BETA SA, inscrita no CNPJ sob o n. 2": "BETA SA", "GAMA LTDA CPF ou CNPJ": "GAMA LTDA", "DELTA SA - Endereço Rua X": "DELTA SA", "ECO ME 3 ANDAR sala 2": "ECO ME", "ALFA LTDA - Belo Horizonte/MG": "ALFA LTDA",
+        "ALFA SA fin@alfa.com": "ALFA SA", "ALFA SA contato@alfa.com": "ALFA SA", "ALFA LTDA joaozinho": "ALFA LTDA", "ALFA LTDA ana.souza": "ALFA LTDA", "Rede de Postos comercial": "Rede de Postos", "ALFA LTDA / -1 1 ( ) Mudou-se": "ALFA LTDA", "GAMA SA Cod. de Autenticidade 2": "GAMA SA",
+        "ALFA LTDA Nome Fantasia LOJA": "ALFA LTDA", "ALFA LTDA Florida33134USA": "ALFA LTDA", "ALFA LTDA 12/3": "ALFA LTDA", "ALFA LTDA www.alfa.com.br financeiro 393": "ALFA LTDA", "E-mail Beneficiário ALFA LTDA": "ALFA LTDA", "CNPJ: ALFA LTDA": "ALFA LTDA", "Casa do João": "Casa do João",
+        "Número do documento espécie": "", "Valor da causa": "", "( ) Não existe": "", "loja.com.br": "", "CEP 30": "", "USA": "", "": "",
+    }
+    assert dict(zip(cases, values(spark, list(cases), names.entity_name), strict=True)) == cases
+
+
+def test_accents_of_other_alphabets(spark):
+    texts = ["Nguyễn Thị Hồng Đào", "Łódź Żółć Gęś", "Şişli Ğ İ", "Ação", "éâ", None]
+    assert values(spark, texts, text.strip_accents) == ["Nguyen Thi Hong Đao", "Łodz Zołc Ges", "Sisli G I", "Acao", "ea", None]
