@@ -4,21 +4,21 @@ A page is cut into tags and text. Every text belongs to a tag path, root to leaf
 words on it; links and other inline elements belong to the path of their block. Over a page, each path gathers the
 length of its text, how many lines it has, and its punctuation; the text ratio (length per line) and the punctuation
 ratio (marks per line) are smoothed over the page's lines with a Gaussian window, fused (product of the two and of the
-share of text outside links in the line's block element; items share that of their list), and compared with a threshold, a
-multiple of the page's mean. Paths under elements that never hold main text (navigation, header, footer, forms,
-scripts, notices, comments and so on: by element name, role, or a whole class or id) are dropped first; one of their
-class words in a compound (cookie-bar, but not no-sidebar) halves the score of the paths below. A path under
-article or main counts twice in the fusion, so that a path outside as dense as the marked text still passes.
-
-What the ratios keep brings back its neighbours: headings, paragraphs, list items, quotes, listings and cells in the
-same container; under article or main the container reaches up to that element, and lists, tables and quotes of it
-and text right in it come back unless most of their text is links (paragraphs and headings in any case). A block
-stays or goes as a whole: outside article and main one that is nearly all links goes, unless it is a heading,
-paragraph, quote or listing.
+share of text outside links in the line's block element; items share that of their list), weighed by names, and compared
+with a threshold, a part of the page's mean line, in which each line counts by its length and its names. Nothing
+is dropped before that but scripts, styles and the like and what is hidden. Names weigh in the fusion: next to nothing under
+elements that never hold main text (navigation, header, footer, forms, notices, comments and so on: by element name, role,
+or a whole class or id); half under one of their class words in a compound (cookie-bar, but not no-sidebar); more under
+article or main, but less than would hide text outside that is as dense.
+
+What the ratios keep brings back what belongs to it, never from under such names: headings, paragraphs, items, quotes,
+listings, cells and captions in the same container (lists and tables are no containers of their own); in an article or
+main with kept text, whatever else stands there. A block stays or goes as a whole: outside article and main one that is nearly all links
+goes, unless it is a heading, paragraph, quote or listing.
 
 Text is decoded, white space inside a block becomes one space, blocks are joined in page order by one space.
 
-A header element is dropped wherever it stands, so a headline must lie in the article itself, not in its header.
+Of a header element within an article or main its headings stay; other headers go.
 
 Defined cases: null or empty html, or a page without main text, gives an empty text and n_chars 0; very long, very deep or
 broken pages take time and memory in proportion to their length; markup that ends early is read as far as it goes; a script or the like that never ends goes up to the next block or to the page's end;
@@ -61,16 +61,19 @@ WHOLE = re.compile(MARKS.pattern.replace(r"[\s_-]", r"\s"), re.I)
 ABOUT = re.compile(r"(?:^|(?<=\s))(?:no|not|non|without|has|have|with|show|hide)[_-]\S*", re.I)
 #: A path with such a compound against others; above the threshold, so that it is kept where it is the usual text.
 PART_WEIGHT = 0.5
+#: One under a listed name: it would have to be hundreds of times as dense as the page's text.
+NAME_WEIGHT = 0.002
 #: A path under article or main against others; below 1 / threshold, so that an equally dense path outside is kept.
 MAIN_WEIGHT = 1.5
 #: Least share outside links there: marked text that is all links is little, not nothing.
 MAIN_PLAIN = 0.1
 #: Share of link text beyond which a block outside them goes.
 LINKED = 0.8
-WORDY = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "blockquote", "pre"}
-BESIDE = WORDY | {"li", "td"}
-#: Steps from a marked container down to its text.
-PART = BESIDE | {"th", "ul", "ol", "dl", "dt", "dd", "table", "thead", "tbody", "tfoot", "tr", "caption", "figure", "figcaption", "hgroup", "details", "summary"}
+HEADS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+WORDY = HEADS | {"p", "blockquote", "pre"}
+BESIDE = WORDY | {"li", "td", "th", "dt", "dd", "caption", "figcaption", "summary"}
+#: Steps from a container down to its text.
+PART = BESIDE | {"ul", "ol", "dl", "table", "thead", "tbody", "tfoot", "tr", "figure", "hgroup", "details"}
 #: Opening one of the first ends an open one of the second, up to the third.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 ENDS_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
@@ -97,19 +100,20 @@ def raw_ends(page: str, name: str, end: int) -> dict[int, int]:
 
 
 class Paths:
-    """The tag paths of a page as a tree: each knows its last element, the one above it and how deep it is."""
+    """The tag paths of a page as a tree: each knows its last element, the one above it, and what names stand on the way."""
 
     def __init__(self):
         self.number: dict[tuple[int, str], int] = {}
-        self.above, self.name, self.depth, self.main = [-1], [""], [0], [-1]
+        self.above, self.name, self.main, self.named = [-1], [""], [-1], [False]
 
-    def below(self, up: int, name: str, words: str, marked: bool) -> int:
-        got = self.number.get((up, step := f"{name}.{words}"))
+    def below(self, up: int, name: str, words: str, marked: bool, named: bool = False) -> int:
+        """named: whether a listed name stands on it or above; paths with and without are different ones."""
+        got = self.number.get((up, step := f"{name}.{words}{'!' * named}"))
         if got is None:
             got = self.number[up, step] = len(self.name)
             self.above.append(up)
             self.name.append(name)
-            self.depth.append(self.depth[up] + 1)
+            self.named.append(named)
             # The outermost article or main that it is in.
             self.main.append(self.main[up] if self.main[up] >= 0 else got if marked else -1)
         return got
@@ -119,12 +123,12 @@ class Stack:
     """Open elements, and where the last ones of a name are, so that no tag walks past elements that it leaves open."""
 
     def __init__(self):
-        # name, path, dropped, in a link, block element, part of a class listed
-        self.open: list[tuple[str, int, bool, bool, int, bool]] = []
+        # name, path, hidden, in a link, block element, part of a class listed, listed name (2: an article's own header)
+        self.open: list[tuple[str, int, bool, bool, int, bool, int]] = []
         self.at: dict[str, list[int]] = {}
         self.solid: list[int] = []  # elements other than inline ones and p
 
-    def push(self, entry: tuple[str, int, bool, bool, int, bool]) -> None:
+    def push(self, entry: tuple[str, int, bool, bool, int, bool, int]) -> None:
         self.at.setdefault(entry[0], []).append(len(self.open))
         if entry[0] not in INLINE and entry[0] != "p":
             self.solid.append(len(self.open))
@@ -154,8 +158,8 @@ class Stack:
                 self.cut(i)
 
 
-def nodes_of(page: str) -> tuple[list[tuple[str, int, bool, bool, int, int, bool]], Paths]:
-    """(text, path, dropped, in a link, line number, block element, part of a class listed) of every text node, in page
+def nodes_of(page: str) -> tuple[list[tuple[str, int, bool, bool, int, int, float]], Paths]:
+    """(text, path, hidden, in a link, line number, block element, weight of names) of every text node, in page
     order, and the paths. Linear in the page's length, whatever is in it."""
     paths, stack = Paths(), Stack()
     out, block, elements, at, size, tag = [], 0, 0, 0, len(page), TAG
@@ -165,8 +169,8 @@ def nodes_of(page: str) -> tuple[list[tuple[str, int, bool, bool, int, int, bool
 
     def add(raw: str) -> None:
         if raw:
-            _, path, dropped, link, element, partly = stack.open[-1] if stack.open else ("", 0, False, False, 0, False)
-            out.append((decoded(raw), path, dropped, link, block, element, partly))
+            _, path, hidden, link, element, partly, named = stack.open[-1] if stack.open else ("", 0, False, False, 0, False, 0)
+            out.append((decoded(raw), path, hidden, link, block, element, NAME_WEIGHT if named else PART_WEIGHT if partly else 1.0))
 
     text = 0  # where the text that is read begins
     while True:
@@ -222,17 +226,23 @@ def nodes_of(page: str) -> tuple[list[tuple[str, int, bool, bool, int, int, bool
             continue
         attrs = {k.lower(): a or b or c for k, a, b, c in ATTR.findall(m[3])} if m[3] else {}
         words = f"{attrs.get('class', '')} {attrs.get('id', '')}".strip()
-        _, path, dropped, link, element, partly = stack.open[-1] if stack.open else ("", 0, False, False, 0, False)
+        _, path, hidden, link, element, partly, named = stack.open[-1] if stack.open else ("", 0, False, False, 0, False, 0)
         told = words and name not in ("body", "html", "main")
         marked = name in MAIN or attrs.get("role") == "main"
-        dropped = dropped or name in NEVER or attrs.get("role", "").lower() in ROLES or bool(told and WHOLE.search(words))
-        dropped = dropped or bool(m[3]) and ("hidden" in m[3].split() or "hidden" in attrs) or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "")
+        own = name == "header" and not named and paths.main[path] >= 0
+        if named == 2 and name in HEADS:
+            named = 0
+        elif own:
+            named = 2
+        elif name in NEVER or attrs.get("role", "").lower() in ROLES or bool(told and WHOLE.search(words)):
+            named = 1
+        hidden = hidden or bool(m[3]) and ("hidden" in m[3].split() or "hidden" in attrs) or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "")
         partly = partly or bool(told and MARKS.search(ABOUT.sub("", words)))
         if name not in INLINE:
-            path = paths.below(path, name, words, marked)
+            path = paths.below(path, name, words, marked, named > 0)
             elements += 1
             element = element if name in ("li", "dt", "dd") else elements
-        stack.push((name, path, dropped, link or name == "a", element, partly))
+        stack.push((name, path, hidden, link or name == "a", element, partly, named))
     return out, paths
 
 
@@ -268,42 +278,38 @@ def ratio_kept(s: Statistics, threshold: float, sigma: float) -> set[int]:
     of = np.array([x[1] for x in s.first])
     text = np.array([s.length[p] / s.lines[p] for p in of.tolist()])
     marks = np.array([s.marks[p] / s.lines[p] for p in of.tolist()])
-    weight = np.array([(MAIN_WEIGHT if s.paths.main[x[1]] >= 0 else 1.0) * (PART_WEIGHT if x[6] else 1.0) * s.plain(x) for x in s.first])
+    plain = np.array([(MAIN_WEIGHT if s.paths.main[x[1]] >= 0 else 1.0) * s.plain(x) for x in s.first])
+    names = np.array([x[6] for x in s.first])
     reach = np.arange(-2, 3)
     window = np.exp(-(reach**2) / (2 * sigma**2))
     norm = np.convolve(np.ones(len(of)), window, "full")[2:-2]
+    long = text * names
     text, marks = (np.convolve(v, window, "full")[2:-2] / norm for v in (text, marks))
-    fused = text * (marks + 0.1) * weight
+    fused = text * (marks + 0.1) * plain
     path, at = np.unique(of, return_inverse=True)
-    mean = np.bincount(at, fused) / np.bincount(at)
-    return set(path[(mean > 0) & (mean >= threshold * fused.mean())].tolist())
+    mean = np.bincount(at, fused * names) / np.bincount(at)
+    # In the bar a listed name takes a line's say, not its score, so that a page of nothing else keeps nothing.
+    bar = (fused * np.where(names == NAME_WEIGHT, 1.0, names) * long).sum() / long.sum()
+    return set(path[(mean > 0) & (mean >= threshold * bar)].tolist())
 
 
 def neighbours(s: Statistics, kept: set[int]) -> set[int]:
-    """Headings, paragraphs and the like in a container of kept text; under article or main, what hangs on its containers."""
-    above, name, main, depth = s.paths.above, s.paths.name, s.paths.main, s.paths.depth
-    parents = {above[p] for p in kept}
-    near = {p for p in s.length if above[p] in parents and name[p] in BESIDE}
-    inside: set[int] = set()  # kept paths and what holds them, up to their article or main
-    for p in kept:
-        if main[p] >= 0:
-            up = p
-            while depth[up] >= depth[main[p]] and up not in inside:
-                inside.add(up)
-                up = above[up]
-    reaches: dict[int, bool] = {}  # whether steps down from such a container lead here
-    for p in s.length:
-        if main[p] < 0:
-            continue
-        up, way = p, []
-        while up not in inside and up not in reaches and depth[up] >= depth[main[p]] and name[up] in PART:
+    """Headings, paragraphs and the like in a container of kept text; in an article or main with kept text, all but what has a listed name."""
+    above, name, main, named = s.paths.above, s.paths.name, s.paths.main, s.paths.named
+    holders: dict[int, int] = {}
+
+    def holder(p: int) -> int:
+        """The first element above that is no part of a list or table."""
+        up, way = above[p], []
+        while up > 0 and name[up] in PART and up not in holders:
             way.append(up)
             up = above[up]
-        good = up in inside or reaches.get(up, False)
-        reaches.update(dict.fromkeys(way, good))
-        if good and (s.linked[p] <= s.length[p] / 2 or name[p] in WORDY):
-            near.add(p)
-    return near
+        found = holders.get(up, up)
+        holders.update(dict.fromkeys(way, found))
+        return found
+
+    around, mains = {holder(p) for p in kept}, {main[p] for p in kept if main[p] >= 0}
+    return {p for p in s.length if not named[p] and (main[p] in mains if main[p] >= 0 else name[p] in BESIDE and holder(p) in around)}
 
 
 def main_text(page: str | None, threshold: float = 0.6, sigma: float = 0.6) -> str:

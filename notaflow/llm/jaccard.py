@@ -286,8 +286,8 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80, block: in
     """doc_id, n_shingles, class_id, component_id for each row: component_id is the smallest doc_id reachable by links."""
     spark = docs.sparkSession
     small_batches(spark)
-    # A row without an id is found again by its text.
-    key = F.coalesce(F.col("doc_id").cast("bigint"), F.xxhash64("text"))
+    # A class's text is found again by id and text, as ids may be shared or missing.
+    key = F.xxhash64("doc_id", "text")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), key.alias("key"), "text")
     t = stored(texts.mapInArrow(named(words), "doc_id bigint, key bigint, n bigint, cls bigint, sketch binary"), "jaccard-named")
     classes = t.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("key").alias("found by"))
