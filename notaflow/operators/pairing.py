@@ -12,9 +12,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import ids
+from ..functions import ids, names
 from ..functions.fixed import TOLERANCE
 
+#: Fields of a pair: the first of its notes' and then of its slips' that is there.
+FIELDS = ("fornecedor_nome", "cnpj", "vencimento", "data_emissao", "empresa")
 PAIRS = "batch_id string, pair_id string, note_number string, note_value double, slip_value double, difference double, pair_status string, note_docs array<string>, slip_docs array<string>"
 
 
@@ -49,8 +51,16 @@ def _groups(rows: list[dict], slip: bool) -> list[dict]:
     return groups
 
 
+def _forced(note: dict, slip: dict) -> tuple[dict, dict]:
+    """The only note without an amount and the only slip, as groups."""
+    return {"number": note["key"] or slip["key"], "value": 0.0, "docs": [note["arquivo_origem"]]}, {"number": slip["key"], "value": slip["valor"], "docs": [slip["arquivo_origem"]]}
+
+
 def pair_batch(docs: list[dict], strict: bool = True) -> list[dict]:
-    """Pairs of one batch; key is a document's normalised number. strict keeps the own pairs of notes that an aggregate covers."""
+    """Pairs of one batch; key is a document's normalised number. strict keeps the own pairs of notes that an aggregate covers.
+
+    Where documents are left over and there is one note without an amount and one slip in no pair, these two are paired and
+    only pairs of two amounts stay beside them."""
     rows = [d | {"valor": float(d["valor"] or 0)} for d in docs]
     notes = [r for r in rows if r["doc_type"] in ("NFSE", "DANFE", "OUTRO") and not r.get("auxiliar")]
     slips = [r for r in rows if r["doc_type"] == "BOLETO" and r["valor"] > 0]
@@ -63,8 +73,7 @@ def pair_batch(docs: list[dict], strict: bool = True) -> list[dict]:
     if not notes and not slips:
         return [made("", None, None)]
     if len(notes) == 1 and len(slips) == 1 and notes[0]["valor"] == 0:
-        note = {"number": notes[0]["key"] or slips[0]["key"], "value": 0.0, "docs": [notes[0]["arquivo_origem"]]}
-        return [made("", note, {"number": slips[0]["key"], "value": slips[0]["valor"], "docs": [slips[0]["arquivo_origem"]]}, "PAREADO_FORCADO")]
+        return [made("", *_forced(notes[0], slips[0]), "PAREADO_FORCADO")]
     by_note, by_slip = _groups([n for n in notes if n["valor"] > 0], False), _groups(slips, True)
     used: set[int] = set()
     out, alone = [], []
@@ -84,17 +93,40 @@ def pair_batch(docs: list[dict], strict: bool = True) -> list[dict]:
         pairs.append(made("_agregado", whole, by_slip[left[0]]))
         left = []
     pairs += [made(f"_bol{i + 1}", None, by_slip[j]) for i, j in enumerate(left)]
+    zero, placed = [n for n in notes if n["valor"] == 0], {d for p in pairs for d in p["slip_docs"]}
+    orphans = [s for s in slips if s["arquivo_origem"] not in placed]
+    if len(zero) == 1 and len(orphans) == 1:
+        pairs = [p for p in pairs if p["note_value"] > 0 and p["slip_value"] > 0] + [made("", *_forced(zero[0], orphans[0]), "PAREADO_FORCADO")]
     return pairs or [made("", None, None)]
 
 
+def with_fields(pair: dict, by_file: dict[str, dict], fields: list[str]) -> dict:
+    """The pair with each field's first value over its notes, then its slips."""
+    docs = [by_file[d] for d in (*pair["note_docs"], *pair["slip_docs"])]
+    return pair | {f: next((d[f] for d in docs if d[f] not in (None, "")), None) for f in fields}
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with key: a note's number, else the one in its file's name; a slip's the other way round, then the note that it names."""
+    given, file = F.nullif("numero", F.lit("")), ids.number_of_file(F.col("arquivo_origem"))
+    named = F.nullif("referencia_nfse", F.lit("")) if "referencia_nfse" in docs.columns else F.lit(None).cast("string")
+    number = F.when(F.col("doc_type") == "BOLETO", F.coalesce(file, given, named)).otherwise(F.coalesce(given, file))
+    return docs.withColumn("key", F.coalesce(ids.invoice_number(number), F.lit("")))
+
+
 def pair_documents(docs: DataFrame, strict: bool = True) -> DataFrame:
-    """Pairs of every batch of docs (batch_id, doc_seq, doc_type, arquivo_origem, numero, valor, linha_digitavel)."""
+    """Pairs of every batch of docs (batch_id, doc_seq, doc_type, arquivo_origem, numero, valor, linha_digitavel), with those of
+    FIELDS that docs has; suppliers' names are cleaned."""
+    fields = [f for f in FIELDS if f in docs.columns]
+    kinds = dict(docs.dtypes)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf.sort_values("doc_seq").astype(object).where(lambda x: x.notna(), None)
-        pairs = pair_batch(own.to_dict("records"), strict)
+        own = pdf.sort_values("doc_seq").astype(object).where(lambda x: x.notna(), None).to_dict("records")
+        by_file = {d["arquivo_origem"]: d for d in reversed(own)}
+        pairs = [with_fields(p, by_file, fields) for p in pair_batch(own, strict)]
         batch = pdf.batch_id.iloc[0]
-        return pd.DataFrame([p | {"batch_id": batch, "pair_id": f"{batch}{p['pair_id']}"} for p in pairs])[["batch_id", "pair_id", "note_number", "note_value", "slip_value", "difference", "pair_status", "note_docs", "slip_docs"]]
+        names = [x.split()[0] for x in PAIRS.split(", ")] + fields
+        return pd.DataFrame([p | {"batch_id": batch, "pair_id": f"{batch}{p['pair_id']}"} for p in pairs], columns=names)
 
-    keyed = docs.withColumn("key", F.coalesce(ids.invoice_number(F.col("numero")), F.lit("")))
-    return keyed.groupBy("batch_id").applyInPandas(run, PAIRS)
+    out = numbered(docs).groupBy("batch_id").applyInPandas(run, ", ".join([PAIRS, *(f"{f} {kinds[f]}" for f in fields)]))
+    return out.withColumn("fornecedor_nome", F.nullif(names.entity_name(F.col("fornecedor_nome")), F.lit(""))) if "fornecedor_nome" in fields else out

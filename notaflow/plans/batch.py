@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import ids
-from ..operators import batches, export, pairing, quality
+from ..operators import batches, export, health, pairing, quality
 from ..sources.tables import table
 
 NOTE = "CAST(round(sum(CAST(l_extendedprice * (1 - l_discount) * (1 + l_tax) AS DECIMAL(18, 4))), 2) AS DOUBLE)"
@@ -157,6 +157,64 @@ def pair_exact(spark, d):
     return pairing.pair_documents(notes.unionByName(slips))
 
 
+def pair_fields(spark, d):
+    """Pairs of documents that lack a number or a field: numbers from file names, and each pair's first field that is there."""
+    b = order_batches(spark, d).where("note > 0 AND slip > 0")
+    k = F.col("o_orderkey")
+    file = lambda mark: F.concat(F.lit(mark), k.cast("string"), F.lit(".pdf"))
+    base = lambda kind, seq, name, value: [k.cast("string").alias("batch_id"), F.lit(seq).alias("doc_seq"), F.lit(kind).alias("doc_type"), name.alias("arquivo_origem"), value.alias("valor"), F.lit(None).cast("string").alias("linha_digitavel")]
+    notes = b.select(*base("NFSE", 1, file("NF "), F.col("note")), F.when(k % 3 == 0, F.lit("")).alias("numero"), F.when(k % 2 == 0, F.lit("ALFA LTDA | CNPJ - CNPJ")).alias("fornecedor_nome"), F.lit(None).cast("string").alias("cnpj"), F.when(k % 5 == 0, F.lit("2001-01-02")).cast("date").alias("vencimento"), F.lit(None).cast("string").alias("referencia_nfse"))
+    more = notes.withColumns({"doc_seq": F.lit(2), "arquivo_origem": F.concat(F.lit("nfse_"), "batch_id", F.lit(".xml")), "fornecedor_nome": F.lit("BETA SA"), "cnpj": F.lit("C2"), "vencimento": F.lit("2001-03-04").cast("date")})
+    slips = b.select(*base("BOLETO", 3, F.when(k % 4 == 0, F.lit("bol.pdf")).otherwise(file("BOLETO NF ")), F.col("slip")), F.when(k % 4 == 0, F.lit(None)).otherwise(F.lit("999")).alias("numero"), F.lit("GAMA").alias("fornecedor_nome"), F.lit("C3").alias("cnpj"), F.lit("2001-05-06").cast("date").alias("vencimento"), k.cast("string").alias("referencia_nfse"))
+    return pairing.pair_documents(notes.unionByName(more.where("CAST(batch_id AS BIGINT) % 7 = 0")).unionByName(slips)).select("batch_id", "pair_id", "note_number", "pair_status", F.size("note_docs").alias("n_notes"), F.size("slip_docs").alias("n_slips"), "fornecedor_nome", "cnpj", "vencimento")
+
+
+def pair_kinds(spark, d):
+    """Documents of each kind in the pairs of a batch."""
+    b = order_batches(spark, d)
+    docs = b.select(F.col("o_custkey").cast("string").alias("batch_id"), F.element_at(F.array(*map(F.lit, ("NFSE", "DANFE", "OUTRO"))), (F.col("o_orderkey") % 3 + 1).cast("int")).alias("doc_type"), F.concat(F.lit("nf_"), "o_orderkey").alias("arquivo_origem"))
+    slips = b.where("slip > 0").select(F.col("o_custkey").cast("string").alias("batch_id"), F.lit("BOLETO").alias("doc_type"), F.concat(F.lit("bol_"), "o_orderkey").alias("arquivo_origem"))
+    pairs = b.select(F.col("o_custkey").cast("string").alias("batch_id"), F.concat("o_custkey", F.lit("_"), "o_orderkey").alias("pair_id"), F.array(F.concat(F.lit("nf_"), "o_orderkey")).alias("note_docs"), F.when(F.col("slip") > 0, F.array(F.concat(F.lit("bol_"), "o_orderkey"))).otherwise(F.array().cast("array<string>")).alias("slip_docs"))
+    return health.pair_counts(pairs, docs.unionByName(slips))
+
+
+# The fold over documents in order, as recursion over each batch's documents: the state is the list of groups so far.
+_FOLD = """
+{f}0 AS (SELECT batch, row_number() OVER (PARTITION BY batch ORDER BY seq) AS t, num, val, file FROM {src}),
+{f}1 AS (SELECT batch, CAST(0 AS BIGINT) AS t, CAST([] AS STRUCT(num VARCHAR, val DOUBLE, docs VARCHAR[])[]) AS g FROM every
+  UNION ALL SELECT s.batch, n.t, CASE WHEN s.p IS NULL OR s.p = 0 THEN list_append(s.g, {{'num': n.num, 'val': n.val, 'docs': [n.file]}})
+    ELSE list_concat(s.g[1:s.p - 1], [{{'num': CASE WHEN length(n.num) < length(s.g[s.p].num) THEN n.num ELSE s.g[s.p].num END, 'val': s.g[s.p].val{add}, 'docs': list_append(s.g[s.p].docs, n.file)}}], s.g[s.p + 1:]) END
+  FROM (SELECT a.batch, a.t, a.g, list_position(list_transform(a.g, lambda x: (x.num = m.num OR ends_with(x.num, m.num) OR ends_with(m.num, x.num)){near}), true) AS p FROM {f}1 a JOIN {f}0 m ON m.batch = a.batch AND m.t = a.t + 1) s
+  JOIN {f}0 n ON n.batch = s.batch AND n.t = s.t + 1),
+{f} AS (SELECT batch, arg_max(g, t) AS g FROM {f}1 GROUP BY batch)"""
+PAIR_SQL = f"""WITH RECURSIVE {NOTES_SQL},
+docs AS (SELECT CAST(o_custkey AS VARCHAR) AS batch, o_orderkey AS seq, CAST(o_orderkey AS VARCHAR) AS num, note, slip, 'nf_' || o_orderkey || '.pdf' AS nf, 'bol_' || o_orderkey || '.pdf' AS bol FROM b),
+every AS (SELECT batch, count(*) AS notes, count_if(slip > 0) AS slips, max(note) AS top, arg_min(num, seq) AS num, arg_min(nf, seq) AS nf, max(CASE WHEN slip > 0 THEN slip END) AS slip, max(CASE WHEN slip > 0 THEN bol END) AS bol FROM docs GROUP BY batch),
+src_n AS (SELECT batch, seq, num, note AS val, nf AS file FROM docs WHERE note > 0), src_s AS (SELECT batch, seq, num, slip AS val, bol AS file FROM docs WHERE slip > 0),
+{_FOLD.format(f="ns", src="src_n", add="", near=" OR abs(x.val - m.val) <= 0.01")},
+{_FOLD.format(f="ss", src="src_s", add=" + n.val", near="")},
+st AS (SELECT ns.batch, ns.g AS n, ss.g AS s FROM ns JOIN ss USING (batch)),
+mt AS (SELECT batch, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS used, CAST([] AS BIGINT[]) AS hit FROM st
+  UNION ALL SELECT x.batch, x.i + 1, CASE WHEN x.j IS NULL THEN x.used ELSE list_append(x.used, x.j) END, list_append(x.hit, coalesce(x.j, 0)) FROM (
+    SELECT m.batch, m.i, m.used, m.hit, list_extract(list_filter(range(1, len(st.s) + 1), lambda j: NOT list_contains(m.used, j) AND (st.s[j].num = st.n[m.i + 1].num OR ends_with(st.s[j].num, st.n[m.i + 1].num) OR ends_with(st.n[m.i + 1].num, st.s[j].num) OR abs(st.n[m.i + 1].val - st.s[j].val) <= 0.01)), 1) AS j
+    FROM mt m JOIN st USING (batch) WHERE m.i < len(st.n)) x),
+fin AS (SELECT batch, arg_max(used, i) AS used, arg_max(hit, i) AS hit FROM mt GROUP BY batch),
+f AS (SELECT st.batch, n, s, used, hit, list_filter(range(1, len(n) + 1), lambda i: hit[i] = 0) AS alone, list_filter(range(1, len(s) + 1), lambda j: NOT list_contains(used, j)) AS free, e.notes = 1 AND e.slips = 1 AND e.top = 0 AS forced FROM st JOIN fin USING (batch) JOIN every e USING (batch)),
+a AS (SELECT *, CASE WHEN len(alone) > 1 THEN list_reduce(list_transform(alone, lambda i: n[i].val), lambda x, y: x + y) END AS total FROM f),
+c AS (SELECT *, coalesce(len(free) = 1 AND abs(total - s[free[1]].val) <= 0.01, false) AS whole FROM a WHERE NOT forced),
+p AS (SELECT batch, batch || CASE WHEN len(n) > 1 THEN '_' || n[i].num ELSE '' END AS pair_id, n[i].num AS note_number, n[i].val AS nv, CASE WHEN hit[i] > 0 THEN s[hit[i]].val ELSE 0 END AS sv, n[i].docs AS note_docs, CASE WHEN hit[i] > 0 THEN s[hit[i]].docs ELSE [] END AS slip_docs, NULL AS status FROM (SELECT *, unnest(range(1, len(n) + 1)) AS i FROM c)
+  UNION ALL SELECT batch, batch || '_agregado', NULL, total, s[free[1]].val, flatten(list_transform(alone, lambda i: n[i].docs)), s[free[1]].docs, NULL FROM c WHERE whole
+  UNION ALL SELECT batch, batch || '_bol' || k, s[free[k]].num, 0, s[free[k]].val, [], s[free[k]].docs, NULL FROM (SELECT *, unnest(range(1, len(free) + 1)) AS k FROM c WHERE NOT whole)
+  UNION ALL SELECT batch, batch, NULL, 0, 0, [], [], NULL FROM c WHERE len(n) = 0 AND len(s) = 0
+  UNION ALL SELECT e.batch, e.batch, e.num, 0, e.slip, [e.nf], [e.bol], 'PAREADO_FORCADO' FROM every e JOIN a USING (batch) WHERE a.forced)
+SELECT batch AS batch_id, pair_id, note_number, nv AS note_value, sv AS slip_value, round(nv - sv, 2) AS difference, coalesce(status, CASE WHEN nv > 0 AND sv > 0 THEN CASE WHEN abs(round(nv - sv, 2)) <= 0.01 THEN 'CONCILIADO' ELSE 'DIVERGENTE' END ELSE 'CONFERIR' END) AS pair_status, note_docs, slip_docs FROM p"""
+PAIR_FIELDS_SQL = f"""WITH {NOTES_SQL}, x AS (SELECT *, o_orderkey AS k, o_orderkey % 7 = 0 AS two FROM b WHERE note > 0 AND slip > 0)
+SELECT CAST(k AS VARCHAR) AS batch_id, CAST(k AS VARCHAR) AS pair_id, CAST(k AS VARCHAR) AS note_number, CASE WHEN abs(round(note - slip, 2)) <= 0.01 THEN 'CONCILIADO' ELSE 'DIVERGENTE' END AS pair_status, CASE WHEN two THEN 2 ELSE 1 END AS n_notes, 1 AS n_slips,
+  CASE WHEN k % 2 = 0 THEN 'ALFA LTDA' WHEN two THEN 'BETA SA' ELSE 'GAMA' END AS fornecedor_nome, CASE WHEN two THEN 'C2' ELSE 'C3' END AS cnpj, CASE WHEN k % 5 = 0 THEN DATE '2001-01-02' WHEN two THEN DATE '2001-03-04' ELSE DATE '2001-05-06' END AS vencimento FROM x"""
+PAIR_KINDS_SQL = f"""WITH {NOTES_SQL}, x AS (SELECT *, count(*) OVER (PARTITION BY o_custkey) AS n, ['NFSE', 'DANFE', 'OUTRO'][o_orderkey % 3 + 1] AS kind FROM b)
+SELECT CAST(o_custkey AS VARCHAR) AS batch_id, o_custkey || '_' || o_orderkey AS pair_id, CAST(kind = 'DANFE' AS BIGINT) AS danfes, CAST(kind = 'NFSE' AS BIGINT) AS nfses, CAST(kind = 'OUTRO' AS BIGINT) AS outros, CAST(coalesce(slip, 0) > 0 AS BIGINT) AS boletos, CASE WHEN slip > 0 THEN 2 ELSE 1 END AS total_documents FROM x"""
+
+
 def paf_projection(spark, d):
     o = table(spark, d, "orders")
     day = F.col("o_orderdate").cast("date")
@@ -204,7 +262,7 @@ def mail_enrichment(spark, d):
     return batches.with_subjects(batches.enriched(docs, mails), subjects)
 
 
-QUERIES = {f.__name__: f for f in (quality_by_type, quality_by_supplier, severity, top_severe, executive_summary, reconcile_status, first_by_priority, batch_totals, inherit_first, duplicates, duplicate_lines, complement_left, enrich_metadata, pair_core, pair_exact, paf_projection, tab_split, merge_partial, timeout_retry, repeated_slip_line, mail_enrichment)}
+QUERIES = {f.__name__: f for f in (quality_by_type, quality_by_supplier, severity, top_severe, executive_summary, reconcile_status, first_by_priority, batch_totals, inherit_first, duplicates, duplicate_lines, complement_left, enrich_metadata, pair_core, pair_exact, pair_fields, pair_kinds, paf_projection, tab_split, merge_partial, timeout_retry, repeated_slip_line, mail_enrichment)}
 SQL = {
     "quality_by_type": PROBLEM_SQL + " SELECT p.kind AS kind, CAST(max(p.severity) AS DOUBLE) AS max_severity, count(*) AS n, CAST(sum(CAST(note AS DECIMAL(18, 2))) AS DOUBLE) AS total FROM p GROUP BY p.kind ORDER BY 2 DESC, 3 DESC, 1",
     "quality_by_supplier": PROBLEM_SQL + " SELECT o_custkey, count(*) AS n, CAST(sum(CAST(note AS DECIMAL(18, 2))) AS DOUBLE) AS total, array_to_string(list_sort(list_distinct(list(p.kind))), ',') AS kinds FROM p WHERE p.kind <> 'CONFERIDO' GROUP BY o_custkey ORDER BY total DESC, o_custkey LIMIT 10",
@@ -216,6 +274,7 @@ SQL = {
     "duplicates": "SELECT md5(text) AS text_md5, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1",
     "duplicate_lines": "SELECT l_suppkey, CAST(round(l_extendedprice, 0) AS BIGINT) AS price, count(*) AS n, min(l_orderkey) AS first_id FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1",
     "complement_left": COMPLEMENT_SQL, "enrich_metadata": ENRICH_SQL,
+    "pair_exact": PAIR_SQL, "pair_fields": PAIR_FIELDS_SQL, "pair_kinds": PAIR_KINDS_SQL,
     "pair_core": f"WITH {NOTES_SQL} SELECT o_custkey, o_orderkey, CASE WHEN slip > 0 THEN CAST(o_orderkey AS VARCHAR) END AS slip_number, CASE WHEN note > 0 AND slip > 0 THEN CASE WHEN abs(round(note - slip, 2)) <= 0.01 THEN 'CONCILIADO' ELSE 'DIVERGENTE' END ELSE 'CONFERIR' END AS pair_status, round(note - CASE WHEN slip > 0 THEN slip ELSE 0 END, 2) AS difference FROM b",
     "paf_projection": PAF_SQL,
     "tab_split": "SELECT CASE WHEN o_orderstatus <> 'P' THEN 'anexos' ELSE 'sem_anexos' END AS tab, o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN round(o_totalprice, 2) END AS VALOR FROM orders",

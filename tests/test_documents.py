@@ -140,3 +140,16 @@ def test_entity_names_by_kind_of_tail(spark):
 def test_accents_of_other_alphabets(spark):
     texts = ["Nguyễn Thị Hồng Đào", "Łódź Żółć Gęś", "Şişli Ğ İ", "Ação", "éâ", None]
     assert values(spark, texts, text.strip_accents) == ["Nguyen Thi Hong Đao", "Łodz Zołc Ges", "Sisli G I", "Acao", "ea", None]
+
+
+def test_pairs_take_numbers_from_files_and_force_orphans(spark):
+    from notaflow.operators import pairing
+
+    rows = [("a", 1, "NFSE", "NF 2025.77.pdf", None, 10.0, "N", None, "77"), ("a", 2, "BOLETO", "BOLETO NF 77.pdf", "5", 12.0, "S", "c", "9"), ("a", 3, "BOLETO", "x.pdf", None, 3.0, None, None, "0088"), ("a", 4, "NFSE", "y.pdf", "88", 4.0, None, "d", None)]
+    df = spark.createDataFrame(rows, "batch_id string, doc_seq int, doc_type string, arquivo_origem string, numero string, valor double, fornecedor_nome string, cnpj string, referencia_nfse string").withColumn("linha_digitavel", F.lit(None).cast("string"))
+    got = {(r.note_number, r.note_value, r.slip_value, r.fornecedor_nome, r.cnpj) for r in pairing.pair_documents(df.withColumn("fornecedor_nome", F.concat("fornecedor_nome", F.lit("OME LTDA")))).collect()}
+    assert got == {("77", 10.0, 12.0, "NOME LTDA", "c"), ("88", 4.0, 3.0, None, "d")}
+    doc = lambda kind, file, value: {"doc_type": kind, "key": "", "valor": value, "arquivo_origem": file, "linha_digitavel": None}
+    # Every slip has a pair of its own, so a note without an amount beside others is never forced on one.
+    assert [p["pair_status"] for p in pairing.pair_batch([doc("NFSE", "z", 0.0), doc("NFSE", "n", 5.0), doc("BOLETO", "b", 9.0)])] == ["CONFERIR", "CONFERIR"]
+    assert [p["pair_status"] for p in pairing.pair_batch([doc("NFSE", "z", 0.0), doc("BOLETO", "b", 9.0)])] == ["PAREADO_FORCADO"]
