@@ -547,3 +547,16 @@ NAME_WORDS = (
     "ASSESSORIA", "AUDITORIA", "ASSOCIADOS", "ASSOCIADO", "ADVOGADOS", "ADVOGADO", "CONCEITOS", "CONCEITO", "SOFTWARE", "SERVIÇOS", "SERVIÇO", "SOLUÇÕES", "SOLUÇÃO", "SISTEMAS", "SISTEMA", "PROJETOS", "PROJETO", "INTERNET",
     "PARTNERS", "SUPORTE", "DIGITAL", "CONEXÃO", "SERVICE", "GESTÃO", "BRASIL", "FOCUS", "APOIO", "IDEAL", "BENS",
 )
+
+# Links in mail that name no company, and domains of mail providers.
+MAIL_LINKS = (r"https?://(?:click|track|cdn)\.\S+", r"https?://\S*\.cdn\.\S+", r"https?://\S+/(?:track|click)/\S+", r'(?:href|src)="[^"]*"')
+MAIL_PROVIDERS = ("gmail.com", "outlook.com", "hotmail.com", "yahoo.com", "yahoo.com.br")
+# Words of companies' names that name none in a mail.
+MAIL_STOPWORDS = (
+    "SERVICO", "SERVICOS", "SERVICE", "CONSULTORIA", "GESTAO", "INTEGRADA", "COMERCIO", "INDUSTRIA", "TECNOLOGIA", "SOLUCOES", "SISTEMA", "SISTEMAS", "EMPRESA", "EMPRESAS", "ADMINISTRACAO", "ADMINISTRADORA", "PARTICIPACOES", "SOCIETARIAS",
+    "GRUPO", "HOLDING", "COMPANHIA", "CIA", "LTDA", "SA", "S/A", "EIRELI", "EPP", "ME", "PROVEDOR", "ACESSO", "INTERNET", "TELECOM", "TELECOMUNICACOES", "COMUNICACAO", "MATRIZ", "FILIAL", "BRASIL", "BRASILEIRA", "REDE",
+    "CLICK", "TRACK", "VIEW", "OPEN", "LINK", "HTTP", "HTTPS", "WWW", "STYLE", "WIDTH", "HEIGHT", "FONT", "ALIGN", "CENTER", "LEFT", "RIGHT", "VISTA", "ALEGRE", "PAULO", "SAO",
+)
+# Labels before the company a mail is for, and before words that are none.
+MAIL_FOR = (r"(?:PARA|TO):[^<]*", r"(?:TOMADOR|DESTINAT[ÁA]RIO|CLIENTE)[:\s].*")
+MAIL_SECRET = r"(?:FRASE\s+DE\s+SEGURAN[ÇC]A|SENHA|PASSWORD|SECURITY\s+PHRASE)[^:]*:.*"

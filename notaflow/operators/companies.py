@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids
-from ..functions.fixed import COMMON_NAME_WORDS
+from ..functions.fixed import COMMON_NAME_WORDS, MAIL_FOR, MAIL_LINKS, MAIL_PROVIDERS, MAIL_SECRET, MAIL_STOPWORDS
+from ..functions.text import let
 
 #: A tax number, dotted with or without blanks, or 14 digits; no digit beside it.
 ANY_CNPJ = r"(?<!\d)(?:\d{2}\s*\.\s*\d{3}\s*\.\s*\d{3}\s*/\s*\d{4}\s*-\s*\d{2}|\d{14})(?!\d)"
@@ -23,14 +24,16 @@ def occurrences(text: Column, pattern: str) -> Column:
     """array<struct<raw, start, end>> of all matches; start counts from 0, end is exclusive."""
     found, rest = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)), F.split(text, pattern)
 
-    def lengths(words: Column, n: Column) -> Column:
-        return F.aggregate(F.slice(words, F.lit(1), n), F.lit(0), lambda a, w: a + F.length(w))
+    def step(state: Column, pair: Column) -> Column:
+        """pair: the text before a hit, and the hit."""
+        start = state["at"] + F.length(pair["0"])
+        end = start + F.length(pair["1"])
+        hit = F.struct(pair["1"].alias("raw"), start.alias("start"), end.alias("end"))
+        return F.struct(end.alias("at"), F.array_append(state["hits"], hit).alias("hits"))
 
-    def place(raw: Column, i: Column) -> Column:
-        start = lengths(rest, i + 1) + lengths(found, i)
-        return F.struct(raw.alias("raw"), start.alias("start"), (start + F.length(raw)).alias("end"))
-
-    return F.transform(found, place)
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<raw:string,start:int,end:int>>").alias("hits"))
+    pairs = F.filter(F.arrays_zip(rest.alias("0"), found.alias("1")), lambda p: p["1"].isNotNull())
+    return F.aggregate(pairs, begin, step, lambda s: s["hits"])
 
 
 def cnpjs_with_offsets(text: Column) -> Column:
@@ -49,10 +52,12 @@ def with_codes(companies: DataFrame) -> DataFrame:
 
 def by_number(docs: DataFrame, companies: DataFrame, key: str, text: str) -> DataFrame:
     """Per document, the company whose number stands in the best surroundings, the earliest of equals."""
-    up = F.upper(F.col(text))
-    o = docs.select(key, up.alias("_up"), F.explode(cnpjs_with_offsets(F.col(text))).alias("o"))
-    begin = F.greatest(F.col("o.start") - NEAR, F.lit(0))
-    o = o.select(key, ids.digits(F.col("o.raw")).alias("cnpj"), F.col("o.start").alias("start"), F.substring("_up", begin + 1, F.col("o.end") + NEAR - begin).alias("near"))
+    def around(o: Column) -> Column:
+        begin = F.greatest(o["start"] - NEAR, F.lit(0))
+        return F.struct(ids.digits(o["raw"]).alias("cnpj"), o["start"].alias("start"), F.upper(F.substring(F.col(text), begin + 1, o["end"] + NEAR - begin)).alias("near"))
+
+    # Only the surroundings go through the explode, not the text.
+    o = docs.select(key, F.inline(F.transform(cnpjs_with_offsets(F.col(text)), around)))
     score = F.lit(10)
     for pattern, more in ((r"(?U)\b(DADOS\s+DO\s+PAGADOR|PAGADOR|SACADO)\b", 6), (r"(?U)\b(TOMADOR|DESTINAT[ÁA]RIO|CLIENTE|CONTRATANTE)\b", 4), (r"(?U)\bCNPJ\b", 1)):
         score = score + F.col("near").rlike(pattern).cast("int") * more
@@ -89,6 +94,61 @@ def company_of(docs: DataFrame, companies: DataFrame, key: str, text: str) -> Da
     return at.withColumn("m", F.coalesce("_0", "_1", "_2")).select(key, "m.code", "m.cnpj", "m.method", "m.score")
 
 
+# ---- the company that a mail is for
+
+def mail_words(text: Column, domains: Sequence[str] = ()) -> Column:
+    """array<struct<token, at, safe, secret>>: the words of a mail without links, providers' domains, styles and scripts, in upper case, and
+    the tax numbers in it (digits). safe: after a label of the receiver on its line; secret: after one of a password."""
+    clean = text
+    for p in (*MAIL_LINKS, *[r"[\w.%+-]*@" + d.replace(".", r"\.") + r"|https?://\S*" + d.replace(".", r"\.") + r"\S*|\b" + d.replace(".", r"\.") + r"\b" for d in (*domains, *MAIL_PROVIDERS)], r"(?s)<style[^>]*>.*?</style>|<script[^>]*>.*?</script>"):
+        clean = F.regexp_replace(clean, f"(?i){p}", " ")
+
+    def words(part: Column) -> Column:
+        return F.array_distinct(F.filter(F.split(part, r"(?U)[^\w/]+"), lambda w: ~w.rlike(r"^\d{14}$|^$")))
+
+    def line(row: Column) -> Column:
+        safe = F.concat(*[words(F.regexp_extract(row, f"(?U){p}", 0)) for p in MAIL_FOR])
+        secret = words(F.regexp_extract(row, f"(?U){MAIL_SECRET}", 0))
+        return let(F.struct(safe.alias("safe"), secret.alias("secret")), lambda of: F.transform(words(row), lambda w: F.struct(w.alias("token"), F.lit(0).alias("at"), F.array_contains(of["safe"], w).alias("safe"), F.array_contains(of["secret"], w).alias("secret"))))
+
+    def tokens(t: Column) -> Column:
+        numbers = F.transform(cnpjs_with_offsets(t), lambda o: F.struct(ids.digits(o["raw"]).alias("token"), o["start"].alias("at"), F.lit(False).alias("safe"), F.lit(False).alias("secret")))
+        return F.concat(numbers, F.flatten(F.transform(F.split(F.upper(t), "\n"), line)))
+
+    return let(clean, tokens)
+
+
+def mail_index(companies: DataFrame) -> DataFrame:
+    """token, how, code, pos: by what a company is found: its number, its code, the first two telling words of its name."""
+    c = with_codes(companies)
+    telling = F.slice(F.filter(F.regexp_extract_all(F.upper("name"), F.lit(r"\b([A-Z]{4,})\b"), F.lit(1)), lambda w: ~w.isin(*MAIL_STOPWORDS)), 1, 2)
+    numbers = c.select(F.col("cnpj").alias("token"), F.lit("cnpj").alias("how"), "code", "pos")
+    codes = c.where((F.length("code") >= 3) & ~F.col("code").isin(*MAIL_STOPWORDS)).select(F.upper("code").alias("token"), F.lit("nome_exato").alias("how"), "code", "pos")
+    names = c.select(F.explode(F.array_distinct(telling)).alias("token"), F.lit("nome_parcial").alias("how"), "code", "pos")
+    return numbers.unionByName(codes).unionByName(names)
+
+
+def company_in_mail(mails: DataFrame, companies: DataFrame, key: str, text: str, domains: Sequence[str] = ()) -> DataFrame:
+    """key, code, method of every mail: by the first own number in it; else by a code after a receiver's label (the dimension's first); else by
+    the only code that stands in no password's line; else by the only company one of whose telling words occurs; else nulls.
+
+    One explode of tokens and one join with the dimension's index; what doesn't name a company is gone after it."""
+    words = mails.select(key, F.inline(mail_words(F.coalesce(F.col(text), F.lit("")), domains)))
+    hit = words.join(mail_index(companies), "token").groupBy(key, "how", "code").agg(F.min("pos").alias("pos"), F.min("at").alias("at"), F.bool_or("safe").alias("safe"), F.bool_or("secret").alias("secret"))
+    number, exact, part = (F.col("how") == h for h in ("cnpj", "nome_exato", "nome_parcial"))
+    plain = exact & ~F.col("safe") & ~F.col("secret")
+    def only(which: Column, value: str) -> Column:
+        return F.when(which, F.col(value))
+
+    best = hit.groupBy(key).agg(
+        F.min_by(only(number, "code"), only(number, "at")).alias("_n"), F.min_by(only(exact & F.col("safe"), "code"), only(exact & F.col("safe"), "pos")).alias("_s"),
+        F.count_if(plain).alias("_plain"), F.min(only(plain, "code")).alias("_e"), F.count_if(part).alias("_parts"), F.min(only(part, "code")).alias("_p"))
+    named, partial = F.when(F.col("_plain") == 1, F.col("_e")), F.when(F.col("_parts") == 1, F.col("_p"))
+    code, sure = F.coalesce("_n", "_s", named, partial), F.coalesce(F.col("_s"), named)
+    method = F.when(F.col("_n").isNotNull(), "cnpj").when(sure.isNotNull(), "nome_exato").when(partial.isNotNull(), "nome_parcial")
+    return mails.select(key).join(best, key, "left").select(key, code.alias("code"), method.alias("method"))
+
+
 def own_name(name: Column, codes: Sequence[str]) -> Column:
     """Whether a name has an own company's code as a word: 2 to 6 letters or digits, no common word. The codes are those
     of the dimension, a list of own companies."""

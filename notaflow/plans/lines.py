@@ -92,6 +92,36 @@ def company_match(spark, d):
     return companies.company_of(o.select("o_orderkey", text.alias("text")), _own(spark, d), "o_orderkey", "text")
 
 
+#: Mails: the text, where {a} and {b} are codes, {n} a number of a's; what it says: the first or second company or none, and how.
+MAILS = (
+    ("segue nota\nCNPJ {n} e E{b}A", "a", "cnpj"), ("Para: E{a}A Gestao <x@y.br>\nE{b}A", "a", "nome_exato"), ("TOMADOR: casa E{a}A\nsenha: E{b}A", "a", "nome_exato"), ("ola E{a}A tudo bem", "a", "nome_exato"),
+    ("ola E{a}A e E{b}A", None, None), ("senha do portal: E{a}A", None, None), ("Frase de segurança: E{a}A\nE{b}A", "b", "nome_exato"), ("http://click.x.com/E{a}A href=\"E{b}A\"", None, None), ("para CENTRAL{x}", "x", "nome_parcial"),
+    ("GESTAO LTDA", None, None), ("<style>E{a}A</style> E{b}A@gmail.com", None, None), ("cliente E{b}A, E{a}A", "first", "nome_exato"), ("E{a}AB E{b}", None, None), ("", None, None), ("numero 1{n}", None, None),
+)
+
+
+def _mail_texts(spark, d):
+    k = F.col("o_orderkey")
+    a, b = (k % 9 + 1), ((k % 9 + k % 7 + 1) % 9 + 1)
+    fill = {"{a}": a.cast("string"), "{b}": b.cast("string"), "{n}": F.lpad((a * 11).cast("string"), 14, "0"), "{x}": F.element_at(F.array(*map(F.lit, "ABCDEFGHI")), a.cast("int"))}
+    text = F.element_at(F.array(*[F.lit(m[0]) for m in MAILS]), (k % len(MAILS) + 1).cast("int"))
+    for mark, value in fill.items():
+        text = F.replace(text, F.lit(mark), value)
+    return table(spark, d, "orders").select("o_orderkey", text.alias("text"))
+
+
+def company_in_mail(spark, d):
+    own = table(spark, d, "supplier").where("s_suppkey <= 9")
+    letter = F.element_at(F.array(*map(F.lit, "ABCDEFGHI")), F.greatest(F.col("s_suppkey"), F.lit(1)).cast("int"))
+    own = own.where("s_suppkey >= 1").select(F.lpad((F.col("s_suppkey") * 11).cast("string"), 14, "0").alias("cnpj"), F.concat(F.lit("E"), "s_suppkey", F.lit("A CENTRAL"), letter, F.lit(" GESTAO LTDA")).alias("name"), F.col("s_suppkey").alias("pos"))
+    return companies.company_in_mail(_mail_texts(spark, d), own, "o_orderkey", "text")
+
+
+MAILS_SQL = f"""WITH m(i, who, how) AS (VALUES {', '.join(f"({i}, {'NULL' if w is None else chr(39) + w + chr(39)}, {'NULL' if h is None else chr(39) + h + chr(39)})" for i, (_, w, h) in enumerate(MAILS))}),
+o AS (SELECT o_orderkey, o_orderkey % 9 + 1 AS a, (o_orderkey % 9 + o_orderkey % 7 + 1) % 9 + 1 AS b FROM orders)
+SELECT o_orderkey, CASE who WHEN 'a' THEN 'E' || a || 'A' WHEN 'x' THEN 'E' || a || 'A' WHEN 'b' THEN 'E' || b || 'A' WHEN 'first' THEN 'E' || least(a, b) || 'A' END AS code, how AS method FROM o JOIN m ON i = o_orderkey % {len(MAILS)}"""
+
+
 def company_names(spark, d):
     s = table(spark, d, "supplier")
     k = F.col("s_suppkey")
@@ -149,7 +179,7 @@ def water_mails(spark, d):
     return o.select("o_orderkey", "water", "b.valor", "b.vencimento", "b.numero_documento", "b.linha_digitavel", "b.observacoes")
 
 
-QUERIES = {f.__name__: f for f in (line_kinds, supplier_names, bank_fields, names_before_cnpj, notice_texts, cnpj_offsets, company_match, company_names, company_swap, supplier_guesses, batch_kinds, weighted_amounts, water_mails)}
+QUERIES = {f.__name__: f for f in (line_kinds, supplier_names, bank_fields, names_before_cnpj, notice_texts, cnpj_offsets, company_match, company_in_mail, company_names, company_swap, supplier_guesses, batch_kinds, weighted_amounts, water_mails)}
 
 
 def _one_of(value, patterns):
@@ -189,6 +219,7 @@ SQL = {
     "notice_texts": """WITH x AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 <> 0 THEN CASE WHEN o_orderkey % 3 = 0 THEN 'https://click.omie.com.br/' ELSE 'https://nfe.example/' END || repeat('x', CAST(o_orderkey % 120 AS INTEGER)) END AS link FROM orders)
 SELECT k AS o_orderkey, CASE WHEN link IS NOT NULL OR k % 2 = 0 OR k % 7 = 0 THEN concat_ws(' | ', '[SEM ANEXO]', CASE WHEN k % 3 = 0 THEN 'Link (Omie): ' ELSE 'Link: ' END || CASE WHEN length(link) > 100 THEN left(link, 97) || '...' ELSE link END, CASE WHEN k % 2 = 0 THEN 'Código: C' || k END, CASE WHEN k % 7 = 0 THEN 'NF: ' || k END) END AS text FROM x""",
     "cnpj_offsets": "WITH s AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem), n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_suppkey) - 1 AS j FROM s) SELECT l_orderkey, CAST(j AS INTEGER) AS i, lpad(CAST(l_suppkey AS VARCHAR), 14, '1') AS raw, CAST(j * 17 + 2 AS INTEGER) AS start, CAST(j * 17 + 16 AS INTEGER) AS \"end\" FROM n",
+    "company_in_mail": MAILS_SQL,
     "company_match": """WITH o AS (SELECT o_orderkey AS k, o_orderkey % 9 + 1 AS a, o_orderkey % 7 + 1 AS b, o_orderkey % 5 AS r FROM orders WHERE o_orderkey % 2 = 1),
 c AS (SELECT *, CASE r WHEN 0 THEN b WHEN 1 THEN least(a, b) WHEN 2 THEN a WHEN 4 THEN a END AS e FROM o)
 SELECT k AS o_orderkey, 'E' || e AS code, lpad(CAST(e * 11 AS VARCHAR), 14, '0') AS cnpj, CASE r WHEN 0 THEN 'cnpj' WHEN 1 THEN 'nome' WHEN 2 THEN 'domain' WHEN 4 THEN 'cnpj' END AS method, CAST(CASE r WHEN 0 THEN 16 WHEN 1 THEN 5 WHEN 2 THEN 9 WHEN 4 THEN 10 END AS INTEGER) AS score FROM c""",
