@@ -560,3 +560,9 @@ MAIL_STOPWORDS = (
 # Labels before the company a mail is for, and before words that are none.
 MAIL_FOR = (r"(?:PARA|TO):[^<]*", r"(?:TOMADOR|DESTINAT[ÁA]RIO|CLIENTE)[:\s].*")
 MAIL_SECRET = r"(?:FRASE\s+DE\s+SEGURAN[ÇC]A|SENHA|PASSWORD|SECURITY\s+PHRASE)[^:]*:.*"
+
+# Numbers of notes and bills in a mail, first match wins.
+MAIL_NUMBERS = (
+    r"\b[Ff]atura\s*(?:N[ºo°]\.?\s*)?[:\s]*(\d{3,10})\b", r"\bNF(?:-?[Ee])?\s*[:\s]*(\d{3,15})\b", r"\bNFS-?[Ee]\s*[:\s]*(\d{3,15})\b", r"\b[Nn]ota\s+[Ff]iscal\s*(?:N[ºo°]\.?\s*)?[:\s]*(\d{3,15})\b",
+    r"\bN[ºo°]\.?\s*[:\s]*(\d{3,10})\b", r"\b[Nn][úu]mero\s*[:\s]*(\d{3,10})\b", r"\b[Dd]oc(?:umento)?\.?\s*[:\s]*(\d{3,10})\b", r"(?i)(?:nota|fatura|nf)[^\d]{0,10}(20\d{2}[/\-]\d{1,6})\b",
+)

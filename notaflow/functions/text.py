@@ -121,3 +121,27 @@ def around(text: Column, at: Column, before: int, after: int) -> Column:
     """The characters around a place (counted from 1)."""
     start = F.greatest(F.lit(1), at - before)
     return F.substr(text, start.cast("int"), (at - start + after).cast("int"))
+
+
+def occurrences(text: Column, pattern: str) -> Column:
+    """array<struct<raw, start, end>> of all matches; start counts from 0, end is exclusive."""
+    found, rest = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)), F.split(text, pattern)
+
+    def step(state: Column, pair: Column) -> Column:
+        """pair: the text before a hit, and the hit."""
+        start = state["at"] + F.length(pair["0"])
+        end = start + F.length(pair["1"])
+        hit = F.struct(pair["1"].alias("raw"), start.alias("start"), end.alias("end"))
+        return F.struct(end.alias("at"), F.array_append(state["hits"], hit).alias("hits"))
+
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<raw:string,start:int,end:int>>").alias("hits"))
+    pairs = F.filter(F.arrays_zip(rest.alias("0"), found.alias("1")), lambda p: p["1"].isNotNull())
+    return F.aggregate(pairs, begin, step, lambda s: s["hits"])
+
+
+def masked(text: Column, *patterns: str) -> Column:
+    """text with blanks in place of every hit, as many as it has characters, so that places in it are places in text."""
+    for p in patterns:
+        parts = F.arrays_zip(F.split(text, p).alias("0"), F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias("1"))
+        text = F.array_join(F.transform(parts, lambda x: F.concat(x["0"], F.repeat(F.lit(" "), F.length(F.coalesce(x["1"], F.lit("")))))), "")
+    return text

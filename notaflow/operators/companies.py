@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..functions.fixed import COMMON_NAME_WORDS, MAIL_FOR, MAIL_LINKS, MAIL_PROVIDERS, MAIL_SECRET, MAIL_STOPWORDS
-from ..functions.text import let
+from ..functions.text import let, occurrences
 
 #: A tax number, dotted with or without blanks, or 14 digits; no digit beside it.
 ANY_CNPJ = r"(?<!\d)(?:\d{2}\s*\.\s*\d{3}\s*\.\s*\d{3}\s*/\s*\d{4}\s*-\s*\d{2}|\d{14})(?!\d)"
@@ -20,22 +20,6 @@ BARE_DOMAIN = r"\b(?:[a-z0-9\-]+\.)+[a-z]{2,}(?:\.[a-z]{2,})?\b"
 NEAR = 250
 
 
-def occurrences(text: Column, pattern: str) -> Column:
-    """array<struct<raw, start, end>> of all matches; start counts from 0, end is exclusive."""
-    found, rest = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)), F.split(text, pattern)
-
-    def step(state: Column, pair: Column) -> Column:
-        """pair: the text before a hit, and the hit."""
-        start = state["at"] + F.length(pair["0"])
-        end = start + F.length(pair["1"])
-        hit = F.struct(pair["1"].alias("raw"), start.alias("start"), end.alias("end"))
-        return F.struct(end.alias("at"), F.array_append(state["hits"], hit).alias("hits"))
-
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<raw:string,start:int,end:int>>").alias("hits"))
-    pairs = F.filter(F.arrays_zip(rest.alias("0"), found.alias("1")), lambda p: p["1"].isNotNull())
-    return F.aggregate(pairs, begin, step, lambda s: s["hits"])
-
-
 def cnpjs_with_offsets(text: Column) -> Column:
     """array<struct<raw, start, end>> of the tax numbers of a text."""
     return occurrences(text, ANY_CNPJ)

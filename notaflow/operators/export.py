@@ -1,8 +1,12 @@
 """Projections to the report layouts, and writers."""
 
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 
 def br_day(day: Column) -> Column:
     return F.coalesce(F.date_format(day, "dd/MM/yyyy"), F.lit(""))
@@ -27,10 +31,23 @@ def write_csv(df: DataFrame, path: str, by: str | None = None) -> None:
 
 
 def in_chunks(df: DataFrame, order: list, size: int = 100) -> DataFrame:
-    """chunk: number of the sink call a row belongs to. Calls are made in order, so this is one ordered list."""
+    """chunk: number of the sink call a row belongs to, over the rows in order.
+
+    Rows are dealt by ranges of the order and numbered within each range; a range's offset is the number of rows before it, so
+    nothing but one count a range is summed in one place. The dealt rows are written to the shared folder, as counts and
+    rows must be of one dealing."""
     from pyspark.sql import Window as W
 
-    return df.withColumn("chunk", F.floor((F.row_number().over(W.orderBy(*order)) - 1) / size))
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/chunks-{uuid4().hex}"
+    # The id's upper bits are the range, the lower 33 the place in it.
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    dealt.write.parquet(path)
+    dealt = spark.read.schema(dealt.schema).parquet(path).withColumn("_range", F.shiftright("_at", 33))
+    counts = dealt.groupBy("_range").agg(F.count("*").alias("n"))
+    before = counts.select("_range", (F.sum("n").over(W.orderBy("_range")) - F.col("n")).alias("_before"))
+    place = F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)
+    return dealt.join(before, "_range").withColumn("chunk", F.floor(place / size)).drop("_at", "_range", "_before")
 
 
 def send_in_chunks(df: DataFrame, order: list, send, size: int = 100, attempts: int = 5, wait_s: float = 2.0, most_s: float = 10.0) -> int:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, ids, money
-from ..functions.text import label_then_lines
+from ..functions.text import label_then_lines, occurrences
 from . import cascades
 
 AMOUNT = r"(\d{1,3}(?:\.\d{3})*,\d{2})"
@@ -45,10 +45,13 @@ def largest_of(text: Column, low: float = 0.0, high: float = 1e12) -> Column:
 
 
 def hits_with_context(text: Column, pattern: str, before: int, after: int) -> Column:
-    """All hits with the text around each: array of (value, context). The text is cut at the hits, so no offsets are needed."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    rest = F.split(text, pattern)
-    return F.transform(found, lambda v, i: F.struct(v.alias("value"), F.concat(F.right(F.coalesce(F.get(rest, i), F.lit("")), F.lit(before)), F.lit(" "), F.left(F.coalesce(F.get(rest, i + 1), F.lit("")), F.lit(after))).alias("context")))
+    """All hits with the text around each, up to `before` and `after` characters, whatever other hits are in it: array of (value, context)."""
+    def around(o: Column) -> Column:
+        begin = F.greatest(o["start"] - before, F.lit(0))
+        context = F.concat(F.substring(text, begin + 1, o["start"] - begin), F.lit(" "), F.substring(text, o["end"] + 1, F.lit(after)))
+        return F.struct(F.regexp_extract(o["raw"], pattern, 1).alias("value"), context.alias("context"))
+
+    return F.transform(occurrences(text, pattern), around)
 
 
 def scored(text: Column, pattern: str, points: dict[str, int], parse, before: int = 60, after: int = 20, least: int = 1) -> Column:

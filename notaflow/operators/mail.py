@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import matches_any
+from ..functions.text import let, masked, matches_any, occurrences
 
 
 def has_link(body: Column) -> Column:
@@ -66,3 +66,23 @@ def samples(mails: DataFrame, kind: str, order: str, n: int = 10) -> DataFrame:
     from pyspark.sql import Window as W
 
     return mails.withColumn("n", F.row_number().over(W.partitionBy(kind).orderBy(order))).where(F.col("n") <= n)
+
+
+#: What looks like a number in a mail and is none: links, tags, names of dated images.
+NO_NUMBER = (r'https?://[^\s<>"]+', r"<[^>]+>", r"(?i)\b\d{4}-\d{2}-\d{2}[^/\s]*\.(?:png|jpg|jpeg|gif|bmp)\b")
+
+
+def number_in_mail(subject: Column, body: Column) -> Column:
+    """struct<number, start>: a note's or bill's number in a mail's subject, else its body, and where in that text it stands. A pattern whose first hit is a year
+    alone gives none."""
+    def of(text: Column) -> Column:
+        def hit(clean: Column, pattern: str) -> Column:
+            def told(o: Column) -> Column:
+                number = F.regexp_extract(o["raw"], f"(?U){pattern}", 1)
+                return F.when(~number.rlike(r"^20\d\d$"), F.struct(number.alias("number"), (o["end"] - F.length(number)).alias("start")))
+
+            return let(F.get(occurrences(clean, f"(?U){pattern}"), F.lit(0)), lambda o: F.when(o.isNotNull(), told(o)))
+
+        return let(masked(F.coalesce(text, F.lit("")), *NO_NUMBER), lambda clean: F.coalesce(*[hit(clean, p) for p in fixed.MAIL_NUMBERS]))
+
+    return F.coalesce(of(subject), of(body))

@@ -171,13 +171,20 @@ def unseen(files: DataFrame, manifest: DataFrame, path: str = "path") -> DataFra
     return files.join(manifest.select(path).distinct(), path, "left_anti")
 
 
-def as_text(df: DataFrame, title: str) -> str:
-    """A small report table as text: its title, a line, a line for each row. For tables of bounded size only."""
-    rows = df.limit(1000).toPandas()
-    return f"{title}\n{'-' * len(title)}\n" + rows.to_string(index=False) + "\n"
+def _small(df: DataFrame, most: int):
+    """All rows of a table of at most `most`; more are an error, as a report is one file's text."""
+    rows = df.limit(most + 1).toPandas()
+    if len(rows) > most:
+        raise ValueError(f"a text report takes {most} rows at most; write the table instead")
+    return rows
 
 
-def as_markdown(df: DataFrame, title: str) -> str:
-    rows = df.limit(1000).toPandas()
+def as_text(df: DataFrame, title: str, most: int = 1000) -> str:
+    """A small report table as text: its title, a line, a line for each row."""
+    return f"{title}\n{'-' * len(title)}\n" + _small(df, most).to_string(index=False) + "\n"
+
+
+def as_markdown(df: DataFrame, title: str, most: int = 1000) -> str:
+    rows = _small(df, most)
     lines = [" | ".join(map(str, r)) for r in rows.itertuples(index=False)]
     return f"## {title}\n\n| " + " | ".join(rows.columns) + " |\n|" + "---|" * len(rows.columns) + "\n" + "".join(f"| {x} |\n" for x in lines)

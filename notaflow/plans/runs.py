@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..operators import mail as mail_rules
 from ..operators import batches, layouts, logs, quality, runs
 from ..sources import mail, tables
 from ..sources.tables import table
@@ -183,6 +184,31 @@ def mail_headers(spark, d):
     return o.select("o_orderkey", "subject", F.col("s.name").alias("name"), F.col("s.address").alias("address"), "day")
 
 
+#: Subject and body of a mail, {k} a number of five digits; the number found, and what stands right before it in its text (of the subject first).
+NUMBERED = (
+    ("Fatura {k}", "NF 999", "{k}", "Fatura "), ("FATURA: Nº {k}", "", "{k}", "Nº "), ("Boleto", "segue NF-e: {k} ok", "{k}", "NF-e: "), ("", "a NFS-e {k}", "{k}", "NFS-e "), (None, "Nota Fiscal Nº {k}", "{k}", "Nº "),
+    ("Nº: {k}", None, "{k}", "Nº: "), ("x", "Número: {k}", "{k}", "Número: "), ("Doc. {k}", "y", "{k}", "Doc. "), ("nota fatura - 2025-44", "", "2025-44", "fatura - "), ("NF 2025", "Fatura {k}", "{k}", "Fatura "),
+    ("veja", "https://x.br/NF99999 Nota Fiscal {k}", "{k}", "Fiscal "), ("veja", '<img src="fatura 12345"> fatura {k}', "{k}", "fatura "), ("nota 2017-01-20-b.png", "nada", None, None), ("Fatura 12", "", None, None), ("NF 2024", "NF 2026", None, None),
+)
+
+
+def mail_numbers(spark, d):
+    """Numbers in mails, and where they stand in the text as it was."""
+    k = F.col("o_orderkey")
+    o = table(spark, d, "orders").withColumn("k", F.lpad((k % 89999 + 10000).cast("string"), 5, "0"))
+    subject, body = (F.replace(F.element_at(F.array(*[F.lit(x[i]).cast("string") for x in NUMBERED]), (k % len(NUMBERED) + 1).cast("int")), F.lit("{k}"), F.col("k")) for i in (0, 1))
+    return o.select("o_orderkey", mail_rules.number_in_mail(subject, body).alias("n")).select("o_orderkey", "n.number", "n.start")
+
+
+def _texts(values) -> str:
+    return "[" + ", ".join("NULL" if v is None else "'" + v.replace("'", "''") + "'" for v in values) + "][o_orderkey % " + str(len(NUMBERED)) + " + 1]"
+
+
+NUMBERS_SQL = f"""WITH o AS (SELECT o_orderkey, CAST(o_orderkey % 89999 + 10000 AS VARCHAR) AS k, {_texts(x[0] for x in NUMBERED)} AS s, {_texts(x[1] for x in NUMBERED)} AS t, {_texts(x[2] for x in NUMBERED)} AS n, {_texts(x[3] for x in NUMBERED)} AS w FROM orders),
+p AS (SELECT o_orderkey, replace(n, '{{k}}', k) AS number, w, replace(w || n, '{{k}}', k) AS needle, replace(coalesce(s, ''), '{{k}}', k) AS s, replace(coalesce(t, ''), '{{k}}', k) AS t FROM o)
+SELECT o_orderkey, number, CAST(CASE WHEN contains(s, needle) THEN strpos(s, needle) ELSE strpos(t, needle) END - 1 + length(w) AS INTEGER) AS start FROM p"""
+
+
 def mail_bodies(spark, d):
     p = table(spark, d, "pages")
     plain = F.when(F.col("page_id") % 3 != 0, F.concat(F.lit("texto "), F.col("page_id").cast("string")))
@@ -249,7 +275,7 @@ def batch_pace(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (paf_rows, paf_rows_without_number, anexos_rows, sem_anexos_rows, simple_notices, partial_export, partial_notices, batch_summary, multiple_invoices, due_flags, kind_shares, document_union, extractor_usage, extractors_of_batches, slowest_batches, validation_totals, session_totals, run_totals,
-                                   ingestion_totals, case_filter, csv_quality, unseen_files, common_files, merged_labels, mail_headers, mail_bodies, native_texts, exported_batches, diagnostics_by_file, report_totals, path_order, inherit_all, status_texts, problem_samples, batch_pace)}
+                                   ingestion_totals, case_filter, csv_quality, unseen_files, common_files, merged_labels, mail_headers, mail_numbers, mail_bodies, native_texts, exported_batches, diagnostics_by_file, report_totals, path_order, inherit_all, status_texts, problem_samples, batch_pace)}
 _SHEET = """s AS (SELECT o_orderkey AS k, o_orderkey % 5 AS t, CAST(o_orderdate AS DATE) AS day, round(o_totalprice, 2) AS v, CASE WHEN o_orderkey % 2 = 0 THEN 'https://x.example/' || repeat('y', CAST(o_orderkey % 90 AS INTEGER)) END AS link FROM orders)"""
 _BR = "strftime({}, '%d/%m/%Y')"
 _F = lambda name, every: f"CASE WHEN k % {every} <> 0 THEN '{name}' || k ELSE '' END"
@@ -305,6 +331,7 @@ SELECT k AS o_orderkey, CASE WHEN k % 5 = 0 THEN 'curto' ELSE '' END AS supplier
     "unseen_files": "SELECT source || '/' || doc_id AS path FROM documents WHERE NOT (source = 'web' AND doc_id IN (SELECT doc_id FROM labels))",
     "common_files": "WITH g AS (SELECT l_orderkey, list(DISTINCT l_suppkey) AS a, list(DISTINCT CAST(l_linenumber AS BIGINT)) AS b FROM lineitem GROUP BY l_orderkey) SELECT l_orderkey, array_to_string(list_sort(list_intersect(a, b)), ',') AS common FROM g",
     "merged_labels": "SELECT event_id, 'type=' || event_type || ',u=' || (user_id % 3) || ',z=1' AS labels FROM events",
+    "mail_numbers": NUMBERS_SQL,
     "mail_headers": """SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'Nota Fiscal é ' || o_orderkey WHEN 1 THEN 'Fatura ' || o_orderkey ELSE 'é ' || o_orderkey END AS subject, CASE o_orderkey % 5 WHEN 0 THEN 'Loja ' || o_orderkey WHEN 2 THEN 'A <B> C' ELSE '' END AS name,
   CASE o_orderkey % 5 WHEN 0 THEN 'loja' || o_orderkey || '@x.com' WHEN 1 THEN o_orderkey || '@y.com' WHEN 2 THEN 'c' || o_orderkey || '@z.com' WHEN 3 THEN 'so@w.com' ELSE '' END AS address, CASE WHEN o_orderkey % 2 = 1 THEN DATE '2025-12-02' WHEN o_orderkey % 4 = 0 THEN DATE '2025-12-24' ELSE DATE '2020-01-01' END AS day FROM orders""",
     "mail_bodies": "SELECT page_id, CASE WHEN page_id % 3 <> 0 THEN 'texto ' || page_id ELSE '' END AS plain, CAST(CASE WHEN page_id % 2 = 0 THEN length(trim(html)) ELSE 0 END AS INTEGER) AS html_length FROM pages",

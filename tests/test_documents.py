@@ -153,3 +153,47 @@ def test_pairs_take_numbers_from_files_and_force_orphans(spark):
     # Every slip has a pair of its own, so a note without an amount beside others is never forced on one.
     assert [p["pair_status"] for p in pairing.pair_batch([doc("NFSE", "z", 0.0), doc("NFSE", "n", 5.0), doc("BOLETO", "b", 9.0)])] == ["CONFERIR", "CONFERIR"]
     assert [p["pair_status"] for p in pairing.pair_batch([doc("NFSE", "z", 0.0), doc("BOLETO", "b", 9.0)])] == ["PAREADO_FORCADO"]
+
+
+def test_chunks_leave_from_executors_once(spark, tmp_path):
+    import os
+
+    from notaflow.operators import sinks
+
+    class FileTarget:
+        """A folder of one file a key; some calls fail at first, or all of one key."""
+
+        def __init__(self, folder, bad=""):
+            self.folder, self.bad = str(folder), bad
+
+        def send(self, key, rows):
+            import os
+
+            if key == self.bad:
+                raise ConnectionError(key)
+            if key.endswith("1") and not os.path.exists(f"{self.folder}/tried-{key}"):
+                open(f"{self.folder}/tried-{key}", "w").close()
+                raise ConnectionError("once")
+            with open(f"{self.folder}/{key}", "a") as f:
+                f.write("\n".join(f"{i},{t}" for i, t in rows) + "\n")
+
+        def commit(self, keys):
+            with open(f"{self.folder}/DONE", "w") as f:
+                f.write(" ".join(keys))
+
+        def abort(self, keys):
+            open(f"{self.folder}/ABORTED", "w").close()
+
+    df = spark.range(95).select((F.lit(94) - F.col("id")).alias("id"), F.lit("x").alias("t")).repartition(5)
+    sinks.send_from_executors(df, ["id"], FileTarget(tmp_path), "job", 10, wait_s=0.0)
+    keys = sorted(f"job-{i}" for i in range(10))
+    assert open(tmp_path / "DONE").read().split() == keys and sorted(f for f in os.listdir(tmp_path) if f.startswith("job")) == keys
+    for i in range(10):
+        assert open(tmp_path / f"job-{i}").read().split() == [f"{j},x" for j in range(10 * i, min(95, 10 * i + 10))]
+    (tmp_path / "b").mkdir()
+    with pytest.raises(Exception, match="bad-3"):
+        sinks.send_from_executors(df, ["id"], FileTarget(tmp_path / "b", "bad-3"), "bad", 10, attempts=2, wait_s=0.0)
+    assert os.path.exists(tmp_path / "b/ABORTED") and not os.path.exists(tmp_path / "b/DONE")
+    (tmp_path / "c").mkdir()
+    sinks.send_from_executors(df.limit(0), ["id"], FileTarget(tmp_path / "c"), "none", 10)
+    assert open(tmp_path / "c/DONE").read() == ""
