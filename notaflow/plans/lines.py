@@ -81,7 +81,10 @@ def _own(spark, d):
 
 def company_match(spark, d):
     """By number in the best surroundings, by code, by domain, or none: one way for each remainder of the order's key."""
-    o = table(spark, d, "orders").where("o_orderkey % 2 = 1")
+    return matched_companies(table(spark, d, "orders").where("o_orderkey % 2 = 1"), _own(spark, d))
+
+
+def matched_companies(o, own):
     k, a, b = F.col("o_orderkey"), (F.col("o_orderkey") % 9 + 1).cast("string"), (F.col("o_orderkey") % 7 + 1).cast("string")
     far = F.lit(" " + "." * 600 + " ")
     number = lambda x: F.lpad((x.cast("bigint") * 11).cast("string"), 14, "0")
@@ -89,7 +92,7 @@ def company_match(spark, d):
             .when(k % 5 == 1, F.concat(F.lit("para E"), b, F.lit(", e E"), a, F.lit(".")))
             .when(k % 5 == 2, F.concat(F.lit("contato nf@e"), a, F.lit("tecnico.com.br")))
             .when(k % 5 == 3, F.concat(F.lit("12345678000190 E"), a, F.lit("x"))).otherwise(F.concat(number(a), far, number(b))))
-    return companies.company_of(o.select("o_orderkey", text.alias("text")), _own(spark, d), "o_orderkey", "text")
+    return companies.company_of(o.select("o_orderkey", text.alias("text")), own, "o_orderkey", "text")
 
 
 #: Mails: the text, where {a} and {b} are codes, {n} a number of a's; what it says: the first or second company or none, and how.

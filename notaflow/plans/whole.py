@@ -1,9 +1,12 @@
-"""Queries of the same operators as reader_choice, consolidate, complement_left, merge_partial and vector_topk, on whole texts and tables."""
+"""Queries of the same operators as reader_choice, consolidate, complement_left, merge_partial, vector_topk, company_match and
+diagnostics_by_file, on whole texts and tables."""
 
 from pyspark.sql import functions as F
 
 from ..operators import batches, context, vectors
-from ..sources.tables import table
+from ..sources import tables
+from ..sources.tables import spread, table
+from . import lines, runs
 from .context import _INCOMPLETE
 
 
@@ -44,8 +47,38 @@ def vector_topk_whole(spark, d):
     return hit.select("query_id", "rank", "vec_id", F.round("distance", 4).alias("distance"))
 
 
-QUERIES = {f.__name__: f for f in (reader_choice_whole, consolidate_whole, complement_whole, merge_whole, vector_topk_whole)}
+def consolidated_mails(spark, d):
+    """Texts that several documents have, as subjects, and the batch that takes them."""
+    out = batches.consolidated(table(spark, d, "documents").where("text IS NOT NULL"), F.trim("text"), "doc_id")
+    return out.select(F.md5("subject").alias("subject_md5"), "n", "batch")
+
+
+def company_match_whole(spark, d):
+    """The own company in a text of every order."""
+    return lines.matched_companies(spread(table(spark, d, "orders")), lines._own(spark, d))
+
+
+def diagnostics_by_file_whole(spark, d):
+    """Messages by file and severity over all events."""
+    e = table(spark, d, "events")
+    file, severity = F.when(F.col("user_id") % 5 != 0, F.concat(F.lit("f"), F.col("user_id") % 7)), F.when(F.col("event_type") != "view", F.upper("event_type"))
+    return tables.counts_by_file(e.select(file.alias("file"), severity.alias("severity"), F.col("event_id").cast("string").alias("message")))
+
+
+def distinct_in_order(spark, d):
+    """The different words of a text in the order of their first places."""
+    words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^a-z]+"), lambda w: w != ""))
+    return table(spark, d, "documents").select("doc_id", F.size(words).alias("n"), F.md5(F.array_join(words, " ")).alias("words_md5"))
+
+
+QUERIES = {f.__name__: f for f in (consolidated_mails, company_match_whole, diagnostics_by_file_whole, distinct_in_order, reader_choice_whole, consolidate_whole, complement_whole, merge_whole, vector_topk_whole)}
 SQL = {
+    "consolidated_mails": r"SELECT md5(lower(regexp_replace(trim(text), '\s+', ' ', 'g'))) AS subject_md5, count(*) AS n, min(doc_id) AS batch FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
+    "company_match_whole": lines.SQL["company_match"].replace(" WHERE o_orderkey % 2 = 1", ""),
+    "diagnostics_by_file_whole": runs.SQL["diagnostics_by_file"].replace("WHERE event_id % 10 < 3 ", ""),
+    "distinct_in_order": """WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z]+'), lambda w: w <> '') AS w FROM documents),
+f AS (SELECT doc_id, list_filter(w, lambda x, i: list_position(w, x) = i) AS w FROM w)
+SELECT doc_id, CAST(len(w) AS INTEGER) AS n, md5(array_to_string(w, ' ')) AS words_md5 FROM f""",
     "reader_choice_whole": r"""WITH t AS (SELECT doc_id, CASE WHEN lang IS DISTINCT FROM 'en' THEN text END AS native, CASE WHEN lang = 'en' THEN text END AS tab FROM documents),
 c AS (SELECT doc_id, coalesce(native, '') AS x, CASE WHEN length(native) >= 50 THEN native WHEN length(tab) >= 50 THEN tab END AS pick FROM t),
 f AS (SELECT doc_id, pick, trim(regexp_replace(x, '\s+', ' ', 'g')) AS a, trim(regexp_replace(coalesce(pick, ''), '\s+', ' ', 'g')) AS b FROM c)

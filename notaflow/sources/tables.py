@@ -119,6 +119,11 @@ def by_file_and_severity(d: DataFrame) -> DataFrame:
     return g.agg(F.count("*").alias("n"), F.sort_array(F.collect_list("message")).alias("messages"))
 
 
+def counts_by_file(d: DataFrame) -> DataFrame:
+    """The same without the messages: how many, and the first."""
+    return d.groupBy(F.coalesce("file", F.lit("unknown")).alias("file"), F.lower(F.coalesce("severity", F.lit("information"))).alias("severity")).agg(F.count("*").alias("n"), F.min("message").alias("first"))
+
+
 ISSUES = {"value": "Valor Issues:", "vencimento": "Vencimento Issues:", "fornecedor": "Fornecedor Issues:", "numero_nota": "Numero Nota Issues:", "extractor_identification": "Extrator Identification Issues:", "data_validation": "Data Validation Issues:"}
 
 
