@@ -6,7 +6,7 @@ that time and the sorted list is cut where its words would exceed the budget.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order; documents of size 0 are
 never taken (taken 0); repeated rows are separate documents; ties in time go to the smaller doc_id, then the earlier
-copy; no rows give no rows. Columns other than doc_id, text and source are ignored, whatever their names.
+copy; a very long text counts by its words and is taken whole or not at all, so a mix may miss its end by one document; no rows give no rows. Columns other than doc_id, text and source are ignored, whatever their names.
 """
 
 from __future__ import annotations

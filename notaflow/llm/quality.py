@@ -12,7 +12,7 @@ Defined cases: a null or empty text is one empty line; null labels, and labels o
 repeated labels of one doc_id the smallest counts, and of different texts of one labelled doc_id the one with the smallest
 hash is trained on; repeated rows each give a row; rows without doc_id are scored, have no label and are not held out;
 without labelled rows every score is 0.5; a very long text is scored whole, but trains only if its lines fit the sample;
-extra columns are ignored.
+extra columns are ignored; no documents give no rows, whatever labels there are.
 """
 
 from __future__ import annotations

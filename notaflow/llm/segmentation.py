@@ -17,7 +17,8 @@ Noise is a hash of the row key, the draw and the place, so a row's result does n
 or attempt.
 
 Defined cases: a null or empty text has one segmentation, the empty one; a text with fewer than k segmentations gives
-all of them; repeated rows with one key give equal results; extra columns are ignored; no rows give no rows.
+all of them; a very long text is segmented whole, by units between blanks, in time and memory in proportion to its length;
+repeated rows with one key give equal results; extra columns are ignored; no rows give no rows.
 """
 
 from __future__ import annotations
