@@ -16,7 +16,11 @@ DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line classifier does not reject."""
+    """Documents that the line classifier does not reject.
+
+    A null or empty text is scored as one empty line; rows without an id are scored too; repeated rows are kept or rejected
+    alike; very long texts are scored whole; without labels every document stays; no rows give no rows; of other columns none
+    is kept, whatever their names."""
     return quality.classify(docs, table(spark, sf_dir, "labels"), keep=DOCUMENT).where("predicted = 1").select(*DOCUMENT)
 
 
@@ -27,7 +31,10 @@ def row_key():
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies (five words, Jaccard 0.8 and more); one without an
-    id stays where its group has no other, and texts that share an id are told apart."""
+    id stays where its group has no other, and texts that share an id are told apart.
+
+    Null, empty and blank texts have no shingles and are copies of nothing; a repeated row (id and text) stays once; very long
+    texts are compared whole; no rows give no rows; of other columns none is kept."""
     keyed = docs.select(*DOCUMENT, row_key().alias("key"))
     groups = jaccard.similar_groups(keyed.select(F.col("key").alias("doc_id"), "text"), words=5, percent=80)
     groups = groups.select(F.col("doc_id").alias("key"), "component_id").distinct()
@@ -38,13 +45,19 @@ def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data masked in the text."""
+    """Personal data masked in the text.
+
+    A null text stays null, with a null n_chars; empty texts stay; repeated rows are masked alike and stay as often; very long
+    texts are masked whole; no rows give no rows; of other columns none is kept."""
     out = pii.redact(docs.select(*DOCUMENT))
     return out.withColumn("n_chars", F.length("text").cast("bigint")).select(*DOCUMENT)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once, or up to three times."""
+    """Each document as often as the mix takes it: not at all, once, or up to three times.
+
+    Texts without words are never taken; a null source is one of its own; repeated rows share what they take; a very long text
+    is taken whole; no rows give no rows; of other columns none is kept."""
     keyed = docs.select(*DOCUMENT, row_key().alias("key"))
     taken = mixing.weighted_mix(keyed.select(F.col("key").alias("doc_id"), "text", "source")).where("taken > 0")
     # Masking may have made rows of one id alike: their copies add up on one of them.
@@ -54,7 +67,10 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def segmentation_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Two sampled segmentations of every document."""
+    """Two sampled segmentations of every document.
+
+    A null or empty text has the empty one; rows with one id draw alike for one text, and repeated rows each give theirs; very
+    long texts are segmented whole; no rows give no rows; columns other than id, language and source are left out."""
     return segmentation.sample_segmentations(docs, keep=("doc_id", "lang", "source"))
 
 
