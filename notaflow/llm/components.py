@@ -1,8 +1,8 @@
 """Connected components by contraction, without collecting edges anywhere.
 
 Defined cases: an edge with a null or with equal ends is none; repeated edges, in either direction, are one; nodes without an
-edge are in no row; no edges give no rows; other columns than a and b are ignored. Rounds grow with the logarithm of a component's
-diameter.
+edge are in no row; no edges give no rows; other columns than a and b are ignored. Rounds grow about with the logarithm of a
+component's size.
 """
 
 from __future__ import annotations
