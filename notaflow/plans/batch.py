@@ -187,12 +187,14 @@ _FOLD = """
   FROM (SELECT a.batch, a.t, a.g, list_position(list_transform(a.g, lambda x: (x.num = m.num OR ends_with(x.num, m.num) OR ends_with(m.num, x.num)){near}), true) AS p FROM {f}1 a JOIN {f}0 m ON m.batch = a.batch AND m.t = a.t + 1) s
   JOIN {f}0 n ON n.batch = s.batch AND n.t = s.t + 1),
 {f} AS (SELECT batch, arg_max(g, t) AS g FROM {f}1 GROUP BY batch)"""
+# A slip's amount, unless its line is one of the group's; lines are the numbers filled up with 3.
+_ADD = " + CASE WHEN list_contains(list_transform(s.g[s.p].docs, lambda f: lpad(regexp_extract(f, '[0-9]+'), 47, '3')), lpad(n.num, 47, '3')) THEN 0 ELSE n.val END"
 PAIR_SQL = f"""WITH RECURSIVE {NOTES_SQL},
 docs AS (SELECT CAST(o_custkey AS VARCHAR) AS batch, o_orderkey AS seq, CAST(o_orderkey AS VARCHAR) AS num, note, slip, 'nf_' || o_orderkey || '.pdf' AS nf, 'bol_' || o_orderkey || '.pdf' AS bol FROM b),
 every AS (SELECT batch, count(*) AS notes, count_if(slip > 0) AS slips, max(note) AS top, arg_min(num, seq) AS num, arg_min(nf, seq) AS nf, max(CASE WHEN slip > 0 THEN slip END) AS slip, max(CASE WHEN slip > 0 THEN bol END) AS bol FROM docs GROUP BY batch),
 src_n AS (SELECT batch, seq, num, note AS val, nf AS file FROM docs WHERE note > 0), src_s AS (SELECT batch, seq, num, slip AS val, bol AS file FROM docs WHERE slip > 0),
 {_FOLD.format(f="ns", src="src_n", add="", near=" OR abs(x.val - m.val) <= 0.01")},
-{_FOLD.format(f="ss", src="src_s", add=" + n.val", near="")},
+{_FOLD.format(f="ss", src="src_s", add=_ADD, near="")},
 st AS (SELECT ns.batch, ns.g AS n, ss.g AS s FROM ns JOIN ss USING (batch)),
 mt AS (SELECT batch, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS used, CAST([] AS BIGINT[]) AS hit FROM st
   UNION ALL SELECT x.batch, x.i + 1, CASE WHEN x.j IS NULL THEN x.used ELSE list_append(x.used, x.j) END, list_append(x.hit, coalesce(x.j, 0)) FROM (
