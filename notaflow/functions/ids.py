@@ -75,12 +75,13 @@ def slip_line(text: Column) -> Column:
 
 
 def invoice_number(text: Column) -> Column:
-    """The significant part of an invoice number: '2025/119', '202500000000119' and '00119' are all '119'."""
+    """The significant part of an invoice number: '2025/119', '202500000000119' and '00119' are all '119'. A year in front goes
+    only from more than 8 digits that count, so zeros in front don't make one of '002025119'."""
     bare = F.regexp_replace(F.upper(F.trim(text)), r"^(NFSE|NFE|NOTA|NF)[\s._:\-]*", "")
     yearly = found(bare, r"^\d{4}[./\-](\d+)$", 1)
     d = digits(bare)
-    long = F.regexp_replace(F.regexp_replace(d, "^0+", ""), r"^20(2\d|30)", "")
-    plain = F.when(F.length(d) > 8, long).otherwise(d)
+    counted = F.regexp_replace(d, "^0+", "")
+    plain = F.when(F.length(counted) > 8, F.regexp_replace(counted, r"^20(2\d|30)", "")).otherwise(counted)
     number = F.regexp_replace(F.coalesce(yearly, plain), "^0+", "")
     return F.when(d == "", None).otherwise(F.when(number == "", F.lit("0")).otherwise(number))
 

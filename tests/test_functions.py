@@ -54,6 +54,10 @@ def test_identifiers(spark):
     assert evaluate(spark, ["a@x.com.br e http://www.y.com/z"], ids.domains) == [["x.com.br", "y.com"]]
 
 
+def test_zeros_in_front_make_no_year(spark):
+    assert evaluate(spark, ["000202511", "NF 002025119", "2025" + "2025119".rjust(11, "0"), "NF 00202500000000119"], ids.invoice_number) == ["202511", "2025119", "2025119", "119"]
+
+
 def test_text(spark):
     assert evaluate(spark, ["Código Eletrônico"], text.strip_accents) == ["Codigo Eletronico"]
     assert evaluate(spark, ["Nome    da   Empresa"], text.one_space) == ["Nome da Empresa"]
