@@ -7,6 +7,8 @@ from ..operators import batches, export, health, pairing, quality
 from ..sources.tables import table
 
 NOTE = "CAST(round(sum(CAST(l_extendedprice * (1 - l_discount) * (1 + l_tax) AS DECIMAL(18, 4))), 2) AS DOUBLE)"
+# The same amount as the SQL engine casts it: a line's ten-thousandths are rounded as a double (Spark's cast reads its shortest decimal).
+NOTE_OF_LINES = "CAST(round(sum(CAST(CAST(round(l_extendedprice * (1 - l_discount) * (1 + l_tax) * 10000) AS BIGINT) AS DECIMAL(18, 0)) * 0.0001), 2) AS DOUBLE)"
 SLIP = "CASE o_orderkey % 5 WHEN 0 THEN note WHEN 1 THEN note WHEN 2 THEN note + 0.01 WHEN 3 THEN note + 7 END"
 NOTES_SQL = f"""n AS (SELECT l_orderkey, {NOTE} AS note FROM lineitem GROUP BY l_orderkey),
 b0 AS (SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS day, CASE WHEN o_orderkey % 11 = 0 THEN 0.0 ELSE coalesce(note, 0.0) END AS note FROM orders LEFT JOIN n ON l_orderkey = o_orderkey),
@@ -15,7 +17,7 @@ b AS (SELECT *, CAST(round({SLIP}, 2) AS DOUBLE) AS slip FROM b0)"""
 
 def order_batches(spark, d):
     """o_orderkey, o_custkey, day, note, slip for every order."""
-    li = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.expr(NOTE).alias("note"))
+    li = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.expr(NOTE_OF_LINES).alias("note"))
     o = table(spark, d, "orders").join(li, F.col("l_orderkey") == F.col("o_orderkey"), "left")
     o = o.select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("day"), F.when(F.col("o_orderkey") % 11 == 0, 0.0).otherwise(F.coalesce("note", F.lit(0.0))).alias("note"))
     return o.withColumn("slip", F.expr(f"CAST(round({SLIP}, 2) AS DOUBLE)"))

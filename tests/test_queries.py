@@ -52,6 +52,19 @@ def test_query(spark, duck, name):
         assert len(got)
 
 
+@pytest.mark.parametrize("name", ["pair_core", "invoice_numbers"])
+def test_numbers_like_years_and_amounts_between_cents(spark, name, tmp_path):
+    c = duckdb.connect()
+    c.execute("CREATE TABLE orders AS SELECT CAST(k AS BIGINT) AS o_orderkey, 1::BIGINT AS o_custkey, TIMESTAMP '1995-01-01' AS o_orderdate FROM unnest([43419, 202511, 2025119, 2030002, 20251193]) t(k)")
+    c.execute("""CREATE TABLE lineitem AS SELECT CAST(k AS BIGINT) AS l_orderkey, p AS l_extendedprice, s AS l_discount, t AS l_tax
+        FROM (VALUES (43419, 5145.75::DOUBLE, 0.03::DOUBLE, 0.02::DOUBLE), (43419, 38908.18, 0.04, 0.02), (202511, 10.0, 0, 0), (2025119, 20.0, 0, 0), (2030002, 30.0, 0, 0), (20251193, 40.0, 0, 0)) v(k, p, s, t)""")
+    for t in ("orders", "lineitem"):
+        c.execute(f"COPY {t} TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+    got, want = catalog.QUERIES[name](spark, str(tmp_path)).toPandas(), c.execute(catalog.SQL[name]).df()
+    exact = lambda df: sorted(map(repr, df[sorted(df.columns)].astype(object).where(lambda x: x.notna(), None).itertuples(index=False, name=None)))
+    assert exact(got) == exact(want)
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
