@@ -4,6 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .fixed import NUMBER_IN_FILE_NAME
+from .text import let
 
 CNPJ = r"\d{2}\.\d{3}\.\d{3}/\d{4}-\d{2}"
 CPF = r"\d{3}\.\d{3}\.\d{3}-\d{2}"
@@ -11,7 +12,7 @@ CPF = r"\d{3}\.\d{3}\.\d{3}-\d{2}"
 
 def found(text: Column, pattern: str, group: int = 0) -> Column:
     """First match, or null."""
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    return let(F.regexp_extract(text, pattern, group), lambda hit: F.nullif(hit, F.lit("")))
 
 
 def digits(text: Column) -> Column:
@@ -77,13 +78,15 @@ def slip_line(text: Column) -> Column:
 def invoice_number(text: Column) -> Column:
     """The significant part of an invoice number: '2025/119', '202500000000119' and '00119' are all '119'. A year in front goes
     only from more than 8 digits that count, so zeros in front don't make one of '002025119'."""
-    bare = F.regexp_replace(F.upper(F.trim(text)), r"^(NFSE|NFE|NOTA|NF)[\s._:\-]*", "")
-    yearly = found(bare, r"^\d{4}[./\-](\d+)$", 1)
-    d = digits(bare)
-    counted = F.regexp_replace(d, "^0+", "")
-    plain = F.when(F.length(counted) > 8, F.regexp_replace(counted, r"^20(2\d|30)", "")).otherwise(counted)
-    number = F.regexp_replace(F.coalesce(yearly, plain), "^0+", "")
-    return F.when(d == "", None).otherwise(F.when(number == "", F.lit("0")).otherwise(number))
+    def significant(bare: Column) -> Column:
+        def of(yearly: Column, counted: Column) -> Column:
+            plain = F.when(F.length(counted) > 8, F.regexp_replace(counted, r"^20(2\d|30)", "")).otherwise(counted)
+            return F.ltrim(F.when(yearly != "", yearly).otherwise(plain), F.lit("0"))
+
+        number = let(F.ltrim(digits(bare), F.lit("0")), lambda counted: let(F.regexp_extract(bare, r"^\d{4}[./\-](\d+)$", 1), lambda yearly: of(yearly, counted)))
+        return let(number, lambda n: F.when(n != "", n).when(bare.rlike(r"\d"), F.lit("0")))
+
+    return let(F.regexp_replace(F.upper(F.trim(text)), r"^(NFSE|NFE|NOTA|NF)[\s._:\-]*", ""), significant)
 
 
 def number_of_file(name: Column) -> Column:

@@ -1,22 +1,28 @@
 """Pairing of notes with slips within a batch.
 
-The grouping is a fold over documents in order and not transitive, so it runs as a grouped map, a batch a group. A
+The grouping is a fold over documents in order and not transitive, so it runs over sorted rows, batch by batch. A
 batch is one e-mail: its size is bounded by what one message can carry.
 """
 
 from __future__ import annotations
 
 import re
+from itertools import groupby
+from operator import itemgetter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions import ids, names
 from ..functions.fixed import TOLERANCE
 
 #: Fields of a pair: the first of its notes' and then of its slips' that is there.
 FIELDS = ("fornecedor_nome", "cnpj", "vencimento", "data_emissao", "empresa")
+#: Pairs that leave a task at once.
+CHUNK = 10_000
 PAIRS = "batch_id string, pair_id string, note_number string, note_value double, slip_value double, difference double, pair_status string, note_docs array<string>, slip_docs array<string>"
 
 
@@ -114,19 +120,36 @@ def numbered(docs: DataFrame) -> DataFrame:
     return docs.withColumn("key", F.coalesce(ids.invoice_number(number), F.lit("")))
 
 
+def _rows(part):
+    """Rows of a record batch, as dictionaries."""
+    names = part.schema.names
+    return (dict(zip(names, row)) for row in zip(*(c.to_pylist() for c in part.columns)))
+
+
 def pair_documents(docs: DataFrame, strict: bool = True) -> DataFrame:
     """Pairs of every batch of docs (batch_id, doc_seq, doc_type, arquivo_origem, numero, valor, linha_digitavel), with those of
-    FIELDS that docs has; suppliers' names are cleaned."""
+    FIELDS that docs has; suppliers' names are cleaned. Spark deals the batches and sorts their documents; a task folds one
+    batch after the other as the rows pass, so that a batch costs what its documents cost and no more than one is held."""
     fields = [f for f in FIELDS if f in docs.columns]
     kinds = dict(docs.dtypes)
+    made = ", ".join([PAIRS, *(f"{f} {kinds[f]}" for f in fields)])
+    schema = to_arrow_schema(StructType.fromDDL(made))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf.sort_values("doc_seq").astype(object).where(lambda x: x.notna(), None).to_dict("records")
+    def pairs_of(batch: str, own: list[dict]) -> list[dict]:
         by_file = {d["arquivo_origem"]: d for d in reversed(own)}
         pairs = [with_fields(p, by_file, fields) for p in pair_batch(own, strict)]
-        batch = pdf.batch_id.iloc[0]
-        names = [x.split()[0] for x in PAIRS.split(", ")] + fields
-        return pd.DataFrame([p | {"batch_id": batch, "pair_id": f"{batch}{p['pair_id']}"} for p in pairs], columns=names)
-
-    out = numbered(docs).groupBy("batch_id").applyInPandas(run, ", ".join([PAIRS, *(f"{f} {kinds[f]}" for f in fields)]))
+        return [p | {"batch_id": batch, "pair_id": f"{batch}{p['pair_id']}"} for p in pairs]
+
+    def run(parts):
+        out = []
+        for batch, own in groupby((row for part in parts for row in _rows(part)), itemgetter("batch_id")):
+            out += pairs_of(batch, list(own))
+            if len(out) >= CHUNK:
+                yield pa.RecordBatch.from_pylist(out, schema)
+                out = []
+        yield pa.RecordBatch.from_pylist(out, schema)
+
+    columns = [F.col("batch_id").cast("string").alias("batch_id"), "doc_seq", "doc_type", "arquivo_origem", "key", F.nanvl(F.col("valor").cast("double"), F.lit(0.0)).alias("valor"), "linha_digitavel", *fields, *(c for c in ("auxiliar",) if c in docs.columns)]
+    dealt = numbered(docs).select(*columns).repartition("batch_id").sortWithinPartitions("batch_id", "doc_seq")
+    out = dealt.mapInArrow(run, made)
     return out.withColumn("fornecedor_nome", F.nullif(names.entity_name(F.col("fornecedor_nome")), F.lit(""))) if "fornecedor_nome" in fields else out

@@ -152,23 +152,39 @@ def pair_core(spark, d):
     return p.select("o_custkey", "o_orderkey", "slip_number", state.alias("pair_status"), diff.alias("difference"))
 
 
+def _documents(batches_, *kinds):
+    """The documents of each batch in one pass over batches: of every (condition, columns) in kinds where it holds."""
+    docs = F.array(*(F.when(where, F.struct(*columns)) for where, columns in kinds))
+    return batches_.select(F.inline(F.array_compact(docs)))
+
+
 def pair_exact(spark, d):
-    b = order_batches(spark, d)
-    notes = b.select(F.col("o_custkey").cast("string").alias("batch_id"), (F.col("o_orderkey") * 2).alias("doc_seq"), F.lit("NFSE").alias("doc_type"), F.concat(F.lit("nf_"), "o_orderkey", F.lit(".pdf")).alias("arquivo_origem"), F.concat(F.lit("2025/"), "o_orderkey").alias("numero"), F.col("note").alias("valor"), F.lit(None).cast("string").alias("linha_digitavel"))
-    slips = b.where("slip > 0").select(F.col("o_custkey").cast("string").alias("batch_id"), (F.col("o_orderkey") * 2 + 1).alias("doc_seq"), F.lit("BOLETO").alias("doc_type"), F.concat(F.lit("bol_"), "o_orderkey", F.lit(".pdf")).alias("arquivo_origem"), F.concat(F.lit("2025."), "o_orderkey").alias("numero"), F.col("slip").alias("valor"), F.lpad(F.col("o_orderkey").cast("string"), 47, "3").alias("linha_digitavel"))
-    return pairing.pair_documents(notes.unionByName(slips))
+    k = F.col("o_orderkey")
+
+    def document(seq, kind, mark, number, value, line):
+        values = {"batch_id": F.col("o_custkey").cast("string"), "doc_seq": k * 2 + seq, "doc_type": F.lit(kind), "arquivo_origem": F.concat(F.lit(mark), k, F.lit(".pdf")), "numero": F.concat(F.lit(number), k), "valor": value, "linha_digitavel": line}
+        return [v.alias(c) for c, v in values.items()]
+
+    return pairing.pair_documents(_documents(order_batches(spark, d), (F.lit(True), document(0, "NFSE", "nf_", "2025/", F.col("note"), F.lit(None).cast("string"))),
+                                             (F.col("slip") > 0, document(1, "BOLETO", "bol_", "2025.", F.col("slip"), F.lpad(k.cast("string"), 47, "3")))))
 
 
 def pair_fields(spark, d):
     """Pairs of documents that lack a number or a field: numbers from file names, and each pair's first field that is there."""
     b = order_batches(spark, d).where("note > 0 AND slip > 0")
     k = F.col("o_orderkey")
-    file = lambda mark: F.concat(F.lit(mark), k.cast("string"), F.lit(".pdf"))
-    base = lambda kind, seq, name, value: [k.cast("string").alias("batch_id"), F.lit(seq).alias("doc_seq"), F.lit(kind).alias("doc_type"), name.alias("arquivo_origem"), value.alias("valor"), F.lit(None).cast("string").alias("linha_digitavel")]
-    notes = b.select(*base("NFSE", 1, file("NF "), F.col("note")), F.when(k % 3 == 0, F.lit("")).alias("numero"), F.when(k % 2 == 0, F.lit("ALFA LTDA | CNPJ - CNPJ")).alias("fornecedor_nome"), F.lit(None).cast("string").alias("cnpj"), F.when(k % 5 == 0, F.lit("2001-01-02")).cast("date").alias("vencimento"), F.lit(None).cast("string").alias("referencia_nfse"))
-    more = notes.withColumns({"doc_seq": F.lit(2), "arquivo_origem": F.concat(F.lit("nfse_"), "batch_id", F.lit(".xml")), "fornecedor_nome": F.lit("BETA SA"), "cnpj": F.lit("C2"), "vencimento": F.lit("2001-03-04").cast("date")})
-    slips = b.select(*base("BOLETO", 3, F.when(k % 4 == 0, F.lit("bol.pdf")).otherwise(file("BOLETO NF ")), F.col("slip")), F.when(k % 4 == 0, F.lit(None)).otherwise(F.lit("999")).alias("numero"), F.lit("GAMA").alias("fornecedor_nome"), F.lit("C3").alias("cnpj"), F.lit("2001-05-06").cast("date").alias("vencimento"), k.cast("string").alias("referencia_nfse"))
-    return pairing.pair_documents(notes.unionByName(more.where("CAST(batch_id AS BIGINT) % 7 = 0")).unionByName(slips)).select("batch_id", "pair_id", "note_number", "pair_status", F.size("note_docs").alias("n_notes"), F.size("slip_docs").alias("n_slips"), "fornecedor_nome", "cnpj", "vencimento")
+    text, day, none = k.cast("string"), lambda x: F.lit(x).cast("date"), F.lit(None).cast("string")
+    file = lambda mark, end=".pdf": F.concat(F.lit(mark), text, F.lit(end))
+
+    def document(seq, kind, name, value, number, supplier, cnpj, due, reference):
+        values = {"batch_id": text, "doc_seq": F.lit(seq), "doc_type": F.lit(kind), "arquivo_origem": name, "valor": value, "linha_digitavel": none, "numero": number, "fornecedor_nome": supplier, "cnpj": cnpj, "vencimento": due, "referencia_nfse": reference}
+        return [v.alias(c) for c, v in values.items()]
+
+    unnumbered = F.when(k % 3 == 0, F.lit(""))
+    docs = _documents(b, (F.lit(True), document(1, "NFSE", file("NF "), F.col("note"), unnumbered, F.when(k % 2 == 0, F.lit("ALFA LTDA | CNPJ - CNPJ")), none, F.when(k % 5 == 0, day("2001-01-02")), none)),
+                      (k % 7 == 0, document(2, "NFSE", file("nfse_", ".xml"), F.col("note"), unnumbered, F.lit("BETA SA"), F.lit("C2"), day("2001-03-04"), none)),
+                      (F.lit(True), document(3, "BOLETO", F.when(k % 4 == 0, F.lit("bol.pdf")).otherwise(file("BOLETO NF ")), F.col("slip"), F.when(k % 4 != 0, F.lit("999")), F.lit("GAMA"), F.lit("C3"), day("2001-05-06"), text)))
+    return pairing.pair_documents(docs).select("batch_id", "pair_id", "note_number", "pair_status", F.size("note_docs").alias("n_notes"), F.size("slip_docs").alias("n_slips"), "fornecedor_nome", "cnpj", "vencimento")
 
 
 def pair_kinds(spark, d):

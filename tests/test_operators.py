@@ -156,3 +156,27 @@ def test_nearest_of_all_queries(spark):
             near = sorted((sum((a - b) ** 2 for a, b in zip(v, x)), i) for i, v in good)[:5]
             want += [(q, n, i, d) for n, (d, i) in enumerate(near, 1)]
         assert got == sorted(want)
+
+
+def test_pairs_of_batches_that_records_split(spark):
+    """A batch's documents come in several record batches, and many batches in one task; no grouped map, a batch a call."""
+    rows = [(f"b{i}", j, ("NFSE", "BOLETO")[j % 2], f"{i}_{j}", str(j // 2 + 1000 * i + 1), 10.0 * i + j // 2 + 1, None) for i in range(40) for j in (5, 0, 3, 1, 4, 2)]
+    df = spark.createDataFrame(rows, "batch_id string, doc_seq int, doc_type string, arquivo_origem string, numero string, valor double, linha_digitavel string")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "4")
+    try:
+        out = pairing.pair_documents(df)
+        got = sorted((r.batch_id, r.pair_status, *r.note_docs, *r.slip_docs) for r in out.collect())
+    finally:
+        spark.conf.set(key, before)
+    assert got == sorted((f"b{i}", "CONCILIADO", f"{i}_{j}", f"{i}_{j + 1}") for i in range(40) for j in (0, 2, 4))
+    assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pair_queries_read_lines_once(spark):
+    from notaflow.plans import batch
+
+    for query in (batch.pair_exact, batch.pair_fields):
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("l_extendedprice#") and sum("Relation" in x and "l_extendedprice" in x for x in plan.splitlines()) == 1
