@@ -8,11 +8,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df over all cores where it has fewer partitions than there are cores, as a table of one small file has: for work that costs
-    much more than reading. Larger tables stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def spread(df: DataFrame, rows: int = 50_000) -> DataFrame:
+    """df dealt to all cores, and to as many parts that none has many more than `rows` rows: for work that costs much more than
+    reading, so that a task's time does not grow with the table. Parquet counts its rows by its footers."""
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+    return df.repartition(parts) if df.rdd.getNumPartitions() < parts else df
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:

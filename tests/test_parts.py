@@ -211,3 +211,15 @@ def test_own_mail_patterns(spark):
 
     assert decided("Oi", "a@x.com") == "SKIP_NO_SUBJECT_MATCH" and decided("Oi", "a@x.com", white=(r"^oi$",)) == "PROCESS" and decided("Oi", "a@x.com", white_senders=("@x",)) == "PROCESS"
     assert decided("Fatura", "a@x.com", black=("fatura",)) == "SKIP_BLACKLIST" and decided("Fatura", "a@x.com", black_senders=("@x",)) == "SKIP_SENDER_BLACKLIST"
+
+
+def test_a_table_is_dealt_by_its_rows(spark):
+    from notaflow.plans import documents
+    from notaflow.sources.tables import spread
+
+    small, large = spark.range(10), spark.range(0, 1000, 1, 1)
+    cores = spark.sparkContext.defaultParallelism
+    assert spread(small).rdd.getNumPartitions() >= cores
+    assert spread(large, 20).rdd.getNumPartitions() == 50
+    assert spread(large, 20).count() == 1000
+    assert documents.slip_document(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= cores
