@@ -68,10 +68,13 @@ def _trimmed(name: Column) -> Column:
 
 
 def _without_tails(name: Column, rounds: int = ROUNDS) -> Column:
-    tail = "(?iU)(?:" + "|".join(f"(?:{t})" for t in TAILS.values()) + r")\s*$"
-    for _ in range(rounds):
-        name = F.regexp_replace(name, tail, "")
-    return name
+    """Tails taken off until a round finds none; no tail begins elsewhere than the look-ahead says, which passes most letters by."""
+    tail = r"(?iU)(?=[\s,|=:/(\-]|\b[cim])(?:" + "|".join(f"(?:{t})" for t in TAILS.values()) + r")\s*$"
+
+    def more(before: Column, after: Column) -> Column:
+        return F.when(after == before, after).otherwise(_without_tails(after, rounds - 1))
+
+    return F.regexp_replace(name, tail, "") if rounds == 1 else let(name, lambda n: let(F.regexp_replace(n, tail, ""), lambda m: more(n, m)))
 
 
 def _well_read(name: Column) -> Column:

@@ -197,3 +197,27 @@ def test_chunks_leave_from_executors_once(spark, tmp_path):
     (tmp_path / "c").mkdir()
     sinks.send_from_executors(df.limit(0), ["id"], FileTarget(tmp_path / "c"), "none", 10)
     assert open(tmp_path / "c/DONE").read() == ""
+
+
+def test_documents_are_routed_once_for_their_fields(spark):
+    from notaflow.plans import documents
+
+    plan = documents.vendor_documents(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("Relation") == 1
+
+
+def test_tails_stop_where_a_round_finds_none(spark):
+    """The same as all rounds in a row, on names with tails and without; rounds that can't find any are not run."""
+    from notaflow.functions import names
+
+    tail = "(?iU)(?:" + "|".join(f"(?:{t})" for t in names.TAILS.values()) + r")\s*$"
+    texts = ["ALFA LTDA", "ALFA LTDA | CNPJ - CNPJ 1", "BETA SA, inscrita no CNPJ sob o n. 2", "DELTA SA - Endereço Rua X 12", "ALFA LTDA - CE - FORTALEZA", "ALFA SA www.alfa.com financeiro 393", "ALFA LTDA joaozinho", "GAMA /12 ( ) mudou-se x",
+             "BETA LTDA F50C0E532 Inscrição Municipal 1", "ALFA LTDA ****/**** CPF", "ALFA cnpj", "X(Mudou-se)", "ALFA LTDA CNPJ: 1", "ALFA SA |cnl.", "ALFA Florida 33134 USA", "", None]
+
+    def every(name):
+        for _ in range(names.ROUNDS):
+            name = F.regexp_replace(name, tail, "")
+        return name
+
+    assert values(spark, texts, names._without_tails) == values(spark, texts, every)
+    assert "CASE WHEN" in spark.range(1).select(names._without_tails(F.col("id").cast("string")).alias("n"))._jdf.queryExecution().analyzed().toString()
