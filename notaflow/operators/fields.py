@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, ids, money
-from ..functions.text import label_then_lines, occurrences
+from ..functions.text import label_then_lines, let, occurrences
 from . import cascades
 
 AMOUNT = r"(\d{1,3}(?:\.\d{3})*,\d{2})"
@@ -22,10 +22,16 @@ DAY = r"(\d{2}/\d{2}/\d{2,4})"
 
 
 def first_match(text: Column, patterns: tuple[str, ...], parse=None, counts=None) -> Column:
-    """parse turns the hit into a value, counts says which values count (all that are not null by default)."""
-    hits = F.filter(F.array(*[ids.found(text, p, 1) for p in patterns]), lambda h: h.isNotNull())
-    values = F.transform(hits, parse) if parse else hits
-    return F.get(F.filter(values, counts or (lambda v: v.isNotNull())), F.lit(0))
+    """parse turns the hit into a value, counts says which values count (all that are not null by default). No pattern is looked
+    for after the one whose value counts."""
+    def value(hit: Column) -> Column:
+        return F.when(hit.isNotNull(), parse(hit))
+
+    def of(p: str) -> Column:
+        got = let(ids.found(text, p, 1), value) if parse else ids.found(text, p, 1)
+        return let(got, lambda v: F.when(counts(v), v)) if counts else got
+
+    return F.coalesce(*map(of, patterns))
 
 
 def amount_of(hit: Column) -> Column:
@@ -132,21 +138,24 @@ def instalments(text: Column) -> Column:
 
 # ---- slips
 
-def slip_fields(df: DataFrame, text: str = "text") -> DataFrame:
+def slip_columns(t: Column) -> dict[str, Column]:
     """Amount: labelled, then the digit line's cents, then near a label, then the largest. Due: by context, else under its
     label, else the digit line's factor, else the latest."""
-    t = F.col(text)
     line = ids.slip_line(t)
     labelled = first_amount(t, (r"(?iu)valor\s+do\s+documento\s*:?\s*(?:R\$)?\s*" + AMOUNT, r"(?iu)valor\s+cobrado\s*:?\s*(?:R\$)?\s*" + AMOUNT))
     near = below_label(t, r"valor\s+(do\s+documento|cobrado|nominal)", AMOUNT, amount_of)
     cents = F.when(money.of_slip_line(line) > 0, money.of_slip_line(line))
     due = F.coalesce(first_day(t, (r"(?iu)vencimento\s*:?\s*" + DAY, r"(?iu)vence\s+em\s*:?\s*" + DAY)), below_label(t, "vencimento", DAY, dates.parse_br),
                      scored(t, DAY, {"venc": 3, "pag": 1, "emiss|process": -3}, dates.parse_br), dates.due_from_factor(dates.factor_of_line(line)), latest_day(t))
-    return df.withColumns({
+    return {
         "linha_digitavel": line, "valor": F.coalesce(labelled, cents, near, largest_of(t), F.lit(0.0)), "vencimento": due,
         "numero": first_match(t, (r"(?iu)n[uú]mero\s+do\s+documento\s*:?\s*([\w./-]+)", r"(?iu)nosso\s+n[uú]mero\s*:?\s*([\d/-]+)", r"(?iu)\bdoc(?:umento)?\s*n[ºo°]?\s*:?\s*(\d[\w./-]*)")),
         "cnpj": F.coalesce(ids.cnpj(t), ids.flexible_cnpj(t)), "fornecedor_nome": cascades.slip_supplier(t)["name"],
-        "data_emissao": F.coalesce(first_day(t, (r"(?iu)data\s+(?:do\s+documento|de\s+emiss[aã]o|do\s+processamento)\s*:?\s*" + DAY,)), smallest_day(t))})
+        "data_emissao": F.coalesce(first_day(t, (r"(?iu)data\s+(?:do\s+documento|de\s+emiss[aã]o|do\s+processamento)\s*:?\s*" + DAY,)), smallest_day(t))}
+
+
+def slip_fields(df: DataFrame, text: str = "text") -> DataFrame:
+    return df.withColumns(slip_columns(F.col(text)))
 
 
 # ---- service notes, goods notes, other documents
@@ -154,26 +163,30 @@ def slip_fields(df: DataFrame, text: str = "text") -> DataFrame:
 TAX = r"(?:reten|desconto|dedu|iss|inss|irrf|pis|cofins|csll|al[ií]quota)"
 
 
-def note_fields(df: DataFrame, text: str = "text") -> DataFrame:
-    t = F.col(text)
+def note_columns(t: Column) -> dict[str, Column]:
     labels = tuple(r"(?iu)" + w + r"\s*:?\s*(?:\(?R\$\)?)?\s*" + AMOUNT for w in (r"valor\s+total\s+da\s+nota", r"valor\s+l[ií]quido(?:\s+da\s+nota)?", r"valor\s+(?:total\s+)?dos\s+servi[cç]os", r"valor\s+total", r"total\s+a\s+pagar", r"total\s+geral", r"total"))
     def tax(name):
         return F.coalesce(first_amount(t, (rf"(?iu)\b{name}\b[^\d\n]{{0,20}}" + AMOUNT,)), F.lit(0.0))
-    return df.withColumns({
+    return {
         "valor": F.coalesce(first_amount(t, labels), outside(t, AMOUNT, TAX, amount_of), largest_of(t), F.lit(0.0)),
         "numero": first_match(t, (r"(?iu)n[uú]mero\s+da\s+n(?:ota|fs-?e)\s*:?\s*(\d+)", r"(?iu)nota\s+fiscal[^\d\n]{0,30}(\d{1,15})", r"(?iu)nfs?-?e\s*n?[ºo°.]*\s*:?\s*(\d+)", r"(?iu)fatura\s*n?[ºo°.]*\s*:?\s*(\d+)"), lambda c: F.nullif(F.regexp_replace(c, "^0+", ""), F.lit(""))),
         "vencimento": F.coalesce(first_day(t, (r"(?iu)vencimento\s*:?\s*" + DAY, r"(?iu)vence\s+em\s*:?\s*" + DAY)), below_label(t, "vencimento", DAY, dates.parse_br)),
         "data_emissao": F.coalesce(first_day(t, (r"(?iu)emiss[aã]o\s*:?\s*" + DAY, r"(?iu)emitid[ao]\s+em\s*:?\s*" + DAY, r"(?iu)compet[eê]ncia\s*:?\s*" + DAY)), dates.first_br(t)),
         "cnpj": F.coalesce(ids.cnpj(t), ids.flexible_cnpj(t)), "chave_acesso": ids.access_key(t),
         "fornecedor_nome": F.coalesce(first_match(t, (r"(?iu)raz[aã]o\s+social\s*/?\s*(?:nome)?\s*:?\s*([^\n]+)", r"(?iu)prestador(?:\s+de\s+servi[cç]os)?\s*:?\s*([^\n]+)", r"(?iu)recebemos\s+de\s+(.+?)\s+os\s+produtos", r"(?m)^([^\n]+?(?:LTDA|S/A|S\.A\.|EIRELI|ME))\s")), keyed(t, {r"\btim\b": "TIM S.A.", "cemig": "CEMIG", "copasa": "COPASA", "sabesp": "SABESP", "locaweb": "LOCAWEB"})),
-        "valor_iss": tax("ISS(?:QN)?"), "valor_ir": tax("IRR?F?"), "valor_inss": tax("INSS"), "valor_csll": tax("CSLL"), "numero_pedido": ids.order_number(t)})
+        "valor_iss": tax("ISS(?:QN)?"), "valor_ir": tax("IRR?F?"), "valor_inss": tax("INSS"), "valor_csll": tax("CSLL"), "numero_pedido": ids.order_number(t)}
+
+
+def note_fields(df: DataFrame, text: str = "text") -> DataFrame:
+    return df.withColumns(note_columns(F.col(text)))
 
 
 def extracted(routed: DataFrame, text: str = "text", own: Column | None = None) -> DataFrame:
-    """Fields of every routed document: slips and all others are two branches, each with its own rules; service notes take
-    their provider from the cascade first. own: names of the user's companies."""
-    slip = slip_fields(routed.where("doc_type = 'BOLETO'"), text)
-    note = note_fields(routed.where("doc_type IS NULL OR doc_type <> 'BOLETO'"), text)
+    """Fields of every routed document in one pass, so that it is routed once: slips by their rules, all others by theirs;
+    service notes take their provider from the cascade first. own: names of the user's companies."""
+    t, kind = F.col(text), F.col("doc_type")
+    slip, note = slip_columns(t), note_columns(t)
     own = F.array().cast("array<string>") if own is None else own
-    note = note.withColumn("fornecedor_nome", F.coalesce(F.when(F.col("doc_type") == "NFSE", cascades.note_supplier(F.col(text), own)["name"]), "fornecedor_nome"))
-    return slip.unionByName(note, allowMissingColumns=True)
+    note["fornecedor_nome"] = F.coalesce(F.when(kind == "NFSE", cascades.note_supplier(t, own)["name"]), note["fornecedor_nome"])
+    nothing = F.lit(None)
+    return routed.withColumns({c: F.when(kind == "BOLETO", slip.get(c, nothing)).otherwise(note.get(c, nothing)) for c in {**slip, **note}})
