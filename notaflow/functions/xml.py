@@ -161,7 +161,7 @@ def _text(c: Column) -> Column:
 def _note(name: str, xml: Column) -> Column:
     """Texts of a document of this dialect, as found; amounts are numbers, the first that is more than nothing for the total."""
     layout, every = _layout(name), sorted({f for paths in PATHS.values() for f in paths})
-    holder = F.coalesce(*[F.nullif(F.regexp_extract(xml, rf"(?s)<{h}(?=[\s>]).*?</{h}>", 0), F.lit("")) for h in HOLDERS[name]])
+    holder = F.coalesce(*[ids.found(xml, rf"(?s)<{h}(?=[\s>]).*?</{h}>") for h in HOLDERS[name]])
 
     def read(r: Column) -> Column:
         out = []
