@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed import TOLERANCE
 from ..functions.text import present
+from ..sources.tables import dealt
 
 
 def totals(docs: DataFrame, kinds: tuple[str, ...], key: str = "batch_id") -> DataFrame:
@@ -28,27 +29,29 @@ def status(purchase: Column, slip: Column) -> tuple[Column, Column]:
     return F.when(both & (F.abs(diff) <= TOLERANCE), F.lit("CONCILIADO")).when(both, F.lit("DIVERGENTE")).otherwise(F.lit("CONFERIR")), diff
 
 
-def inherit(docs: DataFrame, key: str = "batch_id") -> DataFrame:
-    """Slips take the first note number of their batch, notes the first slip due date, all the first order number."""
+def inherit(docs: DataFrame, key: str = "batch_id", rows: int = 1_500_000) -> DataFrame:
+    """Slips take the first note number of their batch, notes the first slip due date, all the first order number. A task sorts
+    about `rows` documents."""
     w = W.partitionBy(key).orderBy("doc_seq").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     note, slip = F.col("doc_type").isin("DANFE", "NFSE"), F.col("doc_type") == "BOLETO"
     number = F.first(F.when(note & present(F.col("numero")), F.col("numero")), True).over(w)
     due = F.first(F.when(slip, F.col("vencimento")), True).over(w)
     order = F.first(F.when(present(F.col("numero_pedido")), F.col("numero_pedido")), True).over(w)
-    return docs.select(
+    return dealt(docs, key, "doc_seq", rows=rows).select(
         *[c for c in docs.columns if c not in ("referencia_nfse", "vencimento", "numero_pedido")],
         F.when(slip & ~F.coalesce(present(F.col("referencia_nfse")), F.lit(False)), number).otherwise(F.col("referencia_nfse")).alias("referencia_nfse"),
         F.when(note, F.coalesce("vencimento", due)).otherwise(F.col("vencimento")).alias("vencimento"),
         F.coalesce(F.when(present(F.col("numero_pedido")), F.col("numero_pedido")), order).alias("numero_pedido"))
 
 
-def inherit_all(docs: DataFrame, mails: DataFrame | None = None, key: str = "batch_id") -> DataFrame:
+def inherit_all(docs: DataFrame, mails: DataFrame | None = None, key: str = "batch_id", rows: int = 1_000_000) -> DataFrame:
     """docs with what a batch's documents take from each other. Slips without a reference take the first goods note's
     number, else the first service note's, else the first other document's; notes without a due date take the first
     slip's, and where no note and slip meet with one, every document without takes the mail's. All documents take the
     first order number (an other document's own number counts as one), and where no document has a number, the mail's.
 
     docs: doc_seq, doc_type, numero, numero_pedido, referencia_nfse, vencimento; mails: vencimento_email, numero_email.
+    A task sorts about `rows` documents and mails; the mails come after the windows, so that documents are sorted once.
     """
     w = W.partitionBy(key).orderBy("doc_seq").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     kind, slip, other = F.col("doc_type"), F.col("doc_type") == "BOLETO", F.col("doc_type") == "OUTRO"
@@ -58,12 +61,12 @@ def inherit_all(docs: DataFrame, mails: DataFrame | None = None, key: str = "bat
     def first(value: Column, where: Column) -> Column:
         return F.first(F.when(where, value), True).over(w)
 
-    d = docs if mails is None else docs.join(mails.select(key, "vencimento_email", "numero_email"), key, "left")
     mail_due, mail_number = (F.lit(None), F.lit(None)) if mails is None else (F.col("vencimento_email"), F.nullif("numero_email", F.lit("")))
-    d = d.withColumns({
+    d = dealt(docs, key, "doc_seq", *([] if mails is None else [mails]), rows=rows).withColumns({
         "_ref": F.coalesce(first(own["numero"], kind == "DANFE"), first(own["numero"], kind == "NFSE"), first(own["numero"], other)), "_due": first(F.col("vencimento"), slip),
         "_notes": F.max(note).over(w), "_order": first(F.when(other, own["numero"]).otherwise(own["numero_pedido"]), F.lit(True)),
         "_number": F.coalesce(first(own["numero"], note | slip | other), first(own["numero_pedido"], note))})
+    d = d if mails is None else d.join(mails.select(key, "vencimento_email", "numero_email"), key, "left")
     inherited = F.col("_due").isNotNull() & F.col("_notes")
     due = F.coalesce("vencimento", F.when(note, F.col("_due")), F.when(~F.coalesce(inherited, F.lit(False)), mail_due.cast("date")))
     number = F.coalesce(own["numero"], F.when(other, F.col("_order")), F.when(F.col("_number").isNull(), mail_number.cast("string")))

@@ -15,6 +15,14 @@ def spread(df: DataFrame, rows: int = 50_000) -> DataFrame:
     return df.repartition(parts) if df.rdd.getNumPartitions() < parts else df
 
 
+def dealt(df: DataFrame, key: str, order: str, *joined: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """df dealt by key to all cores, and to as many parts that one has about `rows` rows of it and of what it will be joined with by
+    key, in order of key and `order` there: windows by key need no other shuffle or sort, and what a task sorts does not grow with
+    the tables. Rows of one key stay together. Above 200 parts Spark also sorts what it writes, a split of the input a task."""
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-sum(d.count() for d in (df, *joined)) // rows))
+    return df.repartition(parts, key).sortWithinPartitions(key, order)
+
+
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
     """value, line_no: the lines of text files; numbers rise within a split, not over splits (ordered_lines numbers files)."""
     return spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id())

@@ -62,6 +62,30 @@ def test_status_and_inheritance(spark):
     assert got["BOLETO"].referencia_nfse == "12345" and got["DANFE"].vencimento == dt.date(2024, 12, 31) and got["DANFE"].numero_pedido == "77"
 
 
+def test_what_a_task_sorts_to_inherit_does_not_grow(spark):
+    def docs(n):
+        i = F.col("id")
+        return spark.range(n).select((i % (n // 4)).cast("string").alias("batch_id"), i.alias("doc_seq"), F.element_at(F.array(*map(F.lit, ("NFSE", "DANFE", "BOLETO", "OUTRO"))), (i * 7 % 11 % 4 + 1).cast("int")).alias("doc_type"), F.when(i % 3 == 0, i.cast("string")).alias("numero"),
+                                     F.when(i % 5 == 0, F.concat(F.lit("P"), i)).alias("numero_pedido"), F.lit(None).cast("string").alias("referencia_nfse"), F.when(i % 2 == 0, F.lit(dt.date(2025, 1, 1))).alias("vencimento"))
+
+    def mails(n):
+        return spark.range(0, n, 3).select(F.col("id").cast("string").alias("batch_id"), F.lit(dt.date(2030, 1, 1)).alias("vencimento_email"), F.lit("E1").alias("numero_email"))
+
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for n in (6000, 24000):
+            few = batches.inherit_all(docs(n), mails(n // 4), rows=500)
+            for out in (few, batches.inherit(docs(n), rows=500)):
+                assert max(r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()) < 1000
+            assert few._jdf.queryExecution().executedPlan().toString().count("Sort [") == 2
+            assert sorted(map(repr, few.collect())) == sorted(map(repr, batches.inherit_all(docs(n), mails(n // 4), rows=n * 2).collect()))
+        many = batches.inherit_all(docs(400), mails(24000), rows=500)  # far more mails than documents
+        assert many._jdf.queryExecution().executedPlan().toString().count(", 17)") == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
 def test_every_mail_has_one_decision(spark):
     rows = [("Nota Fiscal", "a@x.com", True, False, False, "PROCESS"), ("Nota Fiscal", "a@github.com", False, True, False, "SKIP_SENDER_BLACKLIST"), ("Feliz Natal", "a@x.com", False, True, False, "SKIP_BLACKLIST"),
             ("Nota Fiscal", "a@x.com", False, False, False, "SKIP_NO_CONTENT"), ("Fatura", "a@x.com", False, True, False, "PROCESS"), ("Oi", "nfe@x.com", False, False, True, "PROCESS"), ("Oi", "a@x.com", False, True, True, "SKIP_NO_SUBJECT_MATCH"), (None, None, False, True, False, "SKIP_NO_SUBJECT_MATCH")]
