@@ -114,9 +114,9 @@ def _mail_texts(spark, d):
 
 
 def company_in_mail(spark, d):
-    own = table(spark, d, "supplier").where("s_suppkey <= 9")
-    letter = F.element_at(F.array(*map(F.lit, "ABCDEFGHI")), F.greatest(F.col("s_suppkey"), F.lit(1)).cast("int"))
-    own = own.where("s_suppkey >= 1").select(F.lpad((F.col("s_suppkey") * 11).cast("string"), 14, "0").alias("cnpj"), F.concat(F.lit("E"), "s_suppkey", F.lit("A CENTRAL"), letter, F.lit(" GESTAO LTDA")).alias("name"), F.col("s_suppkey").alias("pos"))
+    own = table(spark, d, "supplier").where("s_suppkey BETWEEN 1 AND 9")
+    letter = F.char(F.lit(64) + F.col("s_suppkey"))  # A to I; defined for every key, as Spark may test the name before the key
+    own = own.select(F.lpad((F.col("s_suppkey") * 11).cast("string"), 14, "0").alias("cnpj"), F.concat(F.lit("E"), "s_suppkey", F.lit("A CENTRAL"), letter, F.lit(" GESTAO LTDA")).alias("name"), F.col("s_suppkey").alias("pos"))
     return companies.company_in_mail(_mail_texts(spark, d), own, "o_orderkey", "text")
 
 

@@ -65,6 +65,17 @@ def test_numbers_like_years_and_amounts_between_cents(spark, name, tmp_path):
     assert exact(got) == exact(want)
 
 
+def test_company_in_mail_with_suppliers_beyond_the_own_ones(spark, tmp_path):
+    c = duckdb.connect()
+    c.execute("CREATE TABLE orders AS SELECT k AS o_orderkey FROM range(0, 315) t(k)")
+    c.execute("CREATE TABLE supplier AS SELECT k AS s_suppkey FROM unnest([0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 4000000000, NULL]) t(k)")
+    for t in ("orders", "supplier"):
+        c.execute(f"COPY {t} TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+    got, want = catalog.QUERIES["company_in_mail"](spark, str(tmp_path)).toPandas(), c.execute(catalog.SQL["company_in_mail"]).df()
+    assert len(got) == 315
+    assert rows(got) == rows(want)
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
